@@ -1,0 +1,6 @@
+"""The library's queries: name -> (spark, sf_dir) -> DataFrame, and the SQL that says the same."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
