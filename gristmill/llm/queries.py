@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.plans.ship import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +52,24 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("scores")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op5_mix_sources, op6_bpe_round_trip, op7_personal_data)}
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.vectors import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.vectors import top_scores
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_scores(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_near_duplicates, op4_nearest_neighbours, op5_mix_sources, op6_bpe_round_trip, op7_personal_data, op10_exact_top_k)}
