@@ -65,6 +65,19 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.lang_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.vectors import top_scores
 
@@ -72,4 +85,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_scores(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_near_duplicates, op4_nearest_neighbours, op5_mix_sources, op6_bpe_round_trip, op7_personal_data, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_near_duplicates, op4_nearest_neighbours, op5_mix_sources, op6_bpe_round_trip, op7_personal_data, op8_html_extraction, op9_language_id, op10_exact_top_k)}
