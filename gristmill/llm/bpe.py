@@ -13,6 +13,8 @@ Decoding is a state machine over tokens that emits text as bytes complete charac
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-#: Words whose answers a worker keeps, and how long they may be.
-STORE, STORED = 200_000, 64
+#: Words whose answers a worker keeps, twice, and how long they may be.
+STORE, STORED = 250_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -36,6 +38,9 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+BYTE_OF = {c: b for b, c in enumerate(byte_alphabet())}
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int]) -> int:
     """Symbols beyond a token's end that decide whether it stays as it is."""
     parts = {}
@@ -54,76 +59,71 @@ class Transducer:
     """Symbols in, token ids out as soon as they are final."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "") -> None:
-        self.vocab, self.end = vocab, end
-        self.rank = {pair: k for k, pair in reversed([*enumerate(merges)])}
-        length = {t: len(t.removesuffix(end)) if end and t != end else len(t) for t in vocab}
-        self.lookahead = sufficient_lookahead(merges, length)
-        self.length = length
-
-    def tokens(self, symbols: list[str]) -> list[str]:
-        """The merges in the order of their ranks, the leftmost first; n log n in the number of symbols."""
-        if len(symbols) < 48:
-            rank = self.rank
-            while len(symbols) > 1:
-                best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: rank.get(p, 1 << 60))
-                if best not in rank:
-                    break
-                out, k, n = [], 0, len(symbols)
-                while k < n:
-                    if k + 1 < n and symbols[k] == best[0] and symbols[k + 1] == best[1]:
-                        out.append(best[0] + best[1])
-                        k += 2
-                    else:
-                        out.append(symbols[k])
-                        k += 1
-                symbols = out
-            return symbols
-        from heapq import heapify, heappop, heappush
-
-        sym: list[str | None] = [*symbols]
+        bare = lambda t: t.removesuffix(end) if end and t != end else t
+        self.lookahead = sufficient_lookahead(merges, {t: len(bare(t)) for t in vocab})
+        self.length = {i: len(bare(t)) for t, i in vocab.items()}
+        self.bits = max(vocab.values(), default=0).bit_length()
+        self.made = [vocab[a + b] for a, b in merges]
+        self.rank = {vocab[a] << self.bits | vocab[b]: k for k, (a, b) in reversed([*enumerate(merges)])}
+        self.closed = {i: vocab[t + end] for t, i in vocab.items() if t + end in vocab}
+
+    def tokens(self, ids: list[int]) -> list[int]:
+        """The merges in the order of their ranks, of equal ones the leftmost first."""
+        if len(ids) > 200:
+            return self.long_tokens(ids)
+        get, bits, made, none = self.rank.get, self.bits, self.made, 1 << 40
+        ranks = [get(a << bits | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != none:
+            k = ranks.index(best)
+            new = made[best]
+            ids[k] = new
+            del ids[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = get(new << bits | ids[k + 1], none)
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << bits | new, none)
+        return ids
+
+    def long_tokens(self, ids: list[int]) -> list[int]:
+        """The same with a heap: n log n in the number of symbols."""
+        get, bits = self.rank.get, self.bits
+        sym: list[int] = [*ids]
         after, before = [*range(1, len(sym)), -1], [-1, *range(len(sym) - 1)]
-        heap = [(r, k, p) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := self.rank.get(p)) is not None]
-        heapify(heap)
+        heap = [(r, k) for k, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if (r := get(a << bits | b)) is not None]
+        heapq.heapify(heap)
         while heap:
-            r, k, (a, b) = heappop(heap)
+            r, k = heapq.heappop(heap)
             n = after[k]
-            if sym[k] != a or n < 0 or sym[n] != b:
+            if sym[k] < 0 or n < 0 or get(sym[k] << bits | sym[n]) != r:
                 continue
-            sym[k], sym[n] = a + b, None
+            sym[k], sym[n] = self.made[r], -1
             after[k] = m = after[n]
             if m >= 0:
                 before[m] = k
-                if (q := self.rank.get((a + b, sym[m]))) is not None:
-                    heappush(heap, (q, k, (a + b, sym[m])))
-            if (p := before[k]) >= 0 and (q := self.rank.get((sym[p], a + b))) is not None:
-                heappush(heap, (q, p, (sym[p], a + b)))
-        return [x for x in sym if x is not None]
+                if (q := get(sym[k] << bits | sym[m])) is not None:
+                    heapq.heappush(heap, (q, k))
+            if (p := before[k]) >= 0 and (q := get(sym[p] << bits | sym[k])) is not None:
+                heapq.heappush(heap, (q, p))
+        return [x for x in sym if x >= 0]
 
-    def encode(self, word: Iterable[str], block: int = BLOCK) -> Iterator[int]:
+    def encode(self, word: Iterable[int], block: int = BLOCK) -> Iterator[int]:
         """Ids of one word's symbols. A block is read, tokenised with what was kept, and emitted but for the lookahead."""
-        kept: list[str] = []
+        kept: list[int] = []
         source = iter(word)
-        at_end = False
-        while not at_end:
-            while len(kept) < self.lookahead + block:
-                if (s := next(source, None)) is None:
-                    at_end = True
-                    break
-                kept.append(s)
-            if at_end and kept:
-                kept[-1] += self.end
-            left = len(kept)
-            if at_end:
-                for t in self.tokens(kept):
-                    yield self.vocab[t]
+        while True:
+            kept += itertools.islice(source, max(1, self.lookahead + block + 1 - len(kept)))
+            if len(kept) <= self.lookahead + block:
+                if kept:
+                    kept[-1] = self.closed.get(kept[-1], kept[-1])
+                yield from self.tokens(kept)
                 return
-            done = 0
-            for t in self.tokens(kept):
+            left, done = len(kept), 0
+            for t in self.tokens([*kept]):
                 left -= self.length[t]
                 if left < self.lookahead:
                     break
                 done += self.length[t]
-                yield self.vocab[t]
+                yield t
             kept = kept[done:]
 
 
@@ -137,7 +137,6 @@ class Decoder:
         import codecs
 
         self.of, self.special, self.end, self.text = tokens, set(specials), end, text
-        self.byte = {c: b for b, c in enumerate(byte_alphabet())}
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
         self.started = False
 
@@ -152,7 +151,7 @@ class Decoder:
         if token in self.special:
             return self.machine.decode(b"", True) + t
         closes = bool(self.end) and t.endswith(self.end)
-        out = self.machine.decode(bytes(self.byte[c] for c in (t.removesuffix(self.end) if closes else t)))
+        out = self.machine.decode(bytes(BYTE_OF[c] for c in (t.removesuffix(self.end) if closes else t)))
         return f"{out}{self.machine.decode(b'', True)} " if closes else out
 
     def finish(self) -> str:
@@ -180,8 +179,9 @@ class Tokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.marks = tuple(self.special)
         self.spaces, self.odd = regex.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
-        self.byte = byte_alphabet()
+        self.symbol = [model["vocab"][c] for c in byte_alphabet()]
         self.store: dict[str, tuple[bytes, int, str]] = {}
+        self.older: dict[str, tuple[bytes, int, str]] = {}
 
     def words(self, text: str) -> Iterable[str]:
         """Runs without white space. str.split also cuts at four control characters that are no white space here."""
@@ -193,22 +193,21 @@ class Tokenizer:
                 yield self.special[part]
             elif part:
                 part = part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part)))
-                for m in self.piece.finditer(part):
-                    yield from self.transducer.encode(self.byte[b] for b in m.group().encode("utf-8", "surrogatepass"))
+                for piece in self.piece.findall(part):
+                    yield from self.transducer.encode(map(self.symbol.__getitem__, piece.encode("utf-8", "surrogatepass")))
 
     def decoder(self, text: bool = False) -> Decoder:
         return Decoder(self.tokens, self.special.values(), self.end, text)
 
     def answer(self, word: str) -> tuple[bytes, int, str]:
         """A word's ids as little-endian unsigned 32-bit integers, their number, and the text that they decode to."""
-        if (known := self.store.get(word)) is not None:
-            return known
-        ids = [*self.word_ids(word)]
-        decoder = self.decoder()
-        decoded = "".join(map(decoder.feed, ids)) + decoder.finish()
-        made = np.array(ids, "<u4").tobytes(), len(ids), decoded
+        if (made := self.store.get(word) or self.older.get(word)) is None:
+            ids = [*self.word_ids(word)]
+            decoder = self.decoder()
+            made = np.array(ids, "<u4").tobytes(), len(ids), "".join(map(decoder.feed, ids)) + decoder.finish()
         if len(word) <= STORED:
-            if len(self.store) >= STORE:
+            if len(self.store) >= STORE:  # words not met since the last time go
+                self.older = self.store.copy()
                 self.store.clear()
             self.store[word] = made
         return made
@@ -248,12 +247,15 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             for text in rows.column(1):
                 ids, decoded, total, first = hashlib.sha256(), hashlib.sha256(), 0, True
                 words = iter(tok.words(text.as_py() or ""))
-                while got := [get(w) or answer(w) for _, w in zip(range(8192), words, strict=False)]:
-                    ids.update(b"".join([x[0] for x in got]))
-                    total += sum([x[1] for x in got])
-                    said = " ".join([x[2] for x in got if x[1]])
-                    if said:
-                        decoded.update(said.encode() if first else f" {said}".encode())
+                while some := [*itertools.islice(words, 8192)]:
+                    got = [*map(get, some)]
+                    if None in got:
+                        got = [x or answer(w) for x, w in zip(got, some, strict=True)]
+                    raw, counts, said = zip(*got, strict=True)
+                    ids.update(b"".join(raw))
+                    total += sum(counts)
+                    if spoken := " ".join(filter(None, said)):
+                        decoded.update(spoken.encode() if first else f" {spoken}".encode())
                         first = False
                 n.append(total)
                 a.append(ids.hexdigest())
