@@ -3,17 +3,18 @@ r"""Near-duplicate documents by MinHash with tensored banding, links confirmed o
 1. One pass over the texts gives each document the size of its set of word shingles, a digest of the set and 2 x M sub-keys:
    two collections of M, each sub-key from ROWS minhashes.
 2. Documents with equal sets are one class; only its first document goes on.
-3. Tensoring: the table keys are all M x M pairs of a sub-key of the first collection with one of the second, so that
-   2 x M x ROWS minhashes serve M x M tables of 2 x ROWS rows. A table key can only be shared by documents that
-   share both of its sub-keys, so sub-keys that stand alone are dropped before the pairs are formed: nothing is lost
+3. Tensoring: a table key is a pair of sub-keys, one of each collection; SHIFTS pairs each sub-key of the first collection with
+   several of the second, so that 2 x M x ROWS minhashes serve M x len(SHIFTS) tables of 2 x ROWS rows. A table key can only be shared by
+   documents that share both of its sub-keys, so sub-keys that stand alone are dropped before pairs are formed: nothing is lost,
    and unlike documents never expand.
-4. Candidates: each document with the first document of its buckets, the one it meets most often first. Confirmed links
-   are joined to components; what a component already holds needs no further check. Then the other pairs with firsts of buckets,
-   then all pairs inside buckets that still hold several components. Only pairs whose sizes allow a link are looked at.
-   No cap: a bucket's pairs are left out only when they can't change a component.
+4. Candidates: each document with the first document of its buckets that it meets most often. Confirmed links are joined to
+   components, and again with the firsts of other components. What a component holds needs no further check. Buckets that then still hold
+   several components are looked at pair by pair, in tiles of bounded size, without emitting a pair: each document has a
+   bitmap in which every shingle flips one bit, and two bitmaps never differ in more bits than the sets differ in shingles. Only pairs
+   that this bound and their sizes allow are emitted. No cap: a pair is left out only when it can't be a link or can't change a component.
 5. A link is confirmed on the full sets: 100 * intersection >= 85 * union.
 
-A pair at the threshold itself shares no table with probability 2 * (1 - 0.85 ** ROWS) ** M, about 5e-7.
+A pair at the threshold itself shares no table with probability below 1e-6: above all 2 * (1 - 0.85 ** ROWS) ** M.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ from gristmill.llm.shared import written
 WORDS = 5
 PERCENT = 85
 ROWS, M = 3, 16
+SHIFTS = (0, 1, 3, 7)
 SEED = 20_240_229
+#: Documents of a bucket that a task looks at together.
+TILE = 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,15 +117,86 @@ def signatures(docs: DataFrame, words: int = WORDS, rows: int = ROWS, m: int = M
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity bitmap of 4 to 8 bits a shingle, 256 at least: bit k says whether an odd number of shingles has k as its low bits."""
+    width = max(256, 1 << (4 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, shingles) of the documents that `wanted` (node) names, made anew from their texts."""
+    """(node, shingles, bits) of the documents that `wanted` (node) names, made anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], ["node", "shingles"])
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())], ["node", "shingles", "bits"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    return few.mapInArrow(run, "node long, shingles binary")
+    return few.mapInArrow(run, "node long, shingles binary, bits binary")
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) of half the width."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
+def possible(nodes: np.ndarray, n: np.ndarray, part: np.ndarray, chunk: np.ndarray, bits: list[bytes], across: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a tile that bitmaps and sizes allow to be links, of different components; with `across`, of different chunks."""
+    width = np.array([len(b) // 8 for b in bits])
+    off = 100 - percent
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        wide = np.flatnonzero(width == 2 * w)
+        mine = np.frombuffer(b"".join([bits[k] for k in own]), np.uint64).reshape(len(own), w)
+        theirs = np.concatenate([mine, folded(np.frombuffer(b"".join([bits[k] for k in wide]), np.uint64).reshape(len(wide), 2 * w))])
+        at = np.concatenate([own, wide])
+        for k, x in enumerate(own.tolist()):
+            rest = at[k + 1 :]
+            able = (part[rest] != part[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
+            if across:
+                able &= chunk[rest] != chunk[x]
+            if able.any():
+                to = np.flatnonzero(able)
+                differ = np.bitwise_count(theirs[k + 1 + to] ^ mine[k]).sum(1, dtype=np.int64)
+                for y in rest[to[(100 + percent) * differ <= off * (n[x] + n[rest[to]])]].tolist():
+                    yield (int(nodes[x]), int(nodes[y])) if nodes[x] < nodes[y] else (int(nodes[y]), int(nodes[x]))
+
+
+def open_pairs(inside: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """(a, b) of `inside` (key, node, n, part, bits, members): pairs that share a bucket and may link two components."""
+    tiles = F.ceil(F.col("members") / tile).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    dealt = inside.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "n", "part", "chunk", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: set[tuple[int, int]] = set()
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+        def look() -> None:
+            if len(held) > 1:
+                nodes, n, part, chunk = (np.array([r[k] for r in held]) for k in (3, 4, 5, 6))
+                out.update(possible(nodes, n, part, chunk, [r[7] for r in held], held[0][1] != held[0][2], percent))
+
+        for rows in batches:
+            for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    look()
+                    held.clear()
+                held.append(row)
+            if len(out) > 20_000:
+                yield batch()
+                out.clear()
+        look()
+        yield batch()
+
+    keys = ["key", "low", "high"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -133,7 +208,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,34 +243,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     single = nodes.select("node", F.posexplode("keys").alias("place", "key"))
     shared = single.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    first = F.col("place") < m
-    halves = single.join(shared, "key").groupBy("node").agg(F.collect_list(F.when(first, F.col("key"))).alias("one"), F.collect_list(F.when(~first, F.col("key"))).alias("two"))
-    active = written(halves.filter((F.size("one") > 0) & (F.size("two") > 0)).join(nodes.select("node", "n"), "node"), "active")
-    keyed = active.select("node", "n", "two", F.explode("one").alias("k")).select("node", "n", "k", F.explode("two").alias("l")).select("node", "n", F.xxhash64("k", "l").alias("key"))
+    places = single.join(shared, "key").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "key"))).alias("at"))
+    key = lambda t: F.struct(F.try_element_at("at", t["one"]).alias("one"), F.try_element_at("at", t["two"]).alias("two"))
+    tables = F.array(*(F.struct(F.lit(i).alias("one"), F.lit(m + (i + s) % m).alias("two")) for i in range(m) for s in SHIFTS))
+    pairs = F.filter(F.transform(tables, key), lambda k: k["one"].isNotNull() & k["two"].isNotNull())
+    keyed_nodes = places.select("node", F.transform(pairs, lambda k: F.xxhash64(k["one"], k["two"])).alias("tables")).filter(F.size("tables") > 0)
+    active = written(keyed_nodes.join(nodes.select("node", "n"), "node"), "active")
+    keyed = active.select("node", "n", F.explode("tables").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
     firsts = keyed.join(buckets, "key").filter("node <> first").groupBy("node", "first").agg(F.count("*").alias("met"))
     size = active.select("node", "n").distinct()
     met = written(sized(firsts.select(F.col("first").alias("a"), F.col("node").alias("b"), "met"), size, percent), "met")
     sets = written(shingle_sets(docs, active.select("node").distinct(), words), "sets")
 
-    best = met.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")
-    edges = written(confirmed(best, sets, percent), "edges")
+    edges = written(confirmed(most_met(met), sets, percent), "edges")
     label = components(edges)
-
-    tried = best.select("a", "b", F.lit(True).alias("tried"))
-    rest = apart(met.select("a", "b"), label).join(tried, ["a", "b"], "left_anti")
-    more = written(confirmed(rest, sets, percent), "edges")
+    more = written(confirmed(most_met(apart(met, label)), sets, percent), "edges")
     if not more.isEmpty():
         edges = edges.unionByName(more)
         label = components(edges)
 
     part = keyed.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    mixed_up = part.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
-    inside = part.join(mixed_up, "key")
-    x = inside.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = inside.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    open_pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    last = written(confirmed(open_pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "edges")
+    several = part.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("members")).filter("x < y").select("key", "members")
+    inside = part.join(several, "key").join(sets.select("node", "bits"), "node")
+    last = written(confirmed(open_pairs(inside, percent), sets, percent), "edges")
     if not last.isEmpty():
         label = components(edges.unionByName(last))
 
@@ -214,7 +285,12 @@ def sized(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(fits(F.col("na"), F.col("nb"), percent)).select("a", "b", "met")
 
 
+def most_met(met: DataFrame) -> DataFrame:
+    """For each b of `met` (a, b, met) the a that it meets most often, the least of equal ones."""
+    return met.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")
+
+
 def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) that lie in different components."""
+    """Those of `pairs` (a, b, met) that lie in different components."""
     x, y = label.select(F.col("node").alias("a"), F.col("component").alias("pa")), label.select(F.col("node").alias("b"), F.col("component").alias("pb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b", "met")
