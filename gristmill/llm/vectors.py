@@ -28,7 +28,7 @@ from gristmill.llm.shared import written
 
 QUERIES_A_BLOCK, CANDIDATES_A_BLOCK = 1024, 8192
 #: Parts of the lists after which the bounds are looked at, and how many candidates may then be left to resolve.
-DEPTHS, FEW = (0.7, 0.85, 0.93, 0.97), 64
+DEPTHS, FEW = (0.8, 0.88, 0.95), 512
 
 
 def valid(batch: pa.RecordBatch, zero: bool) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -178,42 +178,35 @@ def resolve(q: np.ndarray, c: np.ndarray) -> list[int]:
     return [max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(whole, row, strict=True)))) for row in c.tolist()]
 
 
-def aggregated(q: np.ndarray, order: np.ndarray, lists: np.ndarray, own: np.ndarray, k: int, few: int = FEW) -> tuple[np.ndarray, float]:
-    """Candidates (places in the tile) that can be among the k best, and the part of the lists read to know so.
+class Lists:
+    """A tile's candidates in one sorted list a component; lists are read to the same depth, from the end that a query's sign prefers."""
 
-    `order` and `lists` have a column for each component: places and values, ascending. Scores are bounded from what was read.
+    def __init__(self, c: np.ndarray) -> None:
+        self.c, self.n = c, len(c)
+        order = np.argsort(c, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(c, order, 0)
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(self.n)[:, None], 0)
+
+    def read(self, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For lists read from the top and from the bottom: values read (else 0), what was read (1 or 0), where lists stand, their other ends."""
+        top, bottom = self.place >= self.n - depth, self.place < depth
+        s = self.sorted
+        return [(np.where(got, self.c, 0), got.astype(self.c.dtype), s[at], s[end]) for got, at, end in ((top, self.n - depth, 0), (bottom, depth - 1, -1))]
+
+
+def bounds(q: np.ndarray, lists: Lists, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores (queries x candidates) from what lies before `depth` in the lists.
+
+    What was read of a candidate counts; each component not yet read lies between the list's other end and where it stands.
     """
-    n, width = order.shape
-    up = q > 0
-    dims = np.flatnonzero(q)
-    read, seen = np.zeros(n), np.zeros(n)
-    least = float(np.where(up, lists[0], lists[-1]) @ q)  # no candidate is below the other ends of the lists
-    at = 0
-    for part in (*DEPTHS, 1.0):
-        depth = min(n, max(at, math.ceil(part * n)))
-        if n <= few + k or depth == n:
-            return np.flatnonzero(~own), 1.0
-        ends = np.where(up, lists[n - depth], lists[depth - 1]) * q
-        worst = np.where(up, lists[0], lists[-1]) * q
-        read[:] = 0
-        seen[:] = 0
-        low = np.zeros(n)
-        for d in dims:
-            got = order[n - depth :, d] if up[d] else order[:depth, d]
-            values = lists[n - depth :, d] if up[d] else lists[:depth, d]
-            read[got] += q[d] * values
-            seen[got] += ends[d]
-            low[got] += worst[d]
-        upper = read + ends.sum() - seen
-        lower = read + least - low
-        lower[own] = -np.inf
-        upper[own] = -np.inf
-        bar = np.partition(lower, n - k)[n - k]
-        left = np.flatnonzero((upper >= bar) & ~own)
-        if len(left) <= max(few, 2 * k):
-            return left, part
-        at = depth
-    return np.flatnonzero(~own), 1.0
+    low = high = 0
+    for part, (values, got, stand, end) in zip((np.maximum(q, 0), np.minimum(q, 0)), lists.read(depth), strict=True):
+        known = part @ values.T
+        at, worst = part * stand, part * end
+        high = high + known + at.sum(1, keepdims=True) - at @ got.T
+        low = low + known + worst.sum(1, keepdims=True) - worst @ got.T
+    return low, high
 
 
 def top_in_tile(factor: int) -> Callable:
@@ -221,14 +214,34 @@ def top_in_tile(factor: int) -> Callable:
         if not len(qi) or not len(ci):
             return
         q, c = scaled(qm, factor), scaled(cm, factor)
-        order = np.argsort(c, axis=0, kind="stable")
-        lists = np.take_along_axis(c, order, 0)
-        small = np.abs(c).max() * np.abs(q).max() * c.shape[1] < 2**52
+        most = np.abs(c).max() * np.abs(q).max() * c.shape[1]
+        exact = np.float32 if most < 2**22 else np.float64  # sums of whole numbers that the kind holds exactly
+        left: dict[int, np.ndarray] = {}
+        if most < 2**50:
+            lists = Lists(c.astype(exact))
+            open_rows = np.arange(len(qi))
+            for part in DEPTHS:
+                depth = math.ceil(part * len(ci))
+                if len(ci) <= max(FEW, 2 * k) + 1 or depth >= len(ci) or not len(open_rows):
+                    break
+                still = []
+                for at in range(0, len(open_rows), 64):
+                    rows = open_rows[at : at + 64]
+                    low, high = bounds(q[rows].astype(exact), lists, depth)
+                    own = qi[rows, None] == ci[None, :]
+                    low[own] = high[own] = -np.inf
+                    bar = np.partition(low, len(ci) - k, axis=1)[:, len(ci) - k]
+                    able = high >= bar[:, None]
+                    few = able.sum(1) <= max(FEW, 2 * k)
+                    left |= {int(r): np.flatnonzero(able[x]) for x, r in enumerate(rows) if few[x]}
+                    still += rows[~few].tolist()
+                open_rows = np.array(still, np.int64)
         for r in range(len(qi)):
-            own = ci == qi[r]
-            left = aggregated(q[r], order, lists, own, k)[0] if small else np.flatnonzero(~own)
-            scores = resolve(q[r], c[left])
-            for score, minus in heapq.nlargest(k, zip(scores, (-ci[left]).tolist(), strict=True)):
+            places = left.get(r)
+            if places is None:
+                places = np.flatnonzero(ci != qi[r])  # the lists are read to their ends
+            scores = resolve(q[r], c[places])
+            for score, minus in heapq.nlargest(k, zip(scores, (-ci[places]).tolist(), strict=True)):
                 yield int(qi[r]), -minus, score
 
     return tile
