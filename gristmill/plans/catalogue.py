@@ -2,5 +2,445 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.functions import patterns as P
+from gristmill.functions import text as T
+from gristmill.operators import classify, ocr, pipelines
+from gristmill.operators.policy import redacted, unredacted
+from gristmill.operators.risk import Settings, risk
+from gristmill.operators.scan import exploded, rule_matches, with_matches
+from gristmill.operators.windows import priority, windows, with_chunks
+from gristmill.plans import sql as Q
+from gristmill.plans.ship import ship
+from gristmill.sources import files, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    def keep(f: Callable) -> Callable:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+
+
+def scanned(spark: SparkSession, sf_dir: str, repair: str = "minimal") -> DataFrame:
+    return with_matches(documents(spark, sf_dir), "text", repair)
+
+
+def of(values: tuple[str, ...], by: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+
+
+ROLES = ("engineering", "product", "hr", "finance", "executive", "contractor", "default")
+DOMAINS = ("chatgpt.com", "chat.openai.com", "gemini.google.com", "claude.ai", "unknown", "evil.example")
+
+
+def decided(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "source", F.col("text").alias("prompt_text"), of(ROLES, F.col("doc_id")).alias("user_role"), of(DOMAINS, F.col("doc_id")).alias("destination_domain"))
+    return pipelines.analyze_prompts(rows, settings, "minimal")
+
+
+SCAN = Q.scanned()
+JUDGED = f"WITH {SCAN}, {Q.risked()}, {Q.judged()}"
+ROW = "list_transform(matches, lambda m: m.category)"
+
+
+# --- scan -------------------------------------------------------------------------------------------------------------------------------
+
+
+def _one_rule(rule: P.Rule) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = documents(spark, sf_dir).withColumn("m", rule_matches(T.repair_minimal(F.col("text")), rule)).filter(F.size("m") > 0)
+        return df.select("doc_id", F.size("m").cast("long").alias("n"), F.array_join(F.transform("m", lambda x: x["match"]), "|").alias("found"))
+
+    sql = f"WITH fixed AS (SELECT *, {Q.repair_minimal("coalesce(text, '')")} AS repaired FROM documents), m AS (SELECT doc_id, {Q.rule('repaired', rule)} AS m FROM fixed) SELECT doc_id, CAST(len(m) AS BIGINT) AS n, array_to_string(list_transform(m, lambda x: x.match), '|') AS found FROM m WHERE len(m) > 0"
+    query(sql, f"scan_{rule.category}")(run)
+
+
+for _rule in P.RULES:
+    _one_rule(_rule)
+
+
+@query(f"WITH {SCAN}, m AS (SELECT doc_id, unnest(matches) AS m FROM scan) SELECT m.category AS category, count(*) AS n_matches, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY m.category")
+def regex_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document counts once a category: counted in its own array before anything is shuffled."""
+    per_doc = scanned(spark, sf_dir).select(F.explode(F.transform(F.array_distinct(F.transform("matches", lambda m: m["category"])), lambda c: F.struct(c.alias("category"), F.size(F.filter("matches", lambda m: m["category"] == c)).alias("n")))).alias("x"))
+    return per_doc.groupBy("x.category").agg(F.sum("x.n").alias("n_matches"), F.count("*").alias("n_docs"))
+
+
+@query(f"WITH {SCAN}, m AS (SELECT doc_id, unnest(matches) AS m, generate_subscripts(matches, 1) - 1 AS ord FROM scan) SELECT doc_id, CAST(ord AS BIGINT) AS ord, m.category AS category, m.match AS match, CAST(m.index AS BIGINT) AS index, m.severity AS severity FROM m")
+def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(scanned(spark, sf_dir).drop("text", "source")).select("doc_id", F.col("ord").cast("long").alias("ord"), "category", "match", F.col("index").cast("long").alias("index"), "severity")
+
+
+@query(f"WITH {Q.scanned('full')}, m AS (SELECT unnest(matches) AS m FROM scan) SELECT m.category AS category, count(*) AS n FROM m GROUP BY m.category")
+def category_counts_full_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(scanned(spark, sf_dir, "full").drop("text", "source")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SCAN}, m AS (SELECT unnest(matches) AS m FROM scan) SELECT m.severity AS severity, count(*) AS n, CAST(max({Q.case('m.category', P.BASE, '50')}) AS DOUBLE) AS worst FROM m GROUP BY m.severity")
+def severity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ship(spark).createDataFrame([(k, float(v)) for k, v in P.BASE.items()], "category string, base double")
+    rows = exploded(scanned(spark, sf_dir).drop("text", "source"))
+    return rows.join(F.broadcast(base), "category", "left").groupBy("severity").agg(F.count("*").alias("n"), F.max(F.coalesce("base", F.lit(50.0))).alias("worst"))
+
+
+# --- risk and policy -------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SCAN}, {Q.risked()} SELECT doc_id, CAST(score AS BIGINT) AS score FROM risked")
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scanned(spark, sf_dir).withColumn("r", risk(F.col("matches"), of(ROLES, F.col("doc_id")), of(DOMAINS, F.col("doc_id"))))
+    return df.select("doc_id", F.col("r.score").cast("long").alias("score"))
+
+
+@query(f"WITH {SCAN}, {Q.risked()} SELECT doc_id, CAST(regex_score AS BIGINT) AS regex_score, role_weight AS role_multiplier, destination_weight AS destination_multiplier, critical AS has_critical_hit FROM risked")
+def risk_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scanned(spark, sf_dir).withColumn("r", risk(F.col("matches"), of(ROLES, F.col("doc_id")), of(DOMAINS, F.col("doc_id"))))
+    b = lambda c: F.col(f"r.breakdown.{c}")
+    return df.select("doc_id", b("regex_score").cast("long").alias("regex_score"), b("role_multiplier").alias("role_multiplier"), b("destination_multiplier").alias("destination_multiplier"), b("has_critical_hit").alias("has_critical_hit"))
+
+
+DECISION = f"SELECT doc_id, action, CAST(risk_score AS BIGINT) AS risk_score, len(floor) > 0 AS fixed_floor, CAST(len(matches) AS BIGINT) AS n_matches, array_to_string({Q.unlike(ROW)}, ',') AS categories FROM judged"
+
+
+def decision_columns(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "action", F.col("risk_score").cast("long").alias("risk_score"), F.col("fixed_floor_triggered").alias("fixed_floor"), F.size("matches").cast("long").alias("n_matches"), F.array_join("categories", ",").alias("categories"))
+
+
+@query(f"{JUDGED} {DECISION}")
+def policy_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_columns(decided(spark, sf_dir))
+
+
+@query(f"WITH {SCAN}, {Q.risked()}, {Q.judged(40, 20)} {DECISION}")
+def policy_tightened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_columns(decided(spark, sf_dir, Settings(block_threshold=40, redact_threshold=20)))
+
+
+@query(f"{JUDGED}, r AS (SELECT doc_id, unnest(floor) AS description FROM judged) SELECT description, count(*) AS n FROM r GROUP BY description")
+def policy_floor_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.reason_rollup(decided(spark, sf_dir).filter("fixed_floor_triggered"))
+
+
+@query(f"{JUDGED}, r AS (SELECT unnest(reasons) AS description FROM judged) SELECT description, count(*) AS n FROM r GROUP BY description")
+def reason_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.reason_rollup(decided(spark, sf_dir))
+
+
+@query(f"WITH {SCAN} SELECT doc_id, sha256({Q.redacted()}) AS redacted_sha256, CAST(length({Q.redacted()}) AS BIGINT) AS n_chars, CAST(len(list_filter(matches, lambda m: NOT contains(coalesce(text, ''), m.match))) AS BIGINT) AS unredacted FROM scan WHERE len(matches) > 0")
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scanned(spark, sf_dir).filter(F.size("matches") > 0).withColumn("out", redacted(F.col("text"), F.col("matches")))
+    return df.select("doc_id", F.sha2("out", 256).alias("redacted_sha256"), F.length("out").cast("long").alias("n_chars"), unredacted(F.col("text"), F.col("matches")).cast("long").alias("unredacted"))
+
+
+_PINNED = Q.replaced(Q.redacted(), "{B}[0-9]{4,8}{B}", "[REDACTED_PIN]")
+_PAIRED = Q.replaced(_PINNED, "(pin|password|passcode|secret|key|token)[{S}]*[:=][{S}]*([^{S}]+)", r"\1: [REDACTED_SECRET]", True)
+
+
+@query(f"WITH {SCAN} SELECT doc_id, sha256({_PAIRED}) AS redacted_sha256 FROM scan")
+def redact_text_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.operators.risk import ANSWER
+
+    said = F.struct(F.lit(True).alias("sensitive"), F.lit("financial").alias("category"), F.lit(0.9).alias("confidence"), F.lit(False).alias("skipped"), F.lit(False).alias("timed_out"), F.lit(None).cast("string").alias("reason"), F.lit(5).cast("long").alias("latency_ms")).cast(ANSWER)
+    return scanned(spark, sf_dir).select("doc_id", F.sha2(redacted(F.col("text"), F.col("matches"), said), 256).alias("redacted_sha256"))
+
+
+@query(f"{JUDGED} SELECT doc_id, {Q.explained()} AS explanation FROM judged")
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).select("doc_id", "explanation")
+
+
+# --- text ------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, sha256({Q.normalized("coalesce(text, '')")}) AS sha256, CAST(length({Q.normalized("coalesce(text, '')")}) AS BIGINT) AS n_chars FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = T.normalize_text(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(out, 256).alias("sha256"), F.length(out).cast("long").alias("n_chars"))
+
+
+@query(f"SELECT page_id, sha256({Q.normalized("coalesce(html, '')")}) AS sha256 FROM pages")
+def normalize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.normalize_text(F.col("html")), 256).alias("sha256"))
+
+
+@query(f"SELECT doc_id, sha256({Q.repair_minimal("coalesce(text, '')")}) AS sha256 FROM documents")
+def ocr_repair_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.sha2(T.repair_minimal(F.col("text")), 256).alias("sha256"))
+
+
+@query(f"SELECT doc_id, sha256({Q.repair_full("coalesce(text, '')")}) AS sha256 FROM documents")
+def ocr_repair_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.sha2(T.repair_full(F.col("text")), 256).alias("sha256"))
+
+
+@query(f"SELECT doc_id, CASE WHEN NOT {Q.blank("coalesce(text, '')")} THEN sha256(text) END AS hash FROM documents")
+def text_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.sha256_or_null(F.col("text")).alias("hash"))
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE trim(text) <> '' GROUP BY 1")
+def dedup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_sha256(spark, sf_dir).filter("hash IS NOT NULL").groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("WITH c AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) SELECT d.doc_id, c.hash IS NOT NULL AS cached FROM documents d LEFT JOIN c ON sha256(d.text) = c.hash")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the decisions of those with even ids: the cache of an earlier run."""
+    docs = text_sha256(spark, sf_dir)
+    blank = {c: F.lit(None).cast(kind) for c, kind in store.fields(store.CACHE) if c != "hash"}
+    cache = docs.filter((F.col("doc_id") % 2 == 0) & F.col("hash").isNotNull()).select("hash", *(v.alias(c) for c, v in blank.items())).withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
+    hits, misses = store.looked_up(docs, cache)
+    return hits.select("doc_id", F.lit(True).alias("cached")).unionByName(misses.select("doc_id", F.lit(False).alias("cached")))
+
+
+@query(f"SELECT doc_id, round({Q.entropy("coalesce(text, '')")}, 6) AS entropy FROM documents")
+def shannon_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.round(T.shannon_entropy(F.col("text")), 6).alias("entropy"))
+
+
+@query(f"SELECT doc_id, {Q.keywords("coalesce(text, '')")} AS keywords, {Q.noisy("coalesce(text, '')")} AS noisy, NOT {Q.blank("coalesce(text, '')")} AND ({Q.keywords("coalesce(text, '')")} OR {Q.noisy("coalesce(text, '')")}) AS triaged FROM documents")
+def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", T.has_keywords(t).alias("keywords"), T.has_noisy_tokens(t).alias("noisy"), T.is_triaged(t).alias("triaged"))
+
+
+# --- windows, chunks, classifier ------------------------------------------------------------------------------------------------------
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", windows(F.col("text")).alias("chunks"))
+
+
+@query(f"WITH {Q.windowed()} SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, window_type, CAST(start_char AS BIGINT) AS start_char, CAST(end_char AS BIGINT) AS end_char, sha256(text) AS sha256 FROM windowed")
+def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windowed(spark, sf_dir).select("doc_id", F.explode("chunks").alias("w"))
+    return w.select("doc_id", F.col("w.chunk_index").cast("long").alias("chunk_index"), "w.window_type", F.col("w.start_char").cast("long").alias("start_char"), F.col("w.end_char").cast("long").alias("end_char"), F.sha2("w.text", 256).alias("sha256"))
+
+
+RANKED = f"WITH {Q.windowed()}, scored AS (SELECT doc_id, chunk_index, text, {Q.suspicion('text')} AS score FROM windowed), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_index) AS rn FROM scored WHERE score > 0)"
+
+
+@query(f"{RANKED} SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(score AS BIGINT) AS score, CAST(rn AS BIGINT) AS place FROM ranked WHERE rn <= 2")
+def priority_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = windowed(spark, sf_dir).select("doc_id", F.posexplode(priority(F.col("chunks"))).alias("k", "c"))
+    return best.select("doc_id", F.col("c.chunk_index").cast("long").alias("chunk_index"), F.col("c.suspicion_score").cast("long").alias("score"), (F.col("k") + 1).cast("long").alias("place"))
+
+
+@query(f"{RANKED} SELECT w.doc_id, CAST(w.chunk_index AS BIGINT) AS chunk_index, 'HEURISTIC_TRIAGE_CLEAN' AS reason FROM windowed w WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.rn <= 2 AND r.doc_id = w.doc_id AND r.chunk_index = w.chunk_index)")
+def clean_chunks_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windowed(spark, sf_dir).select("doc_id", F.explode(classify.clean_chunks(F.col("chunks"), priority(F.col("chunks")))).alias("c"))
+    return rows.select("doc_id", F.col("c.chunk_index").cast("long").alias("chunk_index"), "c.reason")
+
+
+@query(
+    f"{RANKED}, told AS (SELECT doc_id, chunk_index, rn, (doc_id + chunk_index) % 3 = 0 AS sensitive, (doc_id + chunk_index) % 7 = 0 AS late FROM ranked WHERE rn <= 2), "
+    "stopped AS (SELECT *, coalesce(max(CAST(sensitive OR late AS INT)) OVER (PARTITION BY doc_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM told) "
+    "SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, sensitive AND NOT late AS sensitive, late AS timed_out FROM stopped WHERE over = 0"
+)
+def early_exit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded replies: chunks with (doc + chunk) % 3 = 0 are sensitive, those with % 7 = 0 come late."""
+
+    def reply(doc: Column, c: Column) -> Column:
+        n = doc + c["chunk_index"]
+        yes, no = F.lit('{"sensitive": true, "category": "financial", "confidence": 0.9}'), F.lit('```json\n{"sensitive": false, "category": null, "confidence": 0.1}\n```')
+        return F.struct(c["chunk_index"].alias("chunk_index"), F.when(n % 3 == 0, yes).otherwise(no).alias("reply"), F.when(n % 7 == 0, F.lit(7001)).otherwise(F.lit(40)).cast("long").alias("delay_ms"))
+
+    df = windowed(spark, sf_dir).withColumn("replies", F.transform("chunks", lambda c: reply(F.col("doc_id"), c)))
+    rows = df.select("doc_id", F.explode(classify.judged(priority(F.col("chunks")), F.col("replies"))).alias("c"))
+    return rows.select("doc_id", F.col("c.chunk_index").cast("long").alias("chunk_index"), "c.sensitive", "c.timed_out")
+
+
+REPLIES = (
+    (1, '{"sensitive": true, "category": "medical", "confidence": 0.7}', True, "medical", 0.7),
+    (2, '```json\n{"sensitive": false, "category": null, "confidence": 0.0}\n```', False, None, 0.0),
+    (3, 'Sure: {"sensitive": true} as asked', True, "confidential_context", 0.85),
+    (4, "The text is not sensitive, though confidential is a word in it", False, None, 0.0),
+    (5, "This contains an API key.", True, "confidential_context", 0.85),
+    (6, "No idea.", False, None, 0.0),
+    (7, "{broken", False, None, 0.0),
+)
+
+
+def _values(rows) -> str:
+    show = lambda v: "CAST(NULL AS VARCHAR)" if v is None else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else f"CAST({v} AS BIGINT)" if isinstance(v, int) else Q.lit(v)
+    return "VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+@query(f"SELECT id, sensitive, category, confidence FROM ({_values([(r[0], *r[2:]) for r in REPLIES])}) AS t(id, sensitive, category, confidence)")
+def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ship(spark).createDataFrame([r[:2] for r in REPLIES], "id long, reply string")
+    return rows.withColumn("p", classify.parsed(F.col("reply"))).select("id", "p.*")
+
+
+@query()
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential cuts; held against a plain version in the tests."""
+    df = with_chunks(documents(spark, sf_dir).select("doc_id", "text"), most=3000, overlap=200)
+    return df.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", F.col("c.chunk_index").cast("long").alias("chunk_index"), F.col("c.start_char").cast("long").alias("start_char"), F.col("c.end_char").cast("long").alias("end_char"), F.sha2("c.text", 256).alias("sha256"))
+
+
+# --- batches, audit -------------------------------------------------------------------------------------------------------------------
+
+
+def file_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of a batch, one batch a source."""
+    df = decided(spark, sf_dir)
+    return df.select(F.col("source").alias("batch_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("file_name"), "action", "risk_score", "explanation", "reasons")
+
+
+@query(f"{JUDGED} SELECT source AS batch_id, CASE max(CASE action WHEN 'block' THEN 2 WHEN 'redact' THEN 1 ELSE 0 END) WHEN 2 THEN 'block' WHEN 1 THEN 'redact' ELSE 'allow' END AS action, CAST(max(risk_score) AS BIGINT) AS risk_score, count(*) AS n_files FROM judged GROUP BY source")
+def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.rollup(file_decisions(spark, sf_dir)).select("batch_id", "action", F.col("risk_score").cast("long").alias("risk_score"), "n_files")
+
+
+@query(f"{JUDGED}, told AS (SELECT *, {Q.explained()} AS said FROM judged) SELECT source AS batch_id, CASE WHEN bool_or(action = 'block') THEN min_by(said, doc_id) FILTER (WHERE action = 'block') ELSE string_agg('doc-' || doc_id || ': ' || said, ' | ' ORDER BY doc_id) END AS explanation FROM told GROUP BY source")
+def batch_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.rollup(file_decisions(spark, sf_dir)).select("batch_id", "explanation")
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions as the audit table holds them, a minute apart."""
+    df = decided(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60)
+    return store.audit_rows(df.select(F.col("doc_id").alias("id"), at.alias("timestamp"), "prompt_text", "destination_domain", "user_role", "risk_score", F.col("action").alias("decision"), "explanation", "reasons", "categories", "fixed_floor_triggered"))
+
+
+@query(f"{JUDGED} SELECT doc_id AS id, action AS decision, CAST(risk_score AS BIGINT) AS risk_score, 'prompt_submission' AS source_type FROM judged ORDER BY doc_id DESC LIMIT 100")
+def audit_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest(audited(spark, sf_dir)).select("id", "decision", F.col("risk_score").cast("long").alias("risk_score"), "source_type")
+
+
+@query(f"{JUDGED}, newest AS (SELECT *, {Q.DOMAIN_OF} AS domain FROM judged ORDER BY doc_id DESC LIMIT 100) SELECT doc_id AS id, action AS decision FROM newest WHERE contains(lower(coalesce(text, '')), 'block') OR contains(action, 'block') OR contains(domain, 'block') OR len(list_filter(matches, lambda m: contains(m.category, 'block'))) > 0")
+def audit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.search(audited(spark, sf_dir), "Block").select("id", "decision")
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------------------------
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions held against labels; latencies follow from ids, so that the median has something to look at."""
+    truth = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("ground_truth_sensitive"))
+    df = decided(spark, sf_dir).select("doc_id", F.col("action").alias("predicted_action")).join(truth, "doc_id")
+    return df.withColumn("total_latency_ms", (F.col("doc_id") * 37 % 211).cast("int"))
+
+
+TRUTH = f"{JUDGED}, r AS (SELECT j.doc_id, j.action IN ('block', 'redact') AS flagged, l.toxic = 1 AS truth, j.doc_id * 37 % 211 AS ms FROM judged j JOIN labels l USING (doc_id)), c AS (SELECT count(*) AS total, count_if(flagged AND truth) AS tp, count_if(flagged AND NOT truth) AS fp, count_if(NOT flagged AND NOT truth) AS tn, count_if(NOT flagged AND truth) AS fn FROM r)"
+
+
+@query(f"{TRUTH} SELECT CAST(total AS BIGINT) AS total, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn FROM c")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.operators.evaluate import confusion
+
+    return confusion(results(spark, sf_dir))
+
+
+_PR = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) * 100 ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) * 100 ELSE 0.0 END AS q, CASE WHEN total > 0 THEN (tp + tn) / total * 100 ELSE 0.0 END AS a"
+
+
+@query(f"{TRUTH}, s AS (SELECT {_PR} FROM c) SELECT printf('%.2f%%', p) AS precision, printf('%.2f%%', q) AS recall, printf('%.2f%%', CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END) AS f1, printf('%.2f%%', a) AS accuracy FROM s")
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.operators.evaluate import metrics as measured
+
+    return measured(results(spark, sf_dir)).select("precision", "recall", "f1", "accuracy")
+
+
+@query(f"{TRUTH}, m AS (SELECT ms FROM r WHERE ms > 0) SELECT round(avg(ms), 6) AS avg_latency_ms, CAST(list_sort(list(ms))[count(*) // 2 + 1] AS BIGINT) AS median_latency_ms FROM m")
+def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.operators.evaluate import latency
+
+    return latency(results(spark, sf_dir)).select(F.round("avg_latency_ms", 6).alias("avg_latency_ms"), F.col("median_latency_ms").cast("long").alias("median_latency_ms"))
+
+
+# --- submissions, files, images --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), "
+    "walk AS (SELECT event_id, user_id, k, event_type AS last_type, ms AS last_ms, true AS kept FROM o WHERE k = 1 "
+    "UNION ALL SELECT o.event_id, o.user_id, o.k, CASE WHEN o.event_type = w.last_type AND o.ms - w.last_ms < 3600000 THEN w.last_type ELSE o.event_type END, CASE WHEN o.event_type = w.last_type AND o.ms - w.last_ms < 3600000 THEN w.last_ms ELSE o.ms END, NOT (o.event_type = w.last_type AND o.ms - w.last_ms < 3600000) FROM walk w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1) "
+    "SELECT event_id, user_id FROM walk WHERE kept"
+)
+def submission_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as submissions; an hour instead of 1500 ms, as events lie far apart."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("prompt_text"))
+    return store.accepted(df, within_ms=3_600_000).select("event_id", "user_id")
+
+
+FILES = (
+    (1, "Downloads", "", 0, "directory", False), (2, "scan.png", "image/png", 4, "unscannable", True), (3, "logo.svg", "image/svg+xml", 4, "unscannable", True), (4, ".env", "application/octet-stream", 9, "text", False),
+    (5, "notes", "", 9, "text", False), (6, "book.ipynb", "", 9, "notebook", False), (7, "a.pdf", "application/pdf", 9, "text", False), (8, "Makefile", "", 9, "text", False), (9, "clip", "video/mp4", 9, "unscannable", True),
+)
+
+
+@query(f"SELECT id, route, closed FROM ({_values([(f[0], f[4], f[5]) for f in FILES])}) AS t(id, route, closed)")
+def file_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ship(spark).createDataFrame([(*f[:4], b"plain text") for f in FILES], "id long, file_name string, mime string, file_size long, content binary")
+    return files.route(rows).select("id", "route", (F.col("route") == "unscannable").alias("closed"))
+
+
+@query(f"SELECT page_id, 'html' AS file_type, sha256({Q.normalized("coalesce(html, '')")}) AS text_sha256, false AS unscannable FROM pages")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as HTML files, through the whole extraction."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page-"), F.col("page_id"), F.lit(".html")).alias("file_name"), F.lit("text/html").alias("mime"), F.length("html").cast("long").alias("file_size"), F.col("html").cast("binary").alias("content"))
+    return files.extract_files(rows).select("page_id", "file_type", F.sha2("text", 256).alias("text_sha256"), "unscannable")
+
+
+NOTEBOOK = '{"cells": [{"cell_type": "markdown", "source": ["# A\\n", "b"]}, {"cell_type": "code", "source": "x = 1", "outputs": [{"text": ["1\\n"]}, {"data": {"text/plain": "2"}}]}, {"source": "  "}]}'
+NOTEBOOK_TEXT = "[NOTEBOOK_MARKDOWN_CELL]\n# A\nb\n\n[NOTEBOOK_CODE_CELL]\nx = 1\n\n[CELL_OUTPUT]\n1\n\n\n[CELL_OUTPUT]\n2"
+
+
+@query(f"SELECT id, text FROM ({_values([(1, NOTEBOOK_TEXT), (2, 'no json')])}) AS t(id, text)")
+def notebook_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ship(spark).createDataFrame([(1, NOTEBOOK), (2, "no json")], "id long, raw string")
+    return rows.select("id", files.notebook_text(F.col("raw")).alias("text"))
+
+
+BOXES = ((0, 100.0, 40.0, 190.0, 52.0), (1, 300.0, 40.0, 390.0, 52.0))
+
+
+@query(f"SELECT k, CAST(x0 - 4 AS BIGINT) AS x, CAST(y0 - 2 AS BIGINT) AS y, CAST(x1 - x0 + 8 AS BIGINT) AS w, CAST(y1 - y0 + 4 AS BIGINT) AS h FROM ({_values(BOXES)}) AS t(k, x0, y0, x1, y1)")
+def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = ("ann@site.org", "bob@site.org")
+    words = [(t, tuple(b[1:]), 90.0) for t, b in zip(said, BOXES, strict=True)] + [("and", (200.0, 40.0, 220.0, 52.0), 90.0)]
+    df = ship(spark).createDataFrame([(("ann@site.org and bob@site.org", 90.0, words, []),)], f"ocr {ocr.OCR}")
+    df = with_matches(df.withColumn("text", F.col("ocr.text")))
+    rects = ocr.rectangles(ocr.redaction_boxes(F.col("matches"), F.col("ocr.words"), F.col("ocr.lines")), F.lit(800), F.lit(600))
+    rows = df.select(F.posexplode(rects).alias("k", "r"))
+    return rows.select(F.col("k").cast("long").alias("k"), *(F.col(f"r.{c}").cast("long").alias(c) for c in "xywh"))
+
+
+@query(f"{JUDGED} SELECT source, action, count(*) AS n, CAST(max(risk_score) AS BIGINT) AS worst FROM judged GROUP BY source, action")
+def decisions_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(spark, sf_dir).groupBy("source", "action").agg(F.count("*").alias("n"), F.max("risk_score").cast("long").alias("worst"))
+
+
+def _conversation_sql() -> str:
+    return f"WITH {Q.scanned('minimal', 'conversations', 'conv_id')}, m AS (SELECT conv_id, len(matches) AS n FROM scan) SELECT conv_id, count(*) AS n_turns, CAST(sum(n) AS BIGINT) AS n_matches FROM m GROUP BY conv_id"
+
+
+@query(_conversation_sql())
+def conversation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = with_matches(table(spark, sf_dir, "conversations").select("conv_id", "text"), "text", "minimal")
+    return df.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.size("matches")).alias("n_matches"))
+
+
