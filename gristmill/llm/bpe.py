@@ -12,12 +12,14 @@ Decoding is a state machine over tokens that emits text as bytes complete charac
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import itertools
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 #: Words whose answers a worker keeps, twice, and how long they may be.
-STORE, STORED = 250_000, 64
+STORE, STORED = 350_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -108,6 +110,11 @@ class Transducer:
 
     def encode(self, word: Iterable[int], block: int = BLOCK) -> Iterator[int]:
         """Ids of one word's symbols. A block is read, tokenised with what was kept, and emitted but for the lookahead."""
+        if isinstance(word, list) and len(word) <= block:
+            if word:
+                word[-1] = self.closed.get(word[-1], word[-1])
+            yield from self.tokens(word)
+            return
         kept: list[int] = []
         source = iter(word)
         while True:
@@ -133,13 +140,19 @@ class Decoder:
     Without `text`, it gives what the tokenizers library gives for a file that names no decoder: the tokens, a space between.
     """
 
-    def __init__(self, tokens: dict[int, str], specials: Iterable[int], end: str, text: bool = False) -> None:
-        import codecs
-
-        self.of, self.special, self.end, self.text = tokens, set(specials), end, text
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, tokens: dict[int, str], specials: frozenset[int], end: str, text: bool = False) -> None:
+        self.of, self.special, self.end, self.text = tokens, specials, end, text
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace") if text else None
         self.started = False
 
+    def feed_all(self, ids: Iterable[int]) -> str:
+        if self.text:
+            return "".join(map(self.feed, ids))
+        said = " ".join([t for t in map(self.of.get, ids) if t is not None])
+        out = f" {said}" if said and self.started else said
+        self.started = self.started or bool(said)
+        return out
+
     def feed(self, token: int) -> str:
         t = self.of.get(token)
         if t is None:
@@ -155,7 +168,7 @@ class Decoder:
         return f"{out}{self.machine.decode(b'', True)} " if closes else out
 
     def finish(self) -> str:
-        return self.machine.decode(b"", True)
+        return self.machine.decode(b"", True) if self.machine else ""
 
 
 #: White space as the tokenizer's patterns mean it.
@@ -173,6 +186,7 @@ class Tokenizer:
         self.end = model.get("end_of_word_suffix") or ""
         self.transducer = Transducer(model["vocab"], merges, self.end)
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.special_ids = frozenset(self.special.values())
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(split["pattern"]["Regex"], regex.V0)
@@ -180,41 +194,65 @@ class Tokenizer:
         self.marks = tuple(self.special)
         self.spaces, self.odd = regex.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
         self.symbol = [model["vocab"][c] for c in byte_alphabet()]
-        self.store: dict[str, tuple[bytes, int, str]] = {}
-        self.older: dict[str, tuple[bytes, int, str]] = {}
+        self.store: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words(self, text: str) -> Iterable[str]:
         """Runs without white space. str.split also cuts at four control characters that are no white space here."""
         return text.split() if not self.odd.search(text) else (w for w in self.spaces.split(text) if w)
 
-    def word_ids(self, word: str) -> Iterator[int]:
-        for k, part in enumerate(self.cut.split(word) if any(m in word for m in self.marks) else (word,)):
+    def pieces(self, word: str) -> list[tuple[bool, str]]:
+        """(special, piece) of a word: special tokens, and pieces of what is between them, normalised."""
+        out = []
+        for k, part in enumerate(self.cut.split(word) if "<" in word and any(m in word for m in self.marks) else (word,)):
             if k % 2:
-                yield self.special[part]
+                out.append((True, part))
             elif part:
                 part = part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part)))
-                for piece in self.piece.findall(part):
-                    yield from self.transducer.encode(map(self.symbol.__getitem__, piece.encode("utf-8", "surrogatepass")))
+                out += [(False, p) for p in self.piece.findall(part)]
+        return out
+
+    def piece_answer(self, piece: str) -> bytes:
+        """Of a normalised piece, which its own kind of word may have made known already."""
+        if (made := self.known(piece)) is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            made = array("I", self.transducer.encode([self.symbol[b] for b in raw])).tobytes()
+            self.keep(piece, made)
+        return made
 
-    def decoder(self, text: bool = False) -> Decoder:
-        return Decoder(self.tokens, self.special.values(), self.end, text)
-
-    def answer(self, word: str) -> tuple[bytes, int, str]:
-        """A word's ids as little-endian unsigned 32-bit integers, their number, and the text that they decode to."""
-        if (made := self.store.get(word) or self.older.get(word)) is None:
-            ids = [*self.word_ids(word)]
-            decoder = self.decoder()
-            made = np.array(ids, "<u4").tobytes(), len(ids), "".join(map(decoder.feed, ids)) + decoder.finish()
+    def known(self, word: str) -> bytes | None:
+        made = self.store.get(word)
+        return self.older.get(word) if made is None else made
+
+    def keep(self, word: str, made: bytes) -> None:
         if len(word) <= STORED:
             if len(self.store) >= STORE:  # words not met since the last time go
-                self.older = self.store.copy()
-                self.store.clear()
+                self.older, self.store = self.store, {}
             self.store[word] = made
+
+    def decoder(self, text: bool = False) -> Decoder:
+        return Decoder(self.tokens, self.special_ids, self.end, text)
+
+    def answer(self, word: str) -> bytes:
+        """A word's ids as little-endian unsigned 32-bit integers."""
+        if (made := self.known(word)) is None:
+            # words differ in case and in what surrounds them; their pieces are often known
+            made = b"".join([array("I", [self.special[p]]).tobytes() if special else self.piece_answer(p) for special, p in self.pieces(word)])
+        self.keep(word, made)
         return made
 
+    def blocks(self, text: str, words: int = 8192) -> Iterator[bytes]:
+        """The text's ids, some thousand words at a time."""
+        source = iter(self.words(text))
+        while some := [*itertools.islice(source, words)]:
+            got = [*map(self.store.get, some)]
+            if None in got:
+                got = [self.answer(w) if x is None else x for x, w in zip(got, some, strict=True)]
+            yield b"".join(got)
+
     def encode(self, text: str) -> Iterator[int]:
-        for w in self.words(text):
-            yield from np.frombuffer(self.answer(w)[0], "<u4").tolist()
+        for block in self.blocks(text):
+            yield from np.frombuffer(block, "<u4").tolist()
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -241,22 +279,14 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path or public_path())
-        get, answer = tok.store.get, tok.answer
         for rows in batches:
             n, a, b = [], [], []
             for text in rows.column(1):
-                ids, decoded, total, first = hashlib.sha256(), hashlib.sha256(), 0, True
-                words = iter(tok.words(text.as_py() or ""))
-                while some := [*itertools.islice(words, 8192)]:
-                    got = [*map(get, some)]
-                    if None in got:
-                        got = [x or answer(w) for x, w in zip(got, some, strict=True)]
-                    raw, counts, said = zip(*got, strict=True)
-                    ids.update(b"".join(raw))
-                    total += sum(counts)
-                    if spoken := " ".join(filter(None, said)):
-                        decoded.update(spoken.encode() if first else f" {spoken}".encode())
-                        first = False
+                ids, decoded, total, decoder = hashlib.sha256(), hashlib.sha256(), 0, tok.decoder()
+                for block in tok.blocks(text.as_py() or ""):
+                    ids.update(block)
+                    total += len(block) // 4
+                    decoded.update(decoder.feed_all(array("I", block)).encode())
                 n.append(total)
                 a.append(ids.hexdigest())
                 b.append(decoded.hexdigest())
