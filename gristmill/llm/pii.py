@@ -34,8 +34,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+IBAN, NATIONAL = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+_IBAN, _NATIONAL = re.compile(IBAN, re.A), re.compile(NATIONAL, re.A)
 _LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -85,7 +85,7 @@ def base_spans(text: str) -> Iterator[tuple[int, int, int]]:
 
 def score(text: str, s: int, kind: int, e: int) -> float:
     near = text[max(0, s - CONTEXT_CHARS) : s].lower() + " " + text[e : e + CONTEXT_CHARS].lower()
-    return min(1.0, SCORE[KINDS[kind]] + CONTEXT_ADDS * any(re.search(rf"\b{w}", near) for w in CONTEXT[KINDS[kind]]))
+    return min(1.0, SCORE[KINDS[kind]] + CONTEXT_ADDS * any(re.search(rf"\b{w}", near, re.A) for w in CONTEXT[KINDS[kind]]))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
