@@ -44,14 +44,12 @@ class _Words(dict):
     """64-bit hashes of words; emptied when it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = made = xxhash.xxh3_64_intdigest(word)
         return made
 
 
-_hash_of = _Words()
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -59,12 +57,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingle_set(text: str | None, words: int = WORDS, known: _Words | None = None) -> np.ndarray:
     """The sorted 64-bit hashes of the text's distinct shingles. bytes.lower and bytes.split know ASCII alone, as is asked for."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_hash_of.__getitem__, found), np.uint64, len(found))
+    hashes = np.fromiter(map((_Words() if known is None else known).__getitem__, found), np.uint64, len(found))
     size = min(words, len(found))
     total = np.full(len(found) - size + 1, size, np.uint64)
     for k in range(size):
@@ -105,10 +103,11 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 def signatures(docs: DataFrame, words: int = WORDS, rows: int = ROWS, m: int = M) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in batches:
             n, digest, keys = [], [], []
             for text in batch.column(1):
-                s = shingle_set(text.as_py(), words)
+                s = shingle_set(text.as_py(), words, known)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(sub_keys(s, rows, m) if len(s) else None)
@@ -128,8 +127,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
     """(node, shingles, bits) of the documents that `wanted` (node) names, made anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py(), words, known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())], ["node", "shingles", "bits"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
