@@ -171,6 +171,17 @@ class Decoder:
         return self.machine.decode(b"", True) if self.machine else ""
 
 
+#: Code points (hexadecimal) that are letters or numbers only in later versions of Unicode than the tokenizer has.
+LATER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb "
+    "11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 "
+    "191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 "
+    "1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+#: Capitals of later versions than Python has, and their small letters.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
 #: White space as the tokenizer's patterns mean it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -189,7 +200,11 @@ class Tokenizer:
         self.special_ids = frozenset(self.special.values())
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.piece = regex.compile(split["pattern"]["Regex"], regex.V0)
+        pattern, later = split["pattern"]["Regex"], "".join(regex.sub("([0-9a-f]+)", lambda m: chr(int(m[1], 16)), LATER).split())
+        self.piece, self.later = regex.compile(pattern, regex.V0), regex.compile(f"[{later}]")
+        for plain, kept in ((r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{later}])+"), (r"[\p{L}]+", rf"(?:(?![{later}])\p{{L}})+"), (r"[\p{N}]", rf"(?![{later}])\p{{N}}")):
+            pattern = pattern.replace(plain, kept)
+        self.piece_of_later = regex.compile(pattern, regex.V0)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.marks = tuple(self.special)
         self.spaces, self.odd = regex.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
@@ -208,8 +223,13 @@ class Tokenizer:
             if k % 2:
                 out.append((True, part))
             elif part:
-                part = part.lower() if part.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", part)))
-                out += [(False, p) for p in self.piece.findall(part)]
+                piece = self.piece
+                if part.isascii():
+                    part = part.lower()
+                else:
+                    part = "".join(map(str.lower, unicodedata.normalize("NFC", part))).translate(LOWER)
+                    piece = self.piece_of_later if self.later.search(part) else piece
+                out += [(False, p) for p in piece.findall(part)]
         return out
 
     def piece_answer(self, piece: str) -> bytes:
