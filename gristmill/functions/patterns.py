@@ -1,7 +1,7 @@
 r"""The rule catalogue: patterns, labels, severities, scores, word lists.
 
-Patterns are written once with three placeholders: {B} word boundary between ASCII word characters and others, {S} white
-space, {NS} anything else. `java` and `re2` put in what the two regular expression engines need. White space has the
+Patterns are written once with placeholders: {B} word boundary between ASCII word characters and others, {L} and {R} the same
+before and after what always is a word character, {S} white space. `java` and `re2` put in what the two regular expression engines need. White space has the
 meaning it has in ECMAScript in both.
 """
 
@@ -32,20 +32,20 @@ class Rule:
 
 #: Fixed values, in the order in which rules apply.
 RULES = (
-    Rule("credit_card", "Credit Card Number", r"{B}(?:4[0-9]{3}[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}[-{S}]?[0-9]{1,4}|5[1-5][0-9]{2}[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}|3[47][0-9]{2}[-{S}]?[0-9]{6}[-{S}]?[0-9]{5}|6(?:011|5[0-9]{2})[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}|[0-9]{13,19}){B}", "critical", 100, hint="[0-9]{4}"),
+    Rule("credit_card", "Credit Card Number", r"{L}(?:4[0-9]{3}[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}[-{S}]?[0-9]{1,4}|5[1-5][0-9]{2}[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}|3[47][0-9]{2}[-{S}]?[0-9]{6}[-{S}]?[0-9]{5}|6(?:011|5[0-9]{2})[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}[-{S}]?[0-9]{4}|[0-9]{13,19}){R}", "critical", 100, hint="[0-9]{4}"),
     Rule("private_key", "Cryptographic Private Key (PEM/SSH/RSA)", r"(?:-----BEGIN (?:[A-Z0-9_-]+ )?PRIVATE KEY-----(?s:.)*?-----END (?:[A-Z0-9_-]+ )?PRIVATE KEY-----|-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----)", "critical", 100, True, hint="-----"),
-    Rule("jwt_token", "JSON Web Token (JWT) / Bearer Credential", r"{B}eyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}{B}", "critical", 95, hint="eyJ"),
-    Rule("cvv_code", "Card Security Code (CVV/CVC)", r"""{B}(?:cvv[2]?|cvc[2]?|cid|security[{S}]*code)[{S}]*[:=is{S}]+['"]?{B}([0-9]{3,4}){B}['"]?""", "critical", 95, True, hint="c[vi][vcd]|security"),
-    Rule("email", "Email Address", r"{B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}{B}", "medium", 40, hint="@"),
-    Rule("pan", "Permanent Account Number (Indian PAN Card)", r"{B}[A-Z]{5}[0-9]{4}[A-Z]{B}", "medium", 65, hint="[A-Z]{5}[0-9]{4}[A-Z]"),
-    Rule("iban", "International Bank Account Number (IBAN)", r"{B}[A-Z]{2}[0-9]{2}(?:[0-9A-Za-z]{11,30}|(?:[{S}][0-9A-Za-z]{4}){2,7}(?:[{S}][0-9A-Za-z]{1,4})?){B}", "medium", 65, hint="[A-Z]{2}[0-9]{2}"),
-    Rule("api_key", "API Secret / Key", r"""{B}(?:sk-(?:proj-|ant-)?[a-zA-Z0-9_-]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{20,}|gh[pousr]_[A-Za-z0-9_]{36,}|xox[baprs]-[a-zA-Z0-9]{10,}|ya29\.[a-zA-Z0-9_-]{50,}|AQ[a-zA-Z0-9_-]{40,}){B}|(?:[A-Za-z0-9_]*(?:SECRET|KEY|PASSWORD|TOKEN|AUTH|PASS|CREDENTIAL|PRIVATE|DATABASE_URL|DB_URL)[A-Za-z0-9_]*)[{S}]*[:=][{S}]*['"]?[a-zA-Z0-9_.:/@-]{8,}['"]?""", "critical", 100, True, hint=r"[:=]|sk-|akia|aiza|gh[pousr]_|xox|ya29|aq[a-z0-9_-]{40}"),
-    Rule("database_url", "Database Connection String", r"""{B}(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|mssql|oracle|sqlite)://[^{S}'"]{8,}{B}""", "critical", 100, True, hint="://"),
-    Rule("national_id", "National Identity / Social Security Number", r"{B}(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}[{S}]?[0-9]{4}[{S}]?[0-9]{4}){B}", "high", 85, hint="[0-9]{4}"),
-    Rule("phone", "Phone Number", r"{B}(?:\+?[0-9]{1,3}[-.{S}]?)?\(?[0-9]{3}\)?[-.{S}]?[0-9]{3}[-.{S}]?[0-9]{4}{B}", "low", 30, hint="[0-9]{4}"),
-    Rule("pii", "Author / Researcher Identity (PII)", r"{B}(?:authors?|researchers?|investigators?|corresponding[{S}]+author|affiliations?|department[{S}]+of)[{S}]*[:=][{S}]*[^\n\r]{3,120}", "medium", 70, True, hint="[:=]"),
-    Rule("pin_passcode", "ATM PIN / Password / Secret Passcode", r"""{B}(?:atm[{S}]*pin|my[{S}]*pin|pin[{S}]*code|passcode)[{S}]*[:=is{S}]+{B}([0-9]{4,8}){B}|{B}(?:pin|passcode|password)[{S}]*[:=][{S}]*['"]?([a-zA-Z0-9!@#$%^&*_-]{4,32})['"]?{B}""", "critical", 85, True, hint="pin|pass"),
-    Rule("potential_credential", "Unverified Credential Pattern", r"{B}(?:(?:this[{S}]+is[{S}]+)?(?:my[{S}]+)?(?:api|secret|access|auth)[{S}_-]*(?:key|token|code)|password|passcode)[{S}]*[:=is{S}]+([a-zA-Z0-9_-]{8,}){B}", "low", 30, True, hint="key|token|code|pass"),
+    Rule("jwt_token", "JSON Web Token (JWT) / Bearer Credential", r"{L}eyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}{B}", "critical", 95, hint="eyJ"),
+    Rule("cvv_code", "Card Security Code (CVV/CVC)", r"""{L}(?:cvv[2]?|cvc[2]?|cid|security[{S}]*code)[{S}]*[:=is{S}]+['"]?{L}([0-9]{3,4}){R}['"]?""", "critical", 95, True, hint="c[vi][vcd]|security"),
+    Rule("email", "Email Address", r"{B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}{R}", "medium", 40, hint="@"),
+    Rule("pan", "Permanent Account Number (Indian PAN Card)", r"{L}[A-Z]{5}[0-9]{4}[A-Z]{R}", "medium", 65, hint="[A-Z]{5}[0-9]{4}[A-Z]"),
+    Rule("iban", "International Bank Account Number (IBAN)", r"{L}[A-Z]{2}[0-9]{2}(?:[0-9A-Za-z]{11,30}|(?:[{S}][0-9A-Za-z]{4}){2,7}(?:[{S}][0-9A-Za-z]{1,4})?){R}", "medium", 65, hint="[A-Z]{2}[0-9]{2}"),
+    Rule("api_key", "API Secret / Key", r"""{L}(?:sk-(?:proj-|ant-)?[a-zA-Z0-9_-]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{20,}|gh[pousr]_[A-Za-z0-9_]{36,}|xox[baprs]-[a-zA-Z0-9]{10,}|ya29\.[a-zA-Z0-9_-]{50,}|AQ[a-zA-Z0-9_-]{40,}){B}|(?:[A-Za-z0-9_]*(?:SECRET|KEY|PASSWORD|TOKEN|AUTH|PASS|CREDENTIAL|PRIVATE|DATABASE_URL|DB_URL)[A-Za-z0-9_]*)[{S}]*[:=][{S}]*['"]?[a-zA-Z0-9_.:/@-]{8,}['"]?""", "critical", 100, True, hint=r"[:=]|sk-|akia|aiza|gh[pousr]_|xox|ya29|aq[a-z0-9_-]{40}"),
+    Rule("database_url", "Database Connection String", r"""{L}(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|mssql|oracle|sqlite)://[^{S}'"]{8,}{B}""", "critical", 100, True, hint="://"),
+    Rule("national_id", "National Identity / Social Security Number", r"{L}(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}[{S}]?[0-9]{4}[{S}]?[0-9]{4}){R}", "high", 85, hint="[0-9]{4}"),
+    Rule("phone", "Phone Number", r"{B}(?:\+?[0-9]{1,3}[-.{S}]?)?\(?[0-9]{3}\)?[-.{S}]?[0-9]{3}[-.{S}]?[0-9]{4}{R}", "low", 30, hint="[0-9]{4}"),
+    Rule("pii", "Author / Researcher Identity (PII)", r"{L}(?:authors?|researchers?|investigators?|corresponding[{S}]+author|affiliations?|department[{S}]+of)[{S}]*[:=][{S}]*[^\n\r]{3,120}", "medium", 70, True, hint="[:=]"),
+    Rule("pin_passcode", "ATM PIN / Password / Secret Passcode", r"""{L}(?:atm[{S}]*pin|my[{S}]*pin|pin[{S}]*code|passcode)[{S}]*[:=is{S}]+{L}([0-9]{4,8}){R}|{L}(?:pin|passcode|password)[{S}]*[:=][{S}]*['"]?([a-zA-Z0-9!@#$%^&*_-]{4,32})['"]?{B}""", "critical", 85, True, hint="pin|pass"),
+    Rule("potential_credential", "Unverified Credential Pattern", r"{L}(?:(?:this[{S}]+is[{S}]+)?(?:my[{S}]+)?(?:api|secret|access|auth)[{S}_-]*(?:key|token|code)|password|passcode)[{S}]*[:=is{S}]+([a-zA-Z0-9_-]{8,}){B}", "low", 30, True, hint="key|token|code|pass"),
 )
 CATEGORIES = tuple(r.category for r in RULES)
 
@@ -82,18 +82,18 @@ SKIP_CLASSIFIER_FILE = ("credit_card", "api_key", "national_id", "pin_passcode")
 SKIP_CLASSIFIER_IMAGE = (*SKIP_CLASSIFIER_FILE, "database_url")
 
 #: Words that make a passage worth a look, and those that anchor a window.
-KEYWORDS = r"{B}(?:confidential|secret|password|passcode|token|salary|diagnosis|proprietary|api[_-]?key|bearer|private[_-]?key|ssn|social[_-]?security|credit[_-]?card|financial|internal[{S}]+use[{S}]+only|restricted|do[{S}]+not[{S}]+share){B}"
-ANCHORS = r"{B}(?:acquire|acquisition|merger|valuation|ebitda|revenue|insider|layoff|restructure|termination|severance|compensation|salary|equity|nda|confidential|proprietary|classified|privileged|internal[{S}]+only|do[{S}]+not[{S}]+distribute|diagnosis|patient|biopsy|relapse|oncology|prescription|api[_-]?key|secret|password|passcode|token|credentials|database_url|credit[_-]?card|ssn|social[_-]?security){B}"
+KEYWORDS = r"{L}(?:confidential|secret|password|passcode|token|salary|diagnosis|proprietary|api[_-]?key|bearer|private[_-]?key|ssn|social[_-]?security|credit[_-]?card|financial|internal[{S}]+use[{S}]+only|restricted|do[{S}]+not[{S}]+share){R}"
+ANCHORS = r"{L}(?:acquire|acquisition|merger|valuation|ebitda|revenue|insider|layoff|restructure|termination|severance|compensation|salary|equity|nda|confidential|proprietary|classified|privileged|internal[{S}]+only|do[{S}]+not[{S}]+distribute|diagnosis|patient|biopsy|relapse|oncology|prescription|api[_-]?key|secret|password|passcode|token|credentials|database_url|credit[_-]?card|ssn|social[_-]?security){R}"
 TOKEN_CUT = r"""[{S},;:!?"'()\[\]{}<>/\\]+"""
 
 
-def _filled(pattern: str, boundary: str) -> str:
-    return pattern.replace("{B}", boundary).replace("{S}", WS)
+def _filled(pattern: str, boundary: str, left: str, right: str) -> str:
+    return pattern.replace("{B}", boundary).replace("{L}", left).replace("{R}", right).replace("{S}", WS)
 
 
 def java(pattern: str, fold: bool = False) -> str:
-    return ("(?i)" if fold else "") + _filled(pattern, _BOUNDARY)
+    return ("(?i)" if fold else "") + _filled(pattern, _BOUNDARY, f"(?<!{_WORD})", f"(?!{_WORD})")
 
 
 def re2(pattern: str, fold: bool = False) -> str:
-    return ("(?i)" if fold else "") + _filled(pattern, r"\b")
+    return ("(?i)" if fold else "") + _filled(pattern, r"\b", r"\b", r"\b")
