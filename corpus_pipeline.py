@@ -15,7 +15,7 @@ from gristmill.plans.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Mean probability that a document's positions must give to its language.
-SURE = 0.35
+SURE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
