@@ -28,8 +28,12 @@ SAFE = ("does not contain any sensitive", "not considered to contain", "not sens
 RISKY = ("contains sensitive information", "contains an api key", "security risk", "confidential")
 
 
+#: What a provider can say of itself; only the first two can be asked.
+STATES = ("readily", "after-download", "no", "unavailable")
+
+
 class Provider(Protocol):
-    """A classifier session: one a partition, closed at its end."""
+    """A classifier session: one a partition, closed at its end. `state()`, where there is one, gives one of STATES."""
 
     def ask(self, text: str) -> str: ...
 
@@ -112,6 +116,36 @@ def chunk_results(chunks: Column, replies: Column | None = None, limit: int = 2)
     return F.concat(clean_chunks(chunks, best), unavailable(best) if replies is None else judged(best, replies))
 
 
+def available(session: Provider) -> bool:
+    return getattr(session, "state", lambda: STATES[0])() in STATES[:2]
+
+
+def with_reply(df: DataFrame, provider: Callable[[], Provider], text: str = "prompt_text") -> DataFrame:
+    """All columns with reply and delay_ms of one question about the whole text. Blank texts aren't asked about; both stay null then and
+    where the provider is unavailable or fails."""
+    df = df.drop("reply", "delay_ms")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, pool = provider(), ThreadPoolExecutor(1)
+        try:
+            for batch in batches:
+                out: list[tuple[str | None, int | None]] = []
+                for t in batch.column(text).to_pylist():
+                    try:
+                        out.append(ask_in_time(session, f'Analyze prompt: "{t}"', pool) if available(session) else (None, None))
+                    except Exception:  # the classifier never fails a decision
+                        out.append((None, None))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], [*batch.schema.names, "reply", "delay_ms"])
+        finally:
+            session.close()
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    asked = df.filter(~is_blank(F.col(text))).mapInArrow(run, f"{fields}, reply string, delay_ms long")
+    blank = df.filter(is_blank(F.col(text))).withColumns({"reply": F.lit(None).cast("string"), "delay_ms": F.lit(None).cast("long")})
+    return asked.unionByName(blank)
+
+
 def with_replies(df: DataFrame, provider: Callable[[], Provider], chunks: str = "chunks", limit: int = 2) -> DataFrame:
     """All columns with `replies` of the candidates of `chunks`. Only rows with candidates reach the provider."""
     df = df.drop("replies").withColumn("_ask", priority(F.col(chunks), limit))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import text_or_empty, trimmed
@@ -12,6 +16,58 @@ OCR = f"struct<text:string,confidence:double,words:array<struct<text:string,bbox
 PAD_X, PAD_Y = 4, 2
 
 
+class Recogniser(Protocol):
+    """An OCR engine: one a partition, closed at its end. `read` gives text, confidence, words and lines as in OCR, or raises."""
+
+    def read(self, image: bytes) -> dict: ...
+
+    def close(self) -> None: ...
+
+
+def is_image(mime: Column, name: Column) -> Column:
+    return F.startswith(F.coalesce(mime, F.lit("")), F.lit("image/")) | F.coalesce(name, F.lit("")).rlike(r"(?i)\.(png|jpe?g|webp)\z")
+
+
+def with_ocr(images: DataFrame, engine: Callable[[], Recogniser]) -> DataFrame:
+    """All columns but content, with ocr and ocr_error. A failure is one image's, and closes it later on."""
+    kept = images.drop("ocr", "ocr_error")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "content")
+    box = pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
+    word, line = [("text", pa.string()), ("bbox", box), ("confidence", pa.float64())], [("text", pa.string()), ("bbox", box)]
+    kind = pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("words", pa.list_(pa.struct(word))), ("lines", pa.list_(pa.struct(line)))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = engine()
+        try:
+            for batch in batches:
+                got, errors = [], []
+                for image in batch.column("content"):
+                    try:
+                        got.append(session.read(image.as_py() or b""))
+                        errors.append(None)
+                    except Exception as e:
+                        got.append(None)
+                        errors.append(str(e) or type(e).__name__)
+                names = [n for n in batch.schema.names if n != "content"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(got, kind), pa.array(errors, pa.string())], [*names, "ocr", "ocr_error"])
+        finally:
+            session.close()
+
+    return kept.mapInArrow(run, f"{fields}, ocr {OCR}, ocr_error string")
+
+
+def images_as_files(images: DataFrame) -> DataFrame:
+    """Images (file_name, ocr, ocr_error, ...) as rows of extract_files: the text is one chunk; a failed one is unscannable."""
+    text = text_or_empty(F.col("ocr")["text"])
+    failed = F.col("ocr_error").isNotNull()
+    chunk = F.struct(F.lit(0).alias("chunk_index"), text.alias("text"), F.lit("FULL").alias("window_type"), F.lit(0).alias("start_char"), F.length(text).alias("end_char"), F.lit(None).cast("int").alias("anchor_center"))
+    return images.withColumns({
+        "file_type": F.lower(F.element_at(F.split("file_name", r"\."), -1)), "text": F.when(failed, "").otherwise(text),
+        "pages": F.when(failed, F.array()).otherwise(F.array(F.struct(F.lit(1).alias("page"), text.alias("text")))),
+        "chunks": F.when(failed | (text == ""), F.array()).otherwise(F.array(chunk)), "unscannable": failed, "reason": F.col("ocr_error"), "is_directory": F.lit(False),
+    }).drop("ocr", "ocr_error")
+
+
 def _low(c: Column) -> Column:
     return F.lower(trimmed(text_or_empty(c)))
 

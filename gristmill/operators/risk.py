@@ -27,6 +27,12 @@ class Settings:
     role_weights: dict[str, float] = field(default_factory=dict)
     destination_trust: dict[str, float] = field(default_factory=dict)
 
+    @classmethod
+    def of(cls, stored: dict) -> "Settings":
+        """Stored values over the defaults, by the names they are stored under. Weights are never stored: they are given in code."""
+        names = {"enableRegex": "enable_regex", "enableLLM": "enable_llm", "userRole": "user_role", "blockThreshold": "block_threshold", "redactThreshold": "redact_threshold", "enableMetadataSync": "enable_metadata_sync"}
+        return cls(**{names[k]: v for k, v in stored.items() if k in names and v is not None})
+
     def constrained(self, moved: str = "block") -> "Settings":
         """With redact at most block: the other threshold follows the one that moved."""
         from dataclasses import replace

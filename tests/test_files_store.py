@@ -113,6 +113,30 @@ def test_line_fallback_and_rectangles(spark):
     assert [tuple(x) for x in r] == [(0, 0, 60, 23, True, 13)]
 
 
+def test_engines(spark):
+    class Engine:
+        def read(self, image):
+            if image == b"bad":
+                raise RuntimeError("no engine")
+            return {"text": image.decode(), "confidence": 90.0, "words": [], "lines": []}
+
+        def close(self):
+            pass
+
+    rows = [("a.png", bytearray(b"mail a@b.com and c@d.org")), ("b.png", bytearray(b"bad")), ("c.png", None)]
+    df = ocr.with_ocr(spark.createDataFrame(rows, "file_name string, content binary"), Engine)
+    got = {r.file_name: r for r in pipelines.analyze_images(df, domain="chatgpt.com").collect()}
+    assert [got[k].action for k in ("a.png", "b.png", "c.png")] == ["redact", "block", "allow"]
+    filed = {r.file_name: r for r in pipelines.analyze_files(ocr.images_as_files(df), domain="chatgpt.com").collect()}
+    assert [filed[k].action for k in ("a.png", "b.png", "c.png")] == ["redact", "block", "allow"] and filed["b.png"].fixed_floor_triggered
+    names = spark.createDataFrame([("image/gif", "x"), (None, "a.JPEG"), ("", "a.txt")], "m string, n string")
+    assert [r[0] for r in names.select(ocr.is_image(F.col("m"), F.col("n"))).collect()] == [True, True, False]
+
+
+def test_settings_of_stored():
+    assert Settings.of({"blockThreshold": 60, "roleWeights": {"x": 2}, "userRole": None}) == Settings(block_threshold=60)
+
+
 def test_audit(spark, tmp_path):
     rows = spark.createDataFrame([(k, "p" if k else None, "block" if k % 2 else "allow", ["email"] if k == 3 else []) for k in range(5)], "id long, prompt_text string, decision string, categories array<string>")
     path = str(tmp_path / "audit")

@@ -88,6 +88,15 @@ def test_live_provider(spark):
     got = {r.id: r.replies for r in classify.with_replies(df, Echo).collect()}
     assert len(got[1]) == 1 and "medical" in got[1][0].reply and got[2] == []
 
+    class Away(Echo):
+        def state(self):
+            return "unavailable"
+
+    prompts = spark.createDataFrame([(1, "a secret"), (2, " "), (3, "weather")], "id long, prompt_text string")
+    got = {r.id: r for r in classify.with_reply(prompts, Echo).collect()}
+    assert "medical" in got[1].reply and got[2].reply is None and got[3].reply == "not sensitive" and got[3].delay_ms < 7000
+    assert {r.reply for r in classify.with_reply(prompts, Away).collect()} == {None}
+
 
 def test_parsed_defaults(spark):
     got = values(spark, ["null", "", "{}", '{"sensitive": true, "confidence": 0.3}', "A security risk"], classify.parsed(F.col("t")))
