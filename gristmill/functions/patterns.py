@@ -86,6 +86,34 @@ KEYWORDS = r"{L}(?:confidential|secret|password|passcode|token|salary|diagnosis|
 ANCHORS = r"{L}(?:acquire|acquisition|merger|valuation|ebitda|revenue|insider|layoff|restructure|termination|severance|compensation|salary|equity|nda|confidential|proprietary|classified|privileged|internal[{S}]+only|do[{S}]+not[{S}]+distribute|diagnosis|patient|biopsy|relapse|oncology|prescription|api[_-]?key|secret|password|passcode|token|credentials|database_url|credit[_-]?card|ssn|social[_-]?security){R}"
 TOKEN_CUT = r"""[{S},;:!?"'()\[\]{}<>/\\]+"""
 
+#: What explanations say, with {} for what differs. Steps by action, floor and whether it is about a file.
+SAID_FINE = "{} was allowed (risk score {}/100): no sensitive patterns or policy risks were detected. You may proceed."
+SAID = "{} was {} (risk score {}/100): it appears to {}. You can {}"
+SAID_FILE, SAID_MESSAGE = "File '{}'", "This message"
+SAID_OTHERS, SAID_LIMIT = "{} (and {} other item{})", "exceed risk threshold limits (score {}/100)"
+STEPS = {
+    ("block", True, True): "remove high-risk content or unscannable formats before attaching. Non-negotiable security floor policy enforced.",
+    ("block", True, False): "remove all high-risk items (such as credit cards or API keys) before resending. Non-negotiable security floor policy enforced.",
+    ("block", False, None): "review and remove sensitive details or consult your security team for policy exception approval.",
+    ("redact", None, True): "review flagged sections before attaching, or replace sensitive data with sanitized placeholders.",
+    ("redact", None, False): 'click "Remove Flagged Data" to automatically strip sensitive values, or edit your prompt before sending.',
+    ("allow", None, None): "proceed cautiously with your submission.",
+}
+#: What reasons say.
+UNSCANNABLE_REASON = "File '{}' cannot be text-verified ({}). Fail-Closed Security Policy enforced."
+UNSCANNABLE_NAME, UNSCANNABLE_WHY = "attachment", "image/binary format"
+CRITICAL_REASON = "Critical overall risk rating ({}/100 exceeds absolute floor limit of 90)"
+PATTERN_REASON = "Detected structured pattern: {}"
+CONTEXT_REASON = "On-device AI flagged contextual sensitivity ({}) with {}% confidence"
+TIMEOUT_REASON = "LLM prompt execution timed out (3500ms limit); risk-weighted fail-safe policy applied"
+#: Why a file or a chunk wasn't read.
+CLOSED_FORMAT = "File format '.{}' is an image or unsupported binary format. Fail-Closed Security Policy active."
+UNKNOWN_FORMAT = "Unrecognized document extension '.{}' (UNSCANNABLE_BINARY). Fail-Closed Security Policy active."
+EMPTY_BINARY, EMPTY_FILE = "Unscannable or empty binary format.", "{}_EMPTY_OR_UNREADABLE"
+EMPTY_PDF = "PDF_EMPTY_OR_UNREADABLE (Unscannable image, encrypted, or compressed stream). Fail-Closed active."
+BROKEN_FILE = "Extraction exception: {}. Fail-Closed Policy active."
+TRIAGED_CLEAN, LATE, FAILED, AWAY = "HEURISTIC_TRIAGE_CLEAN", "LLM_TIMEOUT", "LLM execution exception", "Prompt API unavailable ({})"
+
 
 def _filled(pattern: str, boundary: str, left: str, right: str) -> str:
     return pattern.replace("{B}", boundary).replace("{L}", left).replace("{R}", right).replace("{S}", WS)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import patterns as P
 from gristmill.functions.text import is_blank, trimmed
 from gristmill.operators.risk import ANSWER, CHUNKS
 from gristmill.operators.windows import priority
@@ -80,8 +81,8 @@ def single(text: Column, reply: Column, delay_ms: Column) -> Column:
     zero = F.lit(0)
     return (
         F.when(is_blank(text), pick(_row(zero, True, why=F.lit("Empty prompt"))))
-        .when(delay_ms > TIMEOUT_MS, pick(_row(zero, True, True, F.lit("LLM_TIMEOUT"))))
-        .when(reply.isNull(), pick(_row(zero, True, why=F.lit("Prompt API unavailable (unavailable)"))))
+        .when(delay_ms > TIMEOUT_MS, pick(_row(zero, True, True, F.lit(P.LATE))))
+        .when(reply.isNull(), pick(_row(zero, True, why=F.lit(P.AWAY.format("unavailable")))))
         .otherwise(pick(_row(zero, False, got=got, ms=delay_ms)))
     )
 
@@ -89,11 +90,11 @@ def single(text: Column, reply: Column, delay_ms: Column) -> Column:
 def clean_chunks(chunks: Column, candidates: Column) -> Column:
     """Rows of the chunks that aren't candidates."""
     rest = F.filter(chunks, lambda c: ~F.exists(candidates, lambda x: x["chunk_index"] == c["chunk_index"]))
-    return F.transform(rest, lambda c: _row(c["chunk_index"], True, why=F.lit("HEURISTIC_TRIAGE_CLEAN"))).cast(CHUNKS)
+    return F.transform(rest, lambda c: _row(c["chunk_index"], True, why=F.lit(P.TRIAGED_CLEAN))).cast(CHUNKS)
 
 
 def unavailable(candidates: Column, state: str = "unavailable") -> Column:
-    return F.transform(candidates, lambda c: _row(c["chunk_index"], True, why=F.lit(f"Prompt API unavailable ({state})"))).cast(CHUNKS)
+    return F.transform(candidates, lambda c: _row(c["chunk_index"], True, why=F.lit(P.AWAY.format(state)))).cast(CHUNKS)
 
 
 def judged(candidates: Column, replies: Column) -> Column:
@@ -103,7 +104,7 @@ def judged(candidates: Column, replies: Column) -> Column:
     def step(acc: Column, c: Column) -> Column:
         got = F.get(F.filter(replies, lambda r: r["chunk_index"] == c["chunk_index"]), F.lit(0))
         late, read = got["delay_ms"] > TIMEOUT_MS, parsed(got["reply"])
-        row = F.when(got.isNull(), _row(c["chunk_index"], True, why=F.lit("LLM execution exception"))).when(late, _row(c["chunk_index"], True, True, F.lit("LLM_TIMEOUT"))).otherwise(_row(c["chunk_index"], False, got=read, ms=got["delay_ms"]))
+        row = F.when(got.isNull(), _row(c["chunk_index"], True, why=F.lit(P.FAILED))).when(late, _row(c["chunk_index"], True, True, F.lit(P.LATE))).otherwise(_row(c["chunk_index"], False, got=read, ms=got["delay_ms"]))
         stop = F.coalesce(late, F.lit(False)) | F.coalesce(read["sensitive"] & (read["confidence"] >= SURE), F.lit(False))
         return F.struct((acc["done"] | stop).alias("done"), F.when(acc["done"], acc["out"]).otherwise(F.concat(acc["out"], F.array(row).cast(CHUNKS))).alias("out"))
 

@@ -15,6 +15,13 @@ def reason(kind: str, category: Column, description: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), category.alias("category"), description.alias("description"))
 
 
+def filled(template: str, *values: Column) -> Column:
+    """The template with its {} replaced, as a column."""
+    parts = template.split("{}")
+    pieces = [x for k, part in enumerate(parts) for x in ([F.lit(part)] if part else []) + ([values[k].cast("string")] if k < len(values) else [])]
+    return F.concat(*pieces)
+
+
 def _those(*candidates: Column) -> Column:
     return F.filter(F.array(*candidates), lambda r: r.isNotNull()).cast(REASONS)
 
@@ -23,22 +30,23 @@ def floor_reasons(matches: Column, score: Column, unscannable: Column, file_name
     """One reason a category, not a match; the score's own only if there is no other."""
     hit = lambda c: F.exists(matches, lambda m: m["category"] == c)
     named = [F.when(hit(c), reason("fixed_floor_violation", F.lit(c), F.lit(text))) for c, text in P.FLOOR]
-    said = F.concat(F.lit("File '"), F.coalesce(F.nullif(file_name, F.lit("")), F.lit("attachment")), F.lit("' cannot be text-verified ("), F.coalesce(F.nullif(why, F.lit("")), F.lit("image/binary format")), F.lit("). Fail-Closed Security Policy enforced."))
+    or_else = lambda c, text: F.coalesce(F.nullif(c, F.lit("")), F.lit(text))
+    said = filled(P.UNSCANNABLE_REASON, or_else(file_name, P.UNSCANNABLE_NAME), or_else(why, P.UNSCANNABLE_WHY))
     closed = F.when(unscannable, reason("fixed_floor_violation", F.lit("unscannable_file"), said))
     found = _those(*named, closed)
-    rated = F.concat(F.lit("Critical overall risk rating ("), score, F.lit("/100 exceeds absolute floor limit of 90)"))
+    rated = filled(P.CRITICAL_REASON, score)
     critical = _those(F.when(score >= 90, reason("fixed_floor_violation", F.lit("critical_risk"), rated)))
     return F.when(F.size(found) > 0, found).otherwise(critical)
 
 
 def admin_reasons(matches: Column, answer: Column, late: Column) -> Column:
     """One a match, then the classifier's, then the time-out's."""
-    structured = F.transform(matches, lambda m: reason("structured_pattern", m["category"], F.concat(F.lit("Detected structured pattern: "), F.coalesce(m["label"], m["category"]))))
+    structured = F.transform(matches, lambda m: reason("structured_pattern", m["category"], filled(P.PATTERN_REASON, F.coalesce(m["label"], m["category"]))))
     sure = rounded(F.coalesce(F.nullif(answer["confidence"], F.lit(0.0)), F.lit(0.8)) * 100)
     category = F.coalesce(F.nullif(answer["category"], F.lit("")), F.lit("confidential"))
-    said = F.concat(F.lit("On-device AI flagged contextual sensitivity ("), category, F.lit(") with "), sure, F.lit("% confidence"))
+    said = filled(P.CONTEXT_REASON, category, sure)
     counts = F.coalesce(answer["sensitive"], F.lit(False)) & ~F.coalesce(answer["skipped"], F.lit(False))
-    timeout = F.lit("LLM prompt execution timed out (3500ms limit); risk-weighted fail-safe policy applied")
+    timeout = F.lit(P.TIMEOUT_REASON)
     more = _those(F.when(counts, reason("contextual_sensitivity", category, said)), F.when(late, reason("llm_timeout_failsafe", F.lit("timeout_failsafe"), timeout)))
     return F.concat(structured.cast(REASONS), more)
 
@@ -88,19 +96,17 @@ def explanation(action: Column, score: Column, reasons: Column, floor: Column, f
     """What was decided, why and what to do next, in a sentence or two."""
     name = F.nullif(F.lit(None).cast("string") if file_name is None else file_name, F.lit(""))
     filed = name.isNotNull()
-    subject = F.when(filed, F.concat(F.lit("File '"), name, F.lit("'"))).otherwise(F.lit("This message"))
+    subject = F.when(filed, filled(P.SAID_FILE, name)).otherwise(P.SAID_MESSAGE)
     n = F.size(reasons)
     unlike = F.array_distinct(F.transform(reasons, lambda r: r["description"]))
-    others = F.concat(F.get(unlike, F.lit(0)), F.lit(" (and "), n - 1, F.lit(" other item"), F.when(n > 2, "s").otherwise(""), F.lit(")"))
-    why = F.when(F.size(unlike) == 1, F.get(unlike, F.lit(0))).when(F.size(unlike) > 1, others).otherwise(F.concat(F.lit("exceed risk threshold limits (score "), score, F.lit("/100)")))
-    step = (
-        F.when((action == "block") & floor & filed, "remove high-risk content or unscannable formats before attaching. Non-negotiable security floor policy enforced.")
-        .when((action == "block") & floor, "remove all high-risk items (such as credit cards or API keys) before resending. Non-negotiable security floor policy enforced.")
-        .when(action == "block", "review and remove sensitive details or consult your security team for policy exception approval.")
-        .when((action == "redact") & filed, "review flagged sections before attaching, or replace sensitive data with sanitized placeholders.")
-        .when(action == "redact", 'click "Remove Flagged Data" to automatically strip sensitive values, or edit your prompt before sending.')
-        .otherwise("proceed cautiously with your submission.")
-    )
-    fine = F.concat(subject, F.lit(" was allowed (risk score "), score, F.lit("/100): no sensitive patterns or policy risks were detected. You may proceed."))
-    said = F.concat(subject, F.lit(" was "), F.upper(action), F.lit(" (risk score "), score, F.lit("/100): it appears to "), why, F.lit(". You can "), step)
-    return F.when((action == "allow") & (n == 0), fine).otherwise(said)
+    first = F.get(unlike, F.lit(0))
+    others = filled(P.SAID_OTHERS, first, n - 1, F.when(n > 2, "s").otherwise(""))
+    why = F.when(F.size(unlike) == 1, first).when(F.size(unlike) > 1, others).otherwise(filled(P.SAID_LIMIT, score))
+    step = F.lit(None).cast("string")
+    for (of, by_floor, of_file), text in P.STEPS.items():
+        fits = action == of
+        for wanted, holds in ((by_floor, floor), (of_file, filed)):
+            fits = fits if wanted is None else fits & (holds if wanted else ~holds)
+        step = F.when(fits, text).otherwise(step)
+    said = filled(P.SAID, subject, F.upper(action), score, why, step)
+    return F.when((action == "allow") & (n == 0), filled(P.SAID_FINE, subject, score)).otherwise(said)

@@ -125,14 +125,14 @@ def risked(role: str = ROLE_OF, domain: str = DOMAIN_OF) -> str:
 def judged(block: int = 75, redact: int = 45) -> str:
     """CTE judged: risked with floor (list), action, risk_score, reasons (list of descriptions)."""
     hits = ", ".join(f"CASE WHEN len(list_filter(matches, lambda m: m.category = {lit(c)})) > 0 THEN {lit(text)} END" for c, text in P.FLOOR)
-    critical = "CASE WHEN score >= 90 THEN ['Critical overall risk rating (' || score || '/100 exceeds absolute floor limit of 90)'] ELSE CAST([] AS VARCHAR[]) END"
+    critical = f"CASE WHEN score >= 90 THEN [{filled(P.CRITICAL_REASON, 'score')}] ELSE CAST([] AS VARCHAR[]) END"
     b, r = min(89, block), min(block, redact)
     return (
         f"floored AS (SELECT *, list_filter([{hits}], lambda x: x IS NOT NULL) AS named FROM risked), "
         f"firm AS (SELECT *, CASE WHEN len(named) > 0 THEN named ELSE {critical} END AS floor FROM floored), "
         f"judged AS (SELECT *, CASE WHEN len(floor) > 0 OR score >= {b} THEN 'block' WHEN score >= {r} OR len(list_filter(matches, lambda m: m.severity <> 'low')) > 0 THEN 'redact' ELSE 'allow' END AS action, "
         "CASE WHEN len(floor) > 0 THEN greatest(score, 95) ELSE score END AS risk_score, "
-        "CASE WHEN len(floor) > 0 THEN floor ELSE list_transform(matches, lambda m: 'Detected structured pattern: ' || m.label) END AS reasons FROM firm)"
+        "CASE WHEN len(floor) > 0 THEN floor ELSE list_transform(matches, lambda m: " + filled(P.PATTERN_REASON, "m.label") + ") END AS reasons FROM firm)"
     )
 
 
@@ -145,16 +145,20 @@ def unlike(xs: str) -> str:
     return f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
 
 
+def filled(template: str, *values: str) -> str:
+    parts = template.split("{}")
+    return " || ".join(x for k, part in enumerate(parts) for x in ([lit(part)] if part else []) + ([f"({values[k]})"] if k < len(values) else []))
+
+
 def explained() -> str:
+    """For messages, not files."""
     u = unlike("reasons")
-    why = f"CASE WHEN len({u}) = 1 THEN reasons[1] WHEN len({u}) > 1 THEN reasons[1] || ' (and ' || (len(reasons) - 1) || ' other item' || CASE WHEN len(reasons) > 2 THEN 's' ELSE '' END || ')' ELSE 'exceed risk threshold limits (score ' || risk_score || '/100)' END"
-    step = (
-        "CASE WHEN action = 'block' AND len(floor) > 0 THEN 'remove all high-risk items (such as credit cards or API keys) before resending. Non-negotiable security floor policy enforced.' "
-        "WHEN action = 'block' THEN 'review and remove sensitive details or consult your security team for policy exception approval.' "
-        "WHEN action = 'redact' THEN 'click \"Remove Flagged Data\" to automatically strip sensitive values, or edit your prompt before sending.' ELSE 'proceed cautiously with your submission.' END"
-    )
-    fine = "'This message was allowed (risk score ' || risk_score || '/100): no sensitive patterns or policy risks were detected. You may proceed.'"
-    return f"CASE WHEN action = 'allow' AND len(reasons) = 0 THEN {fine} ELSE 'This message was ' || upper(action) || ' (risk score ' || risk_score || '/100): it appears to ' || {why} || '. You can ' || {step} END"
+    others = filled(P.SAID_OTHERS, "reasons[1]", "len(reasons) - 1", "CASE WHEN len(reasons) > 2 THEN 's' ELSE '' END")
+    why = f"CASE WHEN len({u}) = 1 THEN reasons[1] WHEN len({u}) > 1 THEN {others} ELSE {filled(P.SAID_LIMIT, 'risk_score')} END"
+    tests = [(f"action = '{a}'" + ("" if f is None else f" AND len(floor) {'>' if f else '='} 0"), t) for (a, f, file), t in P.STEPS.items() if file is not True]
+    step = "CASE " + " ".join(f"WHEN {test} THEN {lit(text)}" for test, text in tests) + " END"
+    said = filled(P.SAID, lit(P.SAID_MESSAGE), "upper(action)", "risk_score", why, step)
+    return f"CASE WHEN action = 'allow' AND len(reasons) = 0 THEN {filled(P.SAID_FINE, lit(P.SAID_MESSAGE), 'risk_score')} ELSE {said} END"
 
 
 def entropy(x: str) -> str:

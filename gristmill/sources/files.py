@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
 from gristmill.functions.text import extension, normalize_text, text_or_empty, trimmed
+from gristmill.operators.policy import filled
 from gristmill.operators.windows import windows
 
 #: Fixed values.
@@ -200,12 +201,12 @@ def container_text(kind: str, data: bytes | None) -> tuple[str, list[tuple[int,
     if kind == "pdf":
         pages = pdf_pages(data) if data else []
         text = printable("\n\n".join(t for _, t in pages))
-        why = "PDF_EMPTY_OR_UNREADABLE (Unscannable image, encrypted, or compressed stream). Fail-Closed active." if data else "PDF_EMPTY_OR_UNREADABLE"
+        why = P.EMPTY_PDF if data else P.EMPTY_FILE.format("PDF")
         return text, pages if text else [], None if text else why
     wanted, texts, between = OFFICE[kind]
     found = [t for x in zip_entries(data or b"", wanted) for t in texts(x)] or texts((data or b"").decode("latin-1"))
     text = _BLANKS.sub(" ", between.join(dict.fromkeys(found) if kind == "xlsx" else found)).strip()
-    return text, [(1, text)], None if text else f"{kind.upper()}_EMPTY_OR_UNREADABLE"
+    return text, [(1, text)], None if text else P.EMPTY_FILE.format(kind.upper())
 
 
 def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +217,7 @@ def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 got.append(container_text(kind, data))
             except Exception as e:  # any broken file is closed, never fatal
-                got.append(("", [], f"Extraction exception: {e}. Fail-Closed Policy active."))
+                got.append(("", [], P.BROKEN_FILE.format(e)))
         pages = [[{"page": k, "text": t} for k, t in x[1]] for x in got]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array(pages, page), pa.array([x[2] for x in got], pa.string())], [*batch.schema.names, "raw_text", "pages", "reason"])
 
@@ -233,10 +234,7 @@ def extract_files(files: DataFrame) -> DataFrame:
     boxed = F.col("route").isin("pdf", *OFFICE)
     raw = decoded(F.col("content"))
     text = F.when(F.col("route") == "notebook", notebook_text(raw)).when(F.col("route") == "text", raw).otherwise("")
-    dotted = F.concat(F.lit("'."), F.col("file_type"), F.lit("'"))
-    why = F.when(F.col("route") == "unscannable", F.concat(F.lit("File format "), dotted, F.lit(" is an image or unsupported binary format. Fail-Closed Security Policy active."))).when(
-        F.col("route") == "unknown", F.concat(F.lit("Unrecognized document extension "), dotted, F.lit(" (UNSCANNABLE_BINARY). Fail-Closed Security Policy active."))
-    )
+    why = F.when(F.col("route") == "unscannable", filled(P.CLOSED_FORMAT, F.col("file_type"))).when(F.col("route") == "unknown", filled(P.UNKNOWN_FORMAT, F.col("file_type")))
     plain = routed.filter(~boxed).withColumn("raw_text", text)
     plain = plain.withColumns({"pages": F.when(F.col("route").isin("text", "notebook"), F.array(F.struct(F.lit(1).alias("page"), F.col("raw_text").alias("text")))).otherwise(F.array()).cast(PAGES), "reason": why})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in routed.schema)
@@ -246,5 +244,5 @@ def extract_files(files: DataFrame) -> DataFrame:
     closed = (F.col("reason").isNotNull()) | (~readable & (trimmed(F.col("text")) == ""))
     both = both.withColumns({"unscannable": closed, "is_directory": F.col("route") == "directory", "chunks": windows(F.col("text"))})
     both = both.withColumn("file_type", F.when(F.col("is_directory"), "directory").when((F.col("route") == "unscannable") & (F.col("file_type") == ""), "unscannable").otherwise(F.col("file_type")))
-    both = both.withColumn("reason", F.coalesce("reason", F.when(closed, "Unscannable or empty binary format.")))
+    both = both.withColumn("reason", F.coalesce("reason", F.when(closed, P.EMPTY_BINARY)))
     return both.drop("content", "raw_text", "route")
