@@ -261,6 +261,10 @@ class Tokenizer:
         self.keep(word, made)
         return made
 
+    def forget(self) -> None:
+        """Gives up the words known; workers outlive their tasks, and others need the memory."""
+        self.store, self.older = {}, {}
+
     def blocks(self, text: str, words: int = 8192) -> Iterator[bytes]:
         """The text's ids, some thousand words at a time."""
         source = iter(self.words(text))
@@ -311,6 +315,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 a.append(ids.hexdigest())
                 b.append(decoded.hexdigest())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tok.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -323,6 +328,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", out
         for rows in batches:
             ids = [[*tok.encode(x.as_py() or "")] for x in rows.column(text)]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], [*rows.schema.names, out])
+        tok.forget()
 
     docs = docs.drop(out)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
