@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ _LINE_END = r"(?=[\n\r\x{2028}\x{2029}]|\z)"
 _LINE_START = r"(?<![^\n\r\x{2028}\x{2029}])"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once, however often `use` has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -34,9 +41,11 @@ def normalize_text(c: Column) -> Column:
 
 
 def repair_minimal(c: Column) -> Column:
-    """Glues e-mail addresses that white space around @ and dots has broken."""
-    c = F.regexp_replace(text_or_empty(c), rf"([a-zA-Z0-9._%+-]+)[{P.WS}]*@[{P.WS}]*([a-zA-Z0-9.-]+)", "$1@$2")
-    return F.regexp_replace(c, rf"@([a-zA-Z0-9.-]+)[{P.WS}]*\.[{P.WS}]*([a-zA-Z]{{2,}})", "@$1.$2")
+    """Glues e-mail addresses that white space around @ and dots has broken. Texts without an @ are left alone."""
+    whole = text_or_empty(c)
+    out = F.regexp_replace(whole, rf"([a-zA-Z0-9._%+-]+)[{P.WS}]*@[{P.WS}]*([a-zA-Z0-9.-]+)", "$1@$2")
+    out = F.regexp_replace(out, rf"@([a-zA-Z0-9.-]+)[{P.WS}]*\.[{P.WS}]*([a-zA-Z]{{2,}})", "@$1.$2")
+    return F.when(F.contains(whole, F.lit("@")), out).otherwise(whole)
 
 
 def repair_full(c: Column) -> Column:
@@ -88,6 +97,7 @@ def is_triaged(c: Column) -> Column:
 
 
 def suspicion(c: Column) -> Column:
+    """5 for keywords, 3 for noise: noisy tokens, or a noisy text as a whole."""
     noisy = has_noisy_tokens(c) | (shannon_entropy(c) > 4.2)
     return F.when(has_keywords(c), 5).otherwise(0) + F.when(noisy, 3).otherwise(0)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
-from gristmill.functions.text import is_blank, suspicion, text_or_empty, trimmed
+from gristmill.functions.text import let, suspicion, text_or_empty, trimmed
 from gristmill.operators.scan import found
 
 WINDOWS = "array<struct<chunk_index:int,text:string,window_type:string,start_char:int,end_char:int,anchor_center:int>>"
@@ -27,15 +27,23 @@ def windows(c: Column, head: int = HEAD, radius: int = RADIUS) -> Column:
 
     Anchors are looked for in the whole text: one that straddles the head's end isn't cut into another.
     """
-    text = trimmed(text_or_empty(c))
-    size = F.length(text)
-    anchor = F.get(F.filter(found(text, P.java(P.ANCHORS, True)), lambda m: m["index"] > head), F.lit(0))
-    center = anchor["index"] + F.floor(F.length(anchor["match"]) / 2)
-    first = _window(0, text, "HEAD", F.lit(0), F.least(F.lit(head), size))
-    near = _window(1, text, "ANCHOR_LOCUS", F.greatest(F.lit(0), center - radius), F.least(size, center + radius), center)
-    long = F.when(anchor.isNotNull(), F.array(first, near)).otherwise(F.array(first))
-    short = F.array(_window(0, text, "FULL", F.lit(0), size))
-    return F.when(is_blank(c), F.array().cast(WINDOWS)).when(size <= SHORT, short.cast(WINDOWS)).otherwise(long.cast(WINDOWS))
+    none = F.array().cast(WINDOWS)
+
+    def of(text: Column) -> Column:
+        size = F.length(text)
+        first = _window(0, text, "HEAD", F.lit(0), F.least(F.lit(head), size))
+
+        def around(anchor: Column) -> Column:
+            center = anchor["index"] + F.floor(F.length(anchor["match"]) / 2)
+            near = _window(1, text, "ANCHOR_LOCUS", F.greatest(F.lit(0), center - radius), F.least(size, center + radius), center)
+            return F.when(anchor.isNotNull(), F.array(first, near).cast(WINDOWS)).otherwise(F.array(first).cast(WINDOWS))
+
+        anchors = F.filter(found(text, P.java(P.ANCHORS, True)), lambda m: m["index"] > head)
+        long = F.when(text.rlike(P.java(P.ANCHORS, True)), let(F.get(anchors, F.lit(0)), around)).otherwise(F.array(first).cast(WINDOWS))
+        short = F.array(_window(0, text, "FULL", F.lit(0), size)).cast(WINDOWS)
+        return F.when(size == 0, none).when(size <= SHORT, short).otherwise(long)
+
+    return let(trimmed(text_or_empty(c)), of)
 
 
 def chunked(text: str | None, most: int = 8000, overlap: int = 600) -> Iterator[tuple[int, str, int, int]]:

@@ -17,6 +17,7 @@ from gristmill.operators.windows import priority, windows, with_chunks
 from gristmill.plans import sql as Q
 from gristmill.plans.ship import ship
 from gristmill.sources import files, store
+from gristmill.sources.tables import read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,10 +33,6 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
     return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
