@@ -16,11 +16,15 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.shared import by_size, written
+
 #: Labelled documents a language and words a language that the network learns from: the bounds of the training sample.
 DOCUMENTS, TOKENS = 150, 8000
 HIDDEN, SEGMENT = 16, 24
 STEPS, BATCH, RATE, SEED = 240, 384, 0.02, 11
-STORE = 250_000
+STORE = 200_000
+#: Rows whose texts are taken out of Arrow at once.
+SLICE = 512
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -137,14 +141,14 @@ class Network:
         return self
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        """For each word: summed log-probabilities, summed probabilities, number of positions, over the bytes that can be letters."""
+        """For each word: summed log-probabilities, summed probabilities, number of positions."""
         out = np.zeros((len(words), 2 * len(self.languages) + 1), np.float32)
         order = np.argsort([len(w) for w in words], kind="stable")
         for at in range(0, len(words), 2048):
             take = order[at : at + 2048]
             x, lengths = padded([words[i] for i in take])
             logp = self.positions(x, lengths)
-            m = ((x >= 97) & (x <= 122) | (x >= 128) & (x < 256)).astype(np.float32)[:, :, None]
+            m = (x < 256).astype(np.float32)[:, :, None]
             out[take] = np.concatenate([(logp * m).sum(1), (np.exp(logp) * m).sum(1), m.sum(1)], 1)
         return out
 
@@ -157,42 +161,51 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, lengths
 
 
+#: ASCII letters in lower case; everything else in ASCII is a gap. Other bytes stay: they are parts of letters, mostly.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
 def words_of(text: str) -> list[bytes]:
-    """The words' bytes, ASCII letters in lower case; longer words in segments."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
+    """The words' bytes; longer words in segments."""
+    found = text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
     if max(map(len, found), default=0) <= SEGMENT:
         return found
     return [w[k : k + SEGMENT] for w in found for k in range(0, len(w), SEGMENT)]
 
 
 class Reader:
-    """A network with its store of words."""
+    """A network with its store of words: those met last, and those met before them."""
 
     def __init__(self, network: Network) -> None:
-        self.network, self.place = network, {}
-        self.table = np.zeros((0, 2 * len(network.languages) + 1), np.float32)
+        self.network = network
+        self.width = 2 * len(network.languages) + 1
+        self.place: dict[bytes, int] = {}
+        self.table = np.zeros((0, self.width), np.float32)
+        self.older, self.older_table = self.place, self.table
 
     def rows(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
-        new = [*{w for t in texts for w in t if w not in self.place}]
+        new = {w for t in texts for w in t if w not in self.place}
         if len(self.place) + len(new) > STORE:
-            self.place.clear()
-            self.table = self.table[:0]
-            new = [*{w for t in texts for w in t}]
+            self.older, self.older_table = self.place, self.table
+            self.place, self.table = {}, self.table[:0]
+            new = {w for t in texts for w in t}
         if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.network.words(new)])
+            known, unknown = [w for w in new if w in self.older], [w for w in new if w not in self.older]
+            self.place.update(zip([*known, *unknown], range(len(self.place), len(self.place) + len(new)), strict=True))
+            old = self.older_table[np.fromiter(map(self.older.__getitem__, known), np.int64, len(known))]
+            self.table = np.concatenate([self.table, old, self.network.words(unknown)])
         for t in texts:
             yield self.table[np.fromiter(map(self.place.__getitem__, t), np.int64, len(t))].sum(0, dtype=np.float64)
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         langs = self.network.languages
         n = len(langs)
-        for k in range(0, len(texts), 64):
-            some = [t if t and n and _LETTER.search(t) else None for t in texts[k : k + 64]]
+        for k in range(0, len(texts), 128):
+            some = [t if t and n and _LETTER.search(t) else None for t in texts[k : k + 128]]
             for t, row in zip(some, self.rows([words_of(t) if t else [] for t in some]), strict=True):
                 if t is None:
                     yield UNKNOWN, 0.0
-                else:  # letters that no byte from a to z and none from 128 on is part of don't exist
+                else:  # every letter has a byte from a to z or from 128 on
                     best = int(np.argmax(row[:n]))
                     yield langs[best], min(1.0, float(row[n + best] / row[2 * n]))
 
@@ -208,8 +221,8 @@ def training_sample(docs: DataFrame, per_language: int = DOCUMENTS) -> DataFrame
     """
     usable = docs.filter((remainder(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     by = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= per_language).select("doc_id", "lang").distinct()
-    return usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
+    chosen = written(usable.select("doc_id", "lang").withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= per_language).select("doc_id", "lang").distinct(), "chosen")
+    return usable.select("doc_id", "lang", "text").join(by_size(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 
 def train(docs: DataFrame, per_language: int = DOCUMENTS, tokens: int = TOKENS) -> Network:
@@ -241,7 +254,7 @@ def identify(docs: DataFrame, network: Network, keep: bool = False) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(network)
         at, ids = docs_columns.index("text"), docs_columns.index("doc_id")
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             found = [*reader.predict(batch.column(at).to_pylist())]
             held = [zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 0 for d in batch.column(ids).to_pylist()]
             kept = batch.columns if keep else [batch.column(ids)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"{CONF} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="gristmill-")
@@ -38,6 +41,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be sent to every executor, some bytes each.
+FEW_IDS = 500_000
+
+
+def by_size(ids: DataFrame, few: int = FEW_IDS) -> DataFrame:
+    """A written table of ids, marked for broadcast if it is counted and small; else joins with it shuffle, and nothing is sent everywhere."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(ids) if ids.count() <= few else ids
+
+
 def drop_written(spark: SparkSession) -> None:
     """Deletes what `written` has left in the shared folder for this application."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
