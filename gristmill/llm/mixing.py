@@ -61,21 +61,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     Rows that repeat a doc_id share a key and stand by size; equal rows are interchangeable. Sources without words have
     target 0. An empty table gives an empty result.
     """
-    docs = docs.drop("source_size", "target", "taken", "_key", "_range")
-    docs = docs.withColumns({"size": F.coalesce(F.col("size"), F.lit(0)).cast("long"), "_key": random_key(F.col("doc_id"), seed)}).withColumn("_range", F.substring("_key", 1, digits))
-    sums = docs.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    docs = docs.drop("source_size", "target", "taken", "_key", "_range", "_name", "_nameless")
+    docs = docs.withColumns({"size": F.coalesce(F.col("size"), F.lit(0)).cast("long"), "_key": random_key(F.col("doc_id"), seed), "_name": F.coalesce("source", F.lit("")), "_nameless": F.col("source").isNull()}).withColumn("_range", F.substring("_key", 1, digits))
+    of = ["_name", "_nameless"]  # without nulls, so that the join and the running sums below are dealt by the same columns, once
+    sums = docs.groupBy(*of, "_range").agg(F.sum("size").alias("_sum"))
+    ahead = Window.partitionBy(*of).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sums.withColumn("_before", F.sum("_sum").over(ahead) - F.col("_sum"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
-    places = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(F.col("o.source").alias("_s"), F.col("o._range").alias("_r"), "_before", "source_size", "target")
-    dealt = docs.join(places, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = sums.groupBy(*of).agg(F.sum("_sum").alias("source_size"))
+    targets = source_targets(totals.select(F.when(~F.col("_nameless"), F.col("_name")).alias("source"), "source_size"), weights, share, most)
+    targets = targets.select(F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_nameless"), "source_size", "target")
+    places = offsets.join(targets, of).select(*of, "_range", "_before", "source_size", "target")
+    dealt = docs.join(places, [*of, "_range"])
+    inside = Window.partitionBy(*of, "_range").orderBy("_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.col("_before") + F.sum("size").over(inside) - F.col("size")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return dealt.withColumn("taken", taken.cast("long")).drop("_key", "_range", "_s", "_r", "_before")
+    return dealt.withColumn("taken", taken.cast("long")).drop("_key", "_range", "_name", "_nameless", "_before")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
