@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.shared import written
+from gristmill.llm.shared import by_size, written
 
 WORDS = 5
 PERCENT = 85
@@ -132,7 +132,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Data
             sets = [shingle_set(t.as_py(), words, known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())], ["node", "shingles", "bits"])
 
-    few = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
+    few = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(by_size(wanted), "node", "left_semi")
     return few.mapInArrow(run, "node long, shingles binary, bits binary")
 
 
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     firsts = keyed.join(buckets, "key").filter("node <> first").groupBy("node", "first").agg(F.count("*").alias("met"))
     size = active.select("node", "n").distinct()
     met = written(sized(firsts.select(F.col("first").alias("a"), F.col("node").alias("b"), "met"), size, percent), "met")
-    sets = written(shingle_sets(docs, active.select("node").distinct(), words), "sets")
+    sets = written(shingle_sets(docs, written(active.select("node").distinct(), "nodes"), words), "sets")
 
     edges = written(confirmed(most_met(met), sets, percent), "edges")
     label = components(edges)
@@ -275,6 +275,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, **how: int) -> DataFrame:
+    """The rows of `docs`, all columns, without those whose group keeps another; of rows that repeat a doc_id one stays."""
+    gone = written(near_duplicates(docs, **how).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    kept = docs.join(by_size(gone), "doc_id", "left_anti").select(*docs.columns)
+    twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    rest, again = kept.join(by_size(twice), "doc_id", "left_anti"), kept.join(by_size(twice), "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return rest.unionByName(again.withColumn("_place", first).filter("_place = 1").drop("_place")).select(*docs.columns)
+
+
 def fits(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 

@@ -209,6 +209,12 @@ def test_near_duplicates_odd_rows(spark):
     assert got == sorted([(None, 3, 1, False), (1, 3, 1, True), (2, 0, 2, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (None, 0, None, True)], key=str)
 
 
+def test_one_of_each(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (3, "x y", "s"), (3, "x y", "s"), (3, "other", "s"), (4, None, "s"), (None, "null id", "s")], "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text) for r in near_dup.one_of_each(df).collect()), key=str)
+    assert got == sorted([(1, "a b c d e f g"), (3, "other"), (4, None), (None, "null id")], key=str)
+
+
 def test_bitmaps_bound_differences():
     import numpy as np
 
