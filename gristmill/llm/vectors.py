@@ -60,7 +60,7 @@ def blocks(vectors: DataFrame, n: int, zero: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[int, list[int]] = {}
         rows: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             of = batch.column(2).to_numpy()
             for b in np.unique(of).tolist():
                 k, v = valid(batch.filter(pa.array(of == b)), zero)
