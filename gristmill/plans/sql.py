@@ -55,9 +55,7 @@ def _luhn(m: str) -> str:
 def _iban(m: str) -> str:
     c = f"upper({replaced(m, '[{S}-]', '')})"
     turned = f"(substr({c}, 5) || substr({c}, 1, 4))"
-    step = "CASE WHEN x ~ '[A-Z]' THEN (a * 100 + ascii(x) - 55) % 97 ELSE (a * 10 + ascii(x) - 48) % 97 END"
     rest = f"list_reduce(list_transform(string_split({turned}, ''), lambda x: CASE WHEN x ~ '[A-Z]' THEN ascii(x) - 55 + 100 ELSE ascii(x) - 48 END), lambda a, x: CASE WHEN x >= 100 THEN (a * 100 + x - 100) % 97 ELSE (a * 10 + x) % 97 END, 0)"
-    del step
     return f"(length({c}) BETWEEN 15 AND 34 AND regexp_full_match({c}, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+') AND {rest} = 1)"
 
 
