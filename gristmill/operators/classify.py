@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
-from gristmill.functions.text import is_blank, trimmed
+from gristmill.functions.text import is_blank, let, trimmed
 from gristmill.operators.risk import ANSWER, CHUNKS
 from gristmill.operators.windows import priority
 
@@ -89,8 +89,11 @@ def single(text: Column, reply: Column, delay_ms: Column) -> Column:
 
 def clean_chunks(chunks: Column, candidates: Column) -> Column:
     """Rows of the chunks that aren't candidates."""
-    rest = F.filter(chunks, lambda c: ~F.exists(candidates, lambda x: x["chunk_index"] == c["chunk_index"]))
-    return F.transform(rest, lambda c: _row(c["chunk_index"], True, why=F.lit(P.TRIAGED_CLEAN))).cast(CHUNKS)
+    def rows(best: Column) -> Column:
+        rest = F.filter(chunks, lambda c: ~F.exists(best, lambda x: x["chunk_index"] == c["chunk_index"]))
+        return F.transform(rest, lambda c: _row(c["chunk_index"], True, why=F.lit(P.TRIAGED_CLEAN))).cast(CHUNKS)
+
+    return let(candidates, rows)
 
 
 def unavailable(candidates: Column, state: str = "unavailable") -> Column:
@@ -113,8 +116,7 @@ def judged(candidates: Column, replies: Column) -> Column:
 
 def chunk_results(chunks: Column, replies: Column | None = None, limit: int = 2) -> Column:
     """All chunks' rows: first those passed over, then the candidates'. Without replies the classifier is unavailable."""
-    best = priority(chunks, limit)
-    return F.concat(clean_chunks(chunks, best), unavailable(best) if replies is None else judged(best, replies))
+    return let(priority(chunks, limit), lambda best: F.concat(clean_chunks(chunks, best), unavailable(best) if replies is None else judged(best, replies)))
 
 
 def available(session: Provider) -> bool:

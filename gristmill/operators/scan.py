@@ -20,11 +20,12 @@ def found(text: Column, pattern: str) -> Column:
     empty = F.array().cast("array<struct<match:string,index:int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(F.get(gaps, x["k"]))
+        at = acc["at"] + F.length(x["gap"])
         return F.struct((at + F.length(x["match"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["match"].alias("match"), at.alias("index")))).alias("out"))
 
-    numbered = F.transform(hits, lambda m, k: F.struct(m.alias("match"), k.alias("k")))
-    return F.aggregate(numbered, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    # each match with the gap before it; the last gap has no match. Arrays named inside a lambda would be made anew for every element
+    paired = F.filter(F.zip_with(hits, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap"))), lambda x: x["match"].isNotNull())
+    return F.aggregate(paired, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def rule_matches(text: Column, rule: P.Rule) -> Column:
