@@ -48,7 +48,8 @@ def pieces(text: Column, pattern: str) -> Column:
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     step = lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["m"])).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).cast("int").alias("s"), (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).cast("int").alias("e"), x["m"].alias("m")))).alias("out"))
     start = F.struct(F.lit(0).alias("at"), none().alias("out"))
-    paired = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("m")))
+    # each match with the gap before it; the last gap has no match
+    paired = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(g.alias("gap"), m.alias("m"))), lambda x: x["m"].isNotNull())
     return F.when(text.rlike(pattern), F.aggregate(paired, start, step, lambda acc: acc["out"])).otherwise(none())
 
 
