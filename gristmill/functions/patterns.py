@@ -39,7 +39,7 @@ RULES = (
     Rule("email", "Email Address", r"{B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}{R}", "medium", 40, hint="@"),
     Rule("pan", "Permanent Account Number (Indian PAN Card)", r"{L}[A-Z]{5}[0-9]{4}[A-Z]{R}", "medium", 65, hint="[A-Z]{5}[0-9]{4}[A-Z]"),
     Rule("iban", "International Bank Account Number (IBAN)", r"{L}[A-Z]{2}[0-9]{2}(?:[0-9A-Za-z]{11,30}|(?:[{S}][0-9A-Za-z]{4}){2,7}(?:[{S}][0-9A-Za-z]{1,4})?){R}", "medium", 65, hint="[A-Z]{2}[0-9]{2}"),
-    Rule("api_key", "API Secret / Key", r"""{L}(?:sk-(?:proj-|ant-)?[a-zA-Z0-9_-]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{20,}|gh[pousr]_[A-Za-z0-9_]{36,}|xox[baprs]-[a-zA-Z0-9]{10,}|ya29\.[a-zA-Z0-9_-]{50,}|AQ[a-zA-Z0-9_-]{40,}){B}|(?:[A-Za-z0-9_]*(?:SECRET|KEY|PASSWORD|TOKEN|AUTH|PASS|CREDENTIAL|PRIVATE|DATABASE_URL|DB_URL)[A-Za-z0-9_]*)[{S}]*[:=][{S}]*['"]?[a-zA-Z0-9_.:/@-]{8,}['"]?""", "critical", 100, True, hint=r"[:=]|sk-|akia|aiza|gh[pousr]_|xox|ya29|aq[a-z0-9_-]{40}"),
+    Rule("api_key", "API Secret / Key", r"""{L}(?:sk-(?:proj-|ant-)?[a-zA-Z0-9_-]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{20,}|gh[pousr]_[A-Za-z0-9_]{36,}|xox[baprs]-[a-zA-Z0-9]{10,}|ya29\.[a-zA-Z0-9_-]{50,}|AQ[a-zA-Z0-9_-]{40,}){B}|{L}(?:[A-Za-z0-9_]*(?:SECRET|KEY|PASSWORD|TOKEN|AUTH|PASS|CREDENTIAL|PRIVATE|DATABASE_URL|DB_URL)[A-Za-z0-9_]*)[{S}]*[:=][{S}]*['"]?[a-zA-Z0-9_.:/@-]{8,}['"]?""", "critical", 100, True, hint=r"[:=]|sk-|akia|aiza|gh[pousr]_|xox|ya29|aq[a-z0-9_-]{40}"),
     Rule("database_url", "Database Connection String", r"""{L}(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|mssql|oracle|sqlite)://[^{S}'"]{8,}{B}""", "critical", 100, True, hint="://"),
     Rule("national_id", "National Identity / Social Security Number", r"{L}(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}[{S}]?[0-9]{4}[{S}]?[0-9]{4}){R}", "high", 85, hint="[0-9]{4}"),
     Rule("phone", "Phone Number", r"{B}(?:\+?[0-9]{1,3}[-.{S}]?)?\(?[0-9]{3}\)?[-.{S}]?[0-9]{3}[-.{S}]?[0-9]{4}{R}", "low", 30, hint="[0-9]{4}"),

@@ -13,6 +13,17 @@ _LINE_END = r"(?=[\n\r\x{2028}\x{2029}]|\z)"
 _LINE_START = r"(?<![^\n\r\x{2028}\x{2029}])"
 
 
+BRACKET = r"\["
+
+
+def _run_start(chars: str) -> str:
+    """Where a run of `chars` starts, or where the last match ended: a match that begins inside a run could begin there too.
+
+    It keeps long runs from being tried at every character.
+    """
+    return rf"(?:\G|(?<![{chars}]))"
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with `value` computed once, however often `use` has it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -24,7 +35,7 @@ def text_or_empty(c: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space at both ends, in ECMAScript's meaning of it."""
-    return F.regexp_replace(c, f"^[{P.WS}]+|[{P.WS}]+\\z", "")
+    return F.regexp_replace(c, f"^[{P.WS}]+|(?<![{P.WS}])[{P.WS}]+\\z", "")
 
 
 def is_blank(c: Column) -> Column:
@@ -35,7 +46,7 @@ def normalize_text(c: Column) -> Column:
     """Line ends, runs of empty lines, blanks at line ends, filler lines, ends."""
     c = F.regexp_replace(text_or_empty(c), r"\r\n", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, rf"[ \t]+{_LINE_END}", "")
+    c = F.regexp_replace(c, rf"(?<![ \t])[ \t]+{_LINE_END}", "")
     c = F.regexp_replace(c, rf"{_LINE_START}[=\-_*#]{{5,}}{_LINE_END}", "")
     return trimmed(c)
 
@@ -43,7 +54,7 @@ def normalize_text(c: Column) -> Column:
 def repair_minimal(c: Column) -> Column:
     """Glues e-mail addresses that white space around @ and dots has broken. Texts without an @ are left alone."""
     whole = text_or_empty(c)
-    out = F.regexp_replace(whole, rf"([a-zA-Z0-9._%+-]+)[{P.WS}]*@[{P.WS}]*([a-zA-Z0-9.-]+)", "$1@$2")
+    out = F.regexp_replace(whole, rf"{_run_start('a-zA-Z0-9._%+-')}([a-zA-Z0-9._%+-]+)[{P.WS}]*@[{P.WS}]*([a-zA-Z0-9.-]+)", "$1@$2")
     out = F.regexp_replace(out, rf"@([a-zA-Z0-9.-]+)[{P.WS}]*\.[{P.WS}]*([a-zA-Z]{{2,}})", "@$1.$2")
     return F.when(F.contains(whole, F.lit("@")), out).otherwise(whole)
 
@@ -51,7 +62,7 @@ def repair_minimal(c: Column) -> Column:
 def repair_full(c: Column) -> Column:
     """What recognised text needs besides: other signs for @, dots before domains, runs of blanks. It also turns a lone "at" into @."""
     c = F.regexp_replace(text_or_empty(c), r"\r\n", "\n")
-    c = F.regexp_replace(c, rf"(?i)[{P.WS}(\[]+(?:@|©|®|at|\(a\))[{P.WS})\]]+", "@")
+    c = F.regexp_replace(c, rf"(?i){_run_start(P.WS + '(' + BRACKET)}[{P.WS}(\[]+(?:@|©|®|at|\(a\))[{P.WS})\]]+", "@")
     c = repair_minimal(c)
     c = F.regexp_replace(c, P.java(r"\.[{S}]*(com|edu|org|gov|net|io|ai|in|ac|uk|de|ca){B}", True), ".$1")
     return F.regexp_replace(c, r"[ \t]{2,}", " ")

@@ -101,3 +101,41 @@ def test_live_provider(spark):
 def test_parsed_defaults(spark):
     got = values(spark, ["null", "", "{}", '{"sensitive": true, "confidence": 0.3}', "A security risk"], classify.parsed(F.col("t")))
     assert [tuple(r[0]) for r in got] == [(False, None, 0.0), (False, None, 0.0), (False, None, 0.0), (True, "confidential_context", 0.3), (True, "confidential_context", 0.85)]
+
+
+def test_repairs_equal_plain(spark):
+    """Random texts against the patterns as they are written, without what keeps long runs cheap."""
+    import random
+    import re
+
+    def minimal(t):
+        t = re.sub(r"([a-zA-Z0-9._%+-]+)\s*@\s*([a-zA-Z0-9.-]+)", r"\1@\2", t)
+        return re.sub(r"@([a-zA-Z0-9.-]+)\s*\.\s*([a-zA-Z]{2,})", r"@\1.\2", t)
+
+    def full(t):
+        t = re.sub(r"[\s(\[]+(?:@|©|®|at|\(a\))[\s)\]]+", "@", t.replace("\r\n", "\n"), flags=re.I)
+        t = re.sub(r"\.\s*(com|edu|org|gov|net|io|ai|in|ac|uk|de|ca)\b", r".\1", minimal(t), flags=re.I | re.A)
+        return re.sub(r"[ \t]{2,}", " ", t)
+
+    def normal(t):
+        t = re.sub(r"\n{3,}", "\n\n", t.replace("\r\n", "\n"))
+        t = re.sub(r"[ \t]+$", "", t, flags=re.M)
+        return re.sub(r"^[=\-_*#]{5,}$", "", t, flags=re.M).strip()
+
+    r = random.Random(8)
+    bits = ["a", "b_", "@", ".", " ", "  ", "\t", "(", "[", ")", "]", "at", "(a)", "©", "com", "org", "+", "-", "%", "\n", "\r\n", "=====", "-----x"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 25))) for _ in range(3000)]
+    t = F.col("t")
+    for text, got in zip(texts, values(spark, texts, T.repair_minimal(t), T.repair_full(t), T.normalize_text(t)), strict=True):
+        assert got == (minimal(text), full(text), normal(text)), repr(text)
+
+
+def test_long_runs(spark):
+    import time
+
+    from gristmill.operators.scan import with_matches
+
+    texts = ["A" * 300_000 + " : @", " " * 200_000 + "x", "( " * 50_000 + "@", "-----BEGIN PRIVATE KEY----- " * 1000]
+    began = time.time()
+    rows = with_matches(spark.createDataFrame([(t,) for t in texts], "text string")).select(F.size("matches"), T.normalize_text(F.col("text"))).collect()
+    assert rows[3][0] == 1000 and rows[1][1] == "x" and time.time() - began < 60
