@@ -3,7 +3,9 @@ r"""HTML extraction by nearest-URL page differencing.
 Pages become lines, a line for each block of text. Within a host, different pages are sorted by URL path; a page is paired with the
 neighbour whose path agrees with its own the longest. The two pages' lines are aligned by longest common subsequence, and what
 both share is deleted: menus, notices, footers. Markup is asked first where it speaks: lines of `<article>` are the text and are never
-deleted, lines of menus, forms, adverts, comments and the like never are the text.
+deleted, lines of menus, forms, adverts, comments and the like never are the text. Names of classes and ids are a weak sign: an article or
+main part inside an element that only they exclude is the text too, unless the page has an article elsewhere; inside an article ids say
+nothing. A form that wraps a page is no form.
 
 Pairing sorts only URLs and hashes of lines. The sort is by range over all hosts, so that no host is one task; neighbours across
 the borders of ranges come from the ranges' first and last rows.
@@ -23,35 +25,69 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.shared import written
 
-ARTICLE, MAIN, OPEN, NEVER = 3, 2, 1, 0
+#: Kinds of lines. SHUT: excluded by the names of a class or id alone; HELD: of an article or main part inside that. _MAIN: inside a main part.
+ARTICLE, MAIN, OPEN, NEVER, SHUT, SHUT_MAIN, HELD, HELD_MAIN = 3, 2, 1, 0, 4, 5, 6, 7
 
 #: Names from the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-REMOVED = frozenset("nav header footer aside form menu dialog search button select option datalist fieldset label head svg math object audio video canvas map".split())
+REMOVED = frozenset("nav header footer aside form menu dialog search button select option datalist fieldset label head svg object audio video canvas map".split())
 ENDED_BY_BLOCK = frozenset("p".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|newsletter|subscri\w*|signup|popup|modal|overlay|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|login|search|widgets?|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of class names and ids. A name excludes only if all its words are marked or filling: "ad-slot", but not "social-policy" or "no-sidebar".
+FOREIGN = r"ad|ads|advert\w*|sponsor\w*|promo\w*|comments?|disqus|repl(?:y|ies)|respond|related|recommend\w*"
+MARKED = rf"{FOREIGN}|banner|cookies?|consent|gdpr|notice|newsletter|subscri\w*|signup|popup|modal|overlay|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|share|sharing|social|login|pagination|pager|toolbar|search|widgets?|skip"
+FILLING = r"area|bar|block|bottom|box|btn|buttons?|col|column|container|content|desktop|div|entry|form|global|google|group|header|holder|icons?|inner|item|items|js|left|link|links|list|main|mobile|outer|page|panel|post|posts|primary|right|row|secondary|section|site|slot|stories|thread|to|top|unit|wp|wrap|wrapper|\d+(?:x\d+)?"
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|\s)[_-]*(?:(?:{FILLING})[_-]+)*(?:{words})(?:[_-]+(?:{MARKED}|{FILLING}))*[_-]*(?:$|\s)", re.I)
+
+
+_FOREIGN, _MARKED = _names(FOREIGN), _names(MARKED)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _WORTH = re.compile("class|id|role|style|hidden", re.I)
+_PARTS = re.compile(r"<(/?)(form|article|main|nav|footer)(?=[\s/>])[^<>]*>?", re.I)
+_BODY_START = re.compile(r"<body(?=[\s/>])[^<>]*>(?:\s|<div(?=[\s>])[^<>]*>)*", re.I)
+_BODY_END = re.compile(r"(?:\s|</div\s*>|<script(?=[\s>]).*?</script\s*>|<!--.*?-->)*(?:</body|</html|$)", re.I | re.S)
+TEXTS = (ARTICLE, HELD, HELD_MAIN)
 
 
-def marked(name: str, attributes: str) -> bool:
-    """Whether the element is never part of the text, by its attributes."""
+def excluded(name: str, attributes: str, kind: int) -> int | None:
+    """NEVER or SHUT where attributes exclude an element that stands in text of `kind`, None where they don't."""
     if name in ("html", "body", "main", "article") or not _WORTH.search(attributes):
-        return False
+        return None
+    found = None
     for k, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = k.lower(), html.unescape(a or b or c)
-        if key in ("class", "id") and MARKED.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return NEVER
+        if key == "class" or key == "id" and kind not in TEXTS:
+            # what is shut already stays so, but articles among comments, adverts and the like in it aren't held
+            if (_FOREIGN if kind in (SHUT, SHUT_MAIN) else _MARKED).search(value):
+                found = NEVER if kind not in (OPEN, MAIN) else SHUT
+    return found
+
+
+def wrapping_forms(page: str) -> set[int]:
+    """Where those forms begin that wrap the page or hold its main parts."""
+    found: set[int] = set()
+    body, opened, part = _BODY_START.search(page), [], -1
+    ends = [(m.group(1), m.group(2).lower(), m.start(), m.end()) for m in _PARTS.finditer(page)]
+    for slash, name, start, end in [*ends, *[("/", "form", len(page), len(page))] * len(ends)]:
+        if name != "form":
+            part = part if slash else start
+        elif not slash:
+            opened.append(start)
+        elif opened:
+            first = opened.pop()
+            if part > first or body and body.end() == first and _BODY_END.match(page, end):
+                found.add(first)
+    return found
 
 
 def tag_end(page: str, at: int) -> int:
@@ -75,6 +111,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     parts: list[str] = []
     regions: list[tuple[str, int, dict[str, int]]] = []  # element, kind, open elements in it
     kind, at, end = OPEN, 0, len(page)
+    forms: set[int] | None = None
     last_close = page.rfind(">")
 
     def flush() -> None:
@@ -140,10 +177,18 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             continue
         new = None
         if kind != NEVER:
-            if name in REMOVED and not (name == "header" and kind == ARTICLE) or marked(name, attributes):
+            new = excluded(name, attributes, kind)
+            form = name == "form" and kind not in TEXTS and new != NEVER
+            if form and forms is None:
+                forms = wrapping_forms(page)
+            if form and lt in forms:
+                new = None
+            elif name in REMOVED and not (name == "header" and kind in TEXTS):
                 new = NEVER
-            elif name == "article":
-                new = ARTICLE
+            elif new == SHUT:
+                new = SHUT_MAIN if kind == MAIN else SHUT
+            elif name == "article" or name == "main" and kind == SHUT:
+                new = {SHUT: HELD, SHUT_MAIN: HELD_MAIN, HELD: HELD, HELD_MAIN: HELD_MAIN}.get(kind, ARTICLE)
             elif name == "main" and kind == OPEN:
                 new = MAIN
         if new is not None:
@@ -263,8 +308,8 @@ def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
     kinds = {k for k, _ in lines}
     if ARTICLE in kinds:
         return "\n".join(t for k, t in lines if k == ARTICLE)
-    wanted = MAIN if MAIN in kinds else OPEN
-    return "\n".join(t for n, (k, t) in enumerate(lines) if k == wanted and n not in shared)
+    wanted, held = (MAIN, (HELD_MAIN,)) if kinds & {MAIN, HELD_MAIN} else (OPEN, (HELD,))
+    return "\n".join(t for n, (k, t) in enumerate(lines) if k in held or k == wanted and n not in shared)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -281,7 +326,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             urls, found = [host_and_path(u) for u in batch.column(1).to_pylist()], [lines_of(h.as_py() or "") for h in batch.column(2)]
             # lines that can't be part of the text keep their place alone
-            bare = [["" if k == NEVER else t for k, t in x] for x in found]
+            bare = [["" if k in (NEVER, SHUT, SHUT_MAIN) else t for k, t in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([u[0] for u in urls], pa.string()), pa.array([digest(x) for x in found], pa.binary()), pa.array([bytes(k for k, _ in x) for x in found], pa.binary()), pa.array(bare, pa.list_(pa.string()))], ["page_id", "url", "host", "digest", "kinds", "texts"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,6 +135,29 @@ def test_lines():
     assert html_text.lines_of("x<!-- never ends") == [(1, "x")]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class='layout has-sidebar'><div class='sidebar'>side</div><article>a<p>b</article></div>", "a\nb"),
+        ("<div class='site no-sidebar'>a</div>", "a"),
+        ("<div class='page sidebar-left'><nav>n</nav><article>a</article><div class='comments'><article>reader</article></div></div>", "a"),
+        ("<form id='aspnetForm'><div class='menu'>m</div><article>a</article></form>", "a"),
+        ("<html><body><form id='aspnetForm'><label>l</label><div>a</div></form></body></html>", "a"),
+        ("<body><form id='aspnetForm'><form class='search'><div>s</div></form><nav>n</nav><div>a</div></form>", "a"),
+        ("<div id='search'><main>a<article>b</article></main></div>", "a\nb"),
+        ("<div>a</div><form><div>f</div></form><div>b</div>", "a\nb"),
+        ("<article><h2 id='related-work'>a</h2><section id='social-policy'>b</section><p id='search'>c</p><div class='social-policy'>d</div></article>", "a\nb\nc\nd"),
+        ("<article>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math></article>", "a x=2"),
+        ("<article>a<div class='ad-slot box'>x</div><div class='related-posts'>x</div><div hidden>x</div></article>", "a"),
+        ("<article>a</article><div class='comments'><article>reader</article></div>", "a"),
+        ("<main>a<div class='sidebar-left'><article>b</article>x</div></main><div class='promo'><article>x</article></div>", "a\nb"),
+        ("<nav><article>x</article></nav><div hidden><article>x</article></div><div>a</div>", "a"),
+    ],
+)
+def test_exclusion_leaves_articles(html, text):
+    assert html_text.main_text(html_text.lines_of(html), set()) == text
+
+
 def test_differencing(spark):
     menu, notice = "<div>Home | About | Shop</div>", "<div>Read our terms</div>"
     body = lambda t: f"<html><body>{menu}<div>{t}</div>{notice}<div>{t} again</div></body></html>"
