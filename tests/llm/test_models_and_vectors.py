@@ -318,3 +318,22 @@ def test_pipeline(spark):
     tok = bpe.Tokenizer(bpe.public_path())
     for r in rows[:20]:
         assert r.n_tokens == len([*tok.encode(text[r.doc_id])])
+
+
+def stage_rows(spark, stage, rows):
+    """What a stage keeps of (doc_id, text, ...) rows, as sorted (doc_id, text)."""
+    docs = spark.createDataFrame([(*r, *(None, "web", len(r[1] or ""))[len(r) - 2 :]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SMALL).collect()), key=str)
+
+
+def test_pipeline_links_from_four_fifths(spark):
+    import corpus_pipeline as p
+
+    rows, keep = [], []
+    for g, (n, changed) in enumerate([(55, (20,)), (44, (20,)), (200, (20, 60, 100, 140)), (49, (20,)), (48, (20,)), (40, (20,))] * 20):
+        words = [f"g{g}w{k}" for k in range(n)]
+        other = [w + "x" if k in changed else w for k, w in enumerate(words)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        same, shingles = n - 4 - 5 * len(changed), n - 4 + 5 * len(changed)
+        keep += [rows[-2]] + [rows[-1]] * (same / shingles < 0.8)
+    assert stage_rows(spark, p.near_duplicates, rows) == sorted(keep, key=str)
