@@ -14,17 +14,17 @@ from gristmill.llm.shared import written
 from gristmill.plans.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Mean probability that a document's positions must give to its language.
-SURE = 0.3
+#: Mean entropy of a document's positions, as a share of the largest possible, from which on no language fits it.
+DOUBT = 0.9
 #: Near copies share so many hundredths of their shingles. With 3 rows and 24 sub-keys a pair at 0.8 is missed with probability 4.9e-7.
 SIMILAR, SUB_KEYS = 80, 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that fits them, go; `lang` of the others is the predicted one where none is given."""
+    """Documents without letters, or where no position speaks for a language, go; those that mix languages stay; `lang` of the others is the predicted one where none is given."""
     ship(spark)
     found = lang_id.identify(docs, lang_id.train(docs), keep=True)
-    kept = found.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= SURE))
+    kept = found.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("doubt") < DOUBT))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

@@ -141,15 +141,16 @@ class Network:
         return self
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        """For each word: summed log-probabilities, summed probabilities, number of positions."""
-        out = np.zeros((len(words), 2 * len(self.languages) + 1), np.float32)
+        """For each word: summed log-probabilities, summed probabilities, number of positions, summed entropies."""
+        out = np.zeros((len(words), 2 * len(self.languages) + 2), np.float32)
         order = np.argsort([len(w) for w in words], kind="stable")
         for at in range(0, len(words), 2048):
             take = order[at : at + 2048]
             x, lengths = padded([words[i] for i in take])
             logp = self.positions(x, lengths)
             m = (x < 256).astype(np.float32)[:, :, None]
-            out[take] = np.concatenate([(logp * m).sum(1), (np.exp(logp) * m).sum(1), m.sum(1)], 1)
+            p = np.exp(logp)
+            out[take] = np.concatenate([(logp * m).sum(1), (p * m).sum(1), m.sum(1), -(p * logp * m).sum((1, 2))[:, None]], 1)
         return out
 
 
@@ -178,7 +179,7 @@ class Reader:
 
     def __init__(self, network: Network) -> None:
         self.network = network
-        self.width = 2 * len(network.languages) + 1
+        self.width = 2 * len(network.languages) + 2
         self.place: dict[bytes, int] = {}
         self.table = np.zeros((0, self.width), np.float32)
         self.older, self.older_table = self.place, self.table
@@ -197,17 +198,18 @@ class Reader:
         for t in texts:
             yield self.table[np.fromiter(map(self.place.__getitem__, t), np.int64, len(t))].sum(0, dtype=np.float64)
 
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, float]]:
+        """Language, score and doubt: the mean entropy of the positions as a share of the largest possible."""
         langs = self.network.languages
         n = len(langs)
         for k in range(0, len(texts), 128):
             some = [t if t and n and _LETTER.search(t) else None for t in texts[k : k + 128]]
             for t, row in zip(some, self.rows([words_of(t) if t else [] for t in some]), strict=True):
                 if t is None:
-                    yield UNKNOWN, 0.0
+                    yield UNKNOWN, 0.0, 1.0
                 else:  # every letter has a byte from a to z or from 128 on
                     best = int(np.argmax(row[:n]))
-                    yield langs[best], min(1.0, float(row[n + best] / row[2 * n]))
+                    yield langs[best], min(1.0, float(row[n + best] / row[2 * n])), float(row[2 * n + 1] / row[2 * n] / np.log(n)) if n > 1 else 0.0
 
 
 def remainder(doc_id: Column) -> Column:
@@ -243,12 +245,15 @@ RESULT = "held_out boolean, lang_pred string, score double"
 
 
 def identify(docs: DataFrame, network: Network, keep: bool = False) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every whole text; with keep=True all columns of `docs` and these.
+    """(doc_id, held_out, lang_pred, score) of every whole text; with keep=True all columns of `docs`, these and doubt.
+
+    doubt is near 1 where no position tells one language from others, whatever languages the text mixes.
 
     A text that is null or has no letters is `und` with score 0, as is every text if nothing was learned. Predictions take the
     text alone. Rows are independent: ties, repeated rows and empty tables need nothing special. Older columns named like results are replaced.
     """
-    names = [x.split()[0] for x in RESULT.split(", ")]
+    result = RESULT + ", doubt double" * keep
+    names = [x.split()[0] for x in result.split(", ")]
     docs = docs.drop(*names) if keep else docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +263,8 @@ def identify(docs: DataFrame, network: Network, keep: bool = False) -> DataFrame
             found = [*reader.predict(batch.column(at).to_pylist())]
             held = [zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 0 for d in batch.column(ids).to_pylist()]
             kept = batch.columns if keep else [batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(held, pa.bool_()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*(docs_columns if keep else ["doc_id"]), *names])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(held, pa.bool_()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *[pa.array([x[2] for x in found], pa.float64())] * keep], [*(docs_columns if keep else ["doc_id"]), *names])
 
     docs_columns = docs.columns
     kept = [f for f in docs.schema if keep or f.name == "doc_id"]
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", {RESULT}")
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", {result}")

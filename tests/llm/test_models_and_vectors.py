@@ -337,3 +337,18 @@ def test_pipeline_links_from_four_fifths(spark):
         same, shingles = n - 4 - 5 * len(changed), n - 4 + 5 * len(changed)
         keep += [rows[-2]] + [rows[-1]] * (same / shingles < 0.8)
     assert stage_rows(spark, p.near_duplicates, rows) == sorted(keep, key=str)
+
+
+def test_pipeline_keeps_mixed_languages(spark):
+    import corpus_pipeline as p
+
+    texts = {}
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang", "source", "n_chars")
+    for r in given.orderBy("doc_id").collect():
+        if len(r.text.split()) >= 60:
+            texts.setdefault(r.lang, []).append(r.text.split()[:60])
+    mixed = [(10**9 + k, " ".join(w for part in parts for w in part)) for k, parts in enumerate(zip(*(texts[k][:40] for k in sorted(texts)), strict=False))]
+    odd = [(2 * 10**9, None), (2 * 10**9 + 1, "12 34 --")]
+    docs = given.unionByName(spark.createDataFrame([(*r, None, "web", 0) for r in mixed + odd], given.schema))
+    kept = {r.doc_id for r in p.language_id(spark, docs, SMALL).collect() if r.doc_id >= 10**9}
+    assert len(texts) == 4 and len(mixed) > 10 and kept == {k for k, _ in mixed}
