@@ -5,7 +5,8 @@ the base64 alphabet that holds a digit and a letter, a window of 20 characters s
 characters change by one that enters and one that leaves, and with them the sum of n log2 n from which Shannon's
 entropy follows. Hexadecimal strings and others have thresholds of their own. Windows that reach the threshold make
 the span. Strings on the allow list (UUIDs, runs of the alphabet, placeholders) are passed over, as are strings that
-touch a base span.
+touch a base span. With parts=True, which the pipeline uses and the query's SQL doesn't, base spans and the allow list's words are cut
+out of a string instead, and windows slide along each part that remains.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ ALLOW = (
     r"(?i)(abcdefghij|0123456789abcdef|example|placeholder|changeme|your[_-])",
     r"^[0-9+/_=-]+$",
 )
+#: Those of the allow list that speak of a whole string, and the words.
+WHOLE, WORDS = (ALLOW[0], ALLOW[2]), ALLOW[1]
 MICRO = 1_000_000
 #: n log2 n in millionths of a bit for n = 0 .. WINDOW: whole numbers, so that sums are exact and the same everywhere.
 WEIGHT = [round(n * math.log2(n) * MICRO) if n else 0 for n in range(WINDOW + 1)]
@@ -86,14 +89,36 @@ def noisy_span(found: Column) -> Column:
     return F.aggregate(codes, start, step, lambda acc: F.when(acc["first"] >= 0, F.struct((found["s"] + acc["first"]).alias("s"), (found["s"] + acc["last"]).alias("e"))))
 
 
-def entropy_spans(text: Column, base: Column) -> Column:
-    def wanted(x: Column) -> Column:
-        listed = F.lit(False)
-        for pattern in ALLOW:
-            listed = listed | x["m"].rlike(pattern)
-        return ~listed & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+def touching(base: Column, x: Column) -> Column:
+    return F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
-    found = F.transform(F.filter(pieces(text, CANDIDATE), wanted), noisy_span)
+
+def listed(x: Column, patterns: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for pattern in patterns:
+        out = out | x["m"].rlike(pattern)
+    return out
+
+
+def remains(found: Column, base: Column) -> Column:
+    """The parts of a candidate, WINDOW long at least, beside base spans and words of the allow list: array<struct<s,e,m>>."""
+    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    spans_in = F.transform(touching(base, found), lambda b: span(b["s"], b["e"]))
+    words = F.transform(pieces(found["m"], WORDS), lambda w: span(found["s"] + w["s"], found["s"] + w["e"]))
+    cuts = F.concat(F.array_sort(F.concat(spans_in, words)), F.array(span(found["e"], found["e"])))
+    part = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.substring(found["m"], s - found["s"] + 1, e - s).alias("m"))
+    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(part(acc["at"], x["s"])))).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(cuts, F.struct(found["s"].cast("int").alias("at"), none().alias("out")), step, lambda acc: acc["out"])
+
+
+def entropy_spans(text: Column, base: Column, parts: bool = False) -> Column:
+    runs = pieces(text, CANDIDATE)
+    if parts:
+        left = F.flatten(F.transform(F.filter(runs, lambda x: ~listed(x, WHOLE)), lambda x: remains(x, base)))
+        wanted = F.filter(left, lambda x: x["m"].rlike("[0-9]") & ~listed(x, WHOLE))
+    else:
+        wanted = F.filter(runs, lambda x: ~listed(x, ALLOW) & (F.size(touching(base, x)) == 0))
+    found = F.transform(wanted, noisy_span)
     kept = F.filter(found, lambda x: x.isNotNull())
     return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
 
@@ -103,7 +128,7 @@ def named(array: Column) -> Column:
     return F.array_join(F.transform(array, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"], x["e"])), ",")
 
 
-def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", parts: bool = False) -> DataFrame:
     """All columns of `docs` with base and spans: array<struct<s,k,e>> by start, then kind (place in KINDS).
 
     Nulls and empty texts have empty arrays. Offsets are code points, ends exclusive. Columns named base or spans are
@@ -114,7 +139,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     access = F.filter(pieces(whole, ACCESS), lambda x: F.length(x["m"]) >= ACCESS_LEAST)
     hexed = pieces(whole, HEX)
     out = docs.withColumn("base", F.array_sort(F.concat(spans(assign, 0), spans(access, 1), spans(hexed, 2))))
-    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), entropy_spans(whole, F.col("base")))))
+    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), entropy_spans(whole, F.col("base"), parts))))
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
