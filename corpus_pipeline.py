@@ -29,9 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; documents are linked from a similarity of 0.8 of their sets of five-word shingles on."""
+    """One document of each group stays; documents are linked from a similarity of 0.8 of their sets of five-word shingles on, whatever their ids."""
     ship(spark)
-    return near_dup.one_of_each(docs, percent=SIMILAR, m=SUB_KEYS).select(*COLUMNS)
+    return near_dup.one_of_each_text(docs, percent=SIMILAR, m=SUB_KEYS).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

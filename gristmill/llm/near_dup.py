@@ -289,6 +289,27 @@ def one_of_each(docs: DataFrame, **how: int) -> DataFrame:
     return rest.unionByName(again.withColumn("_place", first).filter("_place = 1").drop("_place")).select(*docs.columns)
 
 
+def one_of_each_text(docs: DataFrame, **how: int) -> DataFrame:
+    """The rows of `docs`, all columns, without those whose set of shingles is equal to or linked with that of a row that stays.
+
+    Of linked rows the one with the least doc_id stays; rows without id come last. Only rows of equal or linked sets go: ids
+    may repeat or be null. Of rows without shingles that repeat an id one stays.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if counts.isEmpty():
+        return one_of_each(docs, **how)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ids = rows.select(F.col("_row"), "doc_id", F.xxhash64("text").alias("_text"))
+    found = written(near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), "found")
+    placed = found.join(ids, "_row")
+    # rows without shingles are alike if they repeat an id
+    group = F.struct(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("d"), F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNull(), F.col("_row")).alias("r"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_text", "_row")
+    stay = placed.groupBy(group.alias("g")).agg(F.min_by("_row", order).alias("_row")).select("_row")
+    gone = written(found.select("_row").join(stay, "_row", "left_anti"), "gone")
+    return rows.join(by_size(gone), "_row", "left_anti").select(*docs.columns)
+
+
 def fits(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 

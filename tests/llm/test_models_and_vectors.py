@@ -352,3 +352,13 @@ def test_pipeline_keeps_mixed_languages(spark):
     docs = given.unionByName(spark.createDataFrame([(*r, None, "web", 0) for r in mixed + odd], given.schema))
     kept = {r.doc_id for r in p.language_id(spark, docs, SMALL).collect() if r.doc_id >= 10**9}
     assert len(texts) == 4 and len(mixed) > 10 and kept == {k for k, _ in mixed}
+
+
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(1, text(1)), (1, None), (1, text(2)), (2, text(2) + " more"), (3, text(3)), (3, text(3)), (None, text(4)), (None, text(4)), (None, text(4) + " more"), (None, text(5)), (None, text(1)), (4, None), (4, ""), (5, text(6))]
+    got = stage_rows(spark, p.near_duplicates, rows)
+    assert [r for r in got if r[0] in (1, 2, 3, 5)] == sorted([(1, text(1)), (1, None), (1, text(2)), (3, text(3)), (5, text(6))], key=str)
+    assert sorted(r[1][:3] for r in got if r[0] is None) == ["t4w", "t5w"] and sum(r[0] == 4 for r in got) == 1 and len(got) == 8
