@@ -258,29 +258,72 @@ def vector_rows():
     return rows + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [None] * 8), (304, [1.0, float("inf")] + [0.0] * 6), (None, rows[0][1])]
 
 
-@pytest.mark.parametrize("per_query, per_candidate", [(1024, 8192), (3, 40)])
-def test_searches_equal_plain(spark, per_query, per_candidate):
+@pytest.mark.parametrize("how", [{}, {"group_bytes": 300, "slice_bytes": 2000}])
+def test_searches_equal_plain(spark, monkeypatch, how):
+    monkeypatch.setattr(vectors, "ROWS", 40)
     rows = vector_rows()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    near = vectors.search(df, df.filter("vec_id % 20 = 0"), 20, vectors.nearest_in_tile, "double", False, per_query, per_candidate)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, rank int, bar int").repartition(5)
+    near = vectors.nearest(df, df.filter("vec_id % 20 = 0"), 20, **how)
     assert sorted(map(tuple, near.collect())) == plain_top(rows, 20, 20, lambda v: v if any(v) else None)
-    top = vectors.search(df, df.filter("vec_id % 50 = 0"), 5, vectors.top_in_tile(256), "long", True, per_query, per_candidate)
+    top = vectors.top_scores(df, df.filter("vec_id % 50 = 0"), 5, **how)
     assert sorted(map(tuple, top.collect())) == plain_top(rows, 50, 5, lambda v: [int(np.floor(256 * x)) for x in v])
 
 
-def test_lists_stop_early_and_stay_exact():
+def searched(task, ids, m, mod, block):
+    q = np.flatnonzero(ids % mod == 0)
+    task.add(ids[q], np.full(len(q), -np.inf), m[q])
+    for k in range(0, len(ids), block):
+        task.candidates(ids[k : k + block], m[k : k + block])
+    out = defaultdict(list)
+    for query, vec, score in task.rows():
+        out[query].append((vec, score))
+    return out
+
+
+def plain_search(ids, m, mod, k, score):
+    return {int(q): [(int(c), -s) for s, c in sorted((-score(m[at].tolist(), y), c) for y, c in zip(m.tolist(), ids.tolist(), strict=True) if c != q)[:k]] for at, q in enumerate(ids) if q % mod == 0}
+
+
+def test_lists_of_the_table_stop_early():
+    got = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.01/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, m = np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64)
+    task = vectors.TopScores(5)
+    whole = lambda x, y: sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(x, y, strict=True))
+    assert searched(task, ids, m, 50, 4096) == plain_search(ids, m, 50, 5, whole)
+    assert 0 < task.read < 0.9 * task.held  # lists are read, and not to their ends
+
+
+KINDS = {
+    "unit": lambda r: r.normal(0, 0.1, (500, 33)).astype(np.float32).astype(float), "scales": lambda r: r.normal(0, 1, (400, 9)) * 10.0 ** r.integers(-6, 6, (400, 1)),
+    "huge": lambda r: r.normal(0, 1, (150, 9)) * 10.0 ** r.integers(150, 200, (150, 1)), "largest": lambda r: r.normal(0, 1, (150, 5)) * 1e300, "tiny": lambda r: r.normal(0, 1, (150, 5)) * 1e-200,
+    "ties": lambda r: r.integers(-1, 2, (400, 4)).astype(float), "millions": lambda r: r.normal(0, 1e6, (200, 6)), "billions": lambda r: r.normal(0, 3e9, (200, 6)),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_tasks_equal_plain(kind):
+    def product(x, y):
+        total = 0.0
+        for a, b in zip(x, y, strict=True):
+            total += a * b
+        return vectors.order_of(total)
+
+    m = KINDS[kind](np.random.default_rng(4))
+    ids = np.arange(len(m))
+    near = {q: [(c, vectors.order_of(s)) for c, s in found] for q, found in searched(vectors.Nearest(20), ids, m, 20, 97).items()}
+    assert near == plain_search(ids, m, 20, 20, product)
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = lambda x, y: held(sum(vectors.exact(a, 256) * vectors.exact(b, 256) for a, b in zip(x, y, strict=True)))
+    assert searched(vectors.TopScores(5), ids, m, 20, 97) == plain_search(ids, m, 20, 5, whole)
+
+
+def test_bounds_hold():
     rng = np.random.default_rng(4)
-    c = rng.normal(0, 1, (3000, 16))
-    ids = np.arange(3000)
-    got = list(vectors.top_in_tile(256)(ids[:20], c[:20], ids, c, 5))
-    whole = np.floor(256 * c)
-    for q in range(20):
-        s = whole @ whole[q]
-        s[q] = -np.inf
-        best = sorted(range(3000), key=lambda k: (-s[k], k))[:5]
-        assert [x[1] for x in got if x[0] == q] == best
-    low, high = vectors.bounds(whole[:5], vectors.Lists(whole), 2000)
-    assert ((low <= whole[:5] @ whole.T + 1e-6) & (high >= whole[:5] @ whole.T - 1e-6)).all()
+    q, c = np.floor(256 * rng.normal(0, 1, (5, 16))), np.floor(256 * rng.normal(0, 1, (800, 16)))
+    for depth in (1, 100, 400, 700, 800):
+        low, high = vectors.bounds(q, vectors.Lists(c), depth)
+        assert ((low <= q @ c.T + 1e-6) & (high >= q @ c.T - 1e-6)).all()
+    assert (low == high).all()
 
 
 def test_bounds_of_int8_tiles():
@@ -297,8 +340,10 @@ def test_searches_of_empty_and_odd_tables(spark):
     assert vectors.nearest(empty, empty).count() == 0 and vectors.top_scores(empty, empty).count() == 0
     odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, []), (0, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in vectors.nearest(odd, odd.filter("vec_id = 0")).orderBy("rank").collect()] == [(1, 3.0)]
-    big = spark.createDataFrame([(0, [1e300]), (1, [1e300]), (2, [-1e300])], "vec_id long, embedding array<double>")
-    assert [r.score for r in vectors.top_scores(big, big.filter("vec_id = 0")).orderBy("rank").collect()] == [2**63 - 1, -(2**63)]
+    big = spark.createDataFrame([(0, [1e300, 1e300]), (1, [1e300, 1e300]), (2, [-1e300, -1e300]), (3, [1e300, -1e300])], "vec_id long, embedding array<double>")
+    assert [r.score for r in vectors.top_scores(big, big.filter("vec_id = 0")).orderBy("rank").collect()] == [2**63 - 1, 0, -(2**63)]
+    near = [(r.vec_id, str(r.score)) for r in vectors.nearest(big, big.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert near == [(3, "nan"), (1, "inf"), (2, "-inf")]
 
 
 # --- pipeline
