@@ -2,12 +2,12 @@ r"""BPE encoding and decoding as a streaming transducer.
 
 The merge list has a sufficient lookahead: whether a merge (u, v) takes place is open only as long as an earlier merge can
 take v, or a part at v's right end, away to the right, which in turn an earlier merge can prevent, and so on. Ranks
-fall along such a chain, so the longest one is found in a single pass over the merges. A token that ends that many symbols
-before the end of what has been read is final. The transducer reads symbols in blocks, emits what is final and keeps
-the rest: its memory is the lookahead and a block, not the word.
+fall along such a chain, so the longest one of each token is found in a single pass over the merges. A token that ends that many symbols
+before the end of what has been read is final, as is every token once its word has ended. The transducer reads symbols little by little, emits what is final and keeps
+the rest: its memory is bounded by the lookahead, not the word. Words of all lengths take this way.
 
 Texts are cut at white space, which no token crosses, and the transducer's answers are kept by word in a bounded store.
-Decoding is a state machine over tokens that emits text as bytes complete characters.
+Decoding is a state machine over the tokens' bytes that emits text as bytes complete characters.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Symbols of a word that are read at once, at least.
+READ = 16
 #: Words whose answers a worker keeps, twice, and how long they may be.
 STORE, STORED = 350_000, 64
 
@@ -43,18 +44,23 @@ def byte_alphabet() -> list[str]:
 BYTE_OF = {c: b for b, c in enumerate(byte_alphabet())}
 
 
-def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int]) -> int:
-    """Symbols beyond a token's end that decide whether it stays as it is."""
-    parts = {}
+def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int]) -> dict[str, int]:
+    """For each token, the symbols beyond its end that decide whether it stays as it is: while none of them can take it or a part at its right end."""
+    parts: dict[str, str] = {}
     reach: dict[str, int] = {}
-    for left, right in merges:
-        most, token = 0, right
-        while token is not None:  # right itself, its right part, that one's right part ...
+
+    def open_to(token: str | None) -> int:
+        most = 0
+        while token is not None:  # the token itself, its right part, that one's right part ...
             most = max(most, reach.get(token, 0))
             token = parts.get(token)
+        return most
+
+    for left, right in merges:
+        most = open_to(right)
         parts.setdefault(left + right, right)
         reach[left] = max(reach.get(left, 0), length[right] + most)
-    return max(reach.values(), default=0)
+    return {t: open_to(t) for t in length}
 
 
 class Transducer:
@@ -62,7 +68,9 @@ class Transducer:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "") -> None:
         bare = lambda t: t.removesuffix(end) if end and t != end else t
-        self.lookahead = sufficient_lookahead(merges, {t: len(bare(t)) for t in vocab})
+        needs = sufficient_lookahead(merges, {t: len(bare(t)) for t in vocab})
+        self.lookahead = max(needs.values(), default=0)
+        self.need = {i: needs[t] for t, i in vocab.items()}
         self.length = {i: len(bare(t)) for t, i in vocab.items()}
         self.bits = max(vocab.values(), default=0).bit_length()
         self.made = [vocab[a + b] for a, b in merges]
@@ -108,26 +116,27 @@ class Transducer:
                 heapq.heappush(heap, (q, p))
         return [x for x in sym if x >= 0]
 
-    def encode(self, word: Iterable[int], block: int = BLOCK) -> Iterator[int]:
-        """Ids of one word's symbols. A block is read, tokenised with what was kept, and emitted but for the lookahead."""
-        if isinstance(word, list) and len(word) <= block:
-            if word:
-                word[-1] = self.closed.get(word[-1], word[-1])
-            yield from self.tokens(word)
-            return
+    def encode(self, word: Iterable[int]) -> Iterator[int]:
+        """Ids of one word's symbols, each as soon as it is final.
+
+        Reads as much again as is kept, so that no symbol is looked at often and never much more than the lookahead is held.
+        The last symbol read counts as unknown: if the word ends with it, it is another one.
+        """
         kept: list[int] = []
         source = iter(word)
         while True:
-            kept += itertools.islice(source, max(1, self.lookahead + block + 1 - len(kept)))
-            if len(kept) <= self.lookahead + block:
+            wanted = max(READ, len(kept))
+            some = [*itertools.islice(source, wanted)]
+            kept += some
+            if len(some) < wanted:  # the word has ended
                 if kept:
                     kept[-1] = self.closed.get(kept[-1], kept[-1])
                 yield from self.tokens(kept)
                 return
-            left, done = len(kept), 0
-            for t in self.tokens([*kept]):
+            left, done = len(kept) - 1, 0
+            for t in self.tokens(kept[:-1]):
                 left -= self.length[t]
-                if left < self.lookahead:
+                if left < self.need[t]:
                     break
                 done += self.length[t]
                 yield t
@@ -137,38 +146,24 @@ class Transducer:
 class Decoder:
     """Ids in, text out: each id's bytes go through a UTF-8 state machine, which emits a character with its last byte.
 
-    Without `text`, it gives what the tokenizers library gives for a file that names no decoder: the tokens, a space between.
+    `pieces` has the bytes of each id; other ids have none. With `between`, so many characters are left out at the text's start.
     """
 
-    def __init__(self, tokens: dict[int, str], specials: frozenset[int], end: str, text: bool = False) -> None:
-        self.of, self.special, self.end, self.text = tokens, specials, end, text
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace") if text else None
-        self.started = False
+    def __init__(self, pieces: dict[int, bytes], between: int = 0) -> None:
+        self.pieces, self.skip = pieces, between
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed_all(self, ids: Iterable[int]) -> str:
-        if self.text:
-            return "".join(map(self.feed, ids))
-        said = " ".join([t for t in map(self.of.get, ids) if t is not None])
-        out = f" {said}" if said and self.started else said
-        self.started = self.started or bool(said)
+        out = self.machine.decode(b"".join([p for p in map(self.pieces.get, ids) if p]))
+        if self.skip and out:
+            out, self.skip = out[self.skip :], 0
         return out
 
     def feed(self, token: int) -> str:
-        t = self.of.get(token)
-        if t is None:
-            return ""
-        if not self.text:
-            out = f" {t}" if self.started else t
-            self.started = True
-            return out
-        if token in self.special:
-            return self.machine.decode(b"", True) + t
-        closes = bool(self.end) and t.endswith(self.end)
-        out = self.machine.decode(bytes(BYTE_OF[c] for c in (t.removesuffix(self.end) if closes else t)))
-        return f"{out}{self.machine.decode(b'', True)} " if closes else out
+        return self.feed_all((token,))
 
     def finish(self) -> str:
-        return self.machine.decode(b"", True) if self.machine else ""
+        return self.machine.decode(b"", True)
 
 
 #: Code points (hexadecimal) that are letters or numbers only in later versions of Unicode than the tokenizer has.
@@ -197,8 +192,10 @@ class Tokenizer:
         self.end = model.get("end_of_word_suffix") or ""
         self.transducer = Transducer(model["vocab"], merges, self.end)
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.special_ids = frozenset(self.special.values())
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.shown = {i: b" " + t.encode() for i, t in self.tokens.items()}
+        spelt = lambda t: bytes(BYTE_OF[c] for c in t.removesuffix(self.end)) + b" " if self.end and t.endswith(self.end) else bytes(BYTE_OF[c] for c in t)
+        self.spelt = {i: t.encode() if t in self.special else spelt(t) for i, t in self.tokens.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern, later = split["pattern"]["Regex"], "".join(regex.sub("([0-9a-f]+)", lambda m: chr(int(m[1], 16)), LATER).split())
         self.piece, self.later = regex.compile(pattern, regex.V0), regex.compile(f"[{later}]")
@@ -236,7 +233,7 @@ class Tokenizer:
         """Of a normalised piece, which its own kind of word may have made known already."""
         if (made := self.known(piece)) is None:
             raw = piece.encode("utf-8", "surrogatepass")
-            made = array("I", self.transducer.encode([self.symbol[b] for b in raw])).tobytes()
+            made = array("I", self.transducer.encode(map(self.symbol.__getitem__, raw))).tobytes()
             self.keep(piece, made)
         return made
 
@@ -251,7 +248,8 @@ class Tokenizer:
             self.store[word] = made
 
     def decoder(self, text: bool = False) -> Decoder:
-        return Decoder(self.tokens, self.special_ids, self.end, text)
+        """With `text`, words with a space behind each; without, what the library gives for a file that names no decoder: the tokens, a space between."""
+        return Decoder(self.spelt) if text else Decoder(self.shown, between=1)
 
     def answer(self, word: str) -> bytes:
         """A word's ids as little-endian unsigned 32-bit integers."""
@@ -311,6 +309,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ids.update(block)
                     total += len(block) // 4
                     decoded.update(decoder.feed_all(array("I", block)).encode())
+                decoded.update(decoder.finish().encode())
                 n.append(total)
                 a.append(ids.hexdigest())
                 b.append(decoded.hexdigest())

@@ -105,13 +105,61 @@ def test_bpe_any_text(both, text):
     same(both, text)
 
 
-def test_bpe_blocks_are_final(both):
+def test_bpe_emits_before_words_end(both):
+    """Long words come out while they are read, a bounded number of symbols behind, and as the library says."""
     ours, theirs = both
     r = random.Random(3)
-    for _ in range(10):
-        word = "".join(r.choice(["th", "in", "er", "the", "ing", "a", "tion", "an", "re"]) for _ in range(1500))
-        ids = [*ours.transducer.encode((ours.symbol[b] for b in word.encode()), block=700)]
+    for n in (400, 1500, 6000):
+        word = "".join(r.choice(["th", "in", "er", "the", "ing", "a", "tion", "an", "re"]) for _ in range(n))
+        read = 0
+
+        def symbols(raw=word.encode()):
+            nonlocal read
+            for b in raw:
+                read += 1
+                yield ours.symbol[b]
+
+        ids, said, behind = [], 0, 0
+        for t in ours.transducer.encode(symbols()):
+            behind = max(behind, read - said)
+            said += ours.transducer.length[t]
+            ids.append(t)
         assert ids == theirs.encode(word, add_special_tokens=False).ids
+        assert behind <= 4 * ours.transducer.lookahead + 2 * bpe.READ
+
+
+@pytest.mark.parametrize("read", [1, 3, 16])
+def test_bpe_needs_are_sufficient(monkeypatch, read):
+    """A small merge list with short lookaheads: tokens come out early, and are those of the whole word."""
+    monkeypatch.setattr(bpe, "READ", read)
+    r = random.Random(read)
+    early = 0
+    for _ in range(200):
+        vocab = {c: k for k, c in enumerate("abc")} | {c + "/": k + 3 for k, c in enumerate("abc")}
+        merges = []
+        for _ in range(r.randrange(1, 9)):
+            left, right = r.choice([t for t in vocab if "/" not in t]), r.choice([*vocab])
+            if left + right not in vocab:
+                vocab[left + right] = len(vocab)
+                merges.append((left, right))
+        t = bpe.Transducer(vocab, merges, "/")
+        word = "".join(r.choice("abc") for _ in range(r.randrange(1, 60)))
+        read_so_far = 0
+
+        def symbols(text=word):
+            nonlocal read_so_far
+            for c in text:
+                read_so_far += 1
+                yield vocab[c]
+
+        got = []
+        for x in t.encode(symbols()):
+            early += read_so_far < len(word)
+            got.append(x)
+        whole = [vocab[c] for c in word]
+        whole[-1] = t.closed.get(whole[-1], whole[-1])
+        assert got == t.tokens(whole)
+    assert early > 50
 
 
 def test_bpe_columns(spark):
@@ -281,7 +329,8 @@ def searched(task, ids, m, mod, block):
 
 
 def plain_search(ids, m, mod, k, score):
-    return {int(q): [(int(c), -s) for s, c in sorted((-score(m[at].tolist(), y), c) for y, c in zip(m.tolist(), ids.tolist(), strict=True) if c != q)[:k]] for at, q in enumerate(ids) if q % mod == 0}
+    best = lambda q, at: sorted(((score(m[at].tolist(), y), -c) for y, c in zip(m.tolist(), ids.tolist(), strict=True) if c != q), reverse=True)[:k]
+    return {int(q): [(-c, s) for s, c in best(q, at)] for at, q in enumerate(ids) if q % mod == 0}
 
 
 def test_lists_of_the_table_stop_early():
