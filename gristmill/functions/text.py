@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +22,6 @@ def _run_start(chars: str) -> str:
     return rf"(?:\G|(?<![{chars}]))"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with `value` computed once, however often `use` has it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
-from gristmill.functions.text import is_blank, let, trimmed
+from gristmill.functions.arrays import let
+from gristmill.functions.text import is_blank, trimmed
 from gristmill.operators.risk import ANSWER, CHUNKS
 from gristmill.operators.windows import priority
 

@@ -8,26 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
+from gristmill.functions.arrays import found
 from gristmill.functions.text import repaired
 from gristmill.functions.validators import CHECKS
 
 MATCHES = "array<struct<category:string,label:string,match:string,index:int,severity:string>>"
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Matches without overlap, left to right, with their offsets in code points: array<struct<match,index>>."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<match:string,index:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["match"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["match"].alias("match"), at.alias("index")))).alias("out"))
-
-    # each match with the gap before it; the last gap has no match. Arrays named inside a lambda would be made anew for every element
-    paired = F.filter(F.zip_with(hits, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap"))), lambda x: x["match"].isNotNull())
-    return F.aggregate(paired, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-
-
 def rule_matches(text: Column, rule: P.Rule) -> Column:
     """Of one rule. A match that fails its check is dropped with the text that it took."""
     hits = found(text, P.java(rule.pattern, rule.fold))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
-from gristmill.functions.text import let, suspicion, text_or_empty, trimmed
-from gristmill.operators.scan import found
+from gristmill.functions.arrays import found, let
+from gristmill.functions.text import suspicion, text_or_empty, trimmed
 
 WINDOWS = "array<struct<chunk_index:int,text:string,window_type:string,start_char:int,end_char:int,anchor_center:int>>"
 CHUNKS = "array<struct<chunk_index:int,text:string,start_char:int,end_char:int>>"
