@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrays import found, let, running
+
 #: Fixed values.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -37,6 +39,10 @@ ALLOW = (
 #: Those of the allow list that speak of a whole string, and the words.
 WHOLE, WORDS = (ALLOW[0], ALLOW[2]), ALLOW[1]
 MICRO = 1_000_000
+#: Counts of a window's characters: bits of a count, counts in a long.
+BITS, PACK = 5, 12
+#: Above every offset.
+LAST = 2**40
 #: n log2 n in millionths of a bit for n = 0 .. WINDOW: whole numbers, so that sums are exact and the same everywhere.
 WEIGHT = [round(n * math.log2(n) * MICRO) if n else 0 for n in range(WINDOW + 1)]
 
@@ -48,12 +54,8 @@ def most_sum(bits: float) -> int:
 
 def pieces(text: Column, pattern: str) -> Column:
     """Matches of `pattern`, left to right without overlap: array<struct<s,e,m>>, code points, end exclusive."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["m"])).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).cast("int").alias("s"), (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).cast("int").alias("e"), x["m"].alias("m")))).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), none().alias("out"))
-    # each match with the gap before it; the last gap has no match
-    paired = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(g.alias("gap"), m.alias("m"))), lambda x: x["m"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(paired, start, step, lambda acc: acc["out"])).otherwise(none())
+    spelt = F.transform(found(text, pattern), lambda x: F.struct(x["index"].alias("s"), (x["index"] + F.length(x["match"])).alias("e"), x["match"].alias("m")))
+    return F.when(text.rlike(pattern), spelt).otherwise(none())
 
 
 def none() -> Column:
@@ -68,29 +70,40 @@ def value_length(match: Column) -> Column:
     return F.length(F.regexp_extract(match, ASSIGN, 2))
 
 
-def noisy_span(found: Column) -> Column:
-    """The part of a candidate that windows of high entropy cover, as struct<s,e>, null if none."""
-    text = found["m"]
+def noisy_span(run: Column) -> Column:
+    """The part of a candidate that windows of high entropy cover, as struct<s,e>, null if none.
+
+    One pass: a character enters, the one WINDOW before it leaves, each changes its count by one. A count has BITS bits, PACK counts lie in
+    a long, so that few numbers hold the alphabet's.
+    """
+    text = run["m"]
     limit = F.when(text.rlike("^[0-9a-f]+$") | text.rlike("^[0-9A-F]+$"), F.lit(most_sum(HEX_BITS))).otherwise(F.lit(most_sum(MIXED_BITS)))
-    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.struct(i.alias("i"), (F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1))) - 1).alias("new"), F.when(i > WINDOW, F.instr(F.lit(ALPHABET), F.substring(text, i - WINDOW, F.lit(1))) - 1).otherwise(F.lit(-1)).alias("old")))
-    weight = F.array(*(F.lit(x).cast("long") for x in WEIGHT))
-    zeros = F.array_repeat(F.lit(0), len(ALPHABET))
+    more = F.array(*(F.lit(WEIGHT[n + 1] - WEIGHT[n]).cast("long") for n in range(WINDOW)))  # what the n + 1st of a character adds
+    code = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+    place = lambda n: F.struct(F.floor(n / PACK).cast("int").alias("slot"), (n % PACK * BITS).alias("bit"))
+    held = lambda counts, p: F.call_function("shiftright", F.get(counts, p["slot"]), p["bit"]).bitwiseAND(2**BITS - 1).cast("int")
+    one = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p["bit"])
+    changed = lambda counts, p, by: F.transform(counts, lambda n, k: F.when(k == p["slot"], n + by).otherwise(n))
 
-    def step(acc: Column, x: Column) -> Column:
-        gone = F.coalesce(F.get(acc["n"], F.when(x["old"] >= 0, x["old"])), F.lit(0))
-        there = F.get(acc["n"], x["new"]) - F.when(x["old"] == x["new"], 1).otherwise(0)
-        total = acc["sum"] + F.when(x["old"] >= 0, F.get(weight, gone - 1) - F.get(weight, gone)).otherwise(F.lit(0)) + F.get(weight, there + 1) - F.get(weight, there)
-        counts = F.transform(acc["n"], lambda n, k: n + F.when(k == x["new"], 1).otherwise(0) - F.when(k == x["old"], 1).otherwise(0))
-        high = (x["i"] >= WINDOW) & (total <= limit)
-        first = F.when(high & (acc["first"] < 0), x["i"] - WINDOW).otherwise(acc["first"])
-        return F.struct(counts.alias("n"), total.alias("sum"), first.cast("int").alias("first"), F.when(high, x["i"]).otherwise(acc["last"]).cast("int").alias("last"))
+    def step(acc: Column, x: Column, limit: Column) -> Column:
+        new, old = x["new"], x["old"]
+        gone = F.when(old.isNull(), acc["n"]).otherwise(changed(acc["n"], old, -one(old)))
 
-    start = F.struct(zeros.alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(codes, start, step, lambda acc: F.when(acc["first"] >= 0, F.struct((found["s"] + acc["first"]).alias("s"), (found["s"] + acc["last"]).alias("e"))))
+        def entered(counts: Column) -> Column:
+            total = acc["sum"] - F.when(old.isNull(), F.lit(0)).otherwise(F.get(more, held(counts, old))) + F.get(more, held(counts, new))
+            high = (x["i"] >= WINDOW) & (total <= limit)
+            first = F.when(high & (acc["first"] < 0), x["i"] - WINDOW).otherwise(acc["first"])
+            return F.struct(changed(counts, new, one(new)).alias("n"), total.alias("sum"), first.cast("int").alias("first"), F.when(high, x["i"]).otherwise(acc["last"]).cast("int").alias("last"))
 
+        return let(gone, entered)
 
-def touching(base: Column, x: Column) -> Column:
-    return F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    def counted(places: Column) -> Column:
+        steps = F.transform(places, lambda p, k: F.struct((k + 1).alias("i"), p.alias("new"), F.get(places, k - WINDOW).alias("old")))
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PACK)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        # named once: inside the lambda the limit would be made anew for every character
+        return let(limit, lambda most: F.aggregate(steps, start, lambda acc, x: step(acc, x, most), lambda acc: F.when(acc["first"] >= 0, F.struct((run["s"] + acc["first"]).alias("s"), (run["s"] + acc["last"]).alias("e")))))
+
+    return let(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: place(code(c))), counted)
 
 
 def listed(x: Column, patterns: tuple[str, ...]) -> Column:
@@ -100,27 +113,68 @@ def listed(x: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
-def remains(found: Column, base: Column) -> Column:
-    """The parts of a candidate, WINDOW long at least, beside base spans and words of the allow list: array<struct<s,e,m>>."""
-    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
-    spans_in = F.transform(touching(base, found), lambda b: span(b["s"], b["e"]))
-    words = F.transform(pieces(found["m"], WORDS), lambda w: span(found["s"] + w["s"], found["s"] + w["e"]))
-    cuts = F.concat(F.array_sort(F.concat(spans_in, words)), F.array(span(found["e"], found["e"])))
-    part = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.substring(found["m"], s - found["s"] + 1, e - s).alias("m"))
-    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(part(acc["at"], x["s"])))).otherwise(acc["out"]).alias("out"))
-    return F.aggregate(cuts, F.struct(found["s"].cast("int").alias("at"), none().alias("out")), step, lambda acc: acc["out"])
+def furthest(values: Column) -> Column:
+    """For each element the largest of those before it, -1 if none."""
+    return running(values, F.lit(-1), F.greatest)
+
+
+def untouched(runs: Column, cuts: Column) -> Column:
+    """Those of `runs` that overlap none of `cuts` (struct<s,e>): sorted together, the cuts before a run don't reach it and the next one starts behind it."""
+
+    def swept(rows: Column) -> Column:
+        reach = furthest(F.transform(rows, lambda x: F.when(x["side"] == 0, x["e"]).otherwise(F.lit(-1)).cast("long")))
+        # the nearest start ahead, as the largest negative one from the other end
+        ahead = F.reverse(furthest(F.transform(F.reverse(rows), lambda x: F.when(x["side"] == 0, LAST - x["s"]).otherwise(F.lit(-1)).cast("long"))))
+        sides = F.zip_with(reach, ahead, lambda r, a: F.struct(r.alias("r"), (LAST - a).alias("a")))
+        free = F.zip_with(rows, sides, lambda x, y: F.when((x["side"] == 1) & (y["r"] <= x["s"]) & (y["a"] >= x["e"]), F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))))
+        return F.filter(free, lambda x: x.isNotNull())
+
+    return F.when(F.size(cuts) == 0, runs).otherwise(let(together(runs, cuts), swept))
+
+
+def together(runs: Column, cuts: Column) -> Column:
+    """Cuts (side 0) and runs (side 1) by their starts: array<struct<s,side,e,m>>."""
+    row = lambda x, side, m: F.struct(x["s"].cast("int").alias("s"), F.lit(side).alias("side"), x["e"].cast("int").alias("e"), m.alias("m"))
+    return F.array_sort(F.concat(F.transform(cuts, lambda x: row(x, 0, F.lit(None).cast("string"))), F.transform(runs, lambda x: row(x, 1, x["m"]))))
+
+
+def remains(runs: Column, cuts: Column) -> Column:
+    """The parts of `runs`, WINDOW long at least, beside `cuts`: array<struct<s,e,m>>.
+
+    Sorted together, each start opens a part where the cuts so far end, up to the next start or the run's end.
+    """
+
+    def swept(rows: Column) -> Column:
+        ends = furthest(F.transform(rows, lambda x: F.when(x["side"] == 0, x["e"]).otherwise(F.lit(-1)).cast("long")))
+        last = furthest(F.transform(rows, lambda x, k: F.when(x["side"] == 1, k).otherwise(F.lit(-1)).cast("long")))
+        pairs = F.zip_with(ends, last, lambda r, k: F.struct(r.alias("r"), k.alias("k")))
+
+        def cut(places: Column) -> Column:
+            def one(p: Column, k: Column) -> Column:
+                x = F.get(rows, k)
+                run = F.get(rows, F.when(x["side"] == 1, k).otherwise(p["k"]).cast("int"))
+                s = F.greatest(p["r"], x["s"], F.when(x["side"] == 0, x["e"]), run["s"]).cast("int")
+                e = F.least(F.get(rows, k + 1)["s"], run["e"]).cast("int")
+                return F.when(e - s >= WINDOW, F.struct(s.alias("s"), e.alias("e"), F.substring(run["m"], s - run["s"] + 1, e - s).alias("m")))
+
+            return F.filter(F.transform(places, one), lambda x: x.isNotNull())
+
+        return let(pairs, cut)
+
+    return let(together(runs, cuts), swept)
 
 
 def entropy_spans(text: Column, base: Column, parts: bool = False) -> Column:
     runs = pieces(text, CANDIDATE)
     if parts:
-        left = F.flatten(F.transform(F.filter(runs, lambda x: ~listed(x, WHOLE)), lambda x: remains(x, base)))
+        words = lambda rs: F.flatten(F.transform(rs, lambda x: F.transform(pieces(x["m"], WORDS), lambda w: F.struct((x["s"] + w["s"]).alias("s"), (x["s"] + w["e"]).alias("e")))))
+        cuts = lambda rs: F.concat(F.transform(base, lambda b: F.struct(b["s"].cast("int").alias("s"), b["e"].cast("int").alias("e"))), words(rs))
+        left = let(F.filter(runs, lambda x: ~listed(x, WHOLE)), lambda rs: remains(rs, cuts(rs)))
         wanted = F.filter(left, lambda x: x["m"].rlike("[0-9]") & ~listed(x, WHOLE))
     else:
-        wanted = F.filter(runs, lambda x: ~listed(x, ALLOW) & (F.size(touching(base, x)) == 0))
-    found = F.transform(wanted, noisy_span)
-    kept = F.filter(found, lambda x: x.isNotNull())
-    return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
+        wanted = untouched(F.filter(runs, lambda x: ~listed(x, ALLOW)), base)
+    noisy = F.filter(F.transform(wanted, noisy_span), lambda x: x.isNotNull())
+    return F.when(text.rlike(CANDIDATE), F.transform(noisy, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
 
 
 def named(array: Column) -> Column:
@@ -143,10 +197,15 @@ def scan_secrets(docs: DataFrame, text: str = "text", parts: bool = False) -> Da
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """All columns of `docs` (after scan_secrets) with every span in `text` replaced by `mark`; spans that touch get one mark."""
-    whole, found = F.col(text), F.col("spans")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    piece = lambda acc, x: F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(whole, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), piece(acc, x).alias("out"))
-    done = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return docs.withColumn(text, F.when(F.size(found) > 0, done).otherwise(whole))
+    """All columns of `docs` (after scan_secrets) with every span in `text` replaced by `mark`; spans that touch get marks of their own, those that overlap one."""
+    whole, spans_ = F.col(text), F.col("spans")
+
+    def kept(rows: Column) -> Column:
+        chars = F.filter(F.split(whole, ""), lambda c: c != "")
+        stops = F.concat(F.transform(rows, lambda x: F.struct(x["s"].cast("int").alias("s"), x["e"].cast("int").alias("e"))), F.array(F.struct(F.length(whole).alias("s"), F.length(whole).alias("e"))))
+        ends = running(F.transform(stops, lambda x: x["e"].cast("long")), F.lit(0), F.greatest)
+        gaps = F.zip_with(stops, ends, lambda x, at: F.struct(at.cast("int").alias("at"), x["s"].alias("s")))
+        parts = lambda cs: F.transform(gaps, lambda g, k: F.when(g["s"] >= g["at"], F.concat(F.array_join(F.slice(cs, g["at"] + 1, g["s"] - g["at"]), ""), F.when(k < F.size(rows), F.lit(mark)).otherwise(F.lit("")))).otherwise(F.lit("")))
+        return F.array_join(let(chars, parts), "")
+
+    return docs.withColumn(text, F.when(F.size(spans_) > 0, let(spans_, kept)).otherwise(whole))
