@@ -2,10 +2,10 @@ r"""HTML extraction by nearest-URL page differencing.
 
 Pages become lines, a line for each block of text. Within a host, different pages are sorted by URL path; a page is paired with the
 neighbour whose path agrees with its own the longest. The two pages' lines are aligned by longest common subsequence, and what
-both share is deleted: menus, notices, footers. Markup is asked first where it speaks: lines of `<article>` are the text and are never
-deleted, lines of menus, forms, adverts, comments and the like never are the text. Names of classes and ids are a weak sign: an article or
-main part inside an element that only they exclude is the text too, unless the page has an article elsewhere; inside an article ids say
-nothing. A form that wraps a page is no form.
+both share is deleted: menus, notices, footers. Markup is asked first where it speaks: lines of `<article>` are the text and are not
+deleted, as articles share passages; lines of menus, forms, adverts, comments and the like never are the text. Names of classes and ids are a weak sign: an article or
+main part inside an element that only they exclude is the text too, unless the page has an article elsewhere. Inside an article ids say
+nothing, and of what a class calls a notice, a banner, a share bar and so on only lines that the partner has too are deleted. A form that wraps a page is no form.
 
 Pairing sorts only URLs and hashes of lines. The sort is by range over all hosts, so that no host is one task; neighbours across
 the borders of ranges come from the ranges' first and last rows.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.shared import written
 
 #: Kinds of lines. SHUT: excluded by the names of a class or id alone; HELD: of an article or main part inside that. _MAIN: inside a main part.
-ARTICLE, MAIN, OPEN, NEVER, SHUT, SHUT_MAIN, HELD, HELD_MAIN = 3, 2, 1, 0, 4, 5, 6, 7
+#: WEAK: in an article, but in an element whose class speaks against it.
+ARTICLE, MAIN, OPEN, NEVER, SHUT, SHUT_MAIN, HELD, HELD_MAIN, WEAK = 3, 2, 1, 0, 4, 5, 6, 7, 8
 
 #: Names from the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -54,11 +55,11 @@ _WORTH = re.compile("class|id|role|style|hidden", re.I)
 _PARTS = re.compile(r"<(/?)(form|article|main|nav|footer)(?=[\s/>])[^<>]*>?", re.I)
 _BODY_START = re.compile(r"<body(?=[\s/>])[^<>]*>(?:\s|<div(?=[\s>])[^<>]*>)*", re.I)
 _BODY_END = re.compile(r"(?:\s|</div\s*>|<script(?=[\s>]).*?</script\s*>|<!--.*?-->)*(?:</body|</html|$)", re.I | re.S)
-TEXTS = (ARTICLE, HELD, HELD_MAIN)
+TEXTS = (ARTICLE, HELD, HELD_MAIN, WEAK)
 
 
 def excluded(name: str, attributes: str, kind: int) -> int | None:
-    """NEVER or SHUT where attributes exclude an element that stands in text of `kind`, None where they don't."""
+    """NEVER, SHUT or WEAK where attributes speak against an element that stands in text of `kind`, None where they don't."""
     if name in ("html", "body", "main", "article") or not _WORTH.search(attributes):
         return None
     found = None
@@ -68,7 +69,9 @@ def excluded(name: str, attributes: str, kind: int) -> int | None:
             return NEVER
         if key == "class" or key == "id" and kind not in TEXTS:
             # what is shut already stays so, but articles among comments, adverts and the like in it aren't held
-            if (_FOREIGN if kind in (SHUT, SHUT_MAIN) else _MARKED).search(value):
+            if kind in TEXTS and not _FOREIGN.search(value):
+                found = found if found is not None or not _MARKED.search(value) else WEAK
+            elif (_FOREIGN if kind in (SHUT, SHUT_MAIN) else _MARKED).search(value):
                 found = NEVER if kind not in (OPEN, MAIN) else SHUT
     return found
 
@@ -183,7 +186,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
                 forms = wrapping_forms(page)
             if form and lt in forms:
                 new = None
-            elif name in REMOVED and not (name == "header" and kind in TEXTS):
+            elif name in REMOVED and not (name in ("header", "label") and kind in TEXTS):
                 new = NEVER
             elif new == SHUT:
                 new = SHUT_MAIN if kind == MAIN else SHUT
@@ -264,15 +267,28 @@ def digest(lines: list[tuple[int, str]]) -> bytes:
     return h.digest()
 
 
-def outlines(pages: DataFrame) -> DataFrame:
-    """(host, path, digest, lines): what pairing needs of each page."""
+PARSED = "page_id long, url string, host string, path string, digest binary, lines array<long>, kinds binary, texts array<string>, open boolean"
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """The pages' lines, with what pairing needs of them; `open` says whether differencing can change a page's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls, found = [host_and_path(u) for u in batch.column(0).to_pylist()], [lines_of(h.as_py() or "") for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([u[0] for u in urls], pa.string()), pa.array([u[1] for u in urls], pa.string()), pa.array([digest(x) for x in found], pa.binary()), pa.array([hashes(x) for x in found], pa.list_(pa.int64()))], ["host", "path", "digest", "lines"])
+            urls, found = [host_and_path(u) for u in batch.column(1).to_pylist()], [lines_of(h.as_py() or "") for h in batch.column(2)]
+            # lines that can't be part of the text keep their place alone
+            bare = [["" if k in (NEVER, SHUT, SHUT_MAIN) else t for k, t in x] for x in found]
+            columns = (
+                (batch.column(0), pa.int64()), (batch.column(1), pa.string()), ([u[0] for u in urls], pa.string()), ([u[1] for u in urls], pa.string()), ([digest(x) for x in found], pa.binary()),
+                ([hashes(x) for x in found], pa.list_(pa.int64())), ([bytes(k for k, _ in x) for x in found], pa.binary()), (bare, pa.list_(pa.string())), ([is_open({k for k, _ in x}) for x in found], pa.bool_()),
+            )
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns], [x.split()[0] for x in PARSED.split(", ")])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, PARSED)
 
-    return pages.select("url", "html").mapInArrow(run, "host string, path string, digest binary, lines array<long>")
+
+def is_open(kinds: set[int]) -> bool:
+    return WEAK in kinds or ARTICLE not in kinds and bool(kinds & {OPEN, MAIN})
 
 
 def neighbours(outline: DataFrame) -> DataFrame:
@@ -307,33 +323,31 @@ def differences(near: DataFrame) -> DataFrame:
 def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
     kinds = {k for k, _ in lines}
     if ARTICLE in kinds:
-        return "\n".join(t for k, t in lines if k == ARTICLE)
-    wanted, held = (MAIN, (HELD_MAIN,)) if kinds & {MAIN, HELD_MAIN} else (OPEN, (HELD,))
-    return "\n".join(t for n, (k, t) in enumerate(lines) if k in held or k == wanted and n not in shared)
+        sure, unlike = (ARTICLE,), (WEAK,)
+    elif kinds & {MAIN, HELD_MAIN}:
+        sure, unlike = (HELD_MAIN,), (MAIN, WEAK)
+    else:
+        sure, unlike = (HELD,), (OPEN, WEAK)
+    return "\n".join(t for n, (k, t) in enumerate(lines) if k in sure or k in unlike and n not in shared)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages` (page_id, url, html).
 
     A null html is empty and gives an empty text. A page that has no other page on its host, or only copies of itself, has nothing deleted by
-    differencing. A null url is a host of its own without a name. Rows that repeat a page_id stay; extra columns are left out; an
+    differencing. A null url is a host of its own without a name. Rows that repeat a page_id stay; long pages are read whole; extra columns are left out; an
     empty table gives an empty result.
     """
-    pages = pages.select("page_id", "url", "html")
-    shared = differences(neighbours(written(outlines(pages), "outlines")))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls, found = [host_and_path(u) for u in batch.column(1).to_pylist()], [lines_of(h.as_py() or "") for h in batch.column(2)]
-            # lines that can't be part of the text keep their place alone
-            bare = [["" if k in (NEVER, SHUT, SHUT_MAIN) else t for k, t in x] for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([u[0] for u in urls], pa.string()), pa.array([digest(x) for x in found], pa.binary()), pa.array([bytes(k for k, _ in x) for x in found], pa.binary()), pa.array(bare, pa.list_(pa.string()))], ["page_id", "url", "host", "digest", "kinds", "texts"])
+    parsed = written(parse(pages), "lines", compression="zstd")
+    shared = differences(neighbours(parsed.select("host", "path", "digest", "lines")))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text([*zip(k, t, strict=True)], set(s or ())) for k, t, s in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    parsed = pages.mapInArrow(parse, "page_id long, url string, host string, digest binary, kinds binary, texts array<string>")
-    both = parsed.join(shared, ["host", "digest"], "left").select("page_id", "url", "kinds", "texts", "shared")
-    return both.mapInArrow(choose, "page_id long, url string, text string, n_chars long")
+    # texts are dealt out only where what a partner shares can change them
+    decided = parsed.filter(~F.col("open")).withColumn("shared", F.lit(None).cast("array<int>"))
+    undecided = parsed.filter("open").join(shared, ["host", "digest"], "left")
+    columns = ["page_id", "url", "kinds", "texts", "shared"]
+    return decided.select(*columns).unionByName(undecided.select(*columns)).mapInArrow(choose, "page_id long, url string, text string, n_chars long")

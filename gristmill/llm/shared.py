@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again.
 
     It cuts the lineage: lost executors cost a reread, never the work before it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

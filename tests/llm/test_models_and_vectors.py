@@ -197,6 +197,7 @@ def test_lines():
         ("<article><h2 id='related-work'>a</h2><section id='social-policy'>b</section><p id='search'>c</p><div class='social-policy'>d</div></article>", "a\nb\nc\nd"),
         ("<article>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math></article>", "a x=2"),
         ("<article>a<div class='ad-slot box'>x</div><div class='related-posts'>x</div><div hidden>x</div></article>", "a"),
+        ("<article>a<p class='notice'>b</p><label>c</label><div class='share-bar'><div class='comments'>x</div>d</div></article>", "a\nb\nc\nd"),
         ("<article>a</article><div class='comments'><article>reader</article></div>", "a"),
         ("<main>a<div class='sidebar-left'><article>b</article>x</div></main><div class='promo'><article>x</article></div>", "a\nb"),
         ("<nav><article>x</article></nav><div hidden><article>x</article></div><div>a</div>", "a"),
@@ -216,6 +217,43 @@ def test_differencing(spark):
     assert got[3].startswith("Home | About") and got[5] == "" and got[6] == "kept\nHome | About | Shop"
 
 
+def plain_extract(rows):
+    """Text by page: pages of a host are sorted by path, the partner is the different neighbour whose path agrees the longest."""
+    parsed = [(p, *html_text.host_and_path(u), html_text.lines_of(h or "")) for p, u, h in rows]
+    hosts = defaultdict(dict)
+    for _, host, path, lines in parsed:
+        key = html_text.digest(lines)
+        hosts[host][key] = min(hosts[host].get(key, (path, key, lines)), (path, key, lines), key=lambda x: x[:2])
+    out = {}
+    for p, host, _, lines in parsed:
+        order = sorted(hosts[host].values(), key=lambda x: x[:2])
+        at = next(k for k, x in enumerate(order) if x[1] == html_text.digest(lines))
+        near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)]
+        partner = max(near, key=lambda x: html_text.agree(order[at][0], x[0]), default=None)
+        shared = html_text.shared_places(html_text.hashes(lines), html_text.hashes(partner[2])) if partner else []
+        out[p] = html_text.main_text(lines, set(shared))
+    return out
+
+
+def test_extraction_equals_plain_and_hangs_on_differencing(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(160):
+        own = "".join(f"<p>own {k} {r.random()}</p>" for _ in range(r.randrange(1, 4)))
+        box = f"<div class='{r.choice(['notice', 'share', 'banner'])}'>{r.choice(['Read our terms', 'Share this', f'only on {k}'])}</div>"
+        body = own + box if r.random() < 0.5 else box + own + "<p>shared passage of the articles</p>"
+        html = r.choice([f"<div>Menu</div><article>{body}</article>", f"<div>Menu | Home</div><div>{body}</div><div>Imprint</div>", f"<main><div>Start</div>{body}</main>", "<p>Not found</p>"])
+        rows.append((k, f"http://{r.choice(['a', 'b', 'c'])}.org/{r.choice('xyz')}/{r.choice('pqrs')}{r.randrange(30)}", html))
+    rows += [(1000, "http://a.org/x", None), (1001, "http://a.org/x", ""), (1002, None, "<p>alone"), (1003, "http://c.org/long", "<article>" + "<p>x" * 100_000), (1003, "http://c.org/long", "<article>y")]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "page_id long, url string, html string, lines string").repartition(7)
+    got = html_text.extract(df).collect()
+    want = plain_extract([x for x in rows if x[0] != 1003])
+    assert {x.page_id: x.text for x in got if x.page_id != 1003} == want and sorted(x.n_chars for x in got if x.page_id == 1003) == [1, 199_999]
+    alone = {p: html_text.main_text(html_text.lines_of(h or ""), set()) for p, _, h in rows}
+    assert sum(alone[p] != t for p, t in want.items()) > 40 and any("shared passage" in t for t in want.values())
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_common_subsequence():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
