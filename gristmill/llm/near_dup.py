@@ -3,25 +3,27 @@ r"""Near-duplicate documents by MinHash with tensored banding, links confirmed o
 1. One pass over the texts gives each document the size of its set of word shingles, a digest of the set and 2 x M sub-keys:
    two collections of M, each sub-key from ROWS minhashes.
 2. Documents with equal sets are one class; only its first document goes on.
-3. Tensoring: a table key is a pair of sub-keys, one of each collection; SHIFTS pairs each sub-key of the first collection with
-   several of the second, so that 2 x M x ROWS minhashes serve M x len(SHIFTS) tables of 2 x ROWS rows. A table key can only be shared by
-   documents that share both of its sub-keys, so sub-keys that stand alone are dropped before pairs are formed: nothing is lost,
-   and unlike documents never expand.
+3. Tensoring: a table key is a pair of sub-keys, one of each collection, so that 2 x M x ROWS minhashes serve M x M tables of 2 x ROWS rows.
+   A table key can only be shared by documents that share both of its sub-keys, so sub-keys that stand alone are dropped before pairs
+   are formed: nothing is lost, and unlike documents never expand.
 4. Candidates: each document with the first document of its buckets that it meets most often. Confirmed links are joined to
    components, and again with the firsts of other components. What a component holds needs no further check. Buckets that then still hold
-   several components are looked at pair by pair, in tiles of bounded size, without emitting a pair: each document has a
+   several components are looked at pair by pair, each set of documents once, in tiles of bounded size, without emitting a pair: each document has a
    bitmap in which every shingle flips one bit, and two bitmaps never differ in more bits than the sets differ in shingles. Only pairs
    that this bound and their sizes allow are emitted. No cap: a pair is left out only when it can't be a link or can't change a component.
 5. A link is confirmed on the full sets: 100 * intersection >= 85 * union.
 
-A pair at the threshold itself shares no table with probability 1.04e-6 (3 rows, M = 16, similarity 0.85). It is summed over all sets of
-shared sub-keys of one collection, times the probability that no sub-key paired with them is shared. At 0.80 it would be 6.5e-5, so the
-pipeline, which links from there, takes M = 24: 4.9e-7.
+A pair is missed if it shares no sub-key of one collection or of the other: 1 - (1 - (1 - s ** ROWS) ** M) ** 2. At the threshold itself
+(s = 0.85, 3 rows, M = 16) that is 4.9e-7; at 0.80 it would be 1.5e-5, so the pipeline, which links from there, takes M = 24: 5.8e-8.
+With exact=True nothing is missed: keys are then the least hashes of a set, so many that two linked sets must share one of them.
+
+Documents that are alike in large numbers meet at hubs: the first of a bucket, the least id of a component, the digest of a text. Rows of a hub are
+salted: spread over several tasks, with the one row of a set or label that they are joined with repeated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.shared import by_size, written
+from gristmill.llm.shared import by_size, forget, written
 
 WORDS = 5
 PERCENT = 85
 ROWS, M = 3, 16
-SHIFTS = (0, 1, 3, 7)
 SEED = 20_240_229
-#: Documents of a bucket that a task looks at together.
-TILE = 2048
+#: Documents of a bucket that a task looks at together, twice, and bytes of their bitmaps, about.
+TILE, TILE_BYTES = 2048, 16 << 20
+#: So many of the most frequent keys with so many rows are hubs.
+HUBS, MANY = 1000, 10_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,7 +106,12 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def signatures(docs: DataFrame, words: int = WORDS, rows: int = ROWS, m: int = M) -> DataFrame:
+def least_hashes(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """So many of a set's least hashes that two sets which share none of theirs can't be linked: what a linked set may lack, and one."""
+    return shingles[: len(shingles) - -(-percent * len(shingles) // 100) + 1].view(np.int64)
+
+
+def signatures(docs: DataFrame, words: int = WORDS, keys_of: Callable[[np.ndarray], np.ndarray] = sub_keys) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
@@ -112,7 +120,7 @@ def signatures(docs: DataFrame, words: int = WORDS, rows: int = ROWS, m: int = M
                 s = shingle_set(text.as_py(), words, known)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(sub_keys(s, rows, m) if len(s) else None)
+                keys.append(keys_of(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
@@ -166,11 +174,10 @@ def possible(nodes: np.ndarray, n: np.ndarray, part: np.ndarray, chunk: np.ndarr
                     yield (int(nodes[x]), int(nodes[y])) if nodes[x] < nodes[y] else (int(nodes[y]), int(nodes[x]))
 
 
-def open_pairs(inside: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """(a, b) of `inside` (key, node, n, part, bits, members): pairs that share a bucket and may link two components."""
-    tiles = F.ceil(F.col("members") / tile).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    dealt = inside.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+def open_pairs(inside: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of `inside` (key, node, n, part, bits, tiles): pairs that share a bucket and may link two components."""
+    chunk = F.pmod(F.xxhash64("node"), "tiles").cast("int")
+    dealt = inside.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "n", "part", "chunk", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +208,8 @@ def open_pairs(inside: DataFrame, percent: int = PERCENT, tile: int = TILE) -> D
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets are linked."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, repeats: bool = False) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets are linked; with `repeats` a b may stand in many pairs, as an a may."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +217,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = pairs.select("a", "b")
+    return salted(salted(pairs, one, "a", hubs(pairs, "a")), two, "b", hubs(pairs, "b") if repeats else None).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def hubs(rows: DataFrame, key: str) -> DataFrame | None:
+    """(key, salts): the HUBS most frequent values that have MANY rows or more; whatever has a thousandth of all rows is among them."""
+    often = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= MANY)
+    top = often.orderBy(F.col("n").desc(), key).limit(HUBS).collect()  # a thousand rows at most
+    kind = dict(rows.dtypes)[key]
+    return rows.sparkSession.createDataFrame([(r[key], min(HUBS, -(-r.n // MANY))) for r in top], f"{key} {kind}, salts int") if top else None
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """`rows` joined with `table` (one row a key) by `key`; with `hot`, rows of a hub are spread, and the table's row of it repeated."""
+    if hot is None:
+        return rows.join(table, key, how)
+    salts = F.coalesce("salts", F.lit(1))
+    spread = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("salts")
+    again = table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return spread.join(again, [key, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,62 +244,73 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of: take the least label around, then the label of that label. Each round is written to the shared folder.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "both")
     labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    hot = hubs(both, "v")
     while True:
-        around = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
-        lower = labels.join(around, "u").select("u", F.least("label", "l").alias("next"), "label")
+        around = salted(both, labels.select(F.col("u").alias("v"), F.col("label").alias("l")), "v", hot).groupBy("u").agg(F.min("l").alias("l"))
+        lower = written(labels.join(around, "u").select("u", F.least("label", "l").alias("next"), "label"), "lower")
         jump = labels.select(F.col("u").alias("next"), F.col("label").alias("after"))
-        moved = written(lower.join(jump, "next").select("u", F.least("next", "after").alias("new"), "label"), "labels")
+        moved = written(salted(lower, jump, "next", hubs(lower, "next")).select("u", F.least("next", "after").alias("new"), "label"), "labels")
+        forget(lower, labels)
         labels = moved.select("u", F.col("new").alias("label"))
-        if moved.filter(F.col("new") != F.col("label")).isEmpty():
+        still = moved.filter(F.col("new") != F.col("label")).isEmpty()
+        if still:
+            forget(both)
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, m: int = M) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, m: int = M, exact: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id that links lead to, kept says that it is the row's own. Null, empty and blank texts
     have no shingles, are linked with nothing and kept. Rows that repeat a doc_id are seen as one document: their links
-    unite. Rows with a null doc_id take no part: component_id is null and they are kept, unless their set is another row's. Extra
+    unite. Rows with a null doc_id take no part: component_id is null and they are kept, unless their set is another row's. Texts are read whole, however long.
+    With exact=True keys come from the sets themselves instead of minhashes, more of them the longer a text is. Extra
     columns are left out; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    signed = written(signatures(docs, words, rows, m), "signatures")
+    signed = written(signatures(docs, words, (lambda s: least_hashes(s, percent)) if exact else (lambda s: sub_keys(s, rows, m))), "signatures")
     classes = written(signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("n")), "classes")
     nodes = classes.filter(F.col("node").isNotNull())
 
     single = nodes.select("node", F.posexplode("keys").alias("place", "key"))
     shared = single.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    places = single.join(shared, "key").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", "key"))).alias("at"))
-    key = lambda t: F.struct(F.try_element_at("at", t["one"]).alias("one"), F.try_element_at("at", t["two"]).alias("two"))
-    tables = F.array(*(F.struct(F.lit(i).alias("one"), F.lit(m + (i + s) % m).alias("two")) for i in range(m) for s in SHIFTS))
-    pairs = F.filter(F.transform(tables, key), lambda k: k["one"].isNotNull() & k["two"].isNotNull())
-    keyed_nodes = places.select("node", F.transform(pairs, lambda k: F.xxhash64(k["one"], k["two"])).alias("tables")).filter(F.size("tables") > 0)
+    if exact:
+        keyed_nodes = single.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("tables"))
+    else:
+        of = lambda low: F.collect_list(F.when((F.col("place") < m) == low, F.col("key")))
+        places = single.join(shared, "key").groupBy("node").agg(of(True).alias("ones"), of(False).alias("twos"))
+        pairs = F.flatten(F.transform("ones", lambda x: F.transform("twos", lambda y: F.xxhash64(x, y))))
+        keyed_nodes = places.select("node", pairs.alias("tables")).filter(F.size("tables") > 0)
     active = written(keyed_nodes.join(nodes.select("node", "n"), "node"), "active")
     keyed = active.select("node", "n", F.explode("tables").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
     firsts = keyed.join(buckets, "key").filter("node <> first").groupBy("node", "first").agg(F.count("*").alias("met"))
-    size = active.select("node", "n").distinct()
+    size = active.select("node", "n")
     met = written(sized(firsts.select(F.col("first").alias("a"), F.col("node").alias("b"), "met"), size, percent), "met")
-    sets = written(shingle_sets(docs, written(active.select("node").distinct(), "nodes"), words), "sets")
+    sets = written(shingle_sets(docs, written(active.select("node"), "nodes"), words), "sets")
 
-    edges = written(confirmed(most_met(met), sets, percent), "edges")
+    edges = written(confirmed(written(most_met(met), "pairs"), sets, percent), "edges")
     label = components(edges)
-    more = written(confirmed(most_met(apart(met, label)), sets, percent), "edges")
+    more = written(confirmed(written(most_met(apart(met, label)), "pairs"), sets, percent), "edges")
     if not more.isEmpty():
         edges = edges.unionByName(more)
         label = components(edges)
 
     part = keyed.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    several = part.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("members")).filter("x < y").select("key", "members")
-    inside = part.join(several, "key").join(sets.select("node", "bits"), "node")
-    last = written(confirmed(open_pairs(inside, percent), sets, percent), "edges")
+    several = part.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("members"), F.sum(F.greatest("n", F.lit(32))).alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("g"))
+    tiles = F.ceil(F.greatest(F.col("members") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
+    unlike = several.filter("x < y").groupBy("members", "h", "g").agg(F.min("key").alias("key"), F.min(tiles).alias("tiles")).select("key", "tiles")  # buckets of the same documents are one
+    inside = part.join(unlike, "key").join(sets.select("node", "bits"), "node")
+    last = written(confirmed(written(open_pairs(inside, percent), "pairs"), sets, percent, repeats=True), "edges")
     if not last.isEmpty():
         label = components(edges.unionByName(last))
 
-    found = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = signed.join(found, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    of = written(classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "found")
+    forget(classes, active, met, sets)
+    rows_ = signed.select("doc_id", "n_shingles", "digest")
+    out = salted(rows_, of, "digest", hubs(rows_, "digest"), "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -38,7 +38,9 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 #: Ids that may be sent to every executor, some bytes each.
@@ -52,8 +54,18 @@ def by_size(ids: DataFrame, few: int = FEW_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= few else ids
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "written_to", None):
+            _delete(table.sparkSession, path)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Deletes what `written` has left in the shared folder for this application."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -215,16 +215,17 @@ def chained(seed=5, n=240):
     return texts
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_near_duplicates_equal_plain(spark, seed):
+@pytest.mark.parametrize("seed, exact", [(5, False), (6, True)])
+def test_near_duplicates_equal_plain(spark, seed, exact):
     texts = dict(enumerate(chained(seed)))
     df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, component_id string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, exact=exact).collect()}
     assert got == plain_components(texts)
 
 
 def test_near_duplicates_small_tiles(spark, monkeypatch):
-    monkeypatch.setattr(near_dup.open_pairs, "__defaults__", (near_dup.PERCENT, 3))
+    monkeypatch.setattr(near_dup, "TILE", 3)
+    monkeypatch.setattr(near_dup, "MANY", 4)  # hubs, too
     texts = dict(enumerate(chained(9, 120)))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
