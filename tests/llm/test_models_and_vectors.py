@@ -285,20 +285,34 @@ def test_gradients():
     for d in (net.ahead, net.back):
         d.p = {k: v.astype(np.float64) for k, v in d.p.items()}
     net.v, net.c = net.v.astype(np.float64), net.c.astype(np.float64)
-    x, n = lang_id.padded([b"abc", b"de", b"f"])
-    y = np.array([0, 1, 2])
-    _, grads = net.gradients(x, n, y)
+    x, y = lang_id.padded([b"abc", b"d e", b"f"], 3), np.array([0, 1, 2])
+    _, grads = net.gradients(x, y)
     for name, p in net.parameters().items():
         at = np.unravel_index(np.argmax(np.abs(grads[name])), p.shape)
         old = p[at]
         p[at] = old + 1e-5
-        up = net.gradients(x, n, y)[0]
+        up = net.gradients(x, y)[0]
         p[at] = old - 1e-5
-        down = net.gradients(x, n, y)[0]
+        down = net.gradients(x, y)[0]
         p[at] = old
         assert abs(grads[name][at] - (up - down) / 2e-5) < 1e-4
 
 
+def test_stretches_cover_texts_once():
+    lengths = [0, 1, lang_id.CORE, lang_id.CORE + 1, 5 * lang_id.CORE + 7, 0, 3]
+    of, begin, end, low, high = lang_id.stretches(lengths)
+    assert [int((high - low)[of == k].sum()) for k in range(len(lengths))] == lengths
+    assert (begin <= low).all() and (high <= end).all() and (end - begin <= lang_id.CORE + 2 * lang_id.CONTEXT).all()
+
+
+def test_what_stands_beside_a_text_is_not_seen():
+    net = lang_id.Network(["a", "b"], hidden=4)
+    alone, long = net.pooled([b"some words"]), net.pooled([b"some words", b"x " * 400, b"yz"])
+    assert np.allclose(alone[0], long[0], atol=1e-4)
+    whole = net.positions(np.frombuffer(b"x yz" * 100, np.uint8)[:, None], None)  # in one stretch
+    assert np.abs(whole[:, 200:300, 0].mean(1) - net.positions(np.frombuffer(b"x yz" * 40, np.uint8)[:, None], None)[:, 40:140, 0].mean(1)).max() < 0.05
+
+
 def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     rows = QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").collect()
