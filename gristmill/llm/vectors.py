@@ -347,7 +347,8 @@ def rounds(asked: DataFrame, blocks: DataFrame, groups: int, slices: int, taken:
     """(query_id, vec_id, score): what each task of the slices from taken[0] to below taken[1] finds."""
     number = pa.float64() if kind == "double" else pa.int64()
     first, last = taken
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    # blocks are numbered by partition and by place in it: both count, so that they are dealt evenly
+    spread = lambda c, n: F.pmod(F.shiftright(c, 33) + F.col(c).bitwiseAND(2**33 - 1), F.lit(n)).cast("int")
     every = lambda lo, hi: F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))
     columns = ["task", "side", "ids", "bars", "matrix", "width"]
     left = packed(asked, zero).withColumn("slice", every(first, last)).withColumn("task", spread("place", groups) * (last - first) + F.col("slice") - first).withColumn("side", F.lit(0)).select(*columns)
@@ -373,7 +374,7 @@ def rounds(asked: DataFrame, blocks: DataFrame, groups: int, slices: int, taken:
                     now.add(ids, bars, m)
         yield done()
 
-    both = left.unionByName(right).repartition(groups * (last - first), "task").sortWithinPartitions("task", "side")
+    both = left.unionByName(right).repartitionById(groups * (last - first), F.col("task")).sortWithinPartitions("task", "side")
     return both.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
 
 
