@@ -51,11 +51,11 @@ CATEGORIES = tuple(r.category for r in RULES)
 
 #: Words that are never credentials.
 COMMON_WORDS = (
-    "imported attached generated implementation protocol management variable framework function server endpoint system process services "
-    "security database overview architecture application component interface configuration parameter response request payload research "
-    "encrypted encryption algorithm operation operations generation authentication verification mechanism pipeline definition execution "
-    "interception middleware"
-).split()
+    "imported", "attached", "generated", "implementation", "protocol", "management", "variable", "framework", "function", "server", "endpoint",
+    "system", "process", "services", "security", "database", "overview", "architecture", "application", "component", "interface", "configuration",
+    "parameter", "response", "request", "payload", "research", "encrypted", "encryption", "algorithm", "operation", "operations", "generation",
+    "authentication", "verification", "mechanism", "pipeline", "definition", "execution", "interception", "middleware",
+)
 
 #: The fourth letter of a PAN.
 PAN_TYPES = "PCHFATBLJG"

@@ -89,8 +89,13 @@ def has_keywords(c: Column) -> Column:
     return text_or_empty(c).rlike(P.java(P.KEYWORDS, True))
 
 
+def noisy_tokens(c: Column, least: int = 16, bits: float = 4.2) -> Column:
+    """Tokens of `least` characters or more that have an entropy of `bits` or more. A token needs 2 ** bits different characters for that."""
+    longest = F.filter(F.split(text_or_empty(c), P.java(P.TOKEN_CUT)), lambda t: F.length(t) >= max(least, int(2**bits)))
+    return F.filter(longest, lambda t: shannon_entropy(t) >= bits)
+
+
 def has_noisy_tokens(c: Column, least: int = 16, bits: float = 4.2) -> Column:
-    """Whether a token of `least` characters or more has an entropy of `bits` or more. A token needs 2 ** bits different characters for that."""
     longest = F.filter(F.split(text_or_empty(c), P.java(P.TOKEN_CUT)), lambda t: F.length(t) >= max(least, int(2**bits)))
     return F.exists(longest, lambda t: shannon_entropy(t) >= bits)
 

@@ -35,20 +35,57 @@ STATES = ("readily", "after-download", "no", "unavailable")
 
 
 class Provider(Protocol):
-    """A classifier session: one a partition, closed at its end. `state()`, where there is one, gives one of STATES."""
+    """A classifier session, closed at its partition's end. `state()`, where there is one, gives one of STATES."""
 
     def ask(self, text: str) -> str: ...
 
     def close(self) -> None: ...
 
 
-def ask_in_time(provider: Provider, text: str, pool: ThreadPoolExecutor, limit_ms: int = TIMEOUT_MS) -> tuple[str | None, int]:
-    """(reply, milliseconds); without a reply in time the limit and one."""
-    began = time.monotonic()
-    try:
-        return pool.submit(provider.ask, text).result(limit_ms / 1000), round((time.monotonic() - began) * 1000)
-    except Late:
-        return None, limit_ms + 1
+class Asker:
+    """A partition's session: made when it is first needed, replaced after a call that hangs, so that no other row waits for that one."""
+
+    def __init__(self, provider: Callable[[], Provider], limit_ms: int = TIMEOUT_MS) -> None:
+        self.provider, self.limit = provider, limit_ms
+        self.session: Provider | None = None
+        self.pool: ThreadPoolExecutor | None = None
+
+    def within_limit(self, call: Callable, *given: str) -> object:
+        self.pool = self.pool or ThreadPoolExecutor(1)
+        try:
+            return self.pool.submit(call, *given).result(self.limit / 1000)
+        except Late:
+            self.pool.shutdown(wait=False, cancel_futures=True)
+            self.pool = self.session = None
+            raise
+
+    def away(self) -> str | None:
+        """Why the provider can't be asked; None if it can."""
+        try:
+            self.session = self.session or self.within_limit(self.provider)
+            state = getattr(self.session, "state", lambda: STATES[0])()
+        except Late:
+            return P.LATE
+        except Exception as e:  # the classifier never fails a decision
+            return str(e) or P.FAILED
+        return None if state in STATES[:2] else P.AWAY.format(state)
+
+    def ask(self, text: str) -> tuple[str | None, int]:
+        """(reply, milliseconds); a call that is late or fails counts as late: no reply, and one millisecond more than TIMEOUT_MS."""
+        began = time.monotonic()
+        try:
+            return self.within_limit(self.session.ask, f'Analyze prompt: "{text}"'), round((time.monotonic() - began) * 1000)
+        except Exception:
+            return None, TIMEOUT_MS + 1
+
+    def close(self) -> None:
+        if self.session is not None:
+            try:
+                self.session.close()
+            except Exception:
+                pass
+        if self.pool is not None:
+            self.pool.shutdown(wait=False, cancel_futures=True)
 
 
 def parsed(reply: Column, unsure: float = SURE) -> Column:
@@ -75,15 +112,15 @@ def _row(k: Column, skipped: bool, late: bool = False, why: Column | None = None
     )
 
 
-def single(text: Column, reply: Column, delay_ms: Column) -> Column:
-    """The answer about a whole text; skipped if it is blank, unavailable (no reply, no delay) or late."""
+def single(text: Column, reply: Column, delay_ms: Column, away: Column | None = None) -> Column:
+    """The answer about a whole text; skipped if it is blank, unavailable (no reply, no delay; `away` says why) or late."""
     got = parsed(reply, 0.8)
     pick = lambda row: F.struct(*(row[c].alias(c) for c in ("sensitive", "category", "confidence", "skipped", "timed_out", "reason", "latency_ms"))).cast(ANSWER)
     zero = F.lit(0)
     return (
         F.when(is_blank(text), pick(_row(zero, True, why=F.lit("Empty prompt"))))
         .when(delay_ms > TIMEOUT_MS, pick(_row(zero, True, True, F.lit(P.LATE))))
-        .when(reply.isNull(), pick(_row(zero, True, why=F.lit(P.AWAY.format("unavailable")))))
+        .when(reply.isNull(), pick(_row(zero, True, why=F.coalesce(F.lit(None).cast("string") if away is None else away, F.lit(P.AWAY.format("unavailable"))))))
         .otherwise(pick(_row(zero, False, got=got, ms=delay_ms)))
     )
 
@@ -97,8 +134,11 @@ def clean_chunks(chunks: Column, candidates: Column) -> Column:
     return let(candidates, rows)
 
 
-def unavailable(candidates: Column, state: str = "unavailable") -> Column:
-    return F.transform(candidates, lambda c: _row(c["chunk_index"], True, why=F.lit(P.AWAY.format(state)))).cast(CHUNKS)
+def unavailable(candidates: Column, why: Column | None = None) -> Column:
+    """Rows of candidates that nobody was asked about; the session itself may have been late."""
+    said = F.lit(P.AWAY.format("unavailable")) if why is None else why
+    row = lambda c, late: _row(c["chunk_index"], True, late, said)
+    return F.transform(candidates, lambda c: F.when(said == P.LATE, row(c, True)).otherwise(row(c, False))).cast(CHUNKS)
 
 
 def judged(candidates: Column, replies: Column) -> Column:
@@ -115,65 +155,67 @@ def judged(candidates: Column, replies: Column) -> Column:
     return F.aggregate(candidates, start, step, lambda acc: acc["out"])
 
 
-def chunk_results(chunks: Column, replies: Column | None = None, limit: int = 2) -> Column:
-    """All chunks' rows: first those passed over, then the candidates'. Without replies the classifier is unavailable."""
-    return let(priority(chunks, limit), lambda best: F.concat(clean_chunks(chunks, best), unavailable(best) if replies is None else judged(best, replies)))
+def chunk_results(chunks: Column, replies: Column | None = None, limit: int = 2, away: Column | None = None) -> Column:
+    """All chunks' rows: first those passed over, then the candidates'. Without replies, or where `away` says why, the classifier is unavailable."""
+
+    def rows(best: Column) -> Column:
+        if replies is None:
+            return unavailable(best)
+        return judged(best, replies) if away is None else F.when(away.isNotNull(), unavailable(best, away)).otherwise(judged(best, replies))
 
+    return let(priority(chunks, limit), lambda best: F.concat(clean_chunks(chunks, best), rows(best)))
 
-def available(session: Provider) -> bool:
-    return getattr(session, "state", lambda: STATES[0])() in STATES[:2]
 
+def _fields(df: DataFrame, but: str = "") -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != but)
 
-def with_reply(df: DataFrame, provider: Callable[[], Provider], text: str = "prompt_text") -> DataFrame:
-    """All columns with reply and delay_ms of one question about the whole text. Blank texts aren't asked about; both stay null then and
-    where the provider is unavailable or fails."""
-    df = df.drop("reply", "delay_ms")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+def with_reply(df: DataFrame, provider: Callable[[], Provider], text: str = "prompt_text", limit_ms: int = TIMEOUT_MS) -> DataFrame:
+    """All columns with reply, delay_ms and classifier_away of one question about the whole text. Blank texts pass through without being asked about."""
+    df = df.drop("reply", "delay_ms", "classifier_away", "_ask").withColumn("_ask", ~is_blank(F.col(text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, pool = provider(), ThreadPoolExecutor(1)
+        asker = Asker(provider, limit_ms)
         try:
             for batch in batches:
-                out: list[tuple[str | None, int | None]] = []
-                for t in batch.column(text).to_pylist():
-                    try:
-                        out.append(ask_in_time(session, f'Analyze prompt: "{t}"', pool) if available(session) else (None, None))
-                    except Exception:  # the classifier never fails a decision
-                        out.append((None, None))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], [*batch.schema.names, "reply", "delay_ms"])
+                out: list[tuple[str | None, int | None, str | None]] = []
+                for t, asked in zip(batch.column(text), batch.column("_ask").to_pylist(), strict=True):
+                    why = asker.away() if asked else None
+                    out.append((*asker.ask(t.as_py()), None) if asked and why is None else (None, None, why))
+                kept = batch.drop_columns(["_ask"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string())))], [*kept.schema.names, "reply", "delay_ms", "classifier_away"])
         finally:
-            session.close()
-            pool.shutdown(wait=False, cancel_futures=True)
+            asker.close()
+
+    return df.mapInArrow(run, f"{_fields(df, '_ask')}, reply string, delay_ms long, classifier_away string")
 
-    asked = df.filter(~is_blank(F.col(text))).mapInArrow(run, f"{fields}, reply string, delay_ms long")
-    blank = df.filter(is_blank(F.col(text))).withColumns({"reply": F.lit(None).cast("string"), "delay_ms": F.lit(None).cast("long")})
-    return asked.unionByName(blank)
 
+def with_replies(df: DataFrame, provider: Callable[[], Provider], chunks: str = "chunks", limit: int = 2, limit_ms: int = TIMEOUT_MS) -> DataFrame:
+    """All columns with `replies` of the candidates of `chunks` and classifier_away. Rows without candidates pass through without being asked about.
 
-def with_replies(df: DataFrame, provider: Callable[[], Provider], chunks: str = "chunks", limit: int = 2) -> DataFrame:
-    """All columns with `replies` of the candidates of `chunks`. Only rows with candidates reach the provider."""
-    df = df.drop("replies").withColumn("_ask", priority(F.col(chunks), limit))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_ask")
+    A candidate whose call is late or fails is the last one of its row. Nobody is asked where the provider is away.
+    """
+    df = df.drop("replies", "classifier_away", "_ask").withColumn("_ask", priority(F.col(chunks), limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, pool = provider(), ThreadPoolExecutor(1)
+        asker = Asker(provider, limit_ms)
         kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("reply", pa.string()), ("delay_ms", pa.int64())]))
         try:
             for batch in batches:
-                out = []
-                for asked in batch.column("_ask").to_pylist():
-                    got = []
-                    for c in asked:
-                        reply, ms = ask_in_time(session, f'Analyze prompt: "{c["text"]}"', pool)
+                out, away = [], []
+                for candidates in batch.column("_ask").to_pylist():
+                    got: list[dict] = []
+                    why = asker.away() if candidates else None
+                    for c in candidates if why is None else ():
+                        reply, ms = asker.ask(c["text"])
                         got.append({"chunk_index": c["chunk_index"], "reply": reply, "delay_ms": ms})
-                        if ms > TIMEOUT_MS:
+                        if reply is None:
                             break
                     out.append(got)
-                kept = [k for k, n in enumerate(batch.schema.names) if n != "_ask"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(out, kind)], [*(batch.schema.names[k] for k in kept), "replies"])
+                    away.append(why)
+                kept = batch.drop_columns(["_ask"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, kind), pa.array(away, pa.string())], [*kept.schema.names, "replies", "classifier_away"])
         finally:
-            session.close()
-            pool.shutdown(wait=False, cancel_futures=True)
+            asker.close()
 
-    needed = df.filter(F.size("_ask") > 0).mapInArrow(run, f"{fields}, replies {REPLIES}")
-    return needed.unionByName(df.filter(F.size("_ask") == 0).drop("_ask").withColumn("replies", F.array().cast(REPLIES)))
+    return df.mapInArrow(run, f"{_fields(df, '_ask')}, replies {REPLIES}, classifier_away string")

@@ -29,33 +29,47 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
 
-def confusion(results: DataFrame) -> DataFrame:
+def _counts() -> list[Column]:
     flagged, truth = F.col("predicted_action").isin("block", "redact"), F.coalesce(F.col("ground_truth_sensitive"), F.lit(False))
     n = lambda c, name: F.count_if(c).alias(name)
-    return results.agg(F.count("*").alias("total"), n(flagged & truth, "tp"), n(flagged & ~truth, "fp"), n(~flagged & ~truth, "tn"), n(~flagged & truth, "fn"))
+    return [F.count("*").alias("total"), n(flagged & truth, "tp"), n(flagged & ~truth, "fp"), n(~flagged & ~truth, "tn"), n(~flagged & truth, "fn")]
 
 
-def metrics(results: DataFrame) -> DataFrame:
-    """One row: the confusion matrix, precision, recall, F1 and accuracy in percent, and latencies of those above 0.
+def confusion(results: DataFrame) -> DataFrame:
+    return results.agg(*_counts())
 
-    The median is the upper one: the place floor(n / 2) in the sorted list, found by rank and not by gathering.
+
+def by_latency(results: DataFrame, column: str, counts: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """A row for each different latency, with `counts`; and what gives (avg_latency_ms, median_latency_ms) of those above 0 when it is aggregated.
+
+    The median is the upper one, the place floor(n / 2) in the sorted list: only different latencies are ranked, nothing is gathered.
     """
-    c = confusion(results)
+    from pyspark.sql import Window
+
+    each = results.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"), *counts)
+    n = F.when(F.col("v") > 0, F.col("n")).otherwise(0)
+    ranked = each.withColumns({"_n": n, "_upto": F.sum(n).over(Window.orderBy("v")), "_all": F.sum(n).over(Window.partitionBy())})
+    middle = F.min(F.when((F.col("v") > 0) & (F.col("_upto") > F.floor(F.col("_all") / 2)), F.col("v")))
+    mean = F.try_divide(F.sum(F.col("v") * F.col("_n")), F.sum("_n"))
+    return ranked, [F.coalesce(mean, F.lit(0.0)).alias("avg_latency_ms"), F.coalesce(middle, F.lit(0)).alias("median_latency_ms")]
+
+
+def metrics(results: DataFrame) -> DataFrame:
+    """One row: the confusion matrix, precision, recall, F1 and accuracy in percent, and latencies of those above 0. The results are read once."""
+    names = ("total", "tp", "fp", "tn", "fn")
+    each, late = by_latency(results, "total_latency_ms", _counts())
+    c = each.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names), *late)
     p, r = percent(F.col("tp"), F.col("tp") + F.col("fp")), percent(F.col("tp"), F.col("tp") + F.col("fn"))
     c = c.withColumns({"precision": p, "recall": r}).withColumns({"f1": F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)), "accuracy": percent(F.col("tp") + F.col("tn"), F.col("total"))})
     text = {x: F.format_string("%.2f%%", x) for x in ("precision", "recall", "f1", "accuracy")}
-    return c.withColumns(text).join(latency(results))
+    order = [*names, *text, "avg_latency_ms", "median_latency_ms"]
+    return c.withColumns(text).select(*order)
 
 
 def latency(results: DataFrame, column: str = "total_latency_ms") -> DataFrame:
-    """(avg_latency_ms, median_latency_ms) in one row; counts by value come first, so that only different values are ranked."""
-    from pyspark.sql import Window
-
-    counts = results.filter(F.col(column) > 0).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v"))
-    ranked = counts.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy())})
-    middle = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("v")))
-    return ranked.agg(F.coalesce(F.sum(F.col("v") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("avg_latency_ms"), F.coalesce(middle, F.lit(0)).alias("median_latency_ms"))
+    """(avg_latency_ms, median_latency_ms) in one row."""
+    each, late = by_latency(results, column, [])
+    return each.agg(*late)
 
 
 def side_by_side(first: DataFrame, second: DataFrame | None = None) -> DataFrame:

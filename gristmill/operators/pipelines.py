@@ -42,7 +42,7 @@ def analyze_prompts(df: DataFrame, settings: Settings = Settings(), repair: str
     text = text_or_empty(F.col("prompt_text"))
     df = with_matches(df, "prompt_text", repair, settings.enable_regex)
     asked = settings.enable_llm and {"reply", "delay_ms"} <= has
-    df = once(df, "answer", single(text, F.col("reply"), F.col("delay_ms"))) if asked else df.withColumn("answer", no_answer())
+    df = once(df, "answer", single(text, F.col("reply"), F.col("delay_ms"), F.col("classifier_away") if "classifier_away" in has else None)) if asked else df.withColumn("answer", no_answer())
     out = decided(df, settings, text=text, role=role, domain=domain, answer=F.col("answer"))
     return out.withColumns({"categories": categories(F.col("matches"), F.col("answer")), "unredacted_matches": unredacted(text, F.col("matches"))})
 
@@ -55,13 +55,16 @@ def analyze_files(files: DataFrame, settings: Settings = Settings(), domain: str
     """
     has = set(files.columns)
     files = files.withColumn("hash", F.when(~F.col("unscannable") & ~F.col("is_directory"), sha256_or_null(F.col("text"))))
-    hits, rest = looked_up(files, cache) if cache is not None else (None, files)
+    if cache is not None:
+        files = looked_up(files, cache)
+    hits, rest = (files.filter(F.col("entry").isNotNull()), files.filter(F.col("entry").isNull()).drop("entry")) if cache is not None else (None, files)
     role, where, name = F.lit(settings.user_role), F.lit(domain), text_or_empty(F.col("file_name"))
     open_text = F.when(F.col("unscannable") | F.col("is_directory"), "").otherwise(F.col("text"))
     df = with_matches(rest.withColumn("_text", open_text), "_text", repair, settings.enable_regex).drop("_text")
     alone = F.exists("matches", lambda m: m["category"].isin(*P.SKIP_CLASSIFIER_FILE))
     replies = F.col("replies") if settings.enable_llm and "replies" in has else None
-    chunks = F.when(alone | F.col("unscannable") | F.col("is_directory"), no_chunks()).otherwise(chunk_results(F.col("chunks"), replies) if settings.enable_llm else no_chunks())
+    away = F.col("classifier_away") if "classifier_away" in has else None
+    chunks = F.when(alone | F.col("unscannable") | F.col("is_directory"), no_chunks()).otherwise(chunk_results(F.col("chunks"), replies, away=away) if settings.enable_llm else no_chunks())
     df = once(df, "chunk_results", chunks)
     out = decided(df, settings, text=None, role=role, domain=where, chunks=F.col("chunk_results"), unscannable=F.col("unscannable") & ~F.col("is_directory"), file_name=name, why=F.col("reason"))
     plain = F.col("is_directory")
@@ -72,7 +75,7 @@ def analyze_files(files: DataFrame, settings: Settings = Settings(), domain: str
         "cached": F.lit(False),
         "audited": ~plain,
     })
-    kept = [*[c for c in files.columns if c not in ("chunks", "pages", "replies")], "action", "risk_score", "explanation", "reasons", "fixed_floor_triggered", "matches", "chunk_results", "cached", "audited"]
+    kept = [*[c for c in files.columns if c not in ("chunks", "pages", "replies", "classifier_away", "entry")], "action", "risk_score", "explanation", "reasons", "fixed_floor_triggered", "matches", "chunk_results", "cached", "audited"]
     out = out.select(*kept)
     if hits is None:
         return out

@@ -57,7 +57,8 @@ def chunked(text: str | None, most: int = 8000, overlap: int = 600) -> Iterator[
     while start < len(text):
         end = min(start + most, len(text))
         if end < len(text):
-            stop = max(text.rfind("\n", 0, end + 1), text.rfind(". ", 0, end + 2))
+            least = start + 1001  # ends before it don't count
+            stop = max(text.rfind("\n", least, end + 1), text.rfind(". ", least, end + 2))
             end = stop + 1 if stop > start + 1000 else end
         if part := text[start:end].strip(P.BLANKS):
             yield index, part, start, end

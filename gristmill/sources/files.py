@@ -16,12 +16,17 @@ from gristmill.operators.policy import filled
 from gristmill.operators.windows import windows
 
 #: Fixed values.
-UNSCANNABLE = "png jpg jpeg gif webp bmp zip tar gz 7z rar bz2 exe bin dll so dylib iso mp3 mp4 wav ogg mov avi woff woff2 ttf eot".split()
+UNSCANNABLE = (
+    "png", "jpg", "jpeg", "gif", "webp", "bmp", "zip", "tar", "gz", "7z", "rar", "bz2", "exe", "bin", "dll", "so", "dylib", "iso", "mp3", "mp4",
+    "wav", "ogg", "mov", "avi", "woff", "woff2", "ttf", "eot",
+)
 TEXTUAL = (
-    "txt text env csv tsv json json5 jsonc ipynb md markdown log out xml js mjs cjs jsx ts mts cts tsx html htm xhtml svg css scss sass less "
-    "py pyw yaml yml toml ini conf cfg config properties sh bash zsh fish bat cmd ps1 psm1 c h cpp hpp cc cxx cs java kt kts scala go rs swift rb "
-    "php lua r dart pl pm sql prisma graphql gql proto dockerfile makefile cmake vagrantfile gemfile pipfile lock pem key cer crt pub"
-).split()
+    "txt", "text", "env", "csv", "tsv", "json", "json5", "jsonc", "ipynb", "md", "markdown", "log", "out", "xml", "js", "mjs", "cjs", "jsx", "ts",
+    "mts", "cts", "tsx", "html", "htm", "xhtml", "svg", "css", "scss", "sass", "less", "py", "pyw", "yaml", "yml", "toml", "ini", "conf", "cfg",
+    "config", "properties", "sh", "bash", "zsh", "fish", "bat", "cmd", "ps1", "psm1", "c", "h", "cpp", "hpp", "cc", "cxx", "cs", "java", "kt", "kts",
+    "scala", "go", "rs", "swift", "rb", "php", "lua", "r", "dart", "pl", "pm", "sql", "prisma", "graphql", "gql", "proto", "dockerfile", "makefile",
+    "cmake", "vagrantfile", "gemfile", "pipfile", "lock", "pem", "key", "cer", "crt", "pub",
+)
 SAMPLE = 2048
 NOTEBOOK = "struct<cells:array<struct<cell_type:string,source:variant,outputs:array<struct<text:variant,data:map<string,variant>>>>>>"
 
@@ -51,9 +56,9 @@ def route(df: DataFrame) -> DataFrame:
     has = lambda s: F.contains(mime, F.lit(s))
     starts = lambda s: F.startswith(mime, F.lit(s))
     directory = (~F.contains(name, F.lit(".")) & (size == 0)) | (F.lower(name) == "downloads")
-    closed = ext.isin(UNSCANNABLE) | starts("image/") | starts("audio/") | starts("video/")
+    closed = ext.isin(*UNSCANNABLE) | starts("image/") | starts("audio/") | starts("video/")
     env = F.startswith(name, F.lit(".env")) | F.startswith(ext, F.lit("env")) | F.endswith(name, F.lit(".env"))
-    known = env | ext.isin(TEXTUAL) | F.endswith(name, F.lit(".ipynb"))
+    known = env | ext.isin(*TEXTUAL) | F.endswith(name, F.lit(".ipynb"))
     typed = starts("text/") | has("json") | has("javascript") | (mime == "application/xml") | F.endswith(mime, F.lit("/xml"))
     notebook = (ext == "ipynb") | F.endswith(name, F.lit(".ipynb"))
     kind = (
@@ -97,12 +102,21 @@ def printable(s: str) -> str:
     return s if s and len(_PRINTABLE.findall(s)) / len(s) >= 0.70 else ""
 
 
-def inflated(data: bytes) -> bytes | None:
-    for bits in (15, -15):
+#: Bytes that a compressed part may come to. A file with a larger one is closed, with that as its reason.
+INFLATED = 256 << 20
+
+
+def inflated(data: bytes, raw: bool = False) -> bytes | None:
+    """What a zlib or bare deflate stream holds; None if it is neither."""
+    for bits in (-15, 15) if raw else (15, -15):
+        stream = zlib.decompressobj(bits)
         try:
-            return zlib.decompressobj(bits).decompress(data)
+            out = stream.decompress(data, INFLATED)
         except zlib.error:
             continue
+        if stream.unconsumed_tail:
+            raise ValueError(f"compressed part of more than {INFLATED} bytes")
+        return out
     return None
 
 
@@ -152,23 +166,18 @@ def zip_entries(data: bytes, wanted: tuple[str, ...]) -> Iterator[str]:
             if size == 0 or end > len(data):
                 end = data.find(b"PK", start + 1)
                 end = end if 0 <= end < len(data) - 4 else len(data)
-            body = data[start:end] if method == 0 else inflated_raw(data[start:end]) if method == 8 else None
+            body = data[start:end] if method == 0 else inflated(data[start:end], raw=True) if method == 8 else None
             if body:
                 yield body.decode("utf-8", "replace")
         at = data.find(b"PK\x03\x04", max(start + size, at + 4))
 
 
-def inflated_raw(data: bytes) -> bytes | None:
-    for bits in (-15, 15):
-        try:
-            return zlib.decompressobj(bits).decompress(data)
-        except zlib.error:
-            continue
-    return None
+#: Fixed values, in the order in which they are replaced.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'"))
 
 
 def _plain(s: str) -> str:
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'")):
+    for entity, sign in ENTITIES:
         s = s.replace(entity, sign)
     return s
 
@@ -177,6 +186,18 @@ def xml_texts(xml: str, tag: str) -> list[str]:
     return [t for x in re.findall(rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", xml) if (t := _plain(x).strip())]
 
 
+def xml_nodes(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """All columns with `nodes`: the texts of the elements called `tag`, without entities and blanks at their ends; empty ones go."""
+    found = F.regexp_extract_all(text_or_empty(F.col(column)), F.lit(rf"(?s)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+
+    def plain(x: Column) -> Column:
+        for entity, sign in ENTITIES:
+            x = F.replace(x, F.lit(entity), F.lit(sign))
+        return F.regexp_replace(x, r"^[\s\x{A0}]+|[\s\x{A0}]+\z", "")
+
+    return df.withColumn("nodes", F.filter(F.transform(found, plain), lambda x: x != ""))
+
+
 def sheet_texts(xml: str) -> list[str]:
     """Shared strings, then values that aren't among them."""
     found = xml_texts(xml, "t")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.operators.policy import REASONS
@@ -97,10 +100,10 @@ def cache_rows(decisions: DataFrame) -> DataFrame:
     )
 
 
-def looked_up(df: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits with `entry`, misses) by `hash`. The cache is the one before this batch: rows of the batch don't see each other."""
+def looked_up(df: DataFrame, cache: DataFrame) -> DataFrame:
+    """All columns of `df` with `entry`, the cache's last one of the row's `hash`; null where there is none. The cache is the one before this batch: rows of the batch don't see each other."""
     entries = newest_by_hash(cache).select(F.col("hash"), F.struct(*cache.columns).alias("entry"))
-    return df.join(entries, "hash"), df.join(entries.select("hash"), "hash", "left_anti")
+    return df.join(entries, "hash", "left")
 
 
 def emptied(table: DataFrame) -> DataFrame:
@@ -115,18 +118,24 @@ def save(df: DataFrame, path: str) -> None:
 def accepted(df: DataFrame, by: str = "user_id", at: str = "ts", text: str = "prompt_text", within_ms: int = 1500) -> DataFrame:
     """Rows that aren't repeats: the same text within `within_ms` of the last accepted row of the same session.
 
-    A dropped row doesn't move the time on. Runs of equal texts are found by window functions; inside a run the accepted rows
-    follow from a fold over the run's times alone, so that a session's texts are never gathered.
+    A dropped row doesn't move the time on. A session's rows stream by in order; what is held of it is the last accepted text and time, and
+    the rows of one Arrow batch. Of equal times the other columns decide.
     """
     ms = (F.unix_micros(F.col(at).cast("timestamp")) / 1000).cast("long")
-    order = Window.partitionBy(by).orderBy("_ms", "_tie")
     tie = [c for c in df.columns if c not in (by, at, text)]
-    rows = df.withColumns({"_ms": ms, "_tie": F.struct(*map(F.col, tie)) if tie else F.lit(0)})
-    rows = rows.withColumn("_new", (~F.lag(text).over(order).eqNullSafe(F.col(text)) | F.lag("_ms").over(order).isNull()).cast("int"))
-    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= within_ms), F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
-    runs = rows.groupBy(by, "_run").agg(F.aggregate(F.array_sort(F.collect_list("_ms")), start, step, lambda acc: acc["kept"]).alias("_kept"))
-    first = F.row_number().over(Window.partitionBy(by, "_run", "_ms").orderBy("_tie")) == 1
-    out = rows.join(runs, [by, "_run"]).filter(F.array_contains("_kept", F.col("_ms"))).withColumn("_first", first).filter("_first")
-    return out.select(*df.columns)
+    rows = df.withColumn("_ms", ms).repartition(by).sortWithinPartitions(by, "_ms", *tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, last_text, last_ms = None, None, None
+        for batch in batches:
+            keep = []
+            for who, when, said in zip(batch.column(by).to_pylist(), batch.column("_ms").to_pylist(), batch.column(text).to_pylist(), strict=True):
+                if who != session:
+                    session, last_text, last_ms = who, None, None
+                fresh = last_ms is None or when is None or said != last_text or when - last_ms >= within_ms
+                if fresh:
+                    last_text, last_ms = said, when
+                keep.append(fresh)
+            yield batch.drop_columns(["_ms"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, df.schema)

@@ -11,7 +11,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(ship(spark).read.parquet(f"{folder}/{name}.parquet"))
 
 
+#: Bytes of files up to which a table is dealt anew.
+SMALL = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores if its files would keep half of them idle: a small file in one piece. Larger inputs stay as they are, unshuffled."""
+    """`df` over all cores if its files are small and would keep half of the cores idle, a small file in one piece. Larger inputs stay as they are, unshuffled, however many cores there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    if 2 * df.rdd.getNumPartitions() > cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL:
+        return df
+    return df.repartition(cores)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gristmill.operators.pipelines import analyze_prompts
 from gristmill.operators.risk import Settings
-from gristmill.sources.store import append_audit, cache_rows, newest_by_hash
+from gristmill.sources.store import audit_rows, cache_rows, newest_by_hash
 
 WITHIN_MS = 1500
 KINDS = ("ANALYZE_PROMPT", "ANALYZE_FILE", "ANALYZE_BATCH_FILES", "ANALYZE_IMAGE_FILE", "PERFORM_IMAGE_OCR", "GET_AUDIT_LOGS", "CLEAR_AUDIT_LOGS", "CLEAR_CACHE", "CLEAR_HASH_CACHE", "GET_SETTINGS")
@@ -30,13 +30,17 @@ def of_kind(messages: DataFrame, kind: str) -> DataFrame:
     return messages.filter(F.col("type").isin(kind, *(a for a, k in ALIASES.items() if k == kind)))
 
 
-def accepted_stream(df: DataFrame, by: str = "user_id", at: str = "ts", text: str = "prompt_text", within_ms: int = WITHIN_MS) -> DataFrame:
+def accepted_stream(df: DataFrame, by: str = "user_id", at: str = "ts", text: str = "prompt_text", within_ms: int = WITHIN_MS, idle_ms: int = 3_600_000) -> DataFrame:
     """(by, at, text) of submissions that don't repeat the last accepted one of their session within `within_ms`.
 
-    The state is the last accepted text and time. A dropped row leaves it as it is. Inside a micro-batch rows are taken by time.
+    The state is the last accepted text and time. A dropped row leaves it as it is. Inside a micro-batch rows are taken by time. A session's state goes when
+    nothing has come of it for `idle_ms` of the clock; no rows are left out.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_text, last_ms = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values(at, kind="stable")
         kept = []
@@ -47,26 +51,32 @@ def accepted_stream(df: DataFrame, by: str = "user_id", at: str = "ts", text: st
                 kept.append(k)
         if last_ms is not None:
             state.update((last_text, last_ms))
+            state.setTimeoutDuration(max(within_ms, idle_ms))
         yield rows.iloc[kept][[by, at, text]]
 
     kinds = dict(df.dtypes)
-    return df.select(by, at, text).groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, {at} {kinds[at]}, {text} string", "text string, ms long", "append", GroupStateTimeout.NoTimeout)
+    return df.select(by, at, text).groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, {at} {kinds[at]}, {text} string", "text string, ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def written_once(rows: DataFrame, path: str, epoch: int) -> None:
+    """The rows of a micro-batch, in a folder of their own: a batch that is run again replaces what it has written."""
+    rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
 def decide_stream(submissions: DataFrame, audit: str, checkpoint: str, settings: Settings = Settings(), repair: str = "full"):
-    """Starts a query that decides each micro-batch as a batch would and appends to the audit table."""
+    """Starts a query that decides each micro-batch as a batch would and adds it to the audit table."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         done = analyze_prompts(batch, settings, repair).withColumn("decision", F.col("action"))
-        append_audit(done, audit)
+        written_once(audit_rows(done), audit, epoch)
 
     return submissions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cache_stream(decisions: DataFrame, cache: str, checkpoint: str):
-    """Starts a query that appends decisions to the cache table. Readers take the last entry of each hash (newest_by_hash)."""
+    """Starts a query that adds decisions to the cache table. Readers take the last entry of each hash (newest_by_hash)."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        newest_by_hash(cache_rows(batch)).write.mode("append").parquet(cache)
+        written_once(newest_by_hash(cache_rows(batch)), cache, epoch)
 
     return decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

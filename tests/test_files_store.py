@@ -181,6 +181,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q = governance.decide_stream(governance.read_submissions(spark, str(tmp_path / "in"), "user_id long, ts timestamp, prompt_text string"), str(tmp_path / "audit"), str(tmp_path / "c2"))
     q.awaitTermination(120)
     assert store.read_audit(spark, str(tmp_path / "audit")).count() == 8
+    governance.written_once(store.read_audit(spark, str(tmp_path / "audit")).drop("epoch").cache(), str(tmp_path / "again"), 3)
+    governance.written_once(store.read_audit(spark, str(tmp_path / "audit")).drop("epoch"), str(tmp_path / "again"), 3)
+    assert spark.read.parquet(str(tmp_path / "again")).count() == 8
+
+
+def test_inflating_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(files, "INFLATED", 1000)
+    with pytest.raises(ValueError):
+        files.container_text("pdf", flate_pdf("x" * 5000))
+    assert files.inflated(b"no stream") is None and files.inflated(zlib.compress(b"abc")) == b"abc"
 
 
 def test_messages(spark):

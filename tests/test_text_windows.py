@@ -98,6 +98,48 @@ def test_live_provider(spark):
     assert {r.reply for r in classify.with_reply(prompts, Away).collect()} == {None}
 
 
+def test_providers_that_fail_hang_or_are_away(spark):
+    class Moody:
+        def state(self):
+            return "after-download"
+
+        def ask(self, text):
+            import time
+
+            if "raise" in text:
+                raise RuntimeError("broken")
+            if "hang" in text:
+                time.sleep(30)
+            return "not sensitive"
+
+        def close(self):
+            raise RuntimeError("can't close")
+
+    class No(Moody):
+        def state(self):
+            return "no"
+
+    def none():
+        raise RuntimeError("can't start")
+
+    kind = "id long, chunks array<struct<chunk_index:int,text:string>>"
+    rows = [(1, [(0, "secret raise"), (1, "secret two")]), (2, [(0, "secret hang")]), (3, [(0, "secret plan")]), (4, [(0, "weather")])]
+    df = spark.createDataFrame(rows, kind).coalesce(1)
+    told = lambda make, **how: {r.id: r.c for r in classify.with_replies(df, make, **how).select("id", classify.chunk_results(F.col("chunks"), F.col("replies"), away=F.col("classifier_away")).alias("c")).collect()}
+    import time
+
+    began = time.time()
+    got = told(Moody, limit_ms=500)
+    assert time.time() - began < 20  # no row waits for the call that hangs
+    assert [(c.chunk_index, c.timed_out, c.reason) for c in got[1]] == [(0, True, "LLM_TIMEOUT")] == [(c.chunk_index, c.timed_out, c.reason) for c in got[2]]
+    assert [(c.skipped, c.sensitive) for c in got[3]] == [(False, False)] and got[4][0].reason == "HEURISTIC_TRIAGE_CLEAN"
+    assert {c.reason for k in (1, 2, 3) for c in told(No)[k]} == {"Prompt API unavailable (no)"}
+    assert {c.reason for k in (1, 2, 3) for c in told(none)[k]} == {"can't start"}
+    prompts = spark.createDataFrame([(1, "raise"), (2, "hang"), (3, "fine"), (4, " ")], "id long, prompt_text string").coalesce(1)
+    one = {r.id: r for r in classify.with_reply(prompts, Moody, limit_ms=500).collect()}
+    assert one[1].delay_ms == one[2].delay_ms == 7001 and one[3].reply == "not sensitive" and one[4].reply is None and one[4].delay_ms is None
+
+
 def test_parsed_defaults(spark):
     got = values(spark, ["null", "", "{}", '{"sensitive": true, "confidence": 0.3}', "A security risk"], classify.parsed(F.col("t")))
     assert [tuple(r[0]) for r in got] == [(False, None, 0.0), (False, None, 0.0), (False, None, 0.0), (True, "confidential_context", 0.3), (True, "confidential_context", 0.85)]
