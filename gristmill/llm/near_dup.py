@@ -14,7 +14,7 @@ r"""Near-duplicate documents by MinHash with tensored banding, links confirmed o
 5. A link is confirmed on the full sets: 100 * intersection >= 85 * union.
 
 A pair is missed if it shares no sub-key of one collection or of the other: 1 - (1 - (1 - s ** ROWS) ** M) ** 2. At the threshold itself
-(s = 0.85, 3 rows, M = 16) that is 4.9e-7; at 0.80 it would be 1.5e-5, so the pipeline, which links from there, takes M = 24: 5.8e-8.
+(s = 0.85, 2 rows, M = 12) that is 4.2e-7; at 0.80 it would be 9.5e-6, so the pipeline, which links from there, takes M = 15: 4.4e-7.
 With exact=True nothing is missed: keys are then the least hashes of a set, so many that two linked sets must share one of them.
 
 Documents that are alike in large numbers meet at hubs: the first of a bucket, the least id of a component, the digest of a text. Rows of a hub are
@@ -35,7 +35,7 @@ from gristmill.llm.shared import by_size, forget, written
 
 WORDS = 5
 PERCENT = 85
-ROWS, M = 3, 16
+ROWS, M = 2, 12
 SEED = 20_240_229
 #: Documents of a bucket that a task looks at together, twice, and bytes of their bitmaps, about.
 TILE, TILE_BYTES = 2048, 16 << 20
