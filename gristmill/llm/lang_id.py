@@ -20,10 +20,10 @@ from gristmill.llm.shared import by_size, written
 
 #: Labelled documents a language and stretches a document that the network learns from, and bytes a stretch: the bounds of the training sample.
 DOCUMENTS, STRETCHES, LEARNT = 150, 40, 48
-HIDDEN = 12
-STEPS, BATCH, RATE, SEED = 220, 256, 0.02, 11
+HIDDEN = 8
+STEPS, BATCH, RATE, SEED = 260, 256, 0.02, 11
 #: Bytes of a stretch that count, bytes on either side that lead up to them, stretches read at once, bytes of texts taken together.
-CORE, CONTEXT, ROWS, TOGETHER = 192, 16, 512, 1 << 19
+CORE, CONTEXT, ROWS, TOGETHER = 256, 16, 1024, 1 << 19
 #: Rows whose texts are taken out of Arrow at once.
 SLICE = 512
 UNKNOWN = "und"
