@@ -16,8 +16,8 @@ from gristmill.plans.ship import ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Mean entropy of a document's positions, as a share of the largest possible, from which on no language fits it.
 DOUBT = 0.98
-#: Near copies share so many hundredths of their shingles. With 3 rows and 24 sub-keys a pair at 0.8 is missed with probability 4.9e-7.
-SIMILAR, SUB_KEYS = 80, 24
+#: Near copies share so many hundredths of their shingles. With 2 rows and 15 sub-keys a pair at 0.8 is missed with probability 4.4e-7.
+SIMILAR, SUB_KEYS = 80, 15
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
