@@ -115,7 +115,7 @@ def format_chat(events: DataFrame) -> DataFrame:
     A conversation is what its rows' `formatted` give one after the other; the loss covers loss_start to loss_end of each (code
     points). Rows of a conversation lie in one partition, in order. Nulls: a null text is empty, a null kind `message`, a
     null role empty, a null seq 0; null conv_ids are one conversation; null turns come first. Rows of `message` that repeat a
-    turn are turns of their own, by seq, role and text. Unknown kinds fail. Extra columns are left out. Empty tables give empty results.
+    turn are turns of their own, by seq, role and text. Unknown kinds fail. Long texts are taken whole, a message at a time. Extra columns are left out. Empty tables give empty results.
     """
     has = set(events.columns)
     kind = F.coalesce(F.col("kind"), F.lit("message")) if "kind" in has else F.lit("message")

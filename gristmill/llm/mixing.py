@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     documents in the order of their keys until the source's budget, the target rounded to a word, is used up exactly; the
     last one counts in part. Columns of `docs` named like a result are replaced.
 
-    Nulls: a null source is a source of its own, the last; a null doc_id has a key like any other; a null size is 0.
+    Nulls: a null source is a source of its own, the last; all null doc_ids have one key, like rows that repeat an id, so that they lie in one range of their source; a null size is 0.
     Rows that repeat a doc_id share a key and stand by size; equal rows are interchangeable. Sources without words have
     target 0. An empty table gives an empty result.
     """

@@ -7,7 +7,9 @@ All patterns read a text once: runs of digits are taken whole, and e-mail addres
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -91,8 +93,10 @@ def score(text: str, s: int, kind: int, e: int) -> float:
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     found = [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if 15 <= len(c := m.group().replace(" ", "")) <= 34 and mod97(c)]
     found += [(m.start(), 5, m.end()) for m in _NATIONAL.finditer(text)]
+    starts = [b for b, _, _ in base]
+    furthest = [*itertools.accumulate((e for _, _, e in base), max, initial=-1)]
     for s, k, e in found:
-        if score(text, s, k, e) >= LEAST and not any(b < e and s < f for b, _, f in base):
+        if score(text, s, k, e) >= LEAST and furthest[bisect.bisect_left(starts, e)] <= s:  # no base span that starts before its end reaches it
             yield s, k, e
 
 

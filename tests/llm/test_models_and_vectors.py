@@ -1,14 +1,17 @@
 """Chat, BPE, HTML, language ID, vector searches, pipeline."""
 
 import hashlib
+import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from gristmill.llm import bpe, chat, html_text, lang_id, vectors
 from gristmill.llm.oracle import ORACLE_SQL
@@ -69,13 +72,17 @@ def test_events(spark):
     assert got == [(t, r, chat.render(r, x)[0]) for t, r, x in want]
 
 
+def test_chat_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["op2_chat_format"](spark, str(tmp_path)).collect()
+    assert [(r.conv_id, r.n_turns) for r in got] == [(-1, 2)]
+
+
 # --- BPE
 
 
 @pytest.fixture(scope="module")
 def both():
-    from tokenizers import Tokenizer
-
     theirs = Tokenizer.from_file(bpe.public_path())
     theirs.no_truncation()
     theirs.no_padding()
@@ -450,20 +457,87 @@ def test_searches_of_empty_and_odd_tables(spark):
 # --- pipeline
 
 
+def plain_mix(rows):
+    """Copies by (doc_id, text) of (doc_id, text, source) rows, word for word after the contract of the mix."""
+    sized = [(d, t, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, s in rows]
+    sources = sorted({s for _, _, s, _ in sized}, key=lambda s: (s is None, s))
+    size = {s: sum(n for _, _, x, n in sized if x == s) for s in sources}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(size.values())
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * size[s]}
+        if not full:
+            break
+        for s in full:
+            target[s] = 2 * size[s]
+            left -= target[s]
+        open_ -= full
+    target |= share
+    copies = defaultdict(int)
+    for s in sources:
+        budget = math.floor(target[s] + 0.5)
+        epochs, rest = divmod(budget, size[s]) if size[s] else (0, 0)
+        own = sorted(((hashlib.md5(f"mix:{'' if d is None else d}".encode()).hexdigest(), n, d, t) for d, t, x, n in sized if x == s), key=lambda r: (r[0], r[1]))
+        for _, n, d, t in own:
+            taken = epochs * n + max(0, min(n, rest))
+            rest -= n
+            copies[d, t] += -(-taken // n) if n else 0
+    return {k: n for k, n in copies.items() if n}
+
+
 def test_pipeline(spark):
+    """Stage by stage on the smallest table; the mix and the tokens of all rows against plain versions."""
     import corpus_pipeline as p
+    from gristmill.llm.shared import written
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    before, count = docs, docs.count()
+    before = docs
+    theirs = Tokenizer.from_file(bpe.public_path())
+    theirs.no_truncation()
+    theirs.no_padding()
     for name, stage in p.STAGES[:-1]:
-        docs = stage(spark, docs, SMALL)
+        last, docs = docs, written(stage(spark, docs, SMALL), name)
         assert docs.columns == before.columns, name
+    given = [(r.doc_id, r.text, r.source) for r in last.collect()]
+    left = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert left == plain_mix(given)
     rows = p.run(spark, SMALL).collect()
-    assert {r.doc_id for r in rows} <= {r.doc_id for r in before.collect()} and 0 < len(rows) <= 2 * count
-    text = {r.doc_id: r.text for r in docs.collect()}
-    tok = bpe.Tokenizer(bpe.public_path())
-    for r in rows[:20]:
-        assert r.n_tokens == len([*tok.encode(text[r.doc_id])])
+    said = defaultdict(int)
+    for r in rows:
+        said[r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256] += 1
+    want = defaultdict(int)
+    for (d, text), n in left.items():
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        want[d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += n
+    assert said == want
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns, and tables without rows."""
+    import corpus_pipeline as p
+
+    long = "die Häuser und the houses et les maisons " * 3000
+    rows = [(1, "the house and the tree are old", "en", "web", 30), (1, "the house and the tree are old", "en", "web", 30), (2, None, None, None, None), (3, "", "de", "web", 0), (None, "das Haus und der Baum sind alt", "de", None, 30)]
+    rows += [(None, None, None, None, None), (4, long, None, "books", len(long)), (5, "token=abcdefghijk and the tree of the garden", None, "web", 40), (6, "12 34", "en", "web", 5)]
+    docs = spark.createDataFrame([(*r, 7, "x", "y", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size long, kept string, spans string, _row long")
+    for name, stage in p.STAGES:
+        got, none = stage(spark, docs, SMALL), stage(spark, docs.limit(0), SMALL)
+        kept = got.collect()
+        assert none.count() == 0 and none.columns == got.columns, name
+        if name != "tokens":
+            assert got.columns == [*p.COLUMNS], name
+        ids = Counter(r.doc_id for r in kept)
+        if name == "language_id":
+            assert ids == {1: 2, None: 1, 4: 1, 5: 1}
+        elif name == "near_duplicates":
+            assert ids == {1: 1, 2: 1, 3: 1, None: 2, 4: 1, 5: 1, 6: 1}
+        elif name == "secret_scan":
+            assert len(kept) == len(rows) and {r.text for r in kept if r.doc_id == 5} == {"[SECRET] and the tree of the garden"} and sum(r.text is None for r in kept) == 2
+        elif name == "mix_sources":
+            assert ids and not ids.keys() & {2, 3}
+        else:
+            assert len(kept) == len(rows) and sum(r.n_tokens == 0 for r in kept) == 3
 
 
 def stage_rows(spark, stage, rows):

@@ -162,6 +162,12 @@ def test_long_runs_are_fast():
     assert time.time() - began < 10
 
 
+def test_added_spans_beside_base_spans():
+    text = "SSN 123-45-6789 " + "ssn 4111 1111 1111 1111 123-45-6788 " * 3 + "account GB82WEST12345698765432"
+    base, spans = pii.find_personal(text)
+    assert [x for x in spans if x[1] > 3] == [x for x in spans if x[1] > 3 and not any(b < x[2] and x[0] < e for b, _, e in base)] and len(spans) > len(base)
+
+
 def test_redact_pii(spark):
     got = pii.redact_pii(spark.createDataFrame([("me@x.org, 1.2.3.4",), (None,)], "text string")).collect()
     assert [r.text for r in got] == ["[EMAIL], [IP]", None]
@@ -238,6 +244,17 @@ def test_near_duplicates_odd_rows(spark):
     assert got == sorted([(None, 3, 1, False), (1, 3, 1, True), (2, 0, 2, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (None, 0, None, True)], key=str)
 
 
+def test_near_duplicates_of_many_copies_and_long_texts(spark):
+    """A third of all rows is one text, and as many copies have a word changed; a long text and its near copy."""
+    words = [f"w{k}" for k in range(300)]
+    long = [f"l{k}" for k in range(150_000)]
+    other = [*words[:150], "x", *words[151:]]
+    texts = [" ".join(words)] * 400 + [" ".join([*words[:k], f"y{k}", *words[k + 1 :]]) for k in range(200)] + [" ".join(other)] * 200 + [" ".join(long), " ".join(["z", *long[1:]])] + [f"alone {k} and by itself as it is" for k in range(400)]
+    df = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)], "doc_id long, text string, kept boolean")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {k: (n, c) for k, (n, c) in {**{k: (296, 0) for k in range(800)}, 800: (149_996, 800), 801: (149_996, 800), **{k: (4, k) for k in range(802, len(texts))}}.items()}
+
+
 def test_one_of_each(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (3, "x y", "s"), (3, "x y", "s"), (3, "other", "s"), (4, None, "s"), (None, "null id", "s")], "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.text) for r in near_dup.one_of_each(df).collect()), key=str)
