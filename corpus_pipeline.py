@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, near-duplicates, secrets, mixing, tokens.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame. Its result is written as Parquet and is the next one's docs. All but the last return
-the columns of documents.
+the columns of documents, and leave out others that they are given. Texts are read whole, however long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,11 @@ SIMILAR, SUB_KEYS = 80, 15
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or where no position speaks for a language, go; those that mix languages stay; `lang` of the others is the predicted one where none is given."""
+    """Documents without letters, or where no position speaks for a language, go; those that mix languages stay; `lang` is the predicted one where none is given.
+
+    Null and empty texts have no letters and go. Rows are independent: rows that repeat an id or are equal all stay, null ids and sources too. Where nothing can be
+    learned, as no row has a language, all documents go.
+    """
     ship(spark)
     found = lang_id.identify(docs, lang_id.train(docs), keep=True)
     kept = found.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("doubt") < DOUBT))
@@ -29,24 +33,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; documents are linked from a similarity of 0.8 of their sets of five-word shingles on, whatever their ids."""
+    """One document of each group stays; documents are linked from a similarity of 0.8 of their sets of five-word shingles on, whatever their ids.
+
+    The least id stays, of equal ids the first by a hash of the text, null ids come last. Null and empty texts are linked with nothing; of those that
+    repeat an id one stays.
+    """
     ship(spark)
     return near_dup.one_of_each_text(docs, percent=SIMILAR, m=SUB_KEYS).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by a mark; all documents stay."""
+    """Every secret is replaced by a mark; all documents stay, and n_chars counts anew. Null texts stay null, with 0 characters; repeated rows stay."""
     clean = secrets.redacted(secrets.scan_secrets(docs, parts=True))
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as its source's budget takes it; those beyond the budget and those without words go."""
+    """Each document stands as often as its source's budget takes it; those beyond the budget and those without words (null and empty texts) go.
+
+    A null source is a source of its own. Ties: rows that repeat an id share a key and go by size. Null ids share one key, so that many of them are one task.
+    """
     return mixing.repeated(mixing.mix(docs.withColumn("size", mixing.word_count(F.col("text"))))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, in digests, with the digest of what they decode to."""
+    """Token ids of every text, in digests, with the digest of what they decode to; a row for each row, null texts as empty ones."""
     ship(spark)
     return bpe.bpe_digests(docs)
 
