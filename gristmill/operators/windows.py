@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
-from gristmill.functions.arrays import found, let
+from gristmill.functions.arrays import let
 from gristmill.functions.text import suspicion, text_or_empty, trimmed
 
 WINDOWS = "array<struct<chunk_index:int,text:string,window_type:string,start_char:int,end_char:int,anchor_center:int>>"
@@ -25,21 +25,21 @@ def _window(k: int, text: Column, kind: str, start: Column, end: Column, center:
 def windows(c: Column, head: int = HEAD, radius: int = RADIUS) -> Column:
     """The whole of a short text; of a long one its head, and what surrounds the first anchor word that starts behind the head.
 
-    Anchors are looked for in the whole text: one that straddles the head's end isn't cut into another.
+    No anchor word stands inside another one, so the search can begin behind the head, and it ends with the first one.
     """
     none = F.array().cast(WINDOWS)
+    anchor = rf"(?is)\A(.{{{head + 1}}}.*?)({P.java(P.ANCHORS)})"
 
     def of(text: Column) -> Column:
         size = F.length(text)
         first = _window(0, text, "HEAD", F.lit(0), F.least(F.lit(head), size))
 
-        def around(anchor: Column) -> Column:
-            center = anchor["index"] + F.floor(F.length(anchor["match"]) / 2)
+        def around(center: Column) -> Column:
             near = _window(1, text, "ANCHOR_LOCUS", F.greatest(F.lit(0), center - radius), F.least(size, center + radius), center)
-            return F.when(anchor.isNotNull(), F.array(first, near).cast(WINDOWS)).otherwise(F.array(first).cast(WINDOWS))
+            return F.array(first, near).cast(WINDOWS)
 
-        anchors = F.filter(found(text, P.java(P.ANCHORS, True)), lambda m: m["index"] > head)
-        long = F.when(text.rlike(P.java(P.ANCHORS, True)), let(F.get(anchors, F.lit(0)), around)).otherwise(F.array(first).cast(WINDOWS))
+        center = F.length(F.regexp_extract(text, anchor, 1)) + F.floor(F.length(F.regexp_extract(text, anchor, 2)) / 2)
+        long = F.when(text.rlike(anchor), let(center, around)).otherwise(F.array(first).cast(WINDOWS))
         short = F.array(_window(0, text, "FULL", F.lit(0), size)).cast(WINDOWS)
         return F.when(size == 0, none).when(size <= SHORT, short).otherwise(long)
 
