@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: Symbols of a word that are read at once, at least.
 READ = 16
 #: Words whose answers a worker keeps, twice, and how long they may be.
-STORE, STORED = 350_000, 64
+STORE, STORED = 150_000, 64
 
 
 def byte_alphabet() -> list[str]:

@@ -23,9 +23,9 @@ DOCUMENTS, STRETCHES, LEARNT = 150, 40, 48
 HIDDEN = 8
 STEPS, BATCH, RATE, SEED = 260, 256, 0.02, 11
 #: Bytes of a stretch that count, bytes on either side that lead up to them, stretches read at once, bytes of texts taken together.
-CORE, CONTEXT, ROWS, TOGETHER = 256, 16, 1024, 1 << 19
+CORE, CONTEXT, ROWS, TOGETHER = 256, 16, 512, 1 << 18
 #: Rows whose texts are taken out of Arrow at once.
-SLICE = 512
+SLICE = 256
 UNKNOWN = "und"
 #: What stands behind a text's end.
 END = 256

@@ -49,7 +49,7 @@ class _Words(dict):
     """64-bit hashes of words; emptied when it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = made = xxhash.xxh3_64_intdigest(word)
         return made
