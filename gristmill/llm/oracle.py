@@ -1,6 +1,6 @@
 r"""SQL (DuckDB) of this subpackage's queries, where SQL can say them.
 
-Not there: BPE (held against the tokenizers library in the tests), HTML extraction (against constructed pages) and language ID
+Not there: BPE and token counts (held against the tokenizers library in the tests), HTML extraction (against constructed pages) and language ID
 (held-out accuracy).
 """
 
@@ -136,6 +136,42 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def _lloyd(start: str, rounds: int) -> str:
+    """Rounds over v (n, p, e) and the entries of c0 (p, c, e): a_r (n, p, c, d) and c_r. One statement a round, each made once."""
+    out = [f"c0 AS MATERIALIZED ({start})"]
+    for r in range(rounds + 1):
+        out.append(
+            f"a{r} AS MATERIALIZED (SELECT n, p, min(d) AS d, arg_min(c, d * 1000 + c) AS c FROM (SELECT v.n, v.p, c.c, CAST(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS BIGINT) AS d "
+            f"FROM v JOIN c{r} c ON v.p = c.p) GROUP BY n, p)"
+        )
+        if r < rounds:
+            out.append(
+                f"c{r + 1} AS MATERIALIZED (WITH x AS (SELECT a.p, a.c, unnest(v.e) AS x, generate_subscripts(v.e, 1) AS i FROM a{r} a JOIN v ON a.n = v.n AND a.p = v.p), "
+                "s AS (SELECT p, c, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM x GROUP BY p, c, i), m AS (SELECT p, c, list(m ORDER BY i) AS e FROM s GROUP BY p, c) "
+                f"SELECT o.p, o.c, coalesce(m.e, o.e) AS e FROM c{r} o LEFT JOIN m ON o.p = m.p AND o.c = m.c)"
+            )
+    return ",\n".join(out)
+
+
+def _clusters() -> str:
+    return f"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id, embedding) AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE {_WHOLE} AND len(embedding) = 64),
+v AS MATERIALIZED (SELECT n, 0 AS p, e FROM w),
+{_lloyd("SELECT 0 AS p, CAST(n - 1 AS INTEGER) AS c, e FROM w WHERE n <= 40", 5)}
+SELECT w.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM w JOIN a5 a ON a.n = w.n JOIN c5 c ON c.c = a.c"""
+
+
+def _codes() -> str:
+    return f"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE {_WHOLE}),
+v AS MATERIALIZED (SELECT n, p, e[p * (len(e) // 4) + 1:(p + 1) * (len(e) // 4)] AS e FROM (SELECT n, unnest([0, 1, 2, 3]) AS p, e FROM w)),
+{_lloyd("SELECT p, CAST(n - 1 AS INTEGER) AS c, e FROM v WHERE n <= 256", 4)},
+r AS (SELECT w.vec_id, w.label, a.code, a.error FROM w JOIN (SELECT n, string_agg(lower(printf('%02x', c)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY n) a ON a.n = w.n),
+b AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT codebooks_sha256 FROM b) AS codebooks_sha256 FROM r"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": _secrets(),
     "op2_chat_format": _chat(),
@@ -144,4 +180,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mix_sources": _mix(),
     "op7_personal_data": _personal(),
     "op10_exact_top_k": _top(),
+    "op11_centroid_clusters": _clusters(),
+    "op12_vector_codes": _codes(),
 }

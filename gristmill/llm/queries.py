@@ -81,4 +81,22 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_scores(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_near_duplicates, op4_nearest_neighbours, op5_mix_sources, op6_bpe_round_trip, op7_personal_data, op8_html_extraction, op9_language_id, op10_exact_top_k)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.clustering import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_near_duplicates, op4_nearest_neighbours, op5_mix_sources, op6_bpe_round_trip, op7_personal_data, op8_html_extraction, op9_language_id, op10_exact_top_k, op11_centroid_clusters, op12_vector_codes, op13_token_counts)}
