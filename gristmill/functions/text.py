@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gristmill.functions import patterns as P
 
 _LINE_END = r"(?=[\n\r\x{2028}\x{2029}]|\z)"
-_LINE_START = r"(?<![^\n\r\x{2028}\x{2029}])"
 
 
 BRACKET = r"\["
@@ -28,7 +27,7 @@ def text_or_empty(c: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space at both ends, in ECMAScript's meaning of it."""
-    return F.regexp_replace(c, f"^[{P.WS}]+|(?<![{P.WS}])[{P.WS}]+\\z", "")
+    return F.btrim(c, F.lit(P.BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -40,7 +39,8 @@ def normalize_text(c: Column) -> Column:
     c = F.regexp_replace(text_or_empty(c), r"\r\n", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     c = F.regexp_replace(c, rf"(?<![ \t])[ \t]+{_LINE_END}", "")
-    c = F.regexp_replace(c, rf"{_LINE_START}[=\-_*#]{{5,}}{_LINE_END}", "")
+    # the first sign is looked for before what stands in front of it, which would else be looked at everywhere
+    c = F.regexp_replace(c, rf"[=\-_*#](?<![^\n\r\x{{2028}}\x{{2029}}][=\-_*#])[=\-_*#]{{4,}}{_LINE_END}", "")
     return trimmed(c)
 
 
@@ -55,7 +55,8 @@ def repair_minimal(c: Column) -> Column:
 def repair_full(c: Column) -> Column:
     """What recognised text needs besides: other signs for @, dots before domains, runs of blanks. It also turns a lone "at" into @."""
     c = F.regexp_replace(text_or_empty(c), r"\r\n", "\n")
-    c = F.regexp_replace(c, rf"(?i){_run_start(P.WS + '(' + BRACKET)}[{P.WS}(\[]+(?:@|©|®|at|\(a\))[{P.WS})\]]+", "@")
+    open_ = rf"[{P.WS}(\[]"
+    c = F.regexp_replace(c, rf"(?i){open_}(?:(?<=\G{open_})|(?<!{open_}{open_})){open_}*(?:@|©|®|at|\(a\))[{P.WS})\]]+", "@")
     c = repair_minimal(c)
     c = F.regexp_replace(c, P.java(r"\.[{S}]*(com|edu|org|gov|net|io|ai|in|ac|uk|de|ca){B}", True), ".$1")
     return F.regexp_replace(c, r"[ \t]{2,}", " ")

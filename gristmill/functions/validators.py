@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
+from gristmill.functions.arrays import constant
 from gristmill.functions.text import trimmed
 
 
@@ -28,6 +29,10 @@ def iban(match: Column) -> Column:
     return F.when(F.length(clean).between(15, 34) & clean.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), rest == 1).otherwise(False)
 
 
+def _common() -> Column:
+    return constant(P.COMMON_WORDS, "array<string>")
+
+
 def _bare(c: Column) -> Column:
     return F.lower(F.regexp_replace(trimmed(c), r"""^['"]|['"]\z""", ""))
 
@@ -35,14 +40,14 @@ def _bare(c: Column) -> Column:
 def api_key(match: Column) -> Column:
     """Not if what is assigned is an English word."""
     parts = F.split(match, P.java(r"[:=]|{B}is{B}", True))
-    return ~((F.size(parts) > 1) & _bare(F.element_at(parts, -1)).isin(*P.COMMON_WORDS))
+    return ~((F.size(parts) > 1) & F.array_contains(_common(), _bare(F.element_at(parts, -1))))
 
 
 def credential(match: Column) -> Column:
     """The same with another cut, at every i and s too, and not if the last piece is a small number."""
     parts = F.filter(F.split(match, P.java("[:=is{S}]+", True)), lambda x: x != "")
     last = _bare(F.try_element_at(parts, F.lit(-1)))
-    return F.when(F.size(parts) == 0, False).otherwise(~last.isin(*P.COMMON_WORDS) & ~last.rlike(r"^[0-9]{1,4}\z"))
+    return F.when(F.size(parts) == 0, False).otherwise(~F.array_contains(_common(), last) & ~last.rlike(r"^[0-9]{1,4}\z"))
 
 
 CHECKS = {"credit_card": luhn, "pan": pan, "iban": iban, "api_key": api_key, "potential_credential": credential}

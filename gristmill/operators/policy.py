@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
+from gristmill.functions.arrays import constant
 from gristmill.operators.risk import Settings, no_answer, no_chunks, rounded, timed_out
 
 REASONS = "array<struct<type:string,category:string,description:string>>"
@@ -28,12 +29,13 @@ def _those(*candidates: Column) -> Column:
 
 def floor_reasons(matches: Column, score: Column, unscannable: Column, file_name: Column, why: Column) -> Column:
     """One reason a category, not a match; the score's own only if there is no other."""
-    hit = lambda c: F.exists(matches, lambda m: m["category"] == c)
-    named = [F.when(hit(c), reason("fixed_floor_violation", F.lit(c), F.lit(text))) for c, text in P.FLOOR]
+    rules = constant([{"category": c, "description": text} for c, text in P.FLOOR], "array<struct<category:string,description:string>>")
+    seen = F.transform(matches, lambda m: m["category"])
+    named = F.transform(F.filter(rules, lambda r: F.array_contains(seen, r["category"])), lambda r: reason("fixed_floor_violation", r["category"], r["description"]))
     or_else = lambda c, text: F.coalesce(F.nullif(c, F.lit("")), F.lit(text))
     said = filled(P.UNSCANNABLE_REASON, or_else(file_name, P.UNSCANNABLE_NAME), or_else(why, P.UNSCANNABLE_WHY))
     closed = F.when(unscannable, reason("fixed_floor_violation", F.lit("unscannable_file"), said))
-    found = _those(*named, closed)
+    found = F.concat(named.cast(REASONS), _those(closed))
     rated = filled(P.CRITICAL_REASON, score)
     critical = _those(F.when(score >= 90, reason("fixed_floor_violation", F.lit("critical_risk"), rated)))
     return F.when(F.size(found) > 0, found).otherwise(critical)

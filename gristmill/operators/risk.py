@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
+from gristmill.functions.arrays import constant
 
 CHUNKS = "array<struct<chunk_index:int,sensitive:boolean,category:string,confidence:double,skipped:boolean,timed_out:boolean,reason:string,latency_ms:long>>"
 ANSWER = "struct<sensitive:boolean,category:string,confidence:double,skipped:boolean,timed_out:boolean,reason:string,latency_ms:long>"
@@ -49,7 +50,7 @@ def rounded(x: Column) -> Column:
 
 def lookup(table: dict[str, float], key: Column, default: float) -> Column:
     """The entry of `key`; the default if there is none or it is 0."""
-    entries = F.create_map(*(F.lit(x) for kv in table.items() for x in (kv[0], float(kv[1]))))
+    entries = constant({k: float(v) for k, v in table.items()}, "map<string,double>")
     return F.coalesce(F.nullif(F.try_element_at(entries, key), F.lit(0.0)), F.lit(float(default)))
 
 

@@ -8,26 +8,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
-from gristmill.functions.arrays import found
+from gristmill.functions.arrays import constant, placed, proposed
 from gristmill.functions.text import repaired
 from gristmill.functions.validators import CHECKS
 
 MATCHES = "array<struct<category:string,label:string,match:string,index:int,severity:string>>"
 
 
-def rule_matches(text: Column, rule: P.Rule) -> Column:
-    """Of one rule. A match that fails its check is dropped with the text that it took."""
-    hits = found(text, P.java(rule.pattern, rule.fold))
-    if check := CHECKS.get(rule.category):
-        hits = F.filter(hits, lambda x: check(x["match"]))
-    full = F.transform(hits, lambda x: F.struct(F.lit(rule.category).alias("category"), F.lit(rule.label).alias("label"), x["match"].alias("match"), x["index"].alias("index"), F.lit(rule.severity).alias("severity")))
-    worth = text.rlike(P.java(rule.hint, rule.fold)) if rule.hint else F.lit(True)
-    return F.when(worth & text.rlike(P.java(rule.pattern, rule.fold)), full).otherwise(F.array()).cast(MATCHES)
+def _proposed(text: Column, rule: P.Rule, name: int) -> Column:
+    """Of one rule, without checks; texts without its hint aren't searched."""
+    found = proposed(text, P.java(rule.pattern, rule.fold), name)
+    return F.when(text.rlike(P.java(rule.hint, rule.fold)), found) if rule.hint else found
 
 
 def scan(text: Column, rules: Sequence[P.Rule] = P.RULES) -> Column:
-    """All rules' matches in a repaired text, by rule, then by place."""
-    return F.concat(*(rule_matches(text, r) for r in rules)) if rules else F.array().cast(MATCHES)
+    """All rules' matches in a repaired text, by rule, then by place. A match that fails its check is dropped with the text that it took.
+
+    All rules' proposals are one array: they are placed, checked and named together.
+    """
+    if not rules:
+        return F.array().cast(MATCHES)
+    hits = placed(F.array(*(_proposed(text, r, k) for k, r in enumerate(rules))))
+    checks = [(k, CHECKS[r.category]) for k, r in enumerate(rules) if r.category in CHECKS]
+
+    def holds(m: Column) -> Column:
+        out = F.lit(True)
+        for k, check in checks:
+            out = F.when(m["name"] == k, check(m["match"])).otherwise(out)
+        return out
+
+    told = constant([{"category": r.category, "label": r.label, "severity": r.severity} for r in rules], "array<struct<category:string,label:string,severity:string>>")
+
+    def full(m: Column) -> Column:
+        rule = F.get(told, m["name"])
+        return F.struct(rule["category"].alias("category"), rule["label"].alias("label"), m["match"].alias("match"), m["index"].alias("index"), rule["severity"].alias("severity"))
+
+    return F.transform(F.filter(hits, holds) if checks else hits, full).cast(MATCHES)
+
+
+def rule_matches(text: Column, rule: P.Rule) -> Column:
+    """Of one rule."""
+    return scan(text, (rule,))
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -25,10 +25,11 @@ def _window(k: int, text: Column, kind: str, start: Column, end: Column, center:
 def windows(c: Column, head: int = HEAD, radius: int = RADIUS) -> Column:
     """The whole of a short text; of a long one its head, and what surrounds the first anchor word that starts behind the head.
 
-    No anchor word stands inside another one, so the search can begin behind the head, and it ends with the first one.
+    No anchor word stands inside another one, so the search can begin behind the head, and it ends with the first one. It is made once; how long the word is
+    follows from the end of what it has read.
     """
     none = F.array().cast(WINDOWS)
-    anchor = rf"(?is)\A(.{{{head + 1}}}.*?)({P.java(P.ANCHORS)})"
+    words = P.java(P.ANCHORS)
 
     def of(text: Column) -> Column:
         size = F.length(text)
@@ -38,10 +39,15 @@ def windows(c: Column, head: int = HEAD, radius: int = RADIUS) -> Column:
             near = _window(1, text, "ANCHOR_LOCUS", F.greatest(F.lit(0), center - radius), F.least(size, center + radius), center)
             return F.array(first, near).cast(WINDOWS)
 
-        center = F.length(F.regexp_extract(text, anchor, 1)) + F.floor(F.length(F.regexp_extract(text, anchor, 2)) / 2)
-        long = F.when(text.rlike(anchor), let(center, around)).otherwise(F.array(first).cast(WINDOWS))
+        def behind(seen: Column) -> Column:
+            word = lambda part: F.length(F.regexp_extract(part, rf"(?is)(?<=.)(?:{words})\z", 0))
+            near = word(F.substring(seen, F.greatest(F.length(seen) - 200, F.lit(0)) + 1, F.lit(201)))
+            center = let(F.when(near > 0, near).otherwise(word(seen)), lambda n: head + F.length(seen) - n + F.floor(n / 2))
+            return F.when(F.length(seen) > 0, let(center, around)).otherwise(F.array(first).cast(WINDOWS))
+
+        seen = F.regexp_extract(F.substring(text, F.lit(head + 1), size), rf"(?is)\A.+?(?:{words})", 0)
         short = F.array(_window(0, text, "FULL", F.lit(0), size)).cast(WINDOWS)
-        return F.when(size == 0, none).when(size <= SHORT, short).otherwise(long)
+        return F.when(size == 0, none).when(size <= SHORT, short).otherwise(let(seen, behind))
 
     return let(trimmed(text_or_empty(c)), of)
 

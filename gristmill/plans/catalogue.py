@@ -13,7 +13,7 @@ from gristmill.functions.validators import CHECKS
 from gristmill.operators import classify, ocr, pipelines
 from gristmill.operators.policy import redacted, unredacted
 from gristmill.operators.risk import Settings, risk
-from gristmill.operators.scan import exploded, rule_matches, with_matches
+from gristmill.operators.scan import exploded, once, rule_matches, with_matches
 from gristmill.operators.windows import priority, windows, with_chunks
 from gristmill.plans import sql as Q
 from gristmill.plans.ship import ship
@@ -196,8 +196,8 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, sha256({Q.normalized("coalesce(text, '')")}) AS sha256, CAST(length({Q.normalized("coalesce(text, '')")}) AS BIGINT) AS n_chars FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.normalize_text(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", F.sha2(out, 256).alias("sha256"), F.length(out).cast("long").alias("n_chars"))
+    out = once(documents(spark, sf_dir), "out", T.normalize_text(F.col("text")))
+    return out.select("doc_id", F.sha2("out", 256).alias("sha256"), F.length("out").cast("long").alias("n_chars"))
 
 
 @query(f"SELECT page_id, sha256({Q.normalized("coalesce(html, '')")}) AS sha256 FROM pages")
@@ -249,7 +249,7 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", windows(F.col("text")).alias("chunks"))
+    return once(documents(spark, sf_dir).select("doc_id", "text"), "chunks", windows(F.col("text"))).drop("text")
 
 
 @query(f"WITH {Q.windowed()} SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, window_type, CAST(start_char AS BIGINT) AS start_char, CAST(end_char AS BIGINT) AS end_char, sha256(text) AS sha256 FROM windowed")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import patterns as P
 from gristmill.functions.text import extension, normalize_text, text_or_empty, trimmed
 from gristmill.operators.policy import filled
+from gristmill.operators.scan import once
 from gristmill.operators.windows import windows
 
 #: Fixed values.
@@ -260,7 +261,7 @@ def extract_files(files: DataFrame) -> DataFrame:
     plain = plain.withColumns({"pages": F.when(F.col("route").isin("text", "notebook"), F.array(F.struct(F.lit(1).alias("page"), F.col("raw_text").alias("text")))).otherwise(F.array()).cast(PAGES), "reason": why})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in routed.schema)
     inside = routed.filter(boxed).mapInArrow(_containers, f"{fields}, raw_text string, pages {PAGES}, reason string")
-    both = plain.unionByName(inside).withColumn("text", normalize_text(F.col("raw_text")))
+    both = once(plain.unionByName(inside), "text", normalize_text(F.col("raw_text")))
     readable = F.col("route").isin("text", "notebook", "directory")
     closed = (F.col("reason").isNotNull()) | (~readable & (trimmed(F.col("text")) == ""))
     both = both.withColumns({"unscannable": closed, "is_directory": F.col("route") == "directory", "chunks": windows(F.col("text"))})
