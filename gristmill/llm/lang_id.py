@@ -215,14 +215,16 @@ def remainder(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, per_language: int = DOCUMENTS) -> DataFrame:
-    """(text, lang) of at most `per_language` documents of each language, chosen by hash, none of them held out.
+    """(text, lang) of at most `per_language` rows of each language, chosen by hash, none of them held out.
 
-    Ids are ranked without texts; only the chosen documents' texts are read.
+    Ids are ranked without texts; only the chosen ids' texts are read, and their rows are cut again, as an id may have any number of them.
     """
     usable = docs.filter((remainder(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     by = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     chosen = written(usable.select("doc_id", "lang").withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= per_language).select("doc_id", "lang").distinct(), "chosen")
-    return usable.select("doc_id", "lang", "text").join(by_size(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang")
+    named = usable.select("doc_id", "lang", "text").join(by_size(chosen), ["doc_id", "lang"], "left_semi")
+    again = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text"), "text")
+    return named.withColumn("_r", F.row_number().over(again)).filter(F.col("_r") <= per_language).select("text", "lang")
 
 
 def sample_stretches(sample: DataFrame, per_document: int = STRETCHES, width: int = LEARNT) -> DataFrame:

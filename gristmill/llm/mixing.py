@@ -15,8 +15,8 @@ from gristmill.llm.shared import WORD
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Leading hex digits of the key that name its range: 16 ** 3 ranges a source.
-DIGITS = 3
+#: Documents of a source's range, about: as many leading hex digits of the key name a range as keep it there, three at least.
+RANGE = 50_000
 SEED = "mix"
 
 
@@ -24,8 +24,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def random_key(doc_id: Column, size: Column, seed: str = SEED) -> Column:
+    """Of the id; rows without one go by their size, so that they don't lie in one range."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("size "), size.cast("string")))))
+
+
+def range_digits(rows: int) -> int:
+    digits = 3
+    while rows > RANGE * 16**digits:
+        digits += 1
+    return digits
 
 
 def source_targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -50,19 +58,21 @@ def source_targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, digits: int = DIGITS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, digits: int | None = None) -> DataFrame:
     """All rows and columns of `docs` (doc_id, source, size, ...) with source_size, target and taken.
 
     `taken` counts the words that the mix takes from the document: whole epochs over its source, then once more the
     documents in the order of their keys until the source's budget, the target rounded to a word, is used up exactly; the
     last one counts in part. Columns of `docs` named like a result are replaced.
 
-    Nulls: a null source is a source of its own, the last; all null doc_ids have one key, like rows that repeat an id, so that they lie in one range of their source; a null size is 0.
+    Nulls: a null source is a source of its own, the last; rows without doc_id have one key a size; a null size is 0. Rows are counted for the number of ranges, unless `digits` says it.
     Rows that repeat a doc_id share a key and stand by size; equal rows are interchangeable. Sources without words have
     target 0. An empty table gives an empty result.
     """
     docs = docs.drop("source_size", "target", "taken", "_key", "_range", "_name", "_nameless")
-    docs = docs.withColumns({"size": F.coalesce(F.col("size"), F.lit(0)).cast("long"), "_key": random_key(F.col("doc_id"), seed), "_name": F.coalesce("source", F.lit("")), "_nameless": F.col("source").isNull()}).withColumn("_range", F.substring("_key", 1, digits))
+    digits = range_digits(docs.count()) if digits is None else digits
+    size = F.coalesce(F.col("size"), F.lit(0)).cast("long")
+    docs = docs.withColumns({"size": size, "_key": random_key(F.col("doc_id"), size, seed), "_name": F.coalesce("source", F.lit("")), "_nameless": F.col("source").isNull()}).withColumn("_range", F.substring("_key", 1, digits))
     of = ["_name", "_nameless"]  # without nulls, so that the join and the running sums below are dealt by the same columns, once
     sums = docs.groupBy(*of, "_range").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy(*of).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -3,7 +3,8 @@ r"""Near-duplicate documents by MinHash with tensored banding, links confirmed o
 1. One pass over the texts gives each document the size of its set of word shingles, a digest of the set and 2 x M sub-keys:
    two collections of M, each sub-key from ROWS minhashes.
 2. Documents with equal sets are one class; only its first document goes on.
-3. Tensoring: a table key is a pair of sub-keys, one of each collection, so that 2 x M x ROWS minhashes serve M x M tables of 2 x ROWS rows.
+3. Tensoring: a table key is a pair of sub-keys, one of each collection, so that 2 x M x ROWS minhashes serve M x RING tables of 2 x ROWS rows: each
+   sub-key of the first collection is paired with RING neighbours of the second.
    A table key can only be shared by documents that share both of its sub-keys, so sub-keys that stand alone are dropped before pairs
    are formed: nothing is lost, and unlike documents never expand.
 4. Candidates: each document with the first document of its buckets that it meets most often. Confirmed links are joined to
@@ -13,8 +14,9 @@ r"""Near-duplicate documents by MinHash with tensored banding, links confirmed o
    that this bound and their sizes allow are emitted. No cap: a pair is left out only when it can't be a link or can't change a component.
 5. A link is confirmed on the full sets: 100 * intersection >= 85 * union.
 
-A pair is missed if it shares no sub-key of one collection or of the other: 1 - (1 - (1 - s ** ROWS) ** M) ** 2. At the threshold itself
-(s = 0.85, 2 rows, M = 12) that is 4.2e-7; at 0.80 it would be 9.5e-6, so the pipeline, which links from there, takes M = 15: 4.4e-7.
+A pair is missed if no two paired tables agree in both sub-keys; `miss` bounds how likely that is. At the threshold itself (s = 0.85, 3 rows, M = 18,
+RING = 8) it is below 3.1e-7; the pipeline, which links from 0.80 on, takes M = 36 and RING = 6: below 4.9e-7. Two documents of similarity 0.3, as common
+boilerplate makes them, share a table with a probability of 0.10, those of 0.1 with 0.00014.
 With exact=True nothing is missed: keys are then the least hashes of a set, so many that two linked sets must share one of them.
 
 Documents that are alike in large numbers meet at hubs: the first of a bucket, the least id of a component, the digest of a text. Rows of a hub are
@@ -23,6 +25,7 @@ salted: spread over several tasks, with the one row of a set or label that they
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from gristmill.llm.shared import by_size, forget, written
 
 WORDS = 5
 PERCENT = 85
-ROWS, M = 2, 12
+ROWS, M, RING = 3, 18, 8
 SEED = 20_240_229
 #: Documents of a bucket that a task looks at together, twice, and bytes of their bitmaps, about.
 TILE, TILE_BYTES = 2048, 16 << 20
@@ -96,6 +99,13 @@ def sub_keys(shingles: np.ndarray, rows: int = ROWS, m: int = M) -> np.ndarray:
     return key.view(np.int64)
 
 
+def miss(similarity: float, rows: int = ROWS, m: int = M, ring: int = RING) -> float:
+    """A bound of the probability that a pair of this similarity shares no table: a sub-keys of the first collection have a + ring - 1 different partners at least."""
+    p = similarity**rows
+    q = 1 - p
+    return q**m + sum(math.comb(m, a) * p**a * q ** (m - a) * q ** min(m, a + ring - 1) for a in range(1, m + 1))
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     few, many = (x, y) if len(x) <= len(y) else (y, x)
     if 100 * len(few) < percent * len(many):
@@ -239,6 +249,12 @@ def salted(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, h
     return spread.join(again, [key, "_salt"], how).drop("_salt")
 
 
+def handed(table: DataFrame, view: DataFrame) -> DataFrame:
+    """A view of a written table that can be forgotten like the table."""
+    view.written_to = table.written_to
+    return view
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of `edges` (a, b): the least node that each can reach.
 
@@ -253,14 +269,14 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("u").alias("next"), F.col("label").alias("after"))
         moved = written(salted(lower, jump, "next", hubs(lower, "next")).select("u", F.least("next", "after").alias("new"), "label"), "labels")
         forget(lower, labels)
-        labels = moved.select("u", F.col("new").alias("label"))
+        labels = handed(moved, moved.select("u", F.col("new").alias("label")))
         still = moved.filter(F.col("new") != F.col("label")).isEmpty()
         if still:
             forget(both)
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+            return handed(moved, labels.select(F.col("u").alias("node"), F.col("label").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, m: int = M, exact: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, m: int = M, ring: int = RING, exact: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id that links lead to, kept says that it is the row's own. Null, empty and blank texts
@@ -279,9 +295,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     if exact:
         keyed_nodes = single.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("tables"))
     else:
-        of = lambda low: F.collect_list(F.when((F.col("place") < m) == low, F.col("key")))
+        of = lambda low: F.collect_list(F.when((F.col("place") < m) == low, F.struct((F.col("place") % m).alias("place"), "key")))
         places = single.join(shared, "key").groupBy("node").agg(of(True).alias("ones"), of(False).alias("twos"))
-        pairs = F.flatten(F.transform("ones", lambda x: F.transform("twos", lambda y: F.xxhash64(x, y))))
+        near = lambda x: F.filter("twos", lambda y: F.pmod(y["place"] - x["place"], F.lit(m)) < ring)
+        pairs = F.flatten(F.transform("ones", lambda x: F.transform(near(x), lambda y: F.xxhash64(x["key"], y["key"]))))
         keyed_nodes = places.select("node", pairs.alias("tables")).filter(F.size("tables") > 0)
     active = written(keyed_nodes.join(nodes.select("node", "n"), "node"), "active")
     keyed = active.select("node", "n", F.explode("tables").alias("key"))
@@ -289,26 +306,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     firsts = keyed.join(buckets, "key").filter("node <> first").groupBy("node", "first").agg(F.count("*").alias("met"))
     size = active.select("node", "n")
     met = written(sized(firsts.select(F.col("first").alias("a"), F.col("node").alias("b"), "met"), size, percent), "met")
-    sets = written(shingle_sets(docs, written(active.select("node"), "nodes"), words), "sets")
+    named = written(active.select("node"), "nodes")
+    sets = written(shingle_sets(docs, named, words), "sets")
+    forget(named)
+
+    def links(pairs: DataFrame, **how: bool) -> DataFrame:
+        held = written(pairs, "pairs")
+        found = written(confirmed(held, sets, percent, **how), "edges")
+        forget(held)
+        return found
 
-    edges = written(confirmed(written(most_met(met), "pairs"), sets, percent), "edges")
+    edges = links(most_met(met))
     label = components(edges)
-    more = written(confirmed(written(most_met(apart(met, label)), "pairs"), sets, percent), "edges")
+    more = links(most_met(apart(met, label)))
     if not more.isEmpty():
-        edges = edges.unionByName(more)
-        label = components(edges)
+        forget(label)
+        label = components(edges.unionByName(more))
 
     part = keyed.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
     several = part.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("members"), F.sum(F.greatest("n", F.lit(32))).alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("h"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("g"))
     tiles = F.ceil(F.greatest(F.col("members") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
     unlike = several.filter("x < y").groupBy("members", "h", "g").agg(F.min("key").alias("key"), F.min(tiles).alias("tiles")).select("key", "tiles")  # buckets of the same documents are one
     inside = part.join(unlike, "key").join(sets.select("node", "bits"), "node")
-    last = written(confirmed(written(open_pairs(inside, percent), "pairs"), sets, percent, repeats=True), "edges")
+    last = links(open_pairs(inside, percent), repeats=True)
     if not last.isEmpty():
-        label = components(edges.unionByName(last))
+        forget(label)
+        label = components(edges.unionByName(more).unionByName(last))
 
     of = written(classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "found")
-    forget(classes, active, met, sets)
+    forget(classes, active, met, sets, edges, more, last, label)
     rows_ = signed.select("doc_id", "n_shingles", "digest")
     out = salted(rows_, of, "digest", hubs(rows_, "digest"), "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

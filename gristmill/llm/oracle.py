@@ -82,7 +82,7 @@ SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 def _mix() -> str:
     w = ", ".join(map(str, mixing.WEIGHTS))
     return f"""
-WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH sized AS (SELECT doc_id, source, size, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'size ' || size)) AS key FROM (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents)),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, [{w}][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1] AS w, {mixing.MOST} * source_size AS cap FROM sums),
 levels AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) * CAST({mixing.SHARE} AS DOUBLE) - CAST(coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,

@@ -238,3 +238,61 @@ def test_queries_over_the_small_tables(spark, library):
     assert {r.doc_id: r.n_tokens for r in got} == n and got[0].asDict().keys() == {"doc_id", "n_bytes", "n_tokens", "over_limit"}
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
     assert in_order(QUERIES["op11_centroid_clusters"](spark, d).collect()) == in_order(plain_clusters(rows, 40, 5, 64))
+
+
+# --- bounds of older operators ------------------------------------------------------------------------------------------------------------
+
+
+def test_near_duplicate_tables_miss_little_and_tell_much():
+    import corpus_pipeline
+    from gristmill.llm import near_dup as N
+
+    assert N.miss(0.85) < 5e-7 and N.miss(0.80, N.ROWS, corpus_pipeline.SUB_KEYS, corpus_pipeline.RING) < 5e-7
+    # the bound holds where it can be counted: parameters under which pairs are missed
+    r = random.Random(1)
+    rows, m, ring, s = 1, 6, 3, 0.4
+    missed = 0
+    for _ in range(20_000):
+        a, b = ([r.random() < s**rows for _ in range(m)] for _ in range(2))
+        missed += not any(a[i] and b[(i + k) % m] for i in range(m) for k in range(ring))
+    assert missed / 20_000 <= N.miss(s, rows, m, ring) * 1.1
+    # unlike documents rarely share a table
+    assert 1 - (1 - 0.3 ** (2 * N.ROWS)) ** (N.M * N.RING) < 0.12
+
+
+def test_near_duplicates_leave_only_what_the_result_reads(spark, tmp_path, monkeypatch):
+    from gristmill.llm import near_dup as N
+    from gristmill.llm import shared
+
+    left = []
+    write, drop = shared.written, shared.forget
+    monkeypatch.setattr(N, "written", lambda df, label, **o: (t := write(df, label, **o), left.append(t.written_to), t)[2])
+    monkeypatch.setattr(N, "forget", lambda *ts: ([left.remove(t.written_to) for t in ts if getattr(t, "written_to", None) in left], drop(*ts))[1])
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:55], f"x{k}", *words[55:]])) for k in range(30)] + [(100 + k, f"text {k} alone " * 9) for k in range(9)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got if r.doc_id < 100} == {0} or len(got) == 39
+    assert sorted(p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in left) == ["found", "signatures"]
+
+
+def test_training_sample_is_bounded_by_rows(spark):
+    from gristmill.llm.lang_id import training_sample
+
+    rows = [(7, "en", f"some text {k}") for k in range(3000)] + [(k, "de", f"ein Text {k}") for k in range(100, 200)]
+    n = training_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 50).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in n if r.lang == "de"} == {"de": 50} and all(r["count"] <= 50 for r in n)
+
+
+def test_mix_spreads_rows_without_id(spark):
+    from pyspark.sql import functions as F
+
+    from gristmill.llm import mixing
+
+    rows = [(None, "s", k % 500 + 1) for k in range(3000)] + [(k, "t", 5) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    assert df.select(F.substring(mixing.random_key(F.col("doc_id"), F.col("size")), 1, 3)).filter("doc_id IS NULL").distinct().count() > 400
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+    assert all(abs(r.n - r.t) <= 1 for r in got)
+    assert mixing.range_digits(10**12) == 7 and mixing.range_digits(10) == 3
+    plain, more = (sorted(map(repr, mixing.mix(df, digits=d).collect())) for d in (1, 5))
+    assert plain == more
