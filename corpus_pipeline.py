@@ -16,8 +16,8 @@ from gristmill.plans.ship import ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Mean entropy of a document's positions, as a share of the largest possible, from which on no language fits it.
 DOUBT = 0.98
-#: Near copies share so many hundredths of their shingles. With 2 rows and 15 sub-keys a pair at 0.8 is missed with probability 4.4e-7.
-SIMILAR, SUB_KEYS = 80, 15
+#: Near copies share so many hundredths of their shingles. With 36 sub-keys and 6 partners of each a pair at 0.8 is missed with probability 4.9e-7 at most.
+SIMILAR, SUB_KEYS, RING = 80, 36, 6
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeat an id one stays.
     """
     ship(spark)
-    return near_dup.one_of_each_text(docs, percent=SIMILAR, m=SUB_KEYS).select(*COLUMNS)
+    return near_dup.one_of_each_text(docs, percent=SIMILAR, m=SUB_KEYS, ring=RING).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as its source's budget takes it; those beyond the budget and those without words (null and empty texts) go.
 
-    A null source is a source of its own. Ties: rows that repeat an id share a key and go by size. Null ids share one key, so that many of them are one task.
+    A null source is a source of its own. Ties: rows that repeat an id share a key and go by size. Rows without id share a key a size.
     """
     return mixing.repeated(mixing.mix(docs.withColumn("size", mixing.word_count(F.col("text"))))).select(*COLUMNS)
 
