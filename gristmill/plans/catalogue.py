@@ -14,7 +14,7 @@ from gristmill.operators import classify, ocr, pipelines
 from gristmill.operators.policy import redacted, unredacted
 from gristmill.operators.risk import Settings, risk
 from gristmill.operators.scan import exploded, once, rule_matches, with_matches
-from gristmill.operators.windows import priority, windows, with_chunks
+from gristmill.operators.windows import long_chunks, priority, windows
 from gristmill.plans import sql as Q
 from gristmill.plans.ship import ship
 from gristmill.sources import files, store
@@ -313,11 +313,16 @@ def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("p", classify.parsed(F.col("reply"))).select("id", "p.*")
 
 
-@query()
+def _chunks(most: int, overlap: int) -> str:
+    said = f"CASE WHEN z.n <= {most} THEN z.t ELSE {Q.trimmed('substr(z.t, c.s + 1, c.e - c.s)')} END"
+    return f"WITH RECURSIVE {Q.chunked(most, overlap)}, said AS (SELECT doc_id, c.s, c.e, {said} AS x FROM chunk c JOIN sized z USING (doc_id)) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, s AS start_char, e AS end_char, sha256(x) AS sha256 FROM said WHERE x <> ''"
+
+
+@query(_chunks(3000, 200))
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential cuts; held against a plain version in the tests."""
-    df = with_chunks(documents(spark, sf_dir).select("doc_id", "text"), most=3000, overlap=200)
-    return df.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", F.col("c.chunk_index").cast("long").alias("chunk_index"), F.col("c.start_char").cast("long").alias("start_char"), F.col("c.end_char").cast("long").alias("end_char"), F.sha2("c.text", 256).alias("sha256"))
+    """Chunks of 3000 characters; texts of more than 8192 are cut in parallel in blocks, so that some have several."""
+    rows = long_chunks(documents(spark, sf_dir).select("doc_id", "text"), most=3000, overlap=200, block=8192)
+    return rows.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_index", "start_char", "end_char")), F.sha2("text", 256).alias("sha256"))
 
 
 # --- batches, audit -------------------------------------------------------------------------------------------------------------------

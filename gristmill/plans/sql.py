@@ -192,3 +192,15 @@ def windowed(source: str = "documents") -> str:
         "windowed AS (SELECT doc_id, 0 AS chunk_index, CASE WHEN n <= 2500 THEN clean ELSE substr(clean, 1, 1500) END AS text, CASE WHEN n <= 2500 THEN 'FULL' ELSE 'HEAD' END AS window_type, 0 AS start_char, CASE WHEN n <= 2500 THEN n ELSE 1500 END AS end_char FROM centred "
         "UNION ALL SELECT doc_id, 1, substr(clean, greatest(0, center - 400) + 1, least(n, center + 400) - greatest(0, center - 400)), 'ANCHOR_LOCUS', greatest(0, center - 400), least(n, center + 400) FROM centred WHERE n > 2500 AND hit IS NOT NULL)"
     )
+
+
+def chunked(most: int, overlap: int, least: int = 1000) -> str:
+    """CTE chunk: doc_id, s, e (start and end of each chunk), one after the other; sized: doc_id, t, n."""
+    lines = f"length(regexp_extract(substr(t, s + {least + 2}, s + {most} - s - {least}), '(?s)^.*\n'))"
+    dots = f"length(regexp_extract(substr(t, s + {least + 2}, s + {most} - s - {least} + 1), '(?s)^.*\\. '))"
+    behind = f"greatest(CASE WHEN {lines} > 0 THEN s + {least} + 1 + {lines} ELSE 0 END, CASE WHEN {dots} > 0 THEN s + {least} + {dots} ELSE 0 END)"
+    end = f"CASE WHEN s + {most} >= n THEN n WHEN {behind} > 0 THEN {behind} ELSE s + {most} END"
+    return (
+        "sized AS (SELECT doc_id, text AS t, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text <> ''), "
+        f"chunk AS (SELECT doc_id, s, {end} AS e FROM (SELECT *, CAST(0 AS BIGINT) AS s FROM sized) UNION ALL SELECT doc_id, s, {end} FROM (SELECT z.*, c.e - {overlap} AS s FROM chunk c JOIN sized z USING (doc_id) WHERE c.e < z.n))"
+    )

@@ -181,3 +181,18 @@ def test_long_runs(spark):
     began = time.time()
     rows = with_matches(spark.createDataFrame([(t,) for t in texts], "text string")).select(F.size("matches"), T.normalize_text(F.col("text"))).collect()
     assert rows[3][0] == 1000 and rows[1][1] == "x" and time.time() - began < 60
+
+
+def test_chunks_in_blocks_equal_the_sequential_cut(spark):
+    import random
+
+    from gristmill.operators.windows import chunked, long_chunks
+
+    r = random.Random(5)
+    texts = ["".join(r.choice(["x" * r.randrange(1, 900), ". ", "\n", " " * r.randrange(1, 1500), "ab. ", "é😀"]) for _ in range(r.randrange(1, 80))) for _ in range(60)] + [None, "", "   ", " " * 9000, "a" * 9000]
+    df = spark.createDataFrame([(k % 7 if k % 5 else None, t, 3) for k, t in enumerate(texts)], "id long, text string, chunk_index int").repartition(3)
+    for most, overlap, block in ((3000, 200, 3100), (1500, 999, 4096), (1100, 0, 1100), (8000, 600, 1 << 20)):
+        got = sorted(map(tuple, long_chunks(df, most=most, overlap=overlap, block=block).select("id", "chunk_index", "text", "start_char", "end_char").collect()), key=repr)
+        want = sorted(((k % 7 if k % 5 else None, *row) for k, t in enumerate(texts) for row in chunked(t, most, overlap)), key=repr)
+        assert got == want
+    assert long_chunks(df.select("text").limit(0)).collect() == []
