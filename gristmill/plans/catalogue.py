@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import html
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -593,13 +597,82 @@ def office_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "file_type", F.sha2("text", 256).alias("text_sha256"), "unscannable")
 
 
-@query(f"WITH s AS (SELECT doc_id, {_SENTENCES} AS parts FROM documents) SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_nodes, sha256(array_to_string(parts, '|')) AS sha256 FROM s")
+_WHOLE = "coalesce(text, '')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {Q.nodes(_WHOLE)} AS parts FROM documents) SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_nodes, sha256(array_to_string(parts, '|')) AS sha256 FROM s")
 def xml_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = F.array_join(F.transform(F.split("text", r"\."), lambda x: F.concat(F.lit("<w:t xml:space='preserve'>"), x, F.lit("</w:t>"))), "")
-    found = files.xml_nodes(plain_documents(spark, sf_dir).select("doc_id", nodes.alias("xml")), "xml", "w:t")
+    """Whole documents as XML, a node for each line, with entities."""
+    text = T.text_or_empty(F.col("text"))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    nodes = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.concat(F.lit("<w:t xml:space='preserve'>"), x, F.lit("</w:t>"))), "")
+    found = files.xml_nodes(documents(spark, sf_dir).select("doc_id", nodes.alias("xml")), "xml", "w:t")
     return found.select("doc_id", F.size("nodes").cast("long").alias("n_nodes"), F.sha2(F.array_join("nodes", "|"), 256).alias("sha256"))
 
 
+def _zipped(name: str, xml: str) -> bytes:
+    """A deflated entry behind its local header."""
+    c = zlib.compressobj(wbits=-15)
+    body = c.compress(xml.encode("utf-8", "surrogatepass")) + c.flush()
+    return struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 20, 0, 8, 0, 0, 0, len(body), len(xml), len(name), 0) + name.encode() + body + b"\0\0"
+
+
+def _pdf(doc_id: int, text: str) -> bytes:
+    """A compressed stream with the text in literal strings, none of which holds the sign for the end of a block."""
+    said = text.replace("\\", "/").replace("ET", "E\aT").replace("(", "\\(").replace(")", "\\)").replace("\t", "\\t").split("\a")
+    return b"%PDF-1.4\n\x00<< /Filter /FlateDecode >> stream\n" + zlib.compress(("q BT (" + ") Tj\n(".join(said) + ") Tj ET Q").encode("utf-8", "surrogatepass")) + b"\nendstream"
+
+
+def _office(doc_id: int, text: str) -> bytes:
+    """Two entries: a text document with a header, a table with a number, slides with notes; a node for each line."""
+    node = lambda tag, x: f"<{tag} xml:space='preserve'>" + html.escape(x, quote=False).replace('"', "&quot;").replace("'", "&apos;") + f"</{tag}>"
+    lines = text.split("\n")
+    kind = doc_id % 3
+    if kind == 0:
+        return _zipped("word/header1.xml", node("w:t", lines[0])) + _zipped("word/document.xml", "<w:body>" + "<w:br/>".join(node("w:t", x) for x in lines[1:]) + "</w:body>")
+    if kind == 1:
+        return _zipped("xl/sharedStrings.xml", "".join(node("t", x) for x in lines)) + _zipped("xl/worksheets/sheet1.xml", f"<c><v>{len(text)}</v></c><c><v> </v></c>")
+    return _zipped("ppt/slides/slide1.xml", "".join(node("a:t", x) for x in lines[:-1])) + _zipped("ppt/notesSlides/notesSlide1.xml", node("a:t", lines[-1]))
+
+
+def _packed(df: DataFrame, make: Callable[[int, str], bytes]) -> DataFrame:
+    """(doc_id, content): every document's whole text as a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(d, t or "") for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "content"])
+
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, content binary")
+
+
+def _extracted(df: DataFrame, name: Column) -> DataFrame:
+    rows = df.select("doc_id", name.alias("file_name"), F.lit("").alias("mime"), F.octet_length("content").cast("long").alias("file_size"), "content")
+    return files.extract_files(rows).select("doc_id", "file_type", F.sha2("text", 256).alias("text_sha256"), "unscannable")
+
+
+_LITERALS = f"list_filter(list_transform(string_split(replace(replace({_WHOLE}, chr(92), '/'), 'ET', 'E' || chr(7) || 'T'), chr(7)), lambda p: {Q.printable('p')}), lambda p: p <> '')"
+
+
+@query(f"WITH t AS (SELECT doc_id, {Q.normalized(Q.printable(f"array_to_string({_LITERALS}, ' ')"))} AS x FROM documents) SELECT doc_id, 'pdf' AS file_type, sha256(x) AS text_sha256, x = '' AS unscannable FROM t")
+def pdf_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, deflated into streams of PDF files."""
+    return _extracted(_packed(documents(spark, sf_dir), _pdf), F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".pdf")))
+
+
+_JOINED = f"CASE doc_id % 3 WHEN 1 THEN array_to_string({Q.unlike('list_append(parts, CAST(n AS VARCHAR))')}, ' | ') ELSE array_to_string(parts, ' ') END"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, length({_WHOLE}) AS n, {Q.nodes(_WHOLE)} AS parts FROM documents), t AS (SELECT doc_id, {Q.normalized(Q.trimmed(Q.replaced(_JOINED, '[{S}]+', ' ')))} AS x FROM s) "
+    "SELECT doc_id, ['docx', 'xlsx', 'pptx'][doc_id % 3 + 1] AS file_type, sha256(x) AS text_sha256, x = '' AS unscannable FROM t"
+)
+def office_deflated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, deflated into entries of archives, a node for each line, entities and UTF-8 among them."""
+    return _extracted(_packed(documents(spark, sf_dir), _office), F.concat(F.lit("doc-"), F.col("doc_id"), F.lit("."), of(("docx", "xlsx", "pptx"), F.col("doc_id"))))
+
+
 def _judged_files(domain: str, where: str) -> str:
     text = Q.normalized("coalesce(text, '')")
     return f"(WITH plain AS (SELECT doc_id, {text} AS text FROM documents WHERE {where}), {Q.scanned('minimal', 'plain')}, {Q.risked(chr(39) + 'engineering' + chr(39), Q.lit(domain))}, {Q.judged()} SELECT doc_id, text, action, CAST(risk_score AS BIGINT) AS risk_score, len(floor) > 0 AS floored FROM judged)"

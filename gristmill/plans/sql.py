@@ -42,6 +42,19 @@ def normalized(x: str) -> str:
     return trimmed(x)
 
 
+def printable(x: str) -> str:
+    """One line without control characters; empty if less than 70 % of it is ASCII."""
+    control = lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]")
+    line = f"trim({replaced(f'regexp_replace({x}, {control}, {lit(" ")}, {lit("g")})', '[{S}]+', ' ')}, ' ')"
+    return f"list_transform([{line}], lambda y: CASE WHEN length({replaced('y', r'[^ -~{S}]', '')}) >= 0.7 * length(y) THEN y ELSE '' END)[1]"
+
+
+def nodes(text: str) -> str:
+    """The lines of a text as XML nodes hold them: trimmed, without empty ones, entities inside texts decoded once too often."""
+    fixed = f"replace(replace(x, '&quot;', '\"'), '&apos;', {lit(chr(39))})"
+    return f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: {trimmed(fixed)}), lambda x: x <> '')"
+
+
 def words(ws) -> str:
     return "(" + ", ".join(map(lit, ws)) + ")"
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,32 +104,79 @@ def printable(s: str) -> str:
     return s if s and len(_PRINTABLE.findall(s)) / len(s) >= 0.70 else ""
 
 
-#: Bytes that a compressed part may come to. A file with a larger one is closed, with that as its reason.
-INFLATED = 256 << 20
+#: Bytes that are inflated at once.
+PIECE = 1 << 20
 
 
-def inflated(data: bytes, raw: bool = False) -> bytes | None:
-    """What a zlib or bare deflate stream holds; None if it is neither."""
+def _inflating(data: bytes, bits: int) -> Iterator[bytes]:
+    stream, rest = zlib.decompressobj(bits), data
+    while rest and not stream.eof:
+        if out := stream.decompress(rest, PIECE):
+            yield out
+        rest = stream.unconsumed_tail
+    if not stream.eof and (out := stream.flush()):
+        yield out
+
+
+def inflated(data: bytes, raw: bool = False) -> Iterator[bytes] | None:
+    """What a zlib or bare deflate stream holds, piece by piece, however much it is; None if it is neither. It is read through once before anything is given."""
     for bits in (-15, 15) if raw else (15, -15):
-        stream = zlib.decompressobj(bits)
         try:
-            out = stream.decompress(data, INFLATED)
+            for _ in _inflating(data, bits):
+                pass
         except zlib.error:
             continue
-        if stream.unconsumed_tail:
-            raise ValueError(f"compressed part of more than {INFLATED} bytes")
-        return out
+        return _inflating(data, bits)
     return None
 
 
+def decoded_pieces(pieces: Iterator[bytes]) -> Iterator[str]:
+    """UTF-8 with replacement characters; a character may lie in two pieces."""
+    machine = codecs.getincrementaldecoder("utf-8")("replace")
+    for piece in pieces:
+        if text := machine.decode(piece):
+            yield text
+    if text := machine.decode(b"", True):
+        yield text
+
+
+def between(pieces: Iterable[str], opening: re.Pattern, closing: str, kept: int) -> Iterator[tuple[str, str]]:
+    """(opening, what follows it up to the first `closing`) of each part of a text that comes in pieces.
+
+    Held is the part that is open, or what may be the beginning of an opening: the last `kept` characters, or with 0 what stands behind the last >.
+    """
+    held, opened, at = "", None, 0
+    for piece in pieces:
+        held += piece
+        while True:
+            if opened is None:
+                opened = opening.search(held, at)
+                if opened is None:
+                    start = held.find("<", held.rfind(">") + 1) if kept == 0 else max(0, len(held) - kept)
+                    held, at = held[start:] if start >= 0 else "", 0
+                    break
+                at = opened.end()
+            stop = held.find(closing, at)
+            if stop < 0:
+                held = held[opened.start() :]
+                at = max(len(opened[0]), len(held) - len(closing) + 1)
+                opened = opening.match(held)
+                break
+            yield opened[0], held[opened.end() : stop]
+            held, at, opened = held[stop + len(closing) :], 0, None
+
+
 _LITERAL, _HEX = re.compile(r"\((?:[^()\\]|\\[^\n\r])*\)"), re.compile(r"<[0-9a-fA-F]+>")
 _ESCAPES = (("\\(", "("), ("\\)", ")"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"))
 
 
-def pdf_operators(content: str) -> str:
+_BEGIN = re.compile("BT")
+
+
+def pdf_operators(pieces: Iterable[str]) -> str:
     """Texts between BT and ET: literals first, then hexadecimal strings of even length."""
     found = []
-    for block in re.findall(r"(?s)BT.*?ET", content):
+    for _, block in between(pieces, _BEGIN, "ET", 1):
         for literal in _LITERAL.findall(block):
             text = literal[1:-1]
             for escaped, plain in _ESCAPES:
@@ -144,19 +192,18 @@ def pdf_pages(data: bytes) -> list[tuple[int, str]]:
     pages = []
     for m in re.finditer(r"(?s) stream[\r\n]+(.*?)[\r\n]+endstream", raw):
         body = inflated(data[m.start(1) : m.end(1)])
-        text = pdf_operators(body.decode("utf-8", "replace")) if body else ""
-        if text:
+        if body and (text := pdf_operators(decoded_pieces(body))):
             pages.append((len(pages) + 1, text))
     if not pages:
         parts = re.split(r"(?i)/Type\s*/Page\b", raw)[1:]
-        pages = [(k, t) for k, p in enumerate(parts, 1) if (t := pdf_operators(p))]
-    if not pages and (text := pdf_operators(raw)):
+        pages = [(k, t) for k, p in enumerate(parts, 1) if (t := pdf_operators([p]))]
+    if not pages and (text := pdf_operators([raw])):
         pages = [(1, text)]
     return pages
 
 
-def zip_entries(data: bytes, wanted: tuple[str, ...]) -> Iterator[str]:
-    """Texts of the entries whose names hold one of `wanted`, by local headers: archives need no directory."""
+def zip_entries(data: bytes, wanted: tuple[str, ...]) -> Iterator[Callable[[], Iterator[str]]]:
+    """The entries whose names hold one of `wanted`, by local headers: archives need no directory. Each can be read any number of times, piece by piece."""
     at = data.find(b"PK\x03\x04")
     while 0 <= at < len(data) - 30:
         field = lambda k, n: int.from_bytes(data[at + k : at + k + n], "little")  # noqa: B023, E731
@@ -167,9 +214,10 @@ def zip_entries(data: bytes, wanted: tuple[str, ...]) -> Iterator[str]:
             if size == 0 or end > len(data):
                 end = data.find(b"PK", start + 1)
                 end = end if 0 <= end < len(data) - 4 else len(data)
-            body = data[start:end] if method == 0 else inflated(data[start:end], raw=True) if method == 8 else None
-            if body:
-                yield body.decode("utf-8", "replace")
+            part = data[start:end]
+            read = (lambda part=part: iter([part])) if method == 0 else (lambda part=part: inflated(part, raw=True))
+            if method in (0, 8) and (some := read()) is not None and next(some, b""):
+                yield lambda read=read: decoded_pieces(read())
         at = data.find(b"PK\x03\x04", max(start + size, at + 4))
 
 
@@ -183,8 +231,8 @@ def _plain(s: str) -> str:
     return s
 
 
-def xml_texts(xml: str, tag: str) -> list[str]:
-    return [t for x in re.findall(rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", xml) if (t := _plain(x).strip())]
+def xml_texts(xml: Iterable[str], tag: str) -> Iterator[str]:
+    return (t for _, x in between(xml, re.compile(f"<{tag}[^>]*>"), f"</{tag}>", 0) if (t := _plain(x).strip(P.BLANKS)))
 
 
 def xml_nodes(df: DataFrame, column: str, tag: str) -> DataFrame:
@@ -194,16 +242,16 @@ def xml_nodes(df: DataFrame, column: str, tag: str) -> DataFrame:
     def plain(x: Column) -> Column:
         for entity, sign in ENTITIES:
             x = F.replace(x, F.lit(entity), F.lit(sign))
-        return F.regexp_replace(x, r"^[\s\x{A0}]+|[\s\x{A0}]+\z", "")
+        return trimmed(x)
 
     return df.withColumn("nodes", F.filter(F.transform(found, plain), lambda x: x != ""))
 
 
-def sheet_texts(xml: str) -> list[str]:
+def sheet_texts(read: Callable[[], Iterable[str]]) -> list[str]:
     """Shared strings, then values that aren't among them."""
-    found = xml_texts(xml, "t")
+    found = [*xml_texts(read(), "t")]
     known = set(found)
-    for v in (x.strip() for x in re.findall(r"(?s)<v[^>]*>(.*?)</v>", xml)):
+    for v in (x.strip(P.BLANKS) for _, x in between(read(), re.compile("<v[^>]*>"), "</v>", 0)):
         if v and v not in known:
             known.add(v)
             found.append(v)
@@ -212,9 +260,9 @@ def sheet_texts(xml: str) -> list[str]:
 
 #: Entries that hold text, the element around it, what goes between.
 OFFICE = {
-    "docx": (("word/document.xml", "word/header", "word/footer"), lambda x: xml_texts(x, "w:t"), " "),
+    "docx": (("word/document.xml", "word/header", "word/footer"), lambda read: xml_texts(read(), "w:t"), " "),
     "xlsx": (("xl/sharedStrings.xml", "xl/worksheets/", "xl/workbook.xml"), sheet_texts, " | "),
-    "pptx": (("ppt/slides/", "ppt/notesSlides/", "ppt/presentation.xml"), lambda x: xml_texts(x, "a:t"), " "),
+    "pptx": (("ppt/slides/", "ppt/notesSlides/", "ppt/presentation.xml"), lambda read: xml_texts(read(), "a:t"), " "),
 }
 
 
@@ -225,9 +273,9 @@ def container_text(kind: str, data: bytes | None) -> tuple[str, list[tuple[int,
         text = printable("\n\n".join(t for _, t in pages))
         why = P.EMPTY_PDF if data else P.EMPTY_FILE.format("PDF")
         return text, pages if text else [], None if text else why
-    wanted, texts, between = OFFICE[kind]
-    found = [t for x in zip_entries(data or b"", wanted) for t in texts(x)] or texts((data or b"").decode("latin-1"))
-    text = _BLANKS.sub(" ", between.join(dict.fromkeys(found) if kind == "xlsx" else found)).strip()
+    wanted, texts, sign = OFFICE[kind]
+    found = [t for read in zip_entries(data or b"", wanted) for t in texts(read)] or [*texts(lambda: [(data or b"").decode("latin-1")])]
+    text = _BLANKS.sub(" ", sign.join(dict.fromkeys(found) if kind == "xlsx" else found)).strip(P.BLANKS)
     return text, [(1, text)], None if text else P.EMPTY_FILE.format(kind.upper())
 
 

@@ -3,6 +3,7 @@
 import json
 import struct
 import time
+import tracemalloc
 import zlib
 
 import pytest
@@ -186,11 +187,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "again")).count() == 8
 
 
-def test_inflating_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(files, "INFLATED", 1000)
-    with pytest.raises(ValueError):
-        files.container_text("pdf", flate_pdf("x" * 5000))
-    assert files.inflated(b"no stream") is None and files.inflated(zlib.compress(b"abc")) == b"abc"
+def test_inflating_is_bounded():
+    # as large as it may be, a stream is never held as a whole
+    data = zlib.compress(b"x " * (40 << 20) + b"BT (at the end) Tj ET")
+    tracemalloc.start()
+    assert files.pdf_operators(files.decoded_pieces(files.inflated(data))) == "at the end"
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+    assert files.inflated(b"no stream") is None and b"".join(files.inflated(zlib.compress(b"abc"))) == b"abc"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_in_pieces_equal_the_whole(seed):
+    import random
+    import re
+
+    r = random.Random(seed)
+    for _ in range(400):
+        text = "".join(r.choice(["<w:t>", "<w:t a='1'>", "<w:tab/>", "</w:t>", "<", ">", "x", "<w:", "BT", "B", "T", "ET", "E", "é"]) for _ in range(r.randrange(30)))
+        cuts = sorted(r.randrange(len(text) + 1) for _ in range(r.randrange(6)))
+        pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        assert [x for _, x in files.between(pieces, re.compile("<w:t[^>]*>"), "</w:t>", 0)] == re.findall("(?s)<w:t[^>]*>(.*?)</w:t>", text)
+        assert ["BT" + x + "ET" for _, x in files.between(pieces, re.compile("BT"), "ET", 1)] == re.findall("(?s)BT.*?ET", text)
 
 
 def test_messages(spark):
