@@ -56,10 +56,11 @@ def admin_reasons(matches: Column, answer: Column, late: Column) -> Column:
 def redacted(text: Column, matches: Column, answer: Column | None = None) -> Column:
     """Each match's text, wherever it stands in the original, by its category's mark; then what a sensitive answer asks for.
 
-    Matches come from the repaired text: one that the original doesn't hold leaves it as it is.
+    Matches come from the repaired text: one that the original doesn't hold leaves it as it is. A match that repeats is looked for once: the first time replaces all of it.
     """
     mark = lambda m: F.concat(F.lit("[REDACTED_"), F.upper(m["category"]), F.lit("]"))
-    out = F.aggregate(matches, F.coalesce(text, F.lit("")), lambda a, m: F.replace(a, m["match"], mark(m)))
+    unlike = F.array_distinct(F.transform(matches, lambda m: F.struct(m["match"].alias("match"), m["category"].alias("category"))))
+    out = F.aggregate(unlike, F.coalesce(text, F.lit("")), lambda a, m: F.replace(a, m["match"], mark(m)))
     if answer is None:
         return out
     category = F.lower(F.coalesce(answer["category"], F.lit("")))

@@ -23,6 +23,7 @@ from gristmill.plans import sql as Q
 from gristmill.plans.ship import ship
 from gristmill.sources import files, store
 from gristmill.sources.tables import read_table as table
+from gristmill.sources.tables import table_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -348,6 +349,16 @@ def batch_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.rollup(file_decisions(spark, sf_dir)).select("batch_id", "explanation")
 
 
+@query(
+    f"{JUDGED}, told AS (SELECT *, bool_or(action = 'block') OVER (PARTITION BY source) AS stopped, row_number() OVER (PARTITION BY source ORDER BY action <> 'block', doc_id) AS rn FROM judged), r AS (SELECT source, doc_id, unnest(reasons) AS x, generate_subscripts(reasons, 1) AS k FROM told WHERE NOT stopped OR rn = 1) "
+    "SELECT b.source AS batch_id, count(r.x) AS n_reasons, sha256(coalesce(string_agg(r.x, '|' ORDER BY r.doc_id, r.k), '')) AS reasons_sha256 FROM (SELECT DISTINCT source FROM judged) b LEFT JOIN r ON r.source IS NOT DISTINCT FROM b.source GROUP BY b.source"
+)
+def batch_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reasons of a batch's files in order, those of the first blocked file where there is one."""
+    rows = pipelines.rollup(file_decisions(spark, sf_dir))
+    return rows.select("batch_id", F.size("reasons").cast("long").alias("n_reasons"), F.sha2(F.array_join(F.transform("reasons", lambda r: r["description"]), "|"), 256).alias("reasons_sha256"))
+
+
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions as the audit table holds them, a minute apart."""
     df = decided(spark, sf_dir)
@@ -365,6 +376,16 @@ def audit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.search(audited(spark, sf_dir), "Block").select("id", "decision")
 
 
+@query(f"{JUDGED} SELECT doc_id AS id, action AS decision, CAST(risk_score AS BIGINT) AS risk_score FROM judged ORDER BY doc_id DESC LIMIT 100")
+def audit_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's decision appended to a stored audit table, seven hours apart; the newest of it without the days before."""
+    df = decided(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 25_200)
+    path = table_dir(spark, "audit")
+    store.append_audit(df.select(F.col("doc_id").alias("id"), at.alias("timestamp"), "prompt_text", "risk_score", F.col("action").alias("decision")), path)
+    return store.newest(spark, path).select("id", "decision", F.col("risk_score").cast("long").alias("risk_score"))
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -446,6 +467,79 @@ def notebook_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", files.notebook_text(F.col("raw")).alias("text"))
 
 
+NAMES = ("{}.txt", "{}.PNG", "{}.tar.gz", ".env", ".env.{}", "note-{}", "{}.ipynb", "{}.weird", "{}.pdf", "{}.docx", "{}.xls", "{}.pptx", "Downloads", "{}.mp4", "{}.svg", "{}.env", "{}.R", "{}.bin", "{}.JSON", "folder-{}")
+MIMES = ("", "text/plain", "image/png", "application/json", "application/pdf", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/xml", "VIDEO/mp4", "application/octet-stream")
+#: A list of its n-th value for each document, in SQL.
+_nth = lambda values, by: "[" + ", ".join(map(Q.lit, values)) + f"][{by} % {len(values)} + 1]"
+_EXT = "lower(string_split(name, '.')[-1])"
+_TEXTUAL = f"(starts_with(name, '.env') OR starts_with({_EXT}, 'env') OR ends_with(name, '.env') OR {_EXT} IN {Q.words(files.TEXTUAL)} OR starts_with(mime, 'text/') OR contains(mime, 'json') OR contains(mime, 'javascript') OR mime = 'application/xml' OR ends_with(mime, '/xml'))"
+#: Whether the first bytes end with a character's end: as many characters as come to just that size begin the text.
+_HEAD_WHOLE = f"(strlen(t) <= {files.SAMPLE} OR len(list_filter(range({files.SAMPLE // 4}, {files.SAMPLE} + 1), lambda k: strlen(left(t, k)) = {files.SAMPLE})) > 0)"
+
+
+@query(
+    f"WITH f AS (SELECT doc_id, coalesce(text, '') AS t, replace({_nth(NAMES, 'doc_id')}, '{{}}', CAST(doc_id AS VARCHAR)) AS name, lower({_nth(MIMES, '(doc_id // 20)')}) AS mime, doc_id % 3 = 0 AS nul FROM documents) SELECT doc_id, {_EXT} AS file_type, CASE "
+    f"WHEN (NOT contains(name, '.') AND NOT nul AND t = '') OR lower(name) = 'downloads' THEN 'directory' WHEN {_EXT} IN {Q.words(files.UNSCANNABLE)} OR starts_with(mime, 'image/') OR starts_with(mime, 'audio/') OR starts_with(mime, 'video/') THEN 'unscannable' "
+    f"WHEN {_EXT} = 'ipynb' THEN 'notebook' WHEN {_TEXTUAL} OR (NOT nul AND {_HEAD_WHOLE}) THEN 'text' WHEN {_EXT} = 'pdf' OR contains(mime, 'pdf') THEN 'pdf' WHEN {_EXT} = 'docx' OR contains(mime, 'wordprocessingml') THEN 'docx' "
+    f"WHEN {_EXT} IN ('xlsx', 'xls') OR contains(mime, 'spreadsheetml') THEN 'xlsx' WHEN {_EXT} IN ('pptx', 'ppt') OR contains(mime, 'presentationml') THEN 'pptx' ELSE 'unknown' END AS route FROM f"
+)
+def files_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under names and types of all kinds; a third of them begin with a NUL."""
+    n = F.col("doc_id")
+    name = F.replace(of(NAMES, n), F.lit("{}"), n.cast("string"))
+    content = F.concat(F.when(n % 3 == 0, F.lit("\0")).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
+    rows = documents(spark, sf_dir).select("doc_id", name.alias("file_name"), of(MIMES, F.floor(n / 20)).alias("mime"), F.octet_length(content).cast("long").alias("file_size"), content.cast("binary").alias("content"))
+    return files.route(rows).select("doc_id", "file_type", "route")
+
+
+_FULL = lambda x: f"NOT {Q.blank(x)}"
+_CELLS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_FULL(x)} THEN '{head}' || chr(10) || {x} END" for head, x in (("[NOTEBOOK_MARKDOWN_CELL]", "t"), ("[NOTEBOOK_CODE_CELL]", "s"), ("[CELL_OUTPUT]", "t"), ("[CELL_OUTPUT]", "l"))) + "], lambda x: x IS NOT NULL), chr(10) || chr(10))"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS s, coalesce(lang, '') AS l FROM documents), n AS (SELECT doc_id, {Q.normalized(f"CASE WHEN doc_id % 5 = 4 THEN '{{' || t ELSE {_CELLS} END")} AS x FROM d) SELECT doc_id, 'ipynb' AS file_type, sha256(x) AS text_sha256, false AS unscannable FROM n"
+)
+def notebook_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as cells and outputs of notebooks, through the whole extraction; every fifth file is no JSON."""
+    lines = F.split(T.text_or_empty(F.col("text")), "(?<=\n)", -1)
+    output = lambda text, data: F.struct(text.alias("text"), data.alias("data"))
+    none = F.lit(None)
+    cell = lambda kind, source, outputs=None: F.struct(F.lit(kind).cast("string").alias("cell_type"), source.alias("source"), (none if outputs is None else outputs).cast("array<struct<text:array<string>,data:map<string,string>>>").alias("outputs"))
+    outputs = F.array(output(lines, none.cast("map<string,string>")), output(none.cast("array<string>"), F.create_map(F.lit("text/plain"), F.col("lang"))))
+    cells = F.array(cell("markdown", lines), cell("code", F.array("source"), outputs), cell(None, F.array(F.lit("  "))))
+    book = F.to_json(F.struct(cells.alias("cells"), F.lit(4).alias("nbformat")))
+    content = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit("{"), T.text_or_empty(F.col("text")))).otherwise(book)
+    rows = as_files(table(spark, sf_dir, "documents"), F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".ipynb")), content)
+    return files.extract_files(rows).select("doc_id", "file_type", F.sha2("text", 256).alias("text_sha256"), "unscannable")
+
+
+_SAYS = lambda phrases: "(" + " OR ".join(f"contains(lower(reply), {Q.lit(p)})" for p in phrases) + ")"
+_KINDS = ("financial", "medical", "", "proprietary")
+
+
+@query(
+    f"WITH r AS (SELECT doc_id, doc_id % 7 AS kind, doc_id % 2 = 0 AS yes, {_nth(_KINDS, 'doc_id')} AS category, doc_id % 11 / 11 AS number, coalesce(text, '') AS reply, CASE WHEN contains(coalesce(text, ''), '{{') THEN true ELSE false END AS odd FROM documents), "
+    f"g AS (SELECT *, NOT {_SAYS(classify.SAFE)} AND {_SAYS(classify.RISKY)} AS guess FROM r) SELECT doc_id, CASE WHEN kind < 4 THEN yes ELSE CASE kind WHEN 4 THEN guess WHEN 5 THEN false ELSE true END END AS sensitive, "
+    "CASE WHEN kind < 4 THEN CASE WHEN kind < 2 AND category <> '' THEN category WHEN yes THEN 'confidential_context' END WHEN kind = 4 THEN CASE WHEN guess THEN 'confidential_context' END WHEN kind = 6 THEN 'confidential_context' END AS category, "
+    "round(CASE WHEN kind IN (0, 2) THEN number WHEN kind IN (1, 3) THEN CASE WHEN yes THEN 0.85 ELSE 0.0 END WHEN kind = 4 THEN CASE WHEN guess THEN 0.85 ELSE 0.0 END WHEN kind = 6 THEN 0.85 ELSE 0.0 END, 6) AS confidence FROM g WHERE NOT (kind = 4 AND odd)"
+)
+def replies_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of all kinds made of the documents: JSON, fenced, within prose, whole texts without braces, and phrases among them."""
+    n, text = F.col("doc_id"), T.text_or_empty(F.col("text"))
+    kind, yes = n % 7, n % 2 == 0
+    number = (n % 11) / 11
+    full = F.to_json(F.struct(yes.alias("sensitive"), of(_KINDS, n).alias("category"), number.alias("confidence")))
+    unsure = F.to_json(F.struct(yes.alias("sensitive"), of(_KINDS, n).alias("category")))
+    bare = F.to_json(F.struct(yes.alias("sensitive"), number.alias("confidence")))
+    least = F.to_json(F.struct(yes.alias("sensitive")))
+    reply = (
+        F.when(kind == 0, full).when(kind == 1, F.concat(F.lit("```json\n"), unsure, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), bare, F.lit(" as asked."))).when(kind == 3, least)
+        .when(kind == 4, text).when(kind == 5, F.concat(F.lit("This is Not Sensitive, though confidential: "), F.replace(text, F.lit("{"), F.lit("")))).otherwise(F.concat(F.lit("A Security Risk. "), F.sha2(text, 256)))
+    )
+    rows = documents(spark, sf_dir).filter(~((kind == 4) & F.contains(text, F.lit("{")))).select("doc_id", classify.parsed(reply).alias("p"))
+    return rows.select("doc_id", "p.sensitive", "p.category", F.round("p.confidence", 6).alias("confidence"))
+
+
 BOXES = ((0, 100.0, 40.0, 190.0, 52.0), (1, 300.0, 40.0, 390.0, 52.0))
 
 
@@ -707,6 +801,34 @@ def image_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "action", F.col("risk_score").cast("long").alias("risk_score"), F.size("matches").cast("long").alias("n_matches"), "source_type")
 
 
+_FAILED = f"WITH t AS (SELECT doc_id, source, text FROM documents), {Q.scanned('minimal', 't')}, {Q.risked(chr(39) + 'engineering' + chr(39), Q.lit('chatgpt.com'))}, {Q.judged()}"
+
+
+@query(
+    f"{_FAILED} SELECT doc_id, how, CASE WHEN doc_id % 10 <> 3 THEN action WHEN how = 'image' THEN 'block' ELSE 'allow' END AS action, CASE WHEN doc_id % 10 <> 3 THEN CAST(risk_score AS BIGINT) WHEN how = 'image' THEN 95 ELSE 0 END AS risk_score, "
+    "CASE WHEN doc_id % 10 <> 3 THEN len(floor) > 0 ELSE how = 'image' END AS fixed_floor, CASE WHEN doc_id % 10 = 3 THEN 'no reader for ' || doc_id END AS failure FROM judged, (SELECT unnest(['prompt', 'file', 'image']) AS how) WHERE how <> 'image' OR doc_id % 10 = 3"
+)
+def failed_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document breaks in its stage: as a prompt and as a file of a batch it is let through, as an image it isn't; the others are decided as ever."""
+
+    def reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in batch.column("doc_id").to_pylist():
+                if d % 10 == 3:
+                    raise RuntimeError(f"no reader for {d}")
+            yield pa.RecordBatch.from_arrays([batch.column("text")], ["prompt_text"])
+
+    settings = Settings(enable_llm=False)
+    read = pipelines.attempted(documents(spark, sf_dir).select("doc_id", "text"), reader, "prompt_text string")
+    prompts = pipelines.analyze_prompts(read.withColumn("destination_domain", F.lit("chatgpt.com")), settings, "minimal")
+    file = {"file_name": F.concat(F.lit("doc-"), F.col("doc_id")), "text": T.text_or_empty(F.col("prompt_text")), "file_size": F.lit(1).cast("long"), "file_type": F.lit("txt"), "unscannable": F.lit(False), "reason": F.lit(None).cast("string"), "is_directory": F.lit(False), "chunks": F.array()}
+    batch = pipelines.analyze_files(read.withColumns(file), settings, "chatgpt.com", repair="minimal")
+    seen = F.struct(T.text_or_empty(F.col("prompt_text")).alias("text"), F.lit(90.0).alias("confidence"), F.array().alias("words"), F.array().alias("lines")).cast(ocr.OCR)
+    images = pipelines.analyze_images(read.filter("failure IS NOT NULL").select("doc_id", "failure", F.lit("a.png").alias("file_name"), seen.alias("ocr")), settings, "chatgpt.com")
+    rows = lambda df, how: df.select("doc_id", F.lit(how).alias("how"), "action", F.col("risk_score").cast("long").alias("risk_score"), F.col("fixed_floor_triggered").alias("fixed_floor"), "failure")
+    return rows(prompts, "prompt").unionByName(rows(batch, "file")).unionByName(rows(images, "image"))
+
+
 # --- cache, audit, evaluation ------------------------------------------------------------------------------------------------------------
 
 
@@ -720,6 +842,16 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upserted(old, entries(3, "block", "2024-01-02")).select("hash", "decision")
 
 
+@query("WITH e AS (SELECT sha256(text) AS hash, 'allow' AS decision, 1 AS place FROM documents WHERE doc_id % 2 = 0 AND trim(text) <> '' UNION ALL SELECT sha256(text), 'block', 2 FROM documents WHERE doc_id % 3 = 0 AND trim(text) <> '' UNION ALL SELECT sha256(text), 'redact', 3 FROM documents WHERE doc_id < 40 AND trim(text) <> '') SELECT hash, max_by(decision, place) AS decision FROM e GROUP BY hash")
+def cache_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stored cache, three batches, the last a small one and done twice."""
+    docs = documents(spark, sf_dir).select("doc_id", T.sha256_or_null(F.col("text")).alias("hash"))
+    path = table_dir(spark, "cache")
+    for wanted, said, day in (("doc_id % 2 = 0", "allow", 1), ("doc_id % 3 = 0", "block", 2), ("doc_id < 40", "redact", 3), ("doc_id < 40", "redact", 3)):
+        store.upsert(docs.filter(wanted).select("hash", F.lit(said).alias("decision"), F.lit(f"2024-01-0{day}").cast("timestamp").alias("timestamp")), path)
+    return store.stored_cache(spark, path).select("hash", "decision")
+
+
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN '[FILE ATTACHMENT: doc-' || doc_id || '] (Unscannable: closed)' WHEN doc_id % 5 = 1 THEN '[IMAGE OCR: doc-' || doc_id || '] ' || substr(coalesce(text, ''), 1, 300) ELSE '[FILE ATTACHMENT: doc-' || doc_id || '] Extracted Text Snippet: \"' || substr(coalesce(text, ''), 1, 150) || '...\"' END AS prompt_text, 'file_attachment' AS source_type FROM documents")
 def audit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the audit log says of files and images."""

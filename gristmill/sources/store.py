@@ -65,6 +65,31 @@ def latest(audit: DataFrame, n: int = LATEST) -> DataFrame:
     return audit.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(n)
 
 
+def newest(spark: SparkSession, path: str, n: int = LATEST) -> DataFrame:
+    """`latest` of an audit table that `append_audit` has written, without reading all of it: days are counted from the last one back until n rows are there.
+
+    Counting reads no column. A day more is read than needed, as sessions may have written in different time zones.
+    """
+    days = sorted((d for d in _partitions(spark, path) if d.startswith("day=")), reverse=True)
+    rows, since, step, at = read_audit(spark, path), None, 1, 0
+    while at < len(days):
+        some = [d.removeprefix("day=") for d in days[at : at + step]]
+        at, step = at + step, 2 * step  # twice as many days each time, so that sparse tables take few looks
+        since = some[-1]
+        if rows.filter(F.col("day") >= F.lit(since).cast("date")).count() >= n:
+            break
+    if at < len(days):
+        since = days[min(at, len(days) - 1)].removeprefix("day=")
+    return latest(rows if since is None else rows.filter(F.col("day") >= F.lit(since).cast("date")), n)
+
+
+def _partitions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a table's folder; none if it isn't there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()] if fs.exists(folder) else []
+
+
 def search(audit: DataFrame, words: str, n: int = LATEST) -> DataFrame:
     """Those of the newest n rows that hold `words`, in any case, in text, decision, destination or a category."""
     low = F.lit(words.lower())
@@ -92,6 +117,35 @@ def upserted(cache: DataFrame, new: DataFrame) -> DataFrame:
     return newest_by_hash(cache.unionByName(new, allowMissingColumns=True))
 
 
+#: Hex digits of a hash that name its part of a stored cache.
+BUCKET = 2
+
+
+def upsert(new: DataFrame, path: str) -> None:
+    """Entries into a stored cache: only the parts that they fall in are read and written again, so a small batch costs little however large the cache is.
+
+    The last entry of a hash stays; doing it again changes nothing. Parts are replaced when all are written. One writer at a time.
+    """
+    spark = new.sparkSession
+    part = F.substring("hash", 1, BUCKET)
+    new = new.select(*(F.col(c) if c in new.columns else F.lit(None).cast(kind).alias(c) for c, kind in fields(CACHE))).filter(F.col("hash").isNotNull()).withColumn("bucket", part)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # 16 ** BUCKET at most
+    there = {p.removeprefix("bucket=") for p in _partitions(spark, path)}
+    if both := sorted(there & set(touched)):
+        old = stored_cache(spark, path, keep_bucket=True).filter(F.col("bucket").isin(*both))
+        new = old.unionByName(new)
+    merged = newest_by_hash(new.select("bucket", *(c for c, _ in fields(CACHE))))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def stored_cache(spark: SparkSession, path: str, keep_bucket: bool = False) -> DataFrame:
+    """A stored cache; empty if nothing was stored."""
+    if not _partitions(spark, path):
+        return spark.createDataFrame([], CACHE + (", bucket string" if keep_bucket else ""))
+    rows = spark.read.schema(CACHE + ", bucket string").parquet(path)
+    return rows if keep_bucket else rows.drop("bucket")
+
+
 def cache_rows(decisions: DataFrame) -> DataFrame:
     """What the cache keeps of decisions; categories stay empty, and cached is set."""
     return decisions.filter(F.col("hash").isNotNull()).select(
@@ -102,8 +156,10 @@ def cache_rows(decisions: DataFrame) -> DataFrame:
 
 def looked_up(df: DataFrame, cache: DataFrame) -> DataFrame:
     """All columns of `df` with `entry`, the cache's last one of the row's `hash`; null where there is none. The cache is the one before this batch: rows of the batch don't see each other."""
-    entries = newest_by_hash(cache).select(F.col("hash"), F.struct(*cache.columns).alias("entry"))
-    return df.join(entries, "hash", "left")
+    entries = newest_by_hash(cache).select(F.col("hash").alias("_key"), F.struct(*cache.columns).alias("entry"))
+    # rows without a hash would be one key
+    keyed = df.withColumn("_key", F.coalesce("hash", F.concat(F.lit("none "), F.monotonically_increasing_id())))
+    return keyed.join(entries, "_key", "left").drop("_key")
 
 
 def emptied(table: DataFrame) -> DataFrame:
