@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import text_or_empty, trimmed
+from gristmill.sources.tables import stored
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 OCR = f"struct<text:string,confidence:double,words:array<struct<text:string,bbox:{BOX},confidence:double>>,lines:array<struct<text:string,bbox:{BOX}>>>"
@@ -86,6 +87,45 @@ def redaction_boxes(matches: Column, words: Column, lines: Column) -> Column:
     return F.flatten(F.transform(targets, boxes))
 
 
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(_row, part, whole): which texts of `parts` (_row, part, text) stand in which of `wholes` (_row, whole, text) of the same row.
+
+    Of the wholes all stretches are taken that are as long as some part of the row, and joined with the parts by equality: work grows with the texts and the different
+    lengths of parts, not with parts times wholes, and no row's pairs meet in one task. A text counts once, however often it stands there.
+    """
+    sizes = parts.groupBy("_row").agg(F.collect_set(F.length("text")).alias("sizes"))  # as many as there are lengths of words
+    able = wholes.join(sizes, "_row").withColumn("sizes", F.filter("sizes", lambda n: n <= F.length("text")))
+    cut = F.array_distinct(F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda k: F.substring("text", k, n)))))
+    stretches = able.filter(F.size("sizes") > 0).select("_row", "whole", F.explode(cut).alias("text"))
+    return stretches.join(parts, ["_row", "text"]).select("_row", "part", "whole")
+
+
+def box_rows(images: DataFrame) -> DataFrame:
+    """A row for each box of each match, instead of `matches`, `words` and `lines`: all other columns, match (its place), box (the word's or line's place), by_line, bbox.
+
+    The same boxes as `redaction_boxes`: words that hold the match or are part of it, else lines that hold it; found by joins of stretches instead of by
+    looking at every word for every match. Rows may repeat; null and empty lists have no boxes.
+    """
+    others = [c for c in images.columns if c not in ("matches", "words", "lines", "match", "box", "by_line", "bbox")]
+    rows = stored(images.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_of"), "matches", "words", "lines"), "boxes")
+    targets = rows.select("_row", F.posexplode("matches").alias("match", "m")).select("_row", "match", _low(F.col("m.match")).alias("text")).filter("text <> ''")
+
+    def boxed(column: str) -> DataFrame:
+        each = rows.select("_row", F.posexplode(column).alias("box", "b")).select("_row", "box", _low(F.col("b.text")).alias("text"), F.col("b.bbox").alias("bbox"))
+        return each.filter((F.col("text") != "") & F.col("bbox.x0").isNotNull())
+
+    words, lines = boxed("words"), boxed("lines")
+    as_part, as_whole = (lambda df, name: df.select("_row", F.col(name).alias("part"), "text")), (lambda df, name: df.select("_row", F.col(name).alias("whole"), "text"))
+    in_match = contained(as_part(words, "box"), as_whole(targets, "match")).select("_row", F.col("whole").alias("match"), F.col("part").alias("box"))
+    in_word = contained(as_part(targets, "match"), as_whole(words, "box")).select("_row", F.col("part").alias("match"), F.col("whole").alias("box"))
+    by_word = in_match.unionByName(in_word).distinct()
+    left = targets.join(by_word.select("_row", "match").distinct(), ["_row", "match"], "left_anti")
+    by_line = contained(as_part(left, "match"), as_whole(lines, "box")).select("_row", F.col("part").alias("match"), F.col("whole").alias("box")).distinct()
+    found = by_word.join(words, ["_row", "box"]).select("_row", "match", "box", F.lit(False).alias("by_line"), "bbox")
+    found = found.unionByName(by_line.join(lines, ["_row", "box"]).select("_row", "match", "box", F.lit(True).alias("by_line"), "bbox"))
+    return found.join(rows.select("_row", "_of"), "_row").select(*(F.col("_of")[c].alias(c) for c in others), "match", "box", "by_line", "bbox")
+
+
 def rectangles(boxes: Column, width: Column, height: Column) -> Column:
     """Padded and clamped to the image; empty ones go: array<struct<x,y,w,h,labelled,font_size>>."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import patterns as P
 from gristmill.functions.arrays import let
 from gristmill.functions.text import suspicion, text_or_empty, trimmed
+from gristmill.sources.tables import stored
 
 WINDOWS = "array<struct<chunk_index:int,text:string,window_type:string,start_char:int,end_char:int,anchor_center:int>>"
 CHUNKS = "array<struct<chunk_index:int,text:string,start_char:int,end_char:int>>"
@@ -152,7 +153,7 @@ def long_chunks(df: DataFrame, text: str = "text", most: int = 8000, overlap: in
 
     short = named.filter(F.length("_text") <= block).mapInArrow(whole, result)
     cut = named.filter(F.length("_text") > block).mapInArrow(split, f"_row long, _of {kind}, _block int, _left long, _part string")
-    pieces = cut.repartition("_row", "_block")
+    pieces = stored(cut.repartition("_row", "_block"), "pieces")
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -554,6 +554,34 @@ def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("k").cast("long").alias("k"), *(F.col(f"r.{c}").cast("long").alias(c) for c in "xywh"))
 
 
+_LOW = lambda x: f"lower({Q.trimmed(x)})"
+_BOXED = (
+    "x0 - 4 AS x, y0 - 2 AS y, least(800 - (x0 - 4), x1 - x0 + 8) AS w, least(6000 - (y0 - 2), 16) AS h"
+)
+
+
+@query(
+    f"WITH {SCAN}, hits AS (SELECT doc_id, unnest(matches) AS m, generate_subscripts(matches, 1) - 1 AS match FROM scan WHERE doc_id % 9 <> 0), t AS (SELECT doc_id, match, {_LOW('m.match')} AS target FROM hits WHERE {_LOW('m.match')} <> ''), "
+    "split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), "
+    f"w AS (SELECT doc_id, k, {_LOW('t')} AS low, 10 + (k % 8) * 95 AS x0, 10 + (k // 8) * 14 AS y0, 10 + (k % 8) * 95 + 6 * length(t) AS x1 FROM (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) - 1 AS k FROM split)), "
+    f"l AS (SELECT doc_id, k, {_LOW('t')} AS low, 10 AS x0, 10 + k * 14 AS y0, 10 + 6 * length(t) AS x1 FROM (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS k FROM split)), "
+    "a AS (SELECT t.doc_id, t.match, w.k, false AS by_line, x0, y0, x1 FROM t JOIN w ON t.doc_id = w.doc_id WHERE low <> '' AND (contains(target, low) OR contains(low, target))), "
+    "b AS (SELECT t.doc_id, t.match, l.k, true AS by_line, x0, y0, x1 FROM t JOIN l ON t.doc_id = l.doc_id WHERE low <> '' AND contains(low, target) AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = t.doc_id AND a.match = t.match)), "
+    f"r AS (SELECT doc_id, match, k, by_line, {_BOXED} FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) "
+    "SELECT doc_id, CAST(match AS BIGINT) AS match, by_line, count(*) AS n_boxes, CAST(sum(x) AS BIGINT) AS x, CAST(sum(y) AS BIGINT) AS y, CAST(sum(w) AS BIGINT) AS w, CAST(sum(h) AS BIGINT) AS h FROM r WHERE w > 0 AND h > 0 GROUP BY doc_id, match, by_line"
+)
+def boxes_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document laid out as words and lines of an image; the boxes of its matches, summed by match. Ids divisible by nine have no matches."""
+    df = scanned(spark, sf_dir).withColumn("matches", F.when(F.col("doc_id") % 9 != 0, F.col("matches")).otherwise(F.array()))
+    box = lambda t, x, y: F.struct(t.alias("text"), F.struct(x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 6 * F.length(t)).cast("double").alias("x1"), (y + 12).cast("double").alias("y1")).alias("bbox"))
+    words = F.transform(F.regexp_extract_all(T.text_or_empty(F.col("text")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda t, k: box(t, 10 + (k % 8) * 95, 10 + F.floor(k / 8) * 14))
+    lines = F.transform(F.split(T.text_or_empty(F.col("text")), "\n", -1), lambda t, k: box(t, F.lit(10), 10 + k * 14))
+    found = ocr.box_rows(df.select("doc_id", "matches", words.alias("words"), lines.alias("lines")))
+    rows = found.select("doc_id", "match", "by_line", F.explode(ocr.rectangles(F.array("bbox"), F.lit(800), F.lit(6000))).alias("r"))
+    sums = [F.sum(F.col(f"r.{c}").cast("long")).alias(c) for c in "xywh"]
+    return rows.groupBy("doc_id", F.col("match").cast("long").alias("match"), "by_line").agg(F.count("*").alias("n_boxes"), *sums)
+
+
 @query(f"{JUDGED} SELECT source, action, count(*) AS n, CAST(max(risk_score) AS BIGINT) AS worst FROM judged GROUP BY source, action")
 def decisions_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).groupBy("source", "action").agg(F.count("*").alias("n"), F.max("risk_score").cast("long").alias("worst"))

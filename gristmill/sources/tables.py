@@ -44,3 +44,10 @@ def table_dir(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
         named = f"file://{_local[app]}"
     return f"{named.rstrip('/')}/gristmill-tables/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in a new folder, read again: what follows may read it twice and sees the same rows with the same numbers, also after executors were lost."""
+    path = table_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

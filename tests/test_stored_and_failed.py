@@ -108,3 +108,25 @@ def test_item_latency_is_the_items_own(spark):
     assert got["asked"].llm_latency_ms == 250 and 250 < got["asked"].total_latency_ms < took + 250
     assert got["short"].llm_latency_ms == 0 and 0 < got["short"].total_latency_ms <= took
     assert got["long"].total_latency_ms > got["short"].total_latency_ms
+
+
+def test_box_rows_equal_the_nested_loop(spark):
+    import random
+
+    from gristmill.operators import ocr
+
+    r = random.Random(7)
+    token = lambda: "".join(r.choice(["a", "B", "ab", "c@d", " ", "é", ""]) for _ in range(r.randrange(5)))
+    rows = []
+    for k in range(60):
+        matches = [(token(),) for _ in range(r.randrange(4))] or None
+        words = [(token() if r.random() < 0.9 else None, (float(n), 1.0, 9.0, 9.0) if r.random() < 0.9 else (None, 1.0, 9.0, 9.0)) for n in range(r.randrange(7))] or None
+        lines = [(token() + token() + token(), (float(100 + n), 1.0, 9.0, 9.0)) for n in range(r.randrange(4))]
+        rows.append((k % 50, matches, words, lines))
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    df = spark.createDataFrame(rows, f"id long, matches array<struct<match:string>>, words array<struct<text:string,bbox:{box}>>, lines array<struct<text:string,bbox:{box}>>").repartition(3)
+    matches = F.coalesce("matches", F.array())
+    want = sorted((x.id, x.b.x0) for x in df.select("id", F.explode(ocr.redaction_boxes(matches, F.col("words"), F.col("lines"))).alias("b")).collect())
+    got = sorted((x.id, x.bbox.x0) for x in ocr.box_rows(df).collect())
+    assert got == want and len(got) > 30 and any(x >= 100 for _, x in got)
+    assert ocr.box_rows(df.limit(0)).columns == ["id", "match", "box", "by_line", "bbox"]
