@@ -81,7 +81,7 @@ def policy(matches: Column, risk: Column, text: Column | None = None, answer: Co
     chunks, unscannable = no_chunks() if chunks is None else chunks, F.lit(False) if unscannable is None else unscannable
     score = risk["score"]
     floor = floor_reasons(matches, score, unscannable, F.lit("") if file_name is None else file_name, F.lit("") if why is None else why)
-    block, redact = min(89, settings.block_threshold), min(settings.block_threshold, settings.redact_threshold)
+    block, redact = F.least(F.lit(89), F.lit(settings.block_threshold)), F.least(F.lit(settings.block_threshold), F.lit(settings.redact_threshold))  # numbers or columns
     serious = F.exists(matches, lambda m: m["severity"].isNotNull() & (m["severity"] != "low"))
     hit = F.size(floor) > 0
     action = F.when(hit | (score >= block), "block").when((score >= redact) | serious, "redact").otherwise("allow")

@@ -18,6 +18,7 @@ from gristmill.operators import classify, ocr, pipelines
 from gristmill.operators.policy import redacted, unredacted
 from gristmill.operators.risk import Settings, risk
 from gristmill.operators.scan import exploded, once, rule_matches, with_matches
+from gristmill.operators.settings import as_of, by_row
 from gristmill.operators.windows import long_chunks, priority, windows
 from gristmill.plans import sql as Q
 from gristmill.plans.ship import ship
@@ -163,6 +164,28 @@ def policy_tightened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_columns(decided(spark, sf_dir, Settings(block_threshold=40, redact_threshold=20)))
 
 
+_CHANGES = "changes AS (SELECT doc_id % 5 AS tenant, doc_id * 3600 AS since, CASE WHEN doc_id % 2 = 0 THEN 30 + doc_id % 61 END AS block, CASE WHEN doc_id % 3 <> 0 THEN 10 + doc_id % 71 END AS redact FROM documents WHERE doc_id % 7 = 1)"
+_HELD = (
+    "kept AS (SELECT tenant, since, block IS NOT NULL AS moved, coalesce(last_value(block IGNORE NULLS) OVER w, 75) AS b, coalesce(last_value(redact IGNORE NULLS) OVER w, 45) AS r FROM changes WINDOW w AS (PARTITION BY tenant ORDER BY since ROWS UNBOUNDED PRECEDING)), "
+    "held AS (SELECT tenant, since, CASE WHEN r > b AND NOT moved THEN r ELSE b END AS block, CASE WHEN r > b AND moved THEN b ELSE r END AS redact FROM kept)"
+)
+
+
+@query(
+    f"WITH {_CHANGES}, {_HELD}, sent AS (SELECT doc_id, text, doc_id % 6 AS tenant, doc_id * 3600 + 1800 AS sent_at FROM documents), under AS (SELECT s.doc_id, s.text, coalesce(h.block, 75) AS block_threshold, coalesce(h.redact, 45) AS redact_threshold FROM sent s ASOF LEFT JOIN held h ON s.tenant = h.tenant AND s.sent_at >= h.since), "
+    f"{Q.scanned('minimal', 'under')}, {Q.risked(chr(39) + 'engineering' + chr(39), Q.lit('chatgpt.com'))}, {Q.judged('block_threshold', 'redact_threshold')} SELECT doc_id, CAST(block_threshold AS BIGINT) AS block_threshold, CAST(redact_threshold AS BIGINT) AS redact_threshold, action, CAST(risk_score AS BIGINT) AS risk_score FROM judged"
+)
+def settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as submissions of six tenants, five of which change their settings now and then; each is decided under those of its time."""
+    n = F.col("doc_id")
+    time = lambda more: F.timestamp_seconds(F.lit(1_704_067_200) + n * 3600 + more)
+    docs = documents(spark, sf_dir)
+    changes = docs.filter(n % 7 == 1).select((n % 5).alias("tenant"), time(0).alias("valid_from"), F.when(n % 2 == 0, 30 + n % 61).alias("block_threshold"), F.when(n % 3 != 0, 10 + n % 71).alias("redact_threshold"))
+    sent = docs.select("doc_id", F.col("text").alias("prompt_text"), (n % 6).alias("tenant"), time(1800).alias("ts"), F.lit("chatgpt.com").alias("destination_domain"))
+    got = pipelines.analyze_prompts(as_of(sent, changes), by_row(), "minimal")
+    return got.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("block_threshold", "redact_threshold")), "action", F.col("risk_score").cast("long").alias("risk_score"))
+
+
 @query(f"{JUDGED}, r AS (SELECT doc_id, unnest(floor) AS description FROM judged) SELECT description, count(*) AS n FROM r GROUP BY description")
 def policy_floor_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.reason_rollup(decided(spark, sf_dir).filter("fixed_floor_triggered"))

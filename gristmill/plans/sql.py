@@ -133,11 +133,11 @@ def risked(role: str = ROLE_OF, domain: str = DOMAIN_OF) -> str:
     )
 
 
-def judged(block: int = 75, redact: int = 45) -> str:
-    """CTE judged: risked with floor (list), action, risk_score, reasons (list of descriptions)."""
+def judged(block: int | str = 75, redact: int | str = 45) -> str:
+    """CTE judged (thresholds are numbers or columns): risked with floor (list), action, risk_score, reasons (list of descriptions)."""
     hits = ", ".join(f"CASE WHEN len(list_filter(matches, lambda m: m.category = {lit(c)})) > 0 THEN {lit(text)} END" for c, text in P.FLOOR)
     critical = f"CASE WHEN score >= 90 THEN [{filled(P.CRITICAL_REASON, 'score')}] ELSE CAST([] AS VARCHAR[]) END"
-    b, r = min(89, block), min(block, redact)
+    b, r = f"least(89, {block})", f"least({block}, {redact})"
     return (
         f"floored AS (SELECT *, list_filter([{hits}], lambda x: x IS NOT NULL) AS named FROM risked), "
         f"firm AS (SELECT *, CASE WHEN len(named) > 0 THEN named ELSE {critical} END AS floor FROM floored), "
