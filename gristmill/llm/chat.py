@@ -115,13 +115,19 @@ def format_chat(events: DataFrame) -> DataFrame:
     A conversation is what its rows' `formatted` give one after the other; the loss covers loss_start to loss_end of each (code
     points). Rows of a conversation lie in one partition, in order. Nulls: a null text is empty, a null kind `message`, a
     null role empty, a null seq 0; null conv_ids are one conversation; null turns come first. Rows of `message` that repeat a
-    turn are turns of their own, by seq, role and text. Unknown kinds fail. Long texts are taken whole, a message at a time. Extra columns are left out. Empty tables give empty results.
+    turn are turns of their own, by seq, role and text. Events of unknown kinds are left out; `unknown_events` counts them. Long texts are taken whole, a message at a time. Extra columns are left out. Empty tables give empty results.
     """
     has = set(events.columns)
     kind = F.coalesce(F.col("kind"), F.lit("message")) if "kind" in has else F.lit("message")
     seq = F.coalesce(F.col("seq").cast("long"), F.lit(0)) if "seq" in has else F.lit(0).cast("long")
     rows = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), seq.alias("seq"), kind.alias("kind"), F.col("role").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return in_order(rows, "conv_id", "turn", "seq", "role", "text").mapInArrow(_fold, MESSAGES)
+    return in_order(rows.filter(F.col("kind").isin(*EVENTS)), "conv_id", "turn", "seq", "role", "text").mapInArrow(_fold, MESSAGES)
+
+
+def unknown_events(events: DataFrame) -> DataFrame:
+    """(conv_id, kind, n): how many events of each conversation `format_chat` leaves out, by kind."""
+    odd = events.filter(F.col("kind").isNotNull() & ~F.col("kind").isin(*EVENTS)) if "kind" in events.columns else events.limit(0).withColumn("kind", F.lit(None).cast("string"))
+    return odd.groupBy(F.col("conv_id").cast("long").alias("conv_id"), "kind").agg(F.count("*").alias("n"))
 
 
 def in_order(rows: DataFrame, *by: str) -> DataFrame:
@@ -139,8 +145,6 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fold, conv, began = Fold(), None, False
     for rows in batches:
         for c, turn, seq, kind, role, text in zip(*(x.to_pylist() for x in rows.columns), strict=True):
-            if kind not in EVENTS:
-                raise ValueError(f"unknown kind of event: {kind!r}")
             done = []
             if not began or c != conv:
                 done += [(conv, *m) for m in fold.flush()]

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.shared import written
@@ -268,8 +268,9 @@ def bounds(q: np.ndarray, lists: Lists, depth: int) -> tuple[np.ndarray, np.ndar
         unread = unread + (part * part) @ (1 - got).T
         rest = rest - (part != 0).astype(got.dtype) @ (lists.square * got).T
     if depth < lists.n:
-        # what rounding may have taken from the norms is given back
-        norms = np.sqrt(np.maximum(unread, 0) * (np.maximum(rest, 0) + 1e-5 * lists.norm[None, :])) * (1 + 1e-5) + 1e-5 * np.abs(known)
+        # what rounding may have taken from the norms is given back: it grows with the number of components
+        slack = max(1e-5, 4 * (lists.c.shape[1] + 8) * float(np.finfo(lists.c.dtype).eps))
+        norms = np.sqrt(np.maximum(unread + slack * (q * q).sum(1, keepdims=True), 0) * (np.maximum(rest, 0) + slack * lists.norm[None, :])) * (1 + slack) + slack * np.abs(known)
         norms += 1 if lists.norm.max(initial=0) > 1 else 0
         best, worst = np.minimum(best, norms), np.maximum(worst, -norms)
     return known + worst, known + best
@@ -410,9 +411,16 @@ def merged(found: DataFrame, k: int, kind: str) -> DataFrame:
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, f"query_id long, rank int, vec_id long, score {kind}")
 
 
+def takes_part(zero: bool) -> Column:
+    """Whether a row's vector is whole: not null, with no null or non-finite component; with zero=False also not zero."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))
+    whole_ = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", odd)
+    return whole_ if zero else whole_ & F.exists("embedding", lambda x: x != 0)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, by: Callable[[], Search], kind: str, zero: bool, group_bytes: int = GROUP_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each query; `by` makes a task's Search."""
-    asked = written(queries.filter(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    asked = written(queries.filter(takes_part(zero)).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     blocks = written(packed(vectors, zero), "candidates")
     size = asked.agg(F.coalesce(F.sum(8 * F.size("embedding") + 8), F.lit(0)).alias("bytes")).first().bytes
     n, held = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("matrix")), F.lit(0))).first()
@@ -434,7 +442,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, **how: int) ->
 
     Exact: bounds only leave out what can't qualify. Ties go to the smaller vec_id. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do rows without vec_id; shorter vectors count as if zeros followed. Rows that
-    repeat a vec_id are candidates of their own, as a query an id is asked once, with its least vector. Sums that leave the range of doubles are infinite, or nan, which
+    repeat a vec_id are candidates of their own, as a query an id is asked once, with its least vector that takes part. Sums that leave the range of doubles are infinite, or nan, which
     stands above all. Extra columns are left out; empty tables give empty results.
     """
     return search(vectors.select("vec_id", "embedding"), queries, k, lambda: Nearest(k), "double", zero=False, **how)

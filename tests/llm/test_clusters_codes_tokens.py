@@ -296,3 +296,35 @@ def test_mix_spreads_rows_without_id(spark):
     assert mixing.range_digits(10**12) == 7 and mixing.range_digits(10) == 3
     plain, more = (sorted(map(repr, mixing.mix(df, digits=d).collect())) for d in (1, 5))
     assert plain == more
+
+
+def test_a_repeated_id_asks_with_a_vector_that_takes_part(spark):
+    from gristmill.llm.vectors import nearest, top_scores
+
+    rows = [(50, [None, 1.0]), (50, [2.0, 0.0]), (50, None), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for f in (nearest, top_scores):
+        got = f(df, df.filter("vec_id = 50"), 2).collect()
+        assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(50, 1, 1), (50, 2, 2)]
+
+
+def test_wide_vectors_and_small_queries_lose_nothing(spark):
+    from gristmill.llm.vectors import top_scores
+
+    rng = np.random.default_rng(4)
+    m = np.float32(rng.normal(size=(300, 900)) * np.where(np.arange(300) % 50 == 0, 0.02, 3.0)[:, None])
+    df = spark.createDataFrame([(k, [float(x) for x in m[k]]) for k in range(300)], "vec_id long, embedding array<float>")
+    q = np.floor(256 * m.astype(np.float64)).astype(np.int64)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_scores(df, df.filter("vec_id % 50 = 0"), 5).collect()}
+    for k in range(0, 300, 50):
+        best = sorted(((-int(q[k] @ q[c]), c) for c in range(300) if c != k))[:5]
+        assert [got[k, n + 1] for n in range(5)] == [(c, -s) for s, c in best]
+
+
+def test_unknown_events_are_counted_not_fatal(spark):
+    from gristmill.llm.chat import format_chat, unknown_events
+
+    df = spark.createDataFrame([(1, 0, 0, "message", "user", "hi"), (1, 0, 1, "reaction", "user", "x"), (1, 1, 0, None, "assistant", "yo"), (2, 0, 0, "reaction", "user", "z")], "conv_id long, turn long, seq long, kind string, role string, text string")
+    assert [(r.conv_id, r.turn) for r in format_chat(df).orderBy("turn").collect()] == [(1, 0), (1, 1)]
+    assert sorted(map(tuple, unknown_events(df).collect())) == [(1, "reaction", 1), (2, "reaction", 1)]
+    assert unknown_events(df.drop("kind")).count() == 0
