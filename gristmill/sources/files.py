@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
@@ -33,11 +33,21 @@ SAMPLE = 2048
 NOTEBOOK = "struct<cells:array<struct<cell_type:string,source:variant,outputs:array<struct<text:variant,data:map<string,variant>>>>>>"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, mime, file_size, content, batch_id, pos) of all files below a folder; the batch is the folder a file lies in."""
+#: Files whose names may be sent to every executor.
+FEW_NAMES = 500_000
+
+
+def read_files(spark: SparkSession, path: str, few: int = FEW_NAMES) -> DataFrame:
+    """(file_name, mime, file_size, content, batch_id, pos) of all files below a folder; the batch is the folder a file lies in, pos its place there by path.
+
+    Places follow from a listing that reads no contents. Names are counted; few are sent to where the contents are read, of more contents are dealt by path.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parts = F.split("path", "/")
-    return raw.select(F.element_at(parts, -1).alias("file_name"), F.lit("").alias("mime"), F.col("length").alias("file_size"), "content", F.element_at(parts, -2).alias("batch_id"), F.lit(0).alias("pos"))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    names = raw.select("path").withColumn("pos", F.row_number().over(Window.partitionBy(folder).orderBy("path")) - 1)
+    names = F.broadcast(names) if raw.select("path").count() <= few else names
+    return raw.join(names, "path").select(F.element_at(parts, -1).alias("file_name"), F.lit("").alias("mime"), F.col("length").alias("file_size"), "content", F.element_at(parts, -2).alias("batch_id"), "pos")
 
 
 def decoded(content: Column) -> Column:

@@ -130,3 +130,19 @@ def test_box_rows_equal_the_nested_loop(spark):
     got = sorted((x.id, x.bbox.x0) for x in ocr.box_rows(df).collect())
     assert got == want and len(got) > 30 and any(x >= 100 for _, x in got)
     assert ocr.box_rows(df.limit(0)).columns == ["id", "match", "box", "by_line", "bbox"]
+
+
+def test_files_of_a_folder_in_listing_order(spark, tmp_path):
+    from gristmill.sources.files import extract_files, read_files
+
+    for batch, names in (("one", ("b.txt", "a.txt", "c.txt", "d.png")), ("two/deep", ("z.txt",)), ("two", ("y.txt", "x.txt"))):
+        (tmp_path / batch).mkdir(parents=True, exist_ok=True)
+        for name in names:
+            (tmp_path / batch / name).write_text("api_key = sk-abc12345678901234567890123456789" if name in ("b.txt", "c.txt") else f"text of {name}")
+    for few in (100, 0):
+        got = {(r.batch_id, r.file_name): (r.pos, r.file_size) for r in read_files(spark, str(tmp_path), few).collect()}
+        assert {k: v[0] for k, v in got.items()} == {("one", "a.txt"): 0, ("one", "b.txt"): 1, ("one", "c.txt"): 2, ("one", "d.png"): 3, ("deep", "z.txt"): 0, ("two", "x.txt"): 0, ("two", "y.txt"): 1}
+        assert got["two", "x.txt"][1] == len("text of x.txt")
+    rows = pipelines.rollup(pipelines.analyze_files(extract_files(read_files(spark, str(tmp_path))), Settings(enable_llm=False), "chatgpt.com")).collect()
+    one = {r.batch_id: r for r in rows}["one"]
+    assert one.action == "block" and one.explanation.startswith("File 'b.txt'") and one.n_files == 4
