@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -118,8 +118,8 @@ def rollup(decisions: DataFrame, batch: str = "batch_id", position: str = "pos")
         F.count("*").alias("n_files"),
     )
     pieces = pieces.withColumn("_said", F.when(F.col("_worst") < 2, F.struct("_piece", F.array_join(F.transform("_said", lambda x: x["said"]), " | ").alias("said"), F.flatten(F.transform("_said", lambda x: x["reasons"])).alias("reasons"))))
-    worst = pieces.groupBy(F.col(batch).alias("_batch")).agg(F.max("_worst").alias("_all"))
-    known = pieces.join(worst, pieces[batch].eqNullSafe(worst["_batch"])).withColumn("_said", F.when(F.col("_all") < 2, F.col("_said")))
+    # pieces of a batch lie together from here on; a window over them, unlike a join, doesn't decide the files twice
+    known = pieces.withColumn("_all", F.max("_worst").over(Window.partitionBy(batch))).withColumn("_said", F.when(F.col("_all") < 2, F.col("_said")))
     out = known.groupBy(batch).agg(
         F.max("_worst").alias("_worst"), F.max("risk_score").alias("risk_score"), F.min_by("_first", "_place").alias("_first"),
         F.array_sort(F.collect_list("_said")).alias("_said"), F.sum("n_files").alias("n_files"),

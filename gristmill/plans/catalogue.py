@@ -348,8 +348,8 @@ def _chunks(most: int, overlap: int) -> str:
 
 @query(_chunks(3000, 200))
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 3000 characters; texts of more than 8192 are cut in parallel in blocks, so that some have several."""
-    rows = long_chunks(documents(spark, sf_dir).select("doc_id", "text"), most=3000, overlap=200, block=8192)
+    """Chunks of 3000 characters; texts of more than 16,384 are cut in parallel in blocks, so that some have several."""
+    rows = long_chunks(documents(spark, sf_dir).select("doc_id", "text"), most=3000, overlap=200, block=1 << 14)
     return rows.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_index", "start_char", "end_char")), F.sha2("text", 256).alias("sha256"))
 
 
