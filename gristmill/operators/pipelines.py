@@ -99,8 +99,8 @@ PIECE = 1000
 def rollup(decisions: DataFrame, batch: str = "batch_id", position: str = "pos") -> DataFrame:
     """A row for each batch of file decisions: blocked if any file is, with the first blocked file's words; else redacted if any is; else allowed.
 
-    Files are put together in pieces of PIECE places. A piece with a blocked file keeps no words but that file's, and pieces of blocked batches are left out before
-    a batch's words are joined, so nothing is gathered for them; what is gathered of the others is their explanation itself. Reasons are put together without taking repeats out.
+    Files are put together in pieces of PIECE places. A piece with a blocked file keeps no words but that file's, and pieces of blocked batches lose theirs as they stream by, before
+    a batch's words are joined; what is gathered of the others is their explanation itself. Reasons are put together without taking repeats out.
     """
     rank = F.when(F.col("action") == "block", 2).when(F.col("action") == "redact", 1).otherwise(0)
     first = F.struct(position, "file_name")
