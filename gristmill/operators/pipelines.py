@@ -57,14 +57,16 @@ def analyze_prompts(df: DataFrame, settings: Settings = Settings(), repair: str
 def analyze_files(files: DataFrame, settings: Settings = Settings(), domain: str = "unknown", cache: DataFrame | None = None, repair: str = "full") -> DataFrame:
     """Extracted files (extract_files' columns, and replies where a classifier was asked) -> decisions.
 
-    Directories are allowed. Texts met before get the cached decision, whoever sends them; they aren't scanned. A file with a hit that decides alone
+    Directories are allowed. Texts met before get the cached decision, whoever sends them; they aren't scanned. Rows whose `may_look_up` (where there is one) is false are decided anew. A file with a hit that decides alone
     is not given to the classifier. Results carry `cached` and `audited`: cache hits and directories write no audit row. Files with a `failure` are decided as `on_error` says of batches.
     """
     has = set(files.columns)
     files = files.withColumn("hash", F.when(~F.col("unscannable") & ~F.col("is_directory"), sha256_or_null(F.col("text"))))
-    kept = [c for c in files.columns if c not in ("chunks", "pages", "replies", "classifier_away", "entry")]
+    kept = [c for c in files.columns if c not in ("chunks", "pages", "replies", "classifier_away", "entry", "may_look_up")]
     if cache is not None:
         files = looked_up(files, cache)
+        if "may_look_up" in has:
+            files = files.withColumn("entry", F.when(F.col("may_look_up"), F.col("entry")))
     known = F.col("entry").isNotNull() if cache is not None else F.lit(False)
     role, where, name = F.lit(settings.user_role), F.lit(domain), text_or_empty(F.col("file_name"))
     plain = F.col("is_directory")

@@ -25,6 +25,7 @@ from gristmill.plans.ship import ship
 from gristmill.sources import files, store
 from gristmill.sources.tables import read_table as table
 from gristmill.sources.tables import table_dir
+from gristmill.streaming import governance, router
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -449,18 +450,81 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- submissions, files, images --------------------------------------------------------------------------------------------------------
 
 
-@query(
+_ACCEPTED = (
     "WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), "
     "walk AS (SELECT event_id, user_id, k, event_type AS last_type, ms AS last_ms, true AS kept FROM o WHERE k = 1 "
     "UNION ALL SELECT o.event_id, o.user_id, o.k, CASE WHEN o.event_type = w.last_type AND o.ms - w.last_ms < 3600000 THEN w.last_type ELSE o.event_type END, CASE WHEN o.event_type = w.last_type AND o.ms - w.last_ms < 3600000 THEN w.last_ms ELSE o.ms END, NOT (o.event_type = w.last_type AND o.ms - w.last_ms < 3600000) FROM walk w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1) "
     "SELECT event_id, user_id FROM walk WHERE kept"
 )
+
+
+@query(_ACCEPTED)
 def submission_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as submissions; an hour instead of 1500 ms, as events lie far apart."""
     df = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("prompt_text"))
     return store.accepted(df, within_ms=3_600_000).select("event_id", "user_id")
 
 
+def arrivals(df: DataFrame, at: str, n: int) -> list[DataFrame]:
+    """`df` in n parts as they would arrive, one stretch of `at` after the other."""
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.lit(n - 1), F.floor((F.col(at) - F.lit(low)) * n / F.greatest(F.lit(1), F.lit(high) - F.lit(low))))
+    return [df.filter(F.coalesce(part, F.lit(0)) == k) for k in range(n)]
+
+
+@query(_ACCEPTED)
+def submission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stream that stops and starts again: events arrive in three parts, and sessions' states live on in its checkpoint."""
+    came = table_dir(spark, "submissions")
+    made = table_dir(ship(spark), "accepted")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("prompt_text"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
+    for k, part in enumerate(arrivals(rows, "second", 3)):
+        part.drop("second").write.parquet(f"{came}/part={k}")
+        stream = governance.read_submissions(spark, f"{came}/part=*", "event_id long, user_id long, ts timestamp, prompt_text string", files_per_trigger=1_000_000)
+        kept = governance.accepted_stream(stream, within_ms=3_600_000, tie="event_id").select("event_id", "user_id")
+        governance.started(kept, made, f"{came}-checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, user_id long").parquet(made)
+
+
+_MESSAGES = (
+    f"WITH n AS (SELECT min(doc_id) AS low, max(doc_id) AS high FROM documents), sent AS (SELECT doc_id, text, doc_id % 4 AS kind, CASE WHEN doc_id % 4 IN (1, 3) THEN {Q.normalized("coalesce(text, '')")} END AS file_text, "
+    "least(2, CAST(floor((doc_id - low) * 3 / greatest(1, high - low)) AS BIGINT)) AS part, low + (high - low) // 2 AS audit_cleared, low + (high - low) * 5 // 6 AS cache_cleared FROM documents, n), "
+    "said AS (SELECT *, coalesce(file_text, coalesce(text, '')) AS spoken, CASE WHEN file_text <> '' THEN sha256(file_text) END AS hash FROM sent), "
+    f"{Q.scanned('minimal', 'said', text='spoken')}, {Q.risked(chr(39) + 'engineering' + chr(39), Q.lit('chatgpt.com'))}, {Q.judged()}, "
+    "firsts AS (SELECT hash, min(part) AS first FROM said WHERE hash IS NOT NULL GROUP BY hash), "
+    "told AS (SELECT j.*, coalesce(f.first < j.part AND NOT (j.part = 2 AND j.doc_id > j.cache_cleared), false) AS cached FROM judged j LEFT JOIN firsts f ON f.hash = j.hash) "
+)
+
+
+@query(
+    f"{_MESSAGES} SELECT doc_id AS id, action, CAST(risk_score AS BIGINT) AS risk_score, cached, NOT cached AND doc_id > audit_cleared AS in_log FROM told"
+)
+def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as prompts and files in three arrivals of one stream; in the second the log is cleared, in the third the cache. What was answered, and what the log holds at the end."""
+    base = table_dir(spark, "messages")
+    n = F.col("doc_id")
+    docs = documents(spark, sf_dir)
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    at = lambda k, more: F.timestamp_seconds(F.lit(1_704_067_200) + k * 60 + more)
+    a_file = (n % 2 == 1) & n.isNotNull()
+    content = F.when(a_file, F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select(
+        n.alias("id"), F.when(n % 4 == 1, "ANALYZE_FILE").when(n % 4 == 3, "ANALYZE_BATCH_FILES").otherwise("ANALYZE_PROMPT").alias("type"), at(n, 0).alias("ts"), F.when(~a_file, F.col("text")).alias("prompt_text"),
+        F.lit("chatgpt.com").alias("destination_domain"), F.when(a_file, F.concat(F.lit("doc-"), n, F.lit(".txt"))).alias("file_name"), F.octet_length(content).cast("long").alias("file_size"), content.alias("content"), F.when(a_file, F.col("source")).alias("batch_id"), n.alias("pos"),
+    )
+    stores = router.Stores(*(f"{base}-{k}" for k in ("answers", "audit", "logs", "cache")))
+    for k, part in enumerate(arrivals(rows, "id", 3)):
+        if low is not None and k:
+            clears, where = (("CLEAR_AUDIT_LOGS", low + (high - low) // 2), ("CLEAR_FILE_HASH_CACHE", low + (high - low) * 5 // 6))[k - 1]
+            part = part.unionByName(spark.range(1).select(F.lit(-k).cast("long").alias("id"), F.lit(clears).alias("type"), at(F.lit(where), 30).alias("ts")), allowMissingColumns=True)
+        part.write.parquet(f"{base}/part={k}")
+        stream = governance.read_submissions(spark, f"{base}/part=*", router.MESSAGES, files_per_trigger=1_000_000)
+        router.dispatch(stream, stores, f"{base}-checkpoint", Settings(enable_llm=False), "minimal").awaitTermination()
+    log = router.audit_log(spark, stores).select("id", F.lit(True).alias("in_log"))
+    done = router.answers(spark, stores).filter(F.col("action").isNotNull()).join(log, "id", "left")
+    return done.select("id", "action", F.col("risk_score").cast("long").alias("risk_score"), F.coalesce("cached", F.lit(False)).alias("cached"), F.coalesce("in_log", F.lit(False)).alias("in_log"))
+
+
 FILES = (
     (1, "Downloads", "", 0, "directory", False), (2, "scan.png", "image/png", 4, "unscannable", True), (3, "logo.svg", "image/svg+xml", 4, "unscannable", True), (4, ".env", "application/octet-stream", 9, "text", False),
     (5, "notes", "", 9, "text", False), (6, "book.ipynb", "", 9, "notebook", False), (7, "a.pdf", "application/pdf", 9, "text", False), (8, "Makefile", "", 9, "text", False), (9, "clip", "video/mp4", 9, "unscannable", True),

@@ -70,7 +70,7 @@ def newest(spark: SparkSession, path: str, n: int = LATEST) -> DataFrame:
 
     Counting reads no column. A day more is read than needed, as sessions may have written in different time zones.
     """
-    days = sorted((d for d in _partitions(spark, path) if d.startswith("day=")), reverse=True)
+    days = sorted((d for d in partitions(spark, path) if d.startswith("day=")), reverse=True)
     rows, since, step, at = read_audit(spark, path), None, 1, 0
     while at < len(days):
         some = [d.removeprefix("day=") for d in days[at : at + step]]
@@ -83,13 +83,30 @@ def newest(spark: SparkSession, path: str, n: int = LATEST) -> DataFrame:
     return latest(rows if since is None else rows.filter(F.col("day") >= F.lit(since).cast("date")), n)
 
 
-def _partitions(spark: SparkSession, path: str) -> list[str]:
+def _at(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a place, whichever system it lies in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def partitions(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a table's folder; none if it isn't there."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, folder = _at(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()] if fs.exists(folder) else []
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables or parts of tables; those that aren't there are left."""
+    for path in paths:
+        fs, where = _at(spark, path)
+        fs.delete(where, True)
+
+
 def search(audit: DataFrame, words: str, n: int = LATEST) -> DataFrame:
     """Those of the newest n rows that hold `words`, in any case, in text, decision, destination or a category."""
     low = F.lit(words.lower())
@@ -130,7 +147,7 @@ def upsert(new: DataFrame, path: str) -> None:
     part = F.substring("hash", 1, BUCKET)
     new = new.select(*(F.col(c) if c in new.columns else F.lit(None).cast(kind).alias(c) for c, kind in fields(CACHE))).filter(F.col("hash").isNotNull()).withColumn("bucket", part)
     touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # 16 ** BUCKET at most
-    there = {p.removeprefix("bucket=") for p in _partitions(spark, path)}
+    there = {p.removeprefix("bucket=") for p in partitions(spark, path)}
     if both := sorted(there & set(touched)):
         old = stored_cache(spark, path, keep_bucket=True).filter(F.col("bucket").isin(*both))
         new = old.unionByName(new)
@@ -140,7 +157,7 @@ def upsert(new: DataFrame, path: str) -> None:
 
 def stored_cache(spark: SparkSession, path: str, keep_bucket: bool = False) -> DataFrame:
     """A stored cache; empty if nothing was stored."""
-    if not _partitions(spark, path):
+    if not partitions(spark, path):
         return spark.createDataFrame([], CACHE + (", bucket string" if keep_bucket else ""))
     rows = spark.read.schema(CACHE + ", bucket string").parquet(path)
     return rows if keep_bucket else rows.drop("bucket")

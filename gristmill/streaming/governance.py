@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gristmill.operators.pipelines import analyze_prompts
@@ -14,8 +15,6 @@ from gristmill.operators.risk import Settings
 from gristmill.sources.store import audit_rows, cache_rows, newest_by_hash
 
 WITHIN_MS = 1500
-KINDS = ("ANALYZE_PROMPT", "ANALYZE_FILE", "ANALYZE_BATCH_FILES", "ANALYZE_IMAGE_FILE", "PERFORM_IMAGE_OCR", "GET_AUDIT_LOGS", "CLEAR_AUDIT_LOGS", "CLEAR_CACHE", "CLEAR_HASH_CACHE", "GET_SETTINGS")
-ALIASES = {"CLEAR_HASH_CACHE": "CLEAR_CACHE"}
 
 
 def read_submissions(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -23,39 +22,48 @@ def read_submissions(spark: SparkSession, path: str, schema: str, files_per_trig
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def of_kind(messages: DataFrame, kind: str) -> DataFrame:
-    """Messages (type, ...) of one kind, aliases among them."""
-    if kind not in KINDS:
-        raise ValueError(f"unknown kind of message: {kind}")
-    return messages.filter(F.col("type").isin(kind, *(a for a, k in ALIASES.items() if k == kind)))
+def accepted_stream(df: DataFrame, by: str = "user_id", at: str = "ts", text: str = "prompt_text", within_ms: int = WITHIN_MS, idle_ms: int = 3_600_000, tie: str | None = None) -> DataFrame:
+    """(by, at, text, and tie if one is named) of submissions that don't repeat the last accepted one of their session within `within_ms`.
 
-
-def accepted_stream(df: DataFrame, by: str = "user_id", at: str = "ts", text: str = "prompt_text", within_ms: int = WITHIN_MS, idle_ms: int = 3_600_000) -> DataFrame:
-    """(by, at, text) of submissions that don't repeat the last accepted one of their session within `within_ms`.
-
-    The state is the last accepted text and time. A dropped row leaves it as it is. Inside a micro-batch rows are taken by time. A session's state goes when
-    nothing has come of it for `idle_ms` of the clock; no rows are left out.
+    The state is the last accepted text and time. A dropped row leaves it as it is. Inside a micro-batch rows are taken by time, of equal times by `tie`; rows without time come first and are
+    accepted. A session's state goes when nothing has come of it for `idle_ms` of the clock; no rows are left out.
     """
+    named = [by, at, text, *([tie] if tie else [])]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last_text, last_ms = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(at, kind="stable")
+        said, last = state.get if state.exists else (None, None)
+        met = state.exists
+        rows = pd.concat(list(frames)).sort_values(["_ms", *([tie] if tie else [])], kind="stable", na_position="first")
         kept = []
-        for k, (t, when) in enumerate(zip(rows[text], rows[at], strict=True)):
-            ms = int(pd.Timestamp(when).value // 1_000_000)
-            if last_ms is None or t != last_text or ms - last_ms >= within_ms:
-                last_text, last_ms = t, ms
+        for k, (t, ms) in enumerate(zip(rows[text], rows["_ms"], strict=True)):
+            ms = None if pd.isna(ms) else int(ms)
+            if not met or last is None or ms is None or t != said or ms - last >= within_ms:
+                met, said, last = True, t, ms
                 kept.append(k)
-        if last_ms is not None:
-            state.update((last_text, last_ms))
-            state.setTimeoutDuration(max(within_ms, idle_ms))
-        yield rows.iloc[kept][[by, at, text]]
+        state.update((said, last))
+        state.setTimeoutDuration(max(within_ms, idle_ms))
+        yield rows.iloc[kept][named]
 
     kinds = dict(df.dtypes)
-    return df.select(by, at, text).groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, {at} {kinds[at]}, {text} string", "text string, ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = df.select(*named, F.unix_millis(F.col(at).cast("timestamp")).alias("_ms"))
+    return rows.groupBy(by).applyInPandasWithState(step, ", ".join(f"`{c}` {kinds[c]}" for c in named), "text string, ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def started(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query that writes a stream of accepted rows to a folder and ends when all that is there was read.
+
+    A state with time-outs asks for another micro-batch without data for ever, so that a query of this kind wouldn't end. This one has none: states time out in the next micro-batch that has data.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # the query takes its settings with it when it starts
+    try:
+        return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def written_once(rows: DataFrame, path: str, epoch: int) -> None:

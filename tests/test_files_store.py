@@ -175,9 +175,9 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(ROWS[:8], "user_id long, ms long, prompt_text string").select("user_id", F.timestamp_millis("ms").alias("ts"), "prompt_text")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = governance.read_submissions(spark, str(tmp_path / "in"), "user_id long, ts timestamp, prompt_text string")
-    q = governance.accepted_stream(stream).writeStream.format("memory").queryName("kept").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r.user_id, round(r.ts.timestamp() * 1000), r.prompt_text) for r in spark.table("kept").collect())
+    q = governance.started(governance.accepted_stream(stream), str(tmp_path / "kept"), str(tmp_path / "c1"))
+    assert q.awaitTermination(100)  # it ends by itself
+    got = sorted((r.user_id, round(r.ts.timestamp() * 1000), r.prompt_text) for r in spark.read.parquet(str(tmp_path / "kept")).collect())
     assert got == sorted(plain_accepted(ROWS[:8], 1500))
     q = governance.decide_stream(governance.read_submissions(spark, str(tmp_path / "in"), "user_id long, ts timestamp, prompt_text string"), str(tmp_path / "audit"), str(tmp_path / "c2"))
     q.awaitTermination(120)
