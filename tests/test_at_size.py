@@ -14,3 +14,8 @@ def test_offsets_of_many_matches_of_several_rules(spark):
         (got,) = spark.createDataFrame([(cut,)], "text string").select(scan(F.col("text")).alias("m")).first()
         assert len(got) > 400 and {m["category"] for m in got} >= {"email", "phone", "national_id"}
         assert [m for m in got if cut[m["index"] : m["index"] + len(m["match"])] != m["match"]] == []
+
+
+def test_pan_is_written_in_capitals(spark):
+    rows = spark.createDataFrame([("ABCPE1234F",), ("aabfb7744b",), ("ABCpE1234F",), ("ABCZE1234F",)], "m string")
+    assert [r.ok for r in rows.select(V.pan(F.col("m")).alias("ok")).collect()] == [True, False, False, False]
