@@ -78,7 +78,7 @@ def route(df: DataFrame) -> DataFrame:
         .when((ext == "pdf") | has("pdf"), "pdf").when((ext == "docx") | has("wordprocessingml"), "docx")
         .when(ext.isin("xlsx", "xls") | has("spreadsheetml"), "xlsx").when(ext.isin("pptx", "ppt") | has("presentationml"), "pptx").otherwise("unknown")
     )
-    return df.withColumns({"file_type": ext, "route": kind})
+    return once(df.withColumn("file_type", ext), "route", kind)
 
 
 def _joined(v: Column) -> Column:
@@ -105,13 +105,13 @@ def notebook_text(raw: Column) -> Column:
 
 
 _BLANKS, _CONTROL = re.compile(f"[{P.BLANKS}]+"), re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
-_PRINTABLE = re.compile(f"[\x20-\x7e{P.BLANKS}]")
 
 
 def printable(s: str) -> str:
     """White space in single spaces; nothing if less than 70 % is printable ASCII."""
-    s = _BLANKS.sub(" ", _CONTROL.sub(" ", s)).strip(" ")
-    return s if s and len(_PRINTABLE.findall(s)) / len(s) >= 0.70 else ""
+    # without control characters, what Python splits at are the blanks but one; of what is left all ASCII is printable
+    s = " ".join(_CONTROL.sub(" ", s).replace("\ufeff", " ").split())
+    return s if s.isascii() or len(s.encode("ascii", "ignore")) / len(s) >= 0.70 else ""
 
 
 #: Bytes that are inflated at once.
@@ -155,28 +155,29 @@ def between(pieces: Iterable[str], opening: re.Pattern, closing: str, kept: int)
 
     Held is the part that is open, or what may be the beginning of an opening: the last `kept` characters, or with 0 what stands behind the last >.
     """
-    held, opened, at = "", None, 0
+    held, opened, at, done = "", None, 0, 0
     for piece in pieces:
         held += piece
         while True:
             if opened is None:
                 opened = opening.search(held, at)
                 if opened is None:
-                    start = held.find("<", held.rfind(">") + 1) if kept == 0 else max(0, len(held) - kept)
-                    held, at = held[start:] if start >= 0 else "", 0
+                    start = held.find("<", max(done, held.rfind(">", done) + 1)) if kept == 0 else max(done, len(held) - kept)
+                    held, at, done = held[start:] if start >= 0 else "", 0, 0
                     break
                 at = opened.end()
             stop = held.find(closing, at)
             if stop < 0:
-                held = held[opened.start() :]
+                held, done = held[opened.start() :], 0
                 at = max(len(opened[0]), len(held) - len(closing) + 1)
                 opened = opening.match(held)
                 break
             yield opened[0], held[opened.end() : stop]
-            held, at, opened = held[stop + len(closing) :], 0, None
+            at = done = stop + len(closing)  # what is read is cut off with the piece, not with each part
+            opened = None
 
 
-_LITERAL, _HEX = re.compile(r"\((?:[^()\\]|\\[^\n\r])*\)"), re.compile(r"<[0-9a-fA-F]+>")
+_LITERAL, _HEX = re.compile(r"\((?:[^()\\]++|\\[^\n\r])*+\)"), re.compile(r"<[0-9a-fA-F]+>")
 _ESCAPES = (("\\(", "("), ("\\)", ")"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"))
 
 
@@ -289,17 +290,38 @@ def container_text(kind: str, data: bytes | None) -> tuple[str, list[tuple[int,
     return text, [(1, text)], None if text else P.EMPTY_FILE.format(kind.upper())
 
 
+#: Bytes of contents and texts after which rows are given on.
+HELD = 4 << 20
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch, int], tuple], size: Callable[[tuple], int], done: Callable[[pa.RecordBatch, list[tuple]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`done` of as many rows at once as come to HELD by `size`: what `make` gives is never held of a whole batch."""
+    for batch in batches:
+        begin, held, got = 0, 0, []
+        for k in range(batch.num_rows):
+            got.append(make(batch, k))
+            held += size(got[-1])
+            if held >= HELD or k == batch.num_rows - 1:
+                yield done(batch.slice(begin, len(got)), got)
+                begin, held, got = k + 1, 0, []
+
+
 def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     page = pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))
-    for batch in batches:
-        got = []
-        for kind, data in zip(batch.column("route").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            try:
-                got.append(container_text(kind, data))
-            except Exception as e:  # any broken file is closed, never fatal
-                got.append(("", [], P.BROKEN_FILE.format(e)))
+
+    def read(batch: pa.RecordBatch, k: int) -> tuple:
+        data = batch.column("content")[k].as_py()
+        try:
+            return (*container_text(batch.column("route")[k].as_py(), data), len(data or b""))
+        except Exception as e:  # any broken file is closed, never fatal
+            return "", [], P.BROKEN_FILE.format(e), len(data or b"")
+
+    def done(batch: pa.RecordBatch, got: list[tuple]) -> pa.RecordBatch:
         pages = [[{"page": k, "text": t} for k, t in x[1]] for x in got]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array(pages, page), pa.array([x[2] for x in got], pa.string())], [*batch.schema.names, "raw_text", "pages", "reason"])
+        kept = batch.drop_columns(["content"])
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array([x[0] for x in got], pa.string()), pa.array(pages, page), pa.array([x[2] for x in got], pa.string())], [*kept.schema.names, "raw_text", "pages", "reason"])
+
+    return in_pieces(batches, read, lambda x: x[3] + 2 * len(x[0]), done)
 
 
 PAGES = "array<struct<page:int,text:string>>"
@@ -315,9 +337,9 @@ def extract_files(files: DataFrame) -> DataFrame:
     raw = decoded(F.col("content"))
     text = F.when(F.col("route") == "notebook", notebook_text(raw)).when(F.col("route") == "text", raw).otherwise("")
     why = F.when(F.col("route") == "unscannable", filled(P.CLOSED_FORMAT, F.col("file_type"))).when(F.col("route") == "unknown", filled(P.UNKNOWN_FORMAT, F.col("file_type")))
-    plain = routed.filter(~boxed).withColumn("raw_text", text)
+    plain = routed.filter(~boxed).withColumn("raw_text", text).drop("content")
     plain = plain.withColumns({"pages": F.when(F.col("route").isin("text", "notebook"), F.array(F.struct(F.lit(1).alias("page"), F.col("raw_text").alias("text")))).otherwise(F.array()).cast(PAGES), "reason": why})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in routed.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in routed.schema if f.name != "content")
     inside = routed.filter(boxed).mapInArrow(_containers, f"{fields}, raw_text string, pages {PAGES}, reason string")
     both = once(plain.unionByName(inside), "text", normalize_text(F.col("raw_text")))
     readable = F.col("route").isin("text", "notebook", "directory")
@@ -325,4 +347,4 @@ def extract_files(files: DataFrame) -> DataFrame:
     both = both.withColumns({"unscannable": closed, "is_directory": F.col("route") == "directory", "chunks": windows(F.col("text"))})
     both = both.withColumn("file_type", F.when(F.col("is_directory"), "directory").when((F.col("route") == "unscannable") & (F.col("file_type") == ""), "unscannable").otherwise(F.col("file_type")))
     both = both.withColumn("reason", F.coalesce("reason", F.when(closed, P.EMPTY_BINARY)))
-    return both.drop("content", "raw_text", "route")
+    return both.drop("raw_text", "route")

@@ -6,11 +6,13 @@ import math
 import time
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions import validators as V
 from gristmill.operators.scan import scan
+from gristmill.sources import files
 
 
 def test_offsets_of_many_matches_of_several_rules(spark):
@@ -43,3 +45,18 @@ def test_entropy_goes_through_the_alphabet(spark):
         rows.select(f(F.col("t")).alias("x")).write.format("noop").mode("overwrite").save()
         took.append(time.time() - began)
     assert took[2] < 0.7 * took[3]
+
+
+def test_parts_of_one_piece_are_not_copied_over_and_over():
+    began = time.process_time()
+    assert sum(1 for _ in files.xml_texts(["<t>some words in a node</t>" * 60_000], "t")) == 60_000
+    assert time.process_time() - began < 2
+
+
+def test_containers_are_given_on_in_pieces():
+    data = b"%PDF-1.4 /Type /Page BT (" + b"word " * 200_000 + b") Tj ET"
+    batch = pa.RecordBatch.from_pydict({"n": [*range(12)], "route": ["pdf"] * 12, "content": [data] * 12})
+    got = [*files._containers(iter([batch]))]
+    assert len(got) > 3 and "content" not in got[0].schema.names
+    assert [n for b in got for n in b.column("n").to_pylist()] == [*range(12)]
+    assert {t for b in got for t in b.column("raw_text").to_pylist()} == {("word " * 200_000).strip()}
