@@ -51,9 +51,12 @@ def audit_rows(df: DataFrame, hash_prompts: bool = False) -> DataFrame:
     return df.select(*out.values())
 
 
-def append_audit(df: DataFrame, path: str, hash_prompts: bool = False) -> None:
-    """Adds rows to the audit table, partitioned by day; newest rows can then be found without reading the others."""
-    audit_rows(df, hash_prompts).withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+def append_audit(df: DataFrame, path: str, hash_prompts: bool = False, period: str = "day") -> None:
+    """Adds rows to the audit table, partitioned by day; newest rows can then be found without reading the others.
+
+    `period` may be month or year where days hold few rows: each is a folder with its files, which cost more than their rows. A table keeps one period: folders are named by it.
+    """
+    audit_rows(df, hash_prompts).withColumn(period, F.to_date(F.date_trunc(period, "timestamp"))).write.mode("append").partitionBy(period).parquet(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -66,21 +69,23 @@ def latest(audit: DataFrame, n: int = LATEST) -> DataFrame:
 
 
 def newest(spark: SparkSession, path: str, n: int = LATEST) -> DataFrame:
-    """`latest` of an audit table that `append_audit` has written, without reading all of it: days are counted from the last one back until n rows are there.
+    """`latest` of an audit table that `append_audit` has written, without reading all of it: days (or other periods) are counted from the last one back until n rows are there.
 
     Counting reads no column. A day more is read than needed, as sessions may have written in different time zones.
     """
-    days = sorted((d for d in partitions(spark, path) if d.startswith("day=")), reverse=True)
+    days = sorted((d for d in partitions(spark, path) if "=" in d), reverse=True)
+    period = days[0].split("=")[0] if days else "day"
     rows, since, step, at = read_audit(spark, path), None, 1, 0
+    of_day = lambda d: d.removeprefix(f"{period}=")
     while at < len(days):
-        some = [d.removeprefix("day=") for d in days[at : at + step]]
+        some = [of_day(d) for d in days[at : at + step]]
         at, step = at + step, 2 * step  # twice as many days each time, so that sparse tables take few looks
         since = some[-1]
-        if rows.filter(F.col("day") >= F.lit(since).cast("date")).count() >= n:
+        if rows.filter(F.col(period) >= F.lit(since).cast("date")).count() >= n:
             break
     if at < len(days):
-        since = days[min(at, len(days) - 1)].removeprefix("day=")
-    return latest(rows if since is None else rows.filter(F.col("day") >= F.lit(since).cast("date")), n)
+        since = of_day(days[min(at, len(days) - 1)])
+    return latest(rows if since is None else rows.filter(F.col(period) >= F.lit(since).cast("date")), n)
 
 
 def _at(spark: SparkSession, path: str) -> tuple:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import text as T
 from gristmill.functions import validators as V
 from gristmill.operators.scan import scan
-from gristmill.sources import files
+from gristmill.sources import files, store
 
 
 def test_offsets_of_many_matches_of_several_rules(spark):
@@ -60,3 +60,12 @@ def test_containers_are_given_on_in_pieces():
     assert len(got) > 3 and "content" not in got[0].schema.names
     assert [n for b in got for n in b.column("n").to_pylist()] == [*range(12)]
     assert {t for b in got for t in b.column("raw_text").to_pylist()} == {("word " * 200_000).strip()}
+
+
+def test_sparse_audit_tables_have_few_folders(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    rows = spark.range(3000).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 25_200).alias("timestamp"))
+    store.append_audit(rows, path, period="year")
+    assert sorted(p.name for p in (tmp_path / "audit").glob("*=*")) == ["year=2024-01-01", "year=2025-01-01", "year=2026-01-01"]
+    for n in (1, 100, 1000, 4000):
+        assert [r.id for r in store.newest(spark, path, n).collect()] == [*range(2999, max(-1, 2999 - n), -1)]
