@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions import validators as V
-from gristmill.operators.scan import scan
+from gristmill.operators import ocr
+from gristmill.operators.scan import MATCHES, scan
 from gristmill.sources import files, store
 
 
@@ -69,3 +70,14 @@ def test_sparse_audit_tables_have_few_folders(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "audit").glob("*=*")) == ["year=2024-01-01", "year=2025-01-01", "year=2026-01-01"]
     for n in (1, 100, 1000, 4000):
         assert [r.id for r in store.newest(spark, path, n).collect()] == [*range(2999, max(-1, 2999 - n), -1)]
+
+
+def test_images_without_matches_are_not_laid_out(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ocr, "stored", lambda df, name: seen.append(df.localCheckpoint()) or seen[-1])
+    word = F.struct(F.lit("ann@site.org").alias("text"), F.struct(*(F.lit(float(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1")))).alias("bbox"))
+    match = F.struct(F.lit("email"), F.lit("Email"), F.lit("ann@site.org"), F.lit(0), F.lit("medium"))
+    none = F.array().cast(MATCHES)
+    rows = spark.range(12).select("id", F.when(F.col("id") % 3 == 0, F.array(match).cast(MATCHES)).when(F.col("id") % 3 == 1, none).alias("matches"), F.array(word).alias("words"), F.array(word).alias("lines"))
+    assert sorted(r.id for r in ocr.box_rows(rows).collect()) == [0, 3, 6, 9]
+    assert seen[0].count() == 4
