@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,34 +23,43 @@ def read_submissions(spark: SparkSession, path: str, schema: str, files_per_trig
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def accepted_stream(df: DataFrame, by: str = "user_id", at: str = "ts", text: str = "prompt_text", within_ms: int = WITHIN_MS, idle_ms: int = 3_600_000, tie: str | None = None) -> DataFrame:
+#: Parts that sessions are dealt to by hash; a part is one call of Python and one state a micro-batch, which costs some 15 ms whatever it holds.
+PARTS = 2048
+
+
+def accepted_stream(df: DataFrame, by: str = "user_id", at: str = "ts", text: str = "prompt_text", within_ms: int = WITHIN_MS, idle_ms: int = 3_600_000, tie: str | None = None, parts: int = PARTS) -> DataFrame:
     """(by, at, text, and tie if one is named) of submissions that don't repeat the last accepted one of their session within `within_ms`.
 
-    The state is the last accepted text and time. A dropped row leaves it as it is. Inside a micro-batch rows are taken by time, of equal times by `tie`; rows without time come first and are
-    accepted. A session's state goes when nothing has come of it for `idle_ms` of the clock; no rows are left out.
+    The state is the last accepted text and time of each session, kept by part: sessions (by their key as a string) are dealt to `parts` by hash, and a task holds one part's rows of a micro-batch
+    at a time. A dropped row leaves a session's state as it is. Inside a micro-batch rows are taken by time, of equal times by `tie`; rows without time come first and are accepted.
+    A session's state goes when nothing has come of it for `idle_ms` of the clock, at the next rows of its part; no rows are left out.
     """
     named = [by, at, text, *([tie] if tie else [])]
+    idle = max(within_ms, idle_ms)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        said, last = state.get if state.exists else (None, None)
-        met = state.exists
+        now = state.getCurrentProcessingTimeMs()
+        known = {who: (said, last, seen) for who, said, last, seen in json.loads(state.get[0])} if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(["_ms", *([tie] if tie else [])], kind="stable", na_position="first")
         kept = []
-        for k, (t, ms) in enumerate(zip(rows[text], rows["_ms"], strict=True)):
-            ms = None if pd.isna(ms) else int(ms)
-            if not met or last is None or ms is None or t != said or ms - last >= within_ms:
-                met, said, last = True, t, ms
+        for k, (who, t, ms) in enumerate(zip(*(rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in ("_who", text, "_ms")), strict=True)):
+            ms = None if ms is None else int(ms)
+            said, last, _ = known.get(who, (None, None, None))
+            if last is None or ms is None or t != said or ms - last >= within_ms:
+                said, last = t, ms
                 kept.append(k)
-        state.update((said, last))
-        state.setTimeoutDuration(max(within_ms, idle_ms))
+            known[who] = (said, last, now)
+        state.update((json.dumps([(who, *entry) for who, entry in known.items() if now - entry[2] < idle]),))
+        state.setTimeoutDuration(idle)
         yield rows.iloc[kept][named]
 
     kinds = dict(df.dtypes)
-    rows = df.select(*named, F.unix_millis(F.col(at).cast("timestamp")).alias("_ms"))
-    return rows.groupBy(by).applyInPandasWithState(step, ", ".join(f"`{c}` {kinds[c]}" for c in named), "text string, ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    who = F.col(by).cast("string")
+    rows = df.select(*named, F.unix_millis(F.col(at).cast("timestamp")).alias("_ms"), who.alias("_who"), F.pmod(F.xxhash64(who), F.lit(parts)).alias("_part"))
+    return rows.groupBy("_part").applyInPandasWithState(step, ", ".join(f"`{c}` {kinds[c]}" for c in named), "sessions string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def started(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

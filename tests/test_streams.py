@@ -63,3 +63,29 @@ def test_a_batch_that_runs_again_keeps_its_answers(spark, tmp_path):
         assert sorted((r.id, r.cached) for r in router.answers(spark, stores).select("id", "cached").collect()) == [(1, False), (2, None)]
         assert sorted(r.id for r in router.audit_log(spark, stores).collect()) == [1, 2]
         assert store.stored_cache(spark, stores.cache).count() == 1
+
+
+def test_sessions_share_states_by_part(spark, tmp_path):
+    """Many sessions, few states: each keeps its own last text and time, over micro-batches and beside others of its part, one without a key among them."""
+    at = lambda s: START + dt.timedelta(seconds=s)
+    users = [*range(400), None]
+    parts = [
+        [(u, at(0), "a") for u in users] + [(u, at(1), "a") for u in users] + [(7, None, "a"), (9, at(1), None), (9, at(1.2), None)],
+        [(u, at(2), "a") for u in users] + [(u, at(2.4), "b") for u in users if u is None or u % 2] + [(1000, at(0), "b")],
+    ]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame([(10_000 * k + n, *r) for n, r in enumerate(rows)], "event_id long, user_id long, ts timestamp, prompt_text string").repartition(3).write.parquet(str(tmp_path / f"in/part={k}"))
+        stream = governance.read_submissions(spark, str(tmp_path / "in/part=*"), "event_id long, user_id long, ts timestamp, prompt_text string")
+        query = governance.started(governance.accepted_stream(stream, tie="event_id", parts=16), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    ids = sorted(r.event_id for r in got)
+    want, last = [], {}
+    for k, rows in enumerate(parts):
+        for n, u, t, said in sorted(((10_000 * k + n, *r) for n, r in enumerate(rows)), key=lambda r: (r[2] is not None, r[2] or START, r[0])):
+            before = last.get(u)
+            if before is None or before[1] is None or t is None or said != before[0] or (t - before[1]).total_seconds() >= 1.5:
+                last[u] = (said, t)
+                want.append(n)
+    assert ids == sorted(want) and {r.user_id for r in got} == {*users, 1000}
