@@ -146,3 +146,15 @@ def test_files_of_a_folder_in_listing_order(spark, tmp_path):
     rows = pipelines.rollup(pipelines.analyze_files(extract_files(read_files(spark, str(tmp_path))), Settings(enable_llm=False), "chatgpt.com")).collect()
     one = {r.batch_id: r for r in rows}["one"]
     assert one.action == "block" and one.explanation.startswith("File 'b.txt'") and one.n_files == 4
+
+
+def test_failed_scans_reads_once(spark):
+    """The stage that breaks runs before the three paths, not in each of them."""
+    from pathlib import Path
+
+    from gristmill.plans.catalogue import failed_scans
+
+    df = failed_scans(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    n = spark.read.parquet(str(Path("/root/testdata/sf0.001/documents.parquet"))).filter("doc_id % 10 = 3").count()
+    assert df.filter("failure IS NOT NULL").count() == 3 * n and df.filter("how = 'image'").count() == n
