@@ -89,3 +89,12 @@ def test_sessions_share_states_by_part(spark, tmp_path):
                 last[u] = (said, t)
                 want.append(n)
     assert ids == sorted(want) and {r.user_id for r in got} == {*users, 1000}
+
+
+def test_arrivals_keep_all_cores_busy(spark):
+    from gristmill.plans.catalogue import arrivals
+
+    parts = arrivals(spark.range(0, 9000, 1, 12), "id", 3)
+    assert [p.count() for p in parts] == [3000] * 3 and sorted(r.id for p in parts for r in p.collect()) == list(range(9000))
+    for p in parts:
+        assert max(len(x) for x in p.rdd.glom().collect()) < 500  # of 1,000 in a stretch of what comes in order
